@@ -26,3 +26,20 @@ def with_rank(df: DataFrame, order: list[Column], name: str, keep: Callable[[Dat
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return kept.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+
+
+def with_running_sum(df: DataFrame, order: list[Column], value: str, name: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """df with the sum of `value` over all rows before each row in the given total order; kept as with_rank keeps it.
+
+    The kept frame stays as it is in `_part`: equal for the rows of one range, ascending with the order.
+    """
+    keys = [f"_k{i}" for i in range(len(order))]
+    placed = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()
+    kept = keep(placed.drop(*keys).withColumns({"_part": F.shiftright(at, 33).cast("int"), "_place": at.bitwiseAND(F.lit(_PLACE))}), name)
+    starts = kept.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = kept.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_inside")).drop("_place", "_start", "_inside")
