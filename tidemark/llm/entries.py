@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, mixing, vector_dedup
+from tidemark.llm import ann, bpe, mixing, simhash, token_store, vector_dedup, warc
+from tidemark.llm.common import scratch
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -22,15 +30,34 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = scratch(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), TOKENIZER, store)
+    return token_store.stored_digests(spark, store)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
     "op3_ann": op3_ann,
     "op4_vector_dedup": op4_vector_dedup,
+    "op5_bpe": op5_bpe,
+    "op6_token_store": op6_token_store,
     "op8_mixing": op8_mixing,
+    "op9_warc": op9_warc,
 }
 SQL: dict[str, str] = {
     "op8_mixing": mixing.SQL,
+    "op9_warc": warc.SQL,
 }
