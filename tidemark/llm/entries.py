@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, mixing, simhash, token_store, vector_dedup, warc
+from tidemark.llm import ann, bpe, mixing, simhash, substring, token_store, vector_dedup, warc
 from tidemark.llm.common import scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_digests(spark, store)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.kept_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,10 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vector_dedup": op4_vector_dedup,
     "op5_bpe": op5_bpe,
     "op6_token_store": op6_token_store,
+    "op7_substring": op7_substring,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
 }
 SQL: dict[str, str] = {
+    "op7_substring": substring.SQL,
     "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
 }
