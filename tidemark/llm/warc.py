@@ -54,10 +54,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def records(raw: bytes):
     """(headers, payload) of each record of a file's bytes; checks lengths and digests."""
-    while raw:
-        unpacker = zlib.decompressobj(31)
-        member = unpacker.decompress(raw) + unpacker.flush()
-        raw = unpacker.unused_data
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:  # a piece at a time: what follows a member is never copied as a whole
+            piece = view[at : at + (1 << 16)]
+            if not len(piece):
+                raise ValueError("a file ends inside a record")
+            parts.append(unpacker.decompress(piece))
+            at += len(piece) - len(unpacker.unused_data)
+        member = b"".join(parts)
         head, _, rest = member.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
