@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, mixing, quality, simhash, substring, token_store, vector_dedup, warc
+from tidemark.llm import ann, bpe, mixing, pii, quality, simhash, substring, token_store, vector_dedup, warc
 from tidemark.llm.common import scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring": op7_substring,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {
     "op7_substring": substring.SQL,
