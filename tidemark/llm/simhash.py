@@ -166,3 +166,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     out = prints.join(joined, "fingerprint", "left")
     part = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), part.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, distance: int = 4) -> DataFrame:
+    """The rows of docs that are the first (by doc_id) of their group of near-duplicates, with docs' own columns.
+
+    Rows without a doc_id stay, and so do repeated rows of a first one.
+    """
+    others = near_duplicates(docs, width, distance).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
