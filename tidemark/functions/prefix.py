@@ -16,7 +16,7 @@ def with_rank(df: DataFrame, order: list[Column], name: str, keep: Callable[[Dat
 
     The rows are range-partitioned and sorted, numbered within their partitions and kept by `keep` (sampling
     again would move the borders); only one count per partition meets in a single task. Rows that tie in
-    `order` get different ranks in no set order, so the order should be total.
+    `order` get different ranks in no set order, so the order should be total. Descending numbers: negate them.
     """
     keys = [f"_k{i}" for i in range(len(order))]
     placed = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys)

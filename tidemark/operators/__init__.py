@@ -1 +1 @@
-"""Placeholder."""
+"""The jobs: each takes DataFrames and returns a DataFrame."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Registered queries and the SQL that states the same results."""

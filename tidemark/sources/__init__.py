@@ -1 +1 @@
-"""Placeholder."""
+"""Readers, writers and adapters."""
