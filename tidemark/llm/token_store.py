@@ -131,6 +131,9 @@ def write_store(docs: DataFrame, path: str, to: str, end_id: int = 0) -> None:
     to/recipes: doc_id, start, n_tokens, recipe (names and lengths of the chunks), part; by ascending doc_id.
     to/manifest: part, documents, root. The manifest is written last and marks the store as whole.
     One shuffle carries the chunks, packed and compressed by bucket of their names and already unique by batch.
+
+    Null text: as empty, so its only id is the end id. Null doc_id: before all others. Repeated rows: each has its own recipe;
+    their chunks are stored once. Empty table: an empty store.
     """
     buckets = docs.count() // DOCS_PER_BUCKET + 1
     rows = _chunks(docs, path, end_id, buckets).groupBy("bucket").applyInArrow(_unique, f"kind string, name binary, ids binary, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, recipe binary")
@@ -144,7 +147,7 @@ def write_store(docs: DataFrame, path: str, to: str, end_id: int = 0) -> None:
 
 def _read(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
     """Chunks (name, ids) whose bytes have been checked against their names, and recipes whose part's root holds."""
-    chunks = spark.read.parquet(f"{store}/data").filter("kind = 'chunk'").select("name", "ids")
+    chunks = spark.read.schema("name binary, ids binary, kind string").parquet(f"{store}/data").filter("kind = 'chunk'").select("name", "ids")
     sound = F.unhex(F.substring(F.sha2("ids", 256), 1, 2 * NAME)) == F.col("name")
     chunks = chunks.select("name", F.when(sound, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk differs from its name"))).alias("ids"))
     recipes = spark.read.parquet(f"{store}/recipes")
