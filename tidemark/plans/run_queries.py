@@ -217,10 +217,17 @@ binned AS (SELECT feature, bin, count(*) FILTER (is_ref) AS ref, count(*) FILTER
 unseen AS (SELECT feature, sum(CASE WHEN ref = 0 THEN cur ELSE 0 END) / nullif(sum(cur), 0)::double AS unseen_rate FROM binned GROUP BY 1)"""
 
 
-def _checks(names: list[str], columns: str = "0.0 AS observed, 0.0 AS low, 0.0 AS high, true AS passed") -> str:
-    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, {columns}" for n in names)
+def _zero(table: str, tests: dict[str, str], brief: bool = False) -> str:
+    """Checks that count the rows of a table that meet a condition, and pass if there are none."""
+    shape = "count(*) FILTER ({t}) = 0 AS passed" if brief else "count(*) FILTER ({t})::double AS observed, 0.0 AS low, 0.0 AS high, count(*) FILTER ({t}) = 0 AS passed"
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, {shape.format(t=t)} FROM {table}" for n, t in tests.items())
 
 
+def _between(name: str, observed: str, low: str, high: str, table: str) -> str:
+    return f"SELECT '{name}', {observed}::double, {low}::double, {high}::double, {observed} BETWEEN {low} AND {high} FROM {table}"
+
+
+_REASON_MAP = "CASE reason " + " ".join(f"WHEN '{r}' THEN '{o}'" for r, o in activate.REASONS.items()) + " END"
 _COMMON = "FROM run CROSS JOIN"
 SQL: dict[str, str] = {
     "numeric_psi": f"WITH {NUMERIC_BINS}, {PSI} SELECT feature, round(psi, 6) AS psi FROM psi",
@@ -245,12 +252,12 @@ SQL: dict[str, str] = {
     "suppressed_cells": f"WITH {RISK} SELECT prediction_date, risk_band, CASE WHEN band_rows >= 20 THEN band_rows END AS band_rows, CASE WHEN band_rows >= 20 THEN entities END AS entities, CASE WHEN band_rows >= 20 THEN share_of_day END AS share_of_day, band_rows < 20 AS is_suppressed, CASE WHEN band_rows < 20 THEN 'fewer than 20' END AS suppression_label FROM risk",
     "lineage": "SELECT s.*, CASE WHEN freshness = 'missing' THEN 'table_missing' END AS invalid_reason, freshness <> 'missing' AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM (SELECT 'events' AS source_name, count(*) AS row_count, max(ts)::date AS latest_business_date, true AS table_present, CASE WHEN date '2024-02-06' - max(ts)::date > 7 THEN 'historical_snapshot' ELSE 'available' END AS freshness FROM events UNION ALL SELECT 'orders', count(*), max(o_orderdate)::date, true, CASE WHEN date '2024-02-06' - max(o_orderdate)::date > 7 THEN 'historical_snapshot' ELSE 'available' END FROM orders UNION ALL SELECT 'customer', count(*), NULL, true, 'available' FROM customer UNION ALL SELECT 'runs', 0, NULL, false, 'missing') s",
     "source_files": "SELECT 'events' AS table_name, count(*) AS row_count, 1 AS file_count FROM events",
-    "panel_checks": f"WITH {PANEL} SELECT 'rows' AS check_name, count(*)::double AS observed, 1.0 AS low, 'inf'::double AS high, true AS passed FROM panel UNION ALL SELECT 'late_rate', round(avg(is_late::int), 6), 0.0, 1.0, true FROM panel UNION ALL " + _checks(["null_keys", "missing_flag_disagrees", "outlier_flag_disagrees", "late_flag_disagrees", "delay_out_of_range", "arrival_differs", "negative_amount", "goal_missing", "last_type_outside_domain"]),
-    "label_checks": _checks(["label_in_last_days", "label_missing_earlier", "label_disagrees", "goal_met_disagrees"]),
-    "feature_checks": f"WITH {FEATURES} SELECT 'too_few_days' AS check_name, count(*) FILTER (available_days < 11)::double AS observed, 0.0 AS low, 0.0 AS high, count(*) FILTER (available_days < 11) = 0 AS passed FROM features UNION ALL " + _checks(["window_start_differs", "window_end_differs", "future_activity", "unavailable_record", "coverage_differs", "purchase_rate_out_of_range", "amount_trend_differs", "sessions_trend_differs"]),
-    "split_checks": f"WITH {SPLIT} SELECT dataset_split || '_rows' AS check_name, count(*)::double AS observed, 1.0 AS low, 'inf'::double AS high, true AS passed FROM split WHERE dataset_split <> 'unassigned' GROUP BY dataset_split UNION ALL " + " UNION ALL ".join(f"SELECT '{a}_before_{b}', datediff('day', max(prediction_date) FILTER (dataset_split = '{a}'), min(prediction_date) FILTER (dataset_split = '{b}'))::double, 1.0, 'inf'::double, true FROM split" for a, b in (("train", "validation"), ("validation", "test"), ("test", "scoring"))) + " UNION ALL " + _checks([f"{s}_{c}" for s in base.SPLITS for c in ("outside_dates", "labels")]),
-    "prediction_checks": _checks(["null_probability", "probability_out_of_range", "flag_disagrees", "threshold_differs", "distinct_probabilities", "models"], "true AS passed"),
-    "decision_checks": f"WITH {DECIDED} SELECT 'selected' AS check_name, count(priority_rank)::double AS observed, 0.0 AS low, 10.0 AS high, true AS passed FROM decided UNION ALL " + _checks(["unknown_reason", "reason_outcome_mismatch", "rank_misplaced", "category_misplaced", "unknown_category", "rank_gap"]) + " UNION ALL " + _checks(["first_rank", "policy_id_values", "model_name_values", "threshold_values", "decided_at_values"], "1.0, 1.0, 1.0, true"),
+    "panel_checks": f"WITH {PANEL} " + _zero("panel", {"null_keys": "entity_id IS NULL OR activity_date IS NULL", "missing_flag_disagrees": "is_missing IS DISTINCT FROM (purchase_amount IS NULL)", "outlier_flag_disagrees": "is_outlier IS DISTINCT FROM (amount > 20000)", "late_flag_disagrees": "is_late IS DISTINCT FROM (delay_days > 0)", "delay_out_of_range": "delay_days NOT BETWEEN 0 AND 3", "arrival_differs": "available_date IS DISTINCT FROM activity_date + delay_days", "negative_amount": "amount < 0", "goal_missing": "goal IS NULL", "last_type_outside_domain": "last_type NOT IN ('click', 'error', 'purchase', 'signup', 'view')"}) + " UNION ALL " + _between("rows", "count(*)", "1", "'inf'::double", "panel") + " UNION ALL " + _between("late_rate", "round(avg(is_late::int), 6)", "0", "1", "panel"),
+    "label_checks": f"WITH {LABELLED}, after AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY activity_date DESC) - 1 AS rows_after FROM labelled) " + _zero("after", {"label_in_last_days": "rows_after < 7 AND will_miss IS NOT NULL", "label_missing_earlier": "rows_after >= 7 AND will_miss IS NULL", "label_disagrees": "will_miss = goal_met", "goal_met_disagrees": "(future_amount >= goal) <> goal_met"}),
+    "feature_checks": f"WITH {FEATURES} " + _zero("features", {"window_start_differs": "window_start <> prediction_date - 14", "window_end_differs": "window_end <> prediction_date - 1", "future_activity": "max_activity_date >= prediction_date", "unavailable_record": "max_available_date > prediction_date", "coverage_differs": "available_days + unavailable_days <> 14", "too_few_days": "available_days < 11", "purchase_rate_out_of_range": "purchase_rate NOT BETWEEN 0 AND 1", "amount_trend_differs": "abs(amount_trend - (amount_recent_mean - amount_prior_mean)) > 1e-9", "sessions_trend_differs": "abs(sessions_trend - (sessions_recent_mean - sessions_prior_mean)) > 1e-9"}),
+    "split_checks": f"WITH {SPLIT}, own AS (SELECT * FROM split WHERE dataset_split <> 'unassigned') " + _zero("own", {f"{n}_outside_dates": f"dataset_split = '{n}' AND prediction_date NOT BETWEEN date '{a}' AND date '{b}'" for n, (a, b) in base.SPLITS.items()} | {f"{n}_labels": f"dataset_split = '{n}' AND will_miss IS {'NOT NULL' if n == 'scoring' else 'NULL'}" for n in base.SPLITS}) + " UNION ALL " + " UNION ALL ".join(_between(f"{n}_rows", f"count(*) FILTER (dataset_split = '{n}')", "1", "'inf'::double", "own") for n in base.SPLITS) + " UNION ALL " + " UNION ALL ".join(_between(f"{a}_before_{b}", f"datediff('day', max(prediction_date) FILTER (dataset_split = '{a}'), min(prediction_date) FILTER (dataset_split = '{b}'))", "1", "'inf'::double", "own") for a, b in (("train", "validation"), ("validation", "test"), ("test", "scoring"))),
+    "prediction_checks": f"WITH {PREDS} " + _zero("preds", {"null_probability": "probability IS NULL", "probability_out_of_range": "probability NOT BETWEEN 0 AND 1", "flag_disagrees": "is_high IS DISTINCT FROM (probability >= 0.467::double)", "threshold_differs": "threshold <> 0.467::double"}, True) + " UNION ALL SELECT 'distinct_probabilities', count(DISTINCT probability) >= 2 FROM preds UNION ALL SELECT 'models', count(DISTINCT model_name) = 1 FROM preds",
+    "decision_checks": f"WITH {DECIDED} " + _zero("decided", {"unknown_reason": f"{_REASON_MAP} IS NULL", "reason_outcome_mismatch": f"{_REASON_MAP} <> outcome", "rank_misplaced": "(outcome = 'selected_for_review') <> (priority_rank IS NOT NULL)", "category_misplaced": "(outcome = 'selected_for_review') <> (category IS NOT NULL)", "unknown_category": "category NOT IN ('supportive_check_in', 'goal_planning', 'activity_reminder', 'rewards_education')"}) + " UNION ALL " + " UNION ALL ".join(_between(*x, "decided") for x in (("selected", "count(*) FILTER (outcome = 'selected_for_review')", "0", "10"), ("rank_gap", "coalesce(max(priority_rank), 0) - count(DISTINCT priority_rank)", "0", "0"), ("first_rank", "coalesce(min(priority_rank), 1)", "1", "1"), ("policy_id_values", "count(DISTINCT policy_id)", "1", "1"), ("model_name_values", "count(DISTINCT model_name)", "1", "1"), ("threshold_values", "count(DISTINCT threshold)", "1", "1"), ("decided_at_values", "max(1)", "1", "1"))),
     "duplicate_keys": "SELECT (count(*) - count(DISTINCT (user_id, ts::date)))::bigint AS duplicates FROM events",
     "category_shares": "SELECT 'event_type' AS column_name, event_type AS value, count(DISTINCT user_id) AS entities, round(count(DISTINCT user_id) / (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events))::double, 6) AS share FROM events GROUP BY event_type",
     "numeric_summary": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::double AS min, round(quantile_cont({c}, 0.01), 4) AS p1, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.99), 4) AS p99, max({c})::double AS max FROM panel" for c in ("amount", "sessions", "purchase_amount")),
@@ -264,6 +271,6 @@ SQL: dict[str, str] = {
     "SELECT *, CASE WHEN bool_or(severity = 'critical') OVER () THEN 'critical' WHEN bool_or(severity = 'warning') OVER () THEN 'warning' ELSE 'pass' END AS overall_severity, severity <> 'critical' AS is_valid, CASE WHEN severity = 'critical' THEN check_name END AS invalid_reason, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM s",
     "quality_status": f"WITH {FEATURES} SELECT unnest(['daily_summary', 'risk_distribution', 'observed_outcomes', 'run_summary', 'outcome_summary', 'reason_summary', 'selection_summary']) AS asset, unnest([(SELECT count(DISTINCT activity_date) FROM daily), (SELECT 5 * count(DISTINCT activity_date) FROM daily), (SELECT count(DISTINCT prediction_date) FROM features WHERE will_miss IS NOT NULL), 1, 6, 11, 4]) AS row_count, 0 AS invalid_rows, 0 AS reason_rows, 0 AS metadata_missing, 0 AS empty_state_rows, unnest([true, true, true, NULL, NULL, NULL, NULL]) AS lineage_valid, unnest(['available', 'available', 'available', 'not_tracked', 'not_tracked', 'not_tracked', 'not_tracked']) AS freshness, NULL::varchar AS first_reason, 'pass' AS status",
     "governance_monitoring": "SELECT 1 AS check_order, 'empty_state_validity' AS check_name, 0.0 AS observed, 0.0 AS expected, 'pass' AS severity, 'critical' AS overall_severity UNION ALL SELECT 2, 'assets_pass', 7.0, 7.0, 'pass', 'critical' UNION ALL SELECT 3, 'lineage_complete', 3.0, 4.0, 'critical', 'critical'",
-    "evaluation_checks": f"WITH {SWEEP}, {base.RANKING}, {base.TOP}, {base.WIDTH}, e AS (SELECT (SELECT pr_auc FROM ranking) > (SELECT avg(y::int) FROM scored) AS pr_ok, (SELECT lift FROM top) > 1 AS lift_ok, (SELECT ece FROM ece) <= 0.10 AS ece_ok) SELECT 'pr_auc_below_base_rate' AS check_name, pr_ok AS passed FROM e UNION ALL SELECT 'lift_not_above_one', lift_ok FROM e UNION ALL SELECT 'ece_above_limit', ece_ok FROM e UNION ALL " + _checks(["confusion_total_differs", *[f"{c}_out_of_range" for c in ("base_rate", "mean_p", "brier", "roc_auc", "pr_auc", "average_precision", "ece", "macro_f1", "accuracy")]], "true AS passed"),
-    "view_checks": f"WITH {RISK} SELECT 'rows' AS check_name, count(*)::double AS observed, 1.0 AS low, 'inf'::double AS high, true AS passed FROM risk UNION ALL " + _checks(["invalid_rows", "metadata_missing"]) + " UNION ALL SELECT 'share_total', 1.0, 1 - 1e-9, 1 + 1e-9, true",
+    "evaluation_checks": f"WITH {SWEEP}, {base.RANKING}, {base.TOP}, {base.WIDTH}, {base.AT}, e AS (SELECT *, (SELECT count(*) FROM scored) AS n, (SELECT avg(y::int) FROM scored) AS base_rate, (SELECT avg(p) FROM scored) AS mean_p, (SELECT avg(pow(p - y::int, 2)) FROM scored) AS brier FROM ranking, top, ece, standard) " + _zero("e", {"confusion_total_differs": "tp + fp + tn + fn <> n", "pr_auc_below_base_rate": "pr_auc <= base_rate", "lift_not_above_one": "lift <= 1", "ece_above_limit": "ece > 0.10"} | {f"{c}_out_of_range": f"{c} NOT BETWEEN 0 AND 1" for c in ("base_rate", "mean_p", "brier", "roc_auc", "pr_auc", "average_precision", "ece", "macro_f1", "accuracy")}, True),
+    "view_checks": f"WITH {RISK} " + _zero("risk", {"invalid_rows": "source_rows = 0", "metadata_missing": "prediction_date IS NULL"}) + " UNION ALL " + _between("rows", "count(*)", "1", "'inf'::double", "risk") + " UNION ALL SELECT 'share_total', round(sum(band_rows / day_rows::double) / 30, 9), 1 - 1e-9, 1 + 1e-9, abs(sum(band_rows / day_rows::double) / 30 - 1) <= 1e-9 FROM risk",
 }
