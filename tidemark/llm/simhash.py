@@ -52,10 +52,11 @@ def block_masks(distance: int, expected: int) -> list[int]:
     """Bit masks such that two fingerprints within `distance` bits agree on all bits of one mask at least.
 
     The 64 bits are cut into b blocks; `distance` differing bits touch at most that many, so b - distance blocks
-    agree. b grows with the number of fingerprints so that a mask's buckets hold a few dozen of them, at any size.
+    agree. b grows with the number of fingerprints, so that a mask's agreeing bits tell four times as many apart: bits
+    of texts in one language lean one way, and buckets get much larger than those of even bits.
     """
     blocks = distance + 1
-    while blocks < 2 * distance and expected > 32 * 2 ** (64 * (blocks - distance) // blocks):
+    while blocks < 2 * distance and 4 * expected > 2 ** (64 * (blocks - distance) // blocks):
         blocks += 1
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
