@@ -130,6 +130,21 @@ def test_simhash_equals_brute_force(spark, monkeypatch, chunk):
     assert [r.component_id for r in got] == joined(len(fp), links)
 
 
+def test_similar_documents_find_what_jaccard_finds(spark):
+    texts, r = [], random.Random(3)
+    for s in range(60):
+        base = words(300, 1000 + s).split()
+        texts.append(" ".join(base))
+        for changes in (2, 60):  # similarities about 0.93 and below 0.2
+            one = list(base)
+            for at in r.sample(range(300), changes):
+                one[at] = f"w{r.random()}"
+            texts.append(" ".join(one))
+    got = {d.doc_id: d.component_id for d in simhash.similar_documents(frame(spark, texts + ODD)).collect()}
+    assert all(got[i] == i and got[i + 1] == i and got[i + 2] == i + 2 for i in range(0, 180, 3))
+    assert got[180] == got[181] == got[182] == 180 and got[193] == got[194]
+
+
 def test_masks_lose_no_pair():
     r = random.Random(4)
     for expected_rows in (10, 10**6, 10**9):

@@ -22,7 +22,7 @@ def test_stages(spark):
     rejected = {r.doc_id for r in quality.classify(start, table(spark, SF, "labels")).filter("NOT keep").collect()}
     first = {r.doc_id for r in kept[0].collect()}
     assert rejected and first == {r.doc_id for r in start.collect()} - rejected
-    groups = simhash.near_duplicates(kept[0], 5, 4).collect()
+    groups = simhash.similar_documents(kept[0]).collect()
     assert {r.doc_id for r in kept[1].collect()} == {r.component_id for r in groups} and len(kept[1].collect()) < len(first)
     assert kept[2].count() == kept[1].count()
     texts = {r.doc_id: r.text for r in kept[1].collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -21,15 +22,20 @@ BROADCAST_ROWS = 50_000
 PIVOTS = 16
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The majority bits of the XXH64 (seed 42) of a text's word shingles; no words: 0."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of a text's word shingles, repeats included; fewer words than `width`: one of them all."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found]).tolist()
     starts = [0, *ends[:-1]]
-    n = max(1, len(found) - width + 1)
-    hashed = np.array([xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, ends[min(width, len(found)) - 1 :], strict=False)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a : b - 1], 42) for a, b in zip(starts, ends[min(width, len(found)) - 1 :], strict=False)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The bits that more than half of a text's shingle hashes have; no words: 0."""
+    hashed = shingles(text, width)
+    n = len(hashed)
     bits = np.unpackbits(hashed.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n).tobytes(), "big")
 
@@ -63,8 +69,9 @@ def block_masks(distance: int, expected: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(parts, blocks - distance)]
 
 
-def pivots(seed: int = 17) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**64, PIVOTS, np.uint64)
+def pivots(words: int = 1, seed: int = 17) -> np.ndarray:
+    """Reference fingerprints of `words` times 64 bits."""
+    return np.random.default_rng(seed).integers(0, 2**64, (PIVOTS, words), np.uint64)
 
 
 def roots_of(group: pa.Table, distance: int, references: np.ndarray) -> pa.Table:
@@ -73,9 +80,10 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray) -> pa.Table
     Rows are sorted by bucket and by distance to the first pivot; a row meets those after it until that distance
     differs by more than `distance`. Pairs that any other pivot tells apart go; the rest are verified bit by bit.
     """
-    prints, node = group["fingerprint"].to_numpy().view(np.uint64), group["node"].to_numpy()
+    wide, node = references.shape[1], group["node"].to_numpy()
+    prints = group["fingerprint"].to_numpy().view(np.uint64).reshape(-1, 1) if wide == 1 else np.frombuffer(b"".join(group["fingerprint"].to_pylist()), np.uint64).reshape(-1, wide)
     columns = [group[c].to_numpy() for c in ("mask", "key", "left", "right")]
-    table = np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
+    table = np.stack([np.bitwise_count(prints ^ r).sum(axis=1, dtype=np.int16) for r in references], axis=1)
     order = np.lexsort([table[:, 0], *columns])
     prints, node, table, chunk = prints[order], node[order], table[order], group["chunk"].to_numpy()[order]
     same = np.any([np.diff(c[order]) != 0 for c in columns], axis=0) if len(order) else np.zeros(0, bool)
@@ -108,7 +116,7 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray) -> pa.Table
                 break
             close = np.abs(table[i, p] - table[j, p]) <= distance
             i, j = i[close], j[close]
-        linked = np.bitwise_count(prints[i] ^ prints[j]) <= distance
+        linked = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int16) <= distance
         if linked.any():
             pairs.append((i[linked], j[linked]))
             waiting += int(linked.sum())
@@ -129,9 +137,14 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
     The edges connect what the links connect; a bucket returns at most one edge for each of its rows.
     """
-    masks, references = block_masks(distance, n := prints.count()), pivots()
+    masks = block_masks(distance, n := prints.count())
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])
     keyed = prints.select("node", "fingerprint", F.explode(keys).alias("k")).select("node", "fingerprint", "k.*")
+    return _bucket_links(keyed, n * len(masks), distance, pivots())
+
+
+def _bucket_links(keyed: DataFrame, n: int, distance: int, references: np.ndarray) -> DataFrame:
+    """The edges of all buckets (mask, key) of keyed: node, fingerprint, mask, key; about n rows."""
     large = materialise(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select("mask", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "simhash-large")
     if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
@@ -139,7 +152,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("left"), F.greatest(F.col("chunk"), o).alias("right")))
     rows = rows.withColumn("pair", F.explode(pair)).select("*", "pair.left", "pair.right").drop("pair")
-    groups = n * len(masks) // (4 * CHUNK) + 1
+    groups = n // (4 * CHUNK) + 1
     rows = rows.withColumn("group", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("mask", "key"), F.lit(groups))).otherwise(F.xxhash64("mask", "key", "left", "right"))).drop("chunks")
 
     def run(group: pa.Table) -> pa.Table:
@@ -169,10 +182,69 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), part.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of docs that are the first (by doc_id) of their group of near-duplicates, with docs' own columns.
+#: 64-bit words of a wide fingerprint; the share of near-duplicates of least similarity that the tables may miss.
+WIDE, MISSED = 8, 0.005
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of two texts of equal length and this Jaccard similarity differ, on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """WIDE * 64 majority bits: those of the shingle hashes, and of WIDE - 1 remixes of them."""
+    hashed, out = shingles(text, width), []
+    for k in range(WIDE):
+        mixed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), 8), axis=1)
+        out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(mixed)).tobytes())
+    return b"".join(out)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id: groups of documents whose shingles have a Jaccard similarity of about `least` or more.
+
+    The similarity is judged by WIDE * 64 fingerprint bits: texts of similarity s differ in differing(s) of them, so that
+    0.80 and 0.72 lie three standard deviations apart. Two fingerprints meet if they agree on all bits of one of several random
+    bit sets; there are as many sets as it takes to miss at most MISSED of pairs at `least`, and closer pairs hardly ever. A set's
+    size follows the number of fingerprints, so that buckets stay small. Buckets are compared as in `links`, with pivot
+    tables of wide reference fingerprints. The cases are those of near_duplicates.
+    """
+    limit = int(WIDE * 64 * differing(least) + math.sqrt(WIDE * 64 * differing(least)))
+
+    def prints(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([wide_fingerprint(t, width) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "fingerprint"])
+
+    found = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fingerprint binary"), "simhash-wide")
+    nodes = materialise(found.filter("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    n = nodes.count()
+    bits = max(13, (n - 1).bit_length() - 6 if n else 0)
+    tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - differing(least)) ** bits))
+    rng = np.random.default_rng(29)
+    chosen = np.stack([rng.permutation(WIDE * 64)[:bits] for _ in range(tables)])
+
+    def keys(batches):
+        for b in batches:
+            own = b.column("fingerprint").to_pylist()
+            bit = np.unpackbits(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), WIDE * 8), axis=1)
+            key = np.stack([bit[:, c].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) for c in chosen], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, tables), pa.int32()), pa.array(key.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["node", "fingerprint", "keys"])
+
+    keyed = nodes.select("node", "fingerprint").mapInArrow(keys, "node long, fingerprint binary, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("mask", "key"))
+    parts = components(_bucket_links(keyed, n * tables, limit, pivots(WIDE))).withColumnRenamed("node", "linked")
+    joined = nodes.join(parts, F.col("node") == F.col("linked"), "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    out = found.join(joined, "fingerprint", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs that are the first (by doc_id) of their group of similar documents, with docs' own columns.
 
     Rows without a doc_id stay, and so do repeated rows of a first one.
     """
-    others = near_duplicates(docs, width, distance).filter("doc_id <> component_id").select("doc_id").distinct()
+    others = similar_documents(docs, width, least).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
