@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.pieces import Vocabulary, load, pieces_of, spelled
 
+#: Characters, whole texts, whose pieces are merged together: bounds what a task holds.
+AT_ONCE = 16_000_000
+
 
 def _rank(keys: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     at = np.minimum(np.searchsorted(vocab.pairs, keys), len(vocab.pairs) - 1)
@@ -92,7 +95,17 @@ def merged(pieces: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarr
 
 
 def encoded(texts: list[str], vocab: Vocabulary) -> list[np.ndarray]:
-    """The tokens of each text. Equal pieces of the texts are merged once."""
+    """The tokens of each text, AT_ONCE characters at a time; equal pieces among those are merged once."""
+    out, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= AT_ONCE or i + 1 == len(texts):
+            out += _encoded(texts[start : i + 1], vocab)
+            start, size = i + 1, 0
+    return out
+
+
+def _encoded(texts: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     distinct, numbers, ends = pieces_of(texts, vocab.special)
     special = {i: vocab.special[p[1:].decode()] for i, p in enumerate(distinct) if p[:1] == b"\xff"} if any(s in t for s in vocab.special for t in texts) else {}
     tokens, lengths = merged([b"" if i in special else p for i, p in enumerate(distinct)], vocab)
