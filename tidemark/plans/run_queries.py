@@ -264,6 +264,15 @@ SQL: dict[str, str] = {
     "label_rates": f"WITH {LABELLED} SELECT 'last_type' AS group_name, last_type AS value, count(*) AS labelled, round(avg(will_miss::int), 6) AS rate FROM labelled WHERE will_miss IS NOT NULL GROUP BY ALL UNION ALL SELECT 'is_late', is_late::varchar, count(*), round(avg(will_miss::int), 6) FROM labelled WHERE will_miss IS NOT NULL GROUP BY ALL",
     "missing_rates": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NULL)::int), 6) AS missing_rate FROM panel" for c in ("amount", "purchase_amount", "last_type")),
     "flag_rates": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg({c}::int), 6) AS rate FROM panel" for c in ("is_missing", "is_outlier", "is_late")),
+    "profile_panel": f"""WITH {LABELLED}, per AS (SELECT entity_id, count(*) AS n FROM labelled GROUP BY 1),
+        volume AS (SELECT 'volume' AS section, 'panel' AS item, ['rows', 'entities', 'min_rows', 'max_rows'] AS m, [sum(n)::double, count(*)::double, min(n)::double, max(n)::double] AS v FROM per),
+        balance AS (SELECT 'label' AS section, 'will_miss' AS item, ['rate', 'missing'] AS m, [avg(will_miss::int), avg((will_miss IS NULL)::int)] AS v FROM labelled),
+        flags AS (SELECT 'flag' AS section, 'is_missing' AS item, ['rate'] AS m, [avg(is_missing::int)] AS v FROM labelled UNION ALL SELECT 'flag', 'is_late', ['rate'], [avg(is_late::int)] FROM labelled),
+        lost AS ({" UNION ALL ".join(f"SELECT 'missing' AS section, '{c}' AS item, ['missing_rate'] AS m, [avg(({c} IS NULL)::int)] AS v FROM labelled" for c in ("amount", "sessions"))}),
+        stats AS ({" UNION ALL ".join(f"SELECT 'numeric' AS section, '{c}' AS item, ['n', 'mean', 'std', 'min', 'p1', 'p50', 'p99', 'max'] AS m, [count({c})::double, avg({c}), stddev_samp({c}), min({c})::double, quantile_cont({c}, 0.01), quantile_cont({c}, 0.5), quantile_cont({c}, 0.99), max({c})::double] AS v FROM labelled" for c in ("amount", "sessions"))}),
+        groups AS (SELECT 'subgroup' AS section, 'last_type=' || coalesce(last_type, 'null') AS item, ['labelled', 'rate'] AS m, [count(*)::double, avg(will_miss::int)] AS v FROM labelled WHERE will_miss IS NOT NULL GROUP BY last_type),
+        every AS (SELECT * FROM volume UNION ALL SELECT * FROM balance UNION ALL SELECT * FROM flags UNION ALL SELECT * FROM lost UNION ALL SELECT * FROM stats UNION ALL SELECT * FROM groups)
+        SELECT section, item, measure, round(value, 4) AS value FROM (SELECT section, item, unnest(m) AS measure, unnest(v) AS value FROM every)""",
     "model_monitoring": f"WITH {SPLIT}, b AS (SELECT count(*) AS n, count(DISTINCT entity_id) AS entities, count(DISTINCT prediction_date) AS days, max(prediction_date) AS last, count(*) FILTER (active_days > (SELECT max(active_days) FROM split WHERE dataset_split = 'train')) AS over1, count(*) FILTER (outlier_days > (SELECT max(outlier_days) FROM split WHERE dataset_split = 'train')) AS over2 FROM split WHERE dataset_split = 'scoring'), "
     "c AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11])::int AS check_order, unnest(['row_count', 'entity_count', 'day_count', 'duplicate_keys', 'null_probability', 'probability_out_of_range', 'threshold_mismatch', 'source_reconciliation', 'latest_date', 'support_active_days', 'support_outlier_days']) AS check_name, "
     "unnest([n, entities, days, 0, 0, 0, 0, n, strftime(last, '%Y%m%d')::bigint, over1, over2])::double AS observed, unnest([1050, 150, 7, 0, 0, 0, 0, n, 20240130, 0, 0])::double AS expected FROM b), "
