@@ -145,6 +145,35 @@ def test_similar_documents_find_what_jaccard_finds(spark):
     assert got[180] == got[181] == got[182] == 180 and got[193] == got[194]
 
 
+def shingle_sets(texts):
+    found = [(t or "").encode().lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in found]
+
+
+def test_similar_documents_equal_exact_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 16)
+    texts, r = [], random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    for s in range(240):  # pairs of similarities from 0.70 to 0.85: the tail of one is replaced
+        base = [word() for _ in range(r.choice((60, 300)))]
+        n = len(base) - 4
+        cut = round(n * (1 - 2 * (0.7 + s % 16 / 100) / (1.7 + s % 16 / 100)))
+        texts += [" ".join(base), " ".join(base[: len(base) - cut] + [word() for _ in range(cut)])]
+    for n in [8, 9, 10] * 60:  # short ones: 5 / 6 or less, 4 / 5, and 5 / 7 for a changed last word
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[:-1] + ([word()] if n == 10 else []))]
+    line = [word() for _ in range(12)]
+    texts += [" ".join(line * 20 + [word() for _ in range(40)]) for _ in range(30)]  # one repeated line, other words
+    base = [word() for _ in range(200)]
+    texts += [" ".join(base[:i] + [word()] + base[i + 1 :]) for i in range(100)]  # a group of several chunks
+    sets = shingle_sets(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    want = joined(len(texts), links)
+    got = {d.doc_id: d.component_id for d in simhash.similar_documents(frame(spark, texts)).collect()}
+    wrong = [i for i, p in enumerate(want) if got[i] != p]
+    assert all(got[i] == i for i in wrong) and len(wrong) <= 0.01 * len(texts)  # nothing is linked below 0.8; the tables may miss some
+
+
 def test_masks_lose_no_pair():
     r = random.Random(4)
     for expected_rows in (10, 10**6, 10**9):

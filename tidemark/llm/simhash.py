@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -74,11 +76,18 @@ def pivots(words: int = 1, seed: int = 17) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, (PIVOTS, words), np.uint64)
 
 
-def roots_of(group: pa.Table, distance: int, references: np.ndarray) -> pa.Table:
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets without repeats; of two empty ones: 0."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def roots_of(group: pa.Table, distance: int, references: np.ndarray, least: float | None = None) -> pa.Table:
     """(u, v): each row that links inside its bucket, with the smallest node that its bucket connects it to.
 
     Rows are sorted by bucket and by distance to the first pivot; a row meets those after it until that distance
-    differs by more than `distance`. Pairs that any other pivot tells apart go; the rest are verified bit by bit.
+    differs by more than `distance`. Pairs that any other pivot tells apart go; the rest are verified bit by bit. With
+    `least`, a pair also needs that Jaccard similarity of its rows' shingles, counted exactly.
     """
     wide, node = references.shape[1], group["node"].to_numpy()
     prints = group["fingerprint"].to_numpy().view(np.uint64).reshape(-1, 1) if wide == 1 else np.frombuffer(b"".join(group["fingerprint"].to_pylist()), np.uint64).reshape(-1, wide)
@@ -86,6 +95,10 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray) -> pa.Table
     table = np.stack([np.bitwise_count(prints ^ r).sum(axis=1, dtype=np.int16) for r in references], axis=1)
     order = np.lexsort([table[:, 0], *columns])
     prints, node, table, chunk = prints[order], node[order], table[order], group["chunk"].to_numpy()[order]
+    if least is not None:
+        raw = group["shingles"].combine_chunks()
+        sets = [np.frombuffer(raw[i].as_buffer(), np.uint64) for i in order.tolist()]
+        size = np.array([len(x) for x in sets], np.int64)
     same = np.any([np.diff(c[order]) != 0 for c in columns], axis=0) if len(order) else np.zeros(0, bool)
     bucket, across = np.cumsum(np.r_[0, same])[: len(order)], (columns[2] != columns[3])[order]
     root, pairs, waiting = np.arange(len(order)), [], 0
@@ -117,6 +130,10 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray) -> pa.Table
             close = np.abs(table[i, p] - table[j, p]) <= distance
             i, j = i[close], j[close]
         linked = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int16) <= distance
+        if least is not None:
+            linked &= np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6
+            for at in np.flatnonzero(linked):
+                linked[at] = jaccard(sets[i[at]], sets[j[at]]) >= least
         if linked.any():
             pairs.append((i[linked], j[linked]))
             waiting += int(linked.sum())
@@ -143,20 +160,24 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
     return _bucket_links(keyed, n * len(masks), distance, pivots())
 
 
-def _bucket_links(keyed: DataFrame, n: int, distance: int, references: np.ndarray) -> DataFrame:
-    """The edges of all buckets (mask, key) of keyed: node, fingerprint, mask, key; about n rows."""
-    large = materialise(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select("mask", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "simhash-large")
+def _bucket_links(keyed: DataFrame, n: int, distance: int, references: np.ndarray, least: float | None = None, size: int | None = None) -> DataFrame:
+    """The edges of all buckets (mask, key) of keyed: node, fingerprint, mask, key; about n rows.
+
+    With `least`, keyed has `shingles` too (see roots_of). `size` stands for CHUNK.
+    """
+    size = size or CHUNK
+    large = materialise(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("mask", "key", F.ceil(F.col("n") / size).cast("int").alias("chunks")), "simhash-large")
     if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
     rows = keyed.join(large, ["mask", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("left"), F.greatest(F.col("chunk"), o).alias("right")))
     rows = rows.withColumn("pair", F.explode(pair)).select("*", "pair.left", "pair.right").drop("pair")
-    groups = n // (4 * CHUNK) + 1
+    groups = n // (4 * size) + 1
     rows = rows.withColumn("group", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("mask", "key"), F.lit(groups))).otherwise(F.xxhash64("mask", "key", "left", "right"))).drop("chunks")
 
     def run(group: pa.Table) -> pa.Table:
-        return roots_of(group, distance, references)
+        return roots_of(group, distance, references, least)
 
     return rows.groupBy("group").applyInArrow(run, "u long, v long")
 
@@ -184,16 +205,42 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 
 #: 64-bit words of a wide fingerprint; the share of near-duplicates of least similarity that the tables may miss.
 WIDE, MISSED = 8, 0.005
+#: Standard deviations above the mean of differing bits within which a pair is proposed.
+LOOSE = 4
+#: Shingle sets of one group of proposals that a task compares at once; larger groups are split.
+SETS = 512
+#: Sets up to this size are small: ties in their majorities make more bits differ than `differing` says.
+SMALL = 40
 
 
 def differing(similarity: float) -> float:
-    """The share of bits in which fingerprints of two texts of equal length and this Jaccard similarity differ, on average."""
+    """The share of bits in which fingerprints of two large sets of this Jaccard similarity differ, on average."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """WIDE * 64 majority bits: those of the shingle hashes, and of WIDE - 1 remixes of them."""
-    hashed, out = shingles(text, width), []
+@cache
+def most_differing(similarity: float) -> float:
+    """The largest share of bits in which fingerprints of two sets of at least this similarity differ, on average, small sets included."""
+    half = [np.array([math.comb(n, k) / 2**n for k in range(n + 1)]) for n in range(SMALL + 1)]
+    worst = differing(similarity)
+    for a in range(1, SMALL + 1):
+        for b in range(1, a + 1):
+            both = max(0, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9))
+            if both <= b:
+                k = np.arange(both + 1)
+                one, two = (np.array([half[n - both][np.arange(n - both + 1) + x > n / 2].sum() for x in k]) for n in (a, b))
+                worst = max(worst, float((half[both] * (one + two - 2 * one * two)).sum()))
+    return worst
+
+
+def distinct_shingles(text: str | None, width: int) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    return np.unique(shingles(text, width))
+
+
+def wide_fingerprint(hashed: np.ndarray) -> bytes:
+    """WIDE * 64 majority bits of a set of shingle hashes: those of WIDE remixes of them."""
+    out = []
     for k in range(WIDE):
         mixed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -203,26 +250,37 @@ def wide_fingerprint(text: str | None, width: int) -> bytes:
     return b"".join(out)
 
 
-def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id, component_id: groups of documents whose shingles have a Jaccard similarity of about `least` or more.
-
-    The similarity is judged by WIDE * 64 fingerprint bits: texts of similarity s differ in differing(s) of them, so that
-    0.80 and 0.72 lie three standard deviations apart. Two fingerprints meet if they agree on all bits of one of several random
-    bit sets; there are as many sets as it takes to miss at most MISSED of pairs at `least`, and closer pairs hardly ever. A set's
-    size follows the number of fingerprints, so that buckets stay small. Buckets are compared as in `links`, with pivot
-    tables of wide reference fingerprints. The cases are those of near_duplicates.
-    """
-    limit = int(WIDE * 64 * differing(least) + math.sqrt(WIDE * 64 * differing(least)))
+def _sets(docs: DataFrame, width: int, prints: bool) -> DataFrame:
+    """doc_id, digest of the set of shingles, and its wide fingerprint or the set itself, as `shingles`."""
+    name = "fingerprint" if prints else "shingles"
 
-    def prints(batches):
+    def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([wide_fingerprint(t, width) for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "fingerprint"])
+            every = [distinct_shingles(t, width) for t in b.column("text").to_pylist()]
+            digests = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in every], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), digests, pa.array([wide_fingerprint(x) if prints else x.tobytes() for x in every], pa.binary())], ["doc_id", "digest", name])
 
-    found = materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(prints, "doc_id long, fingerprint binary"), "simhash-wide")
-    nodes = materialise(found.filter("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, digest binary, {name} binary")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id: groups of documents whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    Fingerprints of WIDE * 64 bits only propose: two meet if they agree on all bits of one of several random bit sets,
+    as many as it takes to miss at most MISSED of pairs at `least`, and closer pairs hardly ever; those within LOOSE
+    standard deviations of the bits that such pairs differ in go on. A set's size follows the number of fingerprints, so
+    that buckets stay small. Then the documents that the proposals connect are compared by their shingles themselves,
+    and only pairs of exact similarity `least` or more link. Buckets and groups are compared as in `links`, with pivot
+    tables of wide reference fingerprints. Equal sets are one node. The cases are those of near_duplicates.
+    """
+    share = most_differing(least)
+    limit = int(WIDE * 64 * share + LOOSE * math.sqrt(WIDE * 64 * share * (1 - share)))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = materialise(_sets(rows, width, True), "simhash-wide")
+    nodes = materialise(found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     n = nodes.count()
     bits = max(13, (n - 1).bit_length() - 6 if n else 0)
-    tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - differing(least)) ** bits))
+    tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - share) ** bits))
     rng = np.random.default_rng(29)
     chosen = np.stack([rng.permutation(WIDE * 64)[:bits] for _ in range(tables)])
 
@@ -235,9 +293,16 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["node", "fingerprint", "keys"])
 
     keyed = nodes.select("node", "fingerprint").mapInArrow(keys, "node long, fingerprint binary, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("mask", "key"))
-    parts = components(_bucket_links(keyed, n * tables, limit, pivots(WIDE))).withColumnRenamed("node", "linked")
-    joined = nodes.join(parts, F.col("node") == F.col("linked"), "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    out = found.join(joined, "fingerprint", "left")
+    proposed = components(_bucket_links(keyed, n * tables, limit, pivots(WIDE))).withColumnRenamed("component", "key")
+    proposed = materialise(nodes.join(proposed, "node"), "simhash-proposed")
+    sets = _sets(rows.join(proposed.select("doc_id").distinct(), "doc_id", "left_semi"), width, False)
+    sets = sets.join(proposed.withColumnRenamed("doc_id", "own"), "digest").filter("doc_id = own").dropDuplicates(["node"])
+    judged = materialise(sets.select("node", "fingerprint", F.lit(0).alias("mask"), "key", "shingles"), "simhash-sets")
+    parts = components(_bucket_links(judged, judged.count(), limit, pivots(WIDE), least, SETS)).withColumnRenamed("node", "linked")
+    joined = nodes.join(parts, F.col("node") == F.col("linked"), "left").select("digest", "doc_id", F.coalesce("component", "node").alias("part"))
+    firsts = joined.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    joined = joined.join(firsts, "part").select("digest", "component_id")
+    out = found.join(joined, "digest", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
