@@ -355,6 +355,25 @@ def test_surrogates_stay_distinct(spark):
     assert len({r.text for r in got}) == len(people) and not set(people) & {r.text for r in got}
 
 
+def test_printed_names_stay_distinct_and_consistent(spark):
+    surnames = [f"{a}{b}son" for a in "BCDFGHJKLM" for b in ("a", "e", "i", "o")] + ["Berger", "Abel"]
+    russian = [f"{a}{b}нов" for a in "БВГДЗК" for b in "аеиоу"]
+    texts = [f"Mr. {n}" for n in surnames] + [f"Mr. Adam {n}" for n in surnames] + [f"Mrs. Clara {n}" for n in surnames] + [f"Господин {n}" for n in russian]
+    got = [r.text for r in pii.replace(frame(spark, texts)).orderBy("doc_id").collect()]
+    n = len(surnames)
+    alone = [t.split()[-1] for t in got[:n]]
+    assert len(set(alone)) == n and not set(alone) & set(surnames)
+    assert [t.split()[-1] for t in got[n : 2 * n]] == alone == [t.split()[-1] for t in got[2 * n : 3 * n]]
+    assert all(len(t.split()) == 3 and t.split()[1] not in ("Adam", "Clara") for t in got[n : 3 * n])
+    assert len(set(got[3 * n :])) == len(russian) and all(re.fullmatch("Господин [А-Яа-я-]+", t) for t in got[3 * n :])
+
+
+@pytest.mark.parametrize("secret", ["abcdefab" * 4, "AKIA" + "QWERTYUI" * 2, "ghp_" + "abcdefghi" * 4])
+def test_secrets_without_digits_are_found(spark, secret):
+    got = pii.replace(frame(spark, [f"the key is {secret} here"])).first()
+    assert got.n_entities == 1 and secret not in got.text
+
+
 def corpus(spark):
     texts = [words(60, i) for i in range(300)] + ["#@! " * 40, "ZZ$$ QQ%% " * 20, "", None]
     labels = spark.createDataFrame([(i, 1, 0, "x") for i in range(250)] + [(300, 0, 0, "x"), (None, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")

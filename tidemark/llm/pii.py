@@ -27,7 +27,8 @@ NAMES = {
 }
 _FEMALE = r"^(?:Mrs|Ms|Madame|Frau|Señora|Госпожа)"
 #: What a text must contain for any pattern to match; most texts don't.
-HINT = r"[0-9@]|Mr|Ms|Monsieur|Madame|Herr|Frau|Señor|Господин|Госпожа|sk[-_]"
+HINT = r"[0-9@]|Mr|Ms|Monsieur|Madame|Herr|Frau|Señor|Господин|Госпожа|sk[-_]|AKIA|gh[pousr]_|[a-f]{32}|[A-F]{32}"
+CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 #: Surrogates that a clash may ask for before the job gives up.
 ATTEMPTS = 12
 
@@ -49,19 +50,31 @@ def kind_of(value: Column, kinds: list[str]) -> Column:
 
 
 def identity(kind: Column, value: Column) -> Column:
-    """What is the same for all spellings of an entity: digits of numbers, lower case of addresses, the name without title."""
+    """What is the same for all spellings of an entity: digits of numbers, lower case of addresses, the name without title.
+
+    Persons are of kind "family" (title and surname) or "given" (full name); see family().
+    """
     digits = F.regexp_replace(value, "[^0-9]", "")
-    name = F.regexp_replace(value, r"^\S+ ", "")
     return (
         F.when(kind.isin("card", "phone", "ssn"), digits)
         .when(kind.isin("email"), F.lower(value))
         .when(kind == "secret", F.lower(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind == "person", F.concat(_pool(value), F.lit(":"), name))
+        .when(kind == "family", family(value))
+        .when(kind == "given", F.concat(_pool(value), F.lit(":"), _name(value)))
         .otherwise(value)
     )
 
 
+def family(value: Column) -> Column:
+    """The identity of a person's surname, shared by full names and titles with a surname; Cyrillic ones have a gender."""
+    return F.concat(F.regexp_replace(_pool(value), "^latin_.", "latin"), F.lit(":"), F.element_at(F.split(value, " "), -1))
+
+
+def _name(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\S+ ", "")
+
+
 def _pool(value: Column) -> Column:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     return F.concat(script, F.when(value.rlike(_FEMALE), F.lit("_f")).otherwise(F.lit("_m")))
@@ -117,41 +130,42 @@ def surrogate(kind: Column, same: Column, key: str, attempt: Column) -> Column:
     ip = F.concat_ws(".", *[((number(8 * a) % 254) + 1).cast("string") for a in range(4)])
     iban = F.concat(F.substring(same, 1, 2), _alike(F.substring(same, F.lit(3), F.length(same) - 2), digest))
     secret = F.when(same.rlike("^[0-9a-f]+$"), _alike(same, digest, "0123456789abcdef")).otherwise(F.concat(F.substring(same, 1, 4), _alike(F.substring(same, F.lit(5), F.length(same) - 4), digest)))
-    person = F.coalesce(*[F.when(same.startswith(f"{p}:"), F.concat_ws(" ", _choice(given, number(0)), _choice(family, number(16)))) for p, (given, family) in NAMES.items()])
-    person = F.when(attempt < 4, person).otherwise(F.concat(person, F.lit("-"), F.initcap(_alike(F.lit("aaaaa"), digest))))  # small pools run out
-    return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "person", person).otherwise(_alike(same, digest))
+    small = lambda p, name: F.when(attempt < 4, name).otherwise(F.concat(name, F.lit("-"), F.initcap(_alike(F.lit("aaaaa"), digest, CYRILLIC if "cyrillic" in p else None))))  # noqa: E731  small pools run out
+    given = F.coalesce(*[F.when(same.startswith(f"{p}:"), F.concat_ws(" ", small(p, _choice(names, number(0))), F.element_at(F.split(same, " "), -1))) for p, (names, _) in NAMES.items()])
+    surname = F.coalesce(*[F.when(same.startswith(f"{p}:"), small(p, _choice(NAMES[q][1], number(16)))) for p, q in (("latin", "latin_m"), ("cyrillic_f", "cyrillic_f"), ("cyrillic_m", "cyrillic_m"))])
+    return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "given", given).when(kind == "family", surname).otherwise(_alike(same, digest))
 
 
-def spelled(kind: Column, value: Column, sur: Column) -> Column:
-    """A surrogate in the spelling of one occurrence: its separators, its case, its title."""
+def spelled(kind: Column, value: Column, sur: Column, last: Column) -> Column:
+    """A surrogate in the spelling of one occurrence: its separators, its case, its title; last: a person's surname."""
     before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
     laid = _each(value, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(sur, before(i) + 1, F.lit(1))).otherwise(c))
     spaced = _each(value, lambda c, i: F.when(c == " ", c).otherwise(F.substring(sur, F.length(F.regexp_replace(F.substring(value, F.lit(1), i), " ", "")) + 1, F.lit(1))))
     cased = F.when(value == F.upper(value), F.upper(sur)).otherwise(sur)
-    name = F.when(value.rlike(r"^\S+ \S+ \S"), sur).otherwise(F.element_at(F.split(sur, " "), 2))
-    return F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("email", "secret"), cased).when(kind == "person", F.concat(F.regexp_extract(value, r"^(\S+ )", 1), name)).otherwise(sur)
+    name = F.when(kind == "given", F.concat_ws(" ", F.element_at(F.split(sur, " "), 1), last)).otherwise(last)
+    return F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("email", "secret"), cased).when(kind.isin("given", "family"), F.concat(F.regexp_extract(value, r"^(\S+ )", 1), name)).otherwise(sur)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, same, sur: a surrogate for every distinct identity (kind, same), no two alike and none a real one.
 
     All identities take their first surrogate; of those that clash the first by identity keeps it, and the others, and
-    any whose surrogate is some document's real entity, take the next. Rounds end when none clashes.
+    any whose surrogate is some document's real entity, take the next. Rounds end when none clashes. What is compared is
+    what is printed: surnames by themselves; given names together with the real surname, so that they
+    differ between persons of one surname, and from their own.
     """
     open_ = materialise(entities.select("kind", "same", F.lit(0).alias("attempt")).distinct(), "pii-open")
-    real = open_.select("kind", F.col("same").alias("sur"), F.lit(1).alias("is_real"))
+    bare = F.when(F.col("kind").isin("given", "family"), F.regexp_replace("same", "^[a-z_]+:", "")).otherwise(F.col("same"))
+    real = open_.select("kind", bare.alias("sur")).distinct()
     done = None
     for _ in range(ATTEMPTS):
-        tried = open_.withColumn("sur", surrogate(F.col("kind"), F.col("same"), key, F.col("attempt"))).join(real, ["kind", "sur"], "left")
+        tried = materialise(open_.withColumn("sur", surrogate(F.col("kind"), F.col("same"), key, F.col("attempt"))), "pii-round")
+        fine = tried.groupBy("kind", "sur").agg(F.min("same").alias("same")).join(real, ["kind", "sur"], "left_anti")
         if done is not None:
-            tried = tried.join(done.select("kind", "sur", F.lit(1).alias("is_used")), ["kind", "sur"], "left")
-        else:
-            tried = tried.withColumn("is_used", F.lit(None).cast("int"))
-        first = F.row_number().over(Window.partitionBy("kind", "sur").orderBy("same")) == 1
-        judged = materialise(tried.withColumn("fine", first & F.col("is_real").isNull() & F.col("is_used").isNull()), "pii-round")
-        settled = judged.filter("fine").select("kind", "same", "sur")
+            fine = fine.join(done, ["kind", "sur"], "left_anti")
+        settled = materialise(fine.select("kind", "same", "sur"), "pii-settled")
         done = settled if done is None else done.union(settled)
-        open_ = judged.filter("NOT fine").select("kind", "same", (F.col("attempt") + 1).alias("attempt"))
+        open_ = tried.join(settled, ["kind", "same"], "left_anti").select("kind", "same", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return done
     raise RuntimeError("surrogates still clash; the pools are too small for these data")
@@ -162,7 +176,8 @@ def replace(docs: DataFrame, key: str = "surrogate", kinds: tuple[str, ...] = tu
 
     Built from native functions alone. A text without entities is passed through; one with entities is split at them. Only
     the distinct spellings of entities are joined with their surrogates, so a frequent one is aggregated
-    before it is shuffled. Equal identities get equal surrogates in every document; different ones differ.
+    before it is shuffled. Equal identities get equal surrogates in every document; different ones differ. A full name
+    takes its surname's surrogate, so it still goes with a later title and surname.
 
     Null or empty text: unchanged, n_entities 0. Null ids and repeated rows: each row by itself. A column named
     n_entities in docs is replaced; other columns may have any name. Empty table: empty result.
@@ -174,8 +189,13 @@ def replace(docs: DataFrame, key: str = "surrogate", kinds: tuple[str, ...] = tu
     hits = materialise(hits.withColumn("at", F.monotonically_increasing_id()), "pii-hits")
     values = hits.select(F.explode("found").alias("value")).distinct()
     values = values.withColumn("kind", kind_of(F.col("value"), list(kinds)))
+    person = F.when(F.col("value").rlike(r"^\S+ \S+ \S"), F.lit("given")).otherwise(F.lit("family"))
+    values = values.withColumn("family", F.when(F.col("kind") == "person", family(F.col("value")))).withColumn("kind", F.when(F.col("kind") == "person", person).otherwise(F.col("kind")))
     values = materialise(values.withColumn("same", identity(F.col("kind"), F.col("value"))), "pii-values")
-    told = values.join(surrogates(values, key), ["kind", "same"]).select("value", spelled(F.col("kind"), F.col("value"), F.col("sur")).alias("put"))
+    entities = values.select("kind", "same").union(values.filter("family IS NOT NULL").select(F.lit("family"), "family"))
+    found = surrogates(entities, key)
+    last = found.filter("kind = 'family'").select(F.col("same").alias("family"), F.col("sur").alias("last"))
+    told = values.join(found, ["kind", "same"]).join(last, "family", "left").select("value", spelled(F.col("kind"), F.col("value"), F.col("sur"), F.col("last")).alias("put"))
     places = hits.select("at", F.posexplode("found").alias("place", "value")).join(told, "value")
     put = places.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "put"))), lambda p: p["put"]).alias("puts"))
     joined = hits.join(put, "at")
