@@ -234,6 +234,17 @@ def test_nearest_ties_and_few_rows(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_nearest_counts_repeated_ids_once(spark):
+    x = cloud(300, 6)
+    rows = [(i, v) for i, v in enumerate(x.tolist()) for _ in range(2 + 4 * (i % 3 == 0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(df, df.filter("vec_id % 10 = 0")).collect()
+    s = cosines(x)
+    np.fill_diagonal(s, -2)
+    best = {q: set(np.argsort(-s[q], kind="stable")[:5]) for q in range(0, 300, 10)}
+    assert len(got) == len({(r.query_id, r.vec_id) for r in got}) == 30 * 5 and sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * len(got)
+
+
 @pytest.mark.parametrize("chunk", [2048, 16])
 def test_vector_links_equal_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(vector_dedup, "CHUNK", chunk)

@@ -64,20 +64,30 @@ def _hashed(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFram
 
 
 def nearest_of(index: pa.Table, asked: pa.Table, k: int) -> pa.Table:
-    """Each query's k nearest in index by cosine, ties to the smaller vec_id; a row never finds its own id."""
+    """Each query's k nearest ids in index by cosine, ties to the smaller vec_id; a row never finds its own id.
+
+    An id with several rows counts once, by its nearest row.
+    """
     ids, queries = index["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
     x, q = _matrix(index["embedding"]), _matrix(asked["embedding"])
     x_norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     unit = x / x_norm[:, None]
+    by = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(ids[by]) != 0][: len(ids)])
+    repeated = len(starts) < len(ids)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 512):
         cos = (q[at : at + 512] / q_norm[at : at + 512, None]) @ unit.T
         cos[queries[at : at + 512, None] == ids[None, :]] = -np.inf
-        border = np.partition(cos, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+        top = np.maximum.reduceat(cos[:, by], starts, axis=1) if repeated else cos
+        border = np.partition(top, max(0, len(starts) - k), axis=1)[:, max(0, len(starts) - k)]
         for i in range(len(cos)):
             near = np.flatnonzero((cos[i] >= border[i] - 1e-9) & np.isfinite(cos[i]))
             exact = (x[near] * q[at + i]).sum(axis=1) / (x_norm[near] * q_norm[at + i])
-            best = np.lexsort((ids[near], -exact))[:k]
+            best = np.lexsort((ids[near], -exact))
+            if repeated:
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])]
+            best = best[:k]
             found.append((np.full(len(best), queries[at + i]), ids[near][best], exact[best]))
     parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
@@ -99,7 +109,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 24
     Every vector is stored under its nearest signed axis in each table; a query probes its `probes` nearest axes of
     each. Buckets are the groups of a cogroup; a bucket of more than CHUNK rows is dealt by vec_id into chunks of
     about that many, and its queries go to each, so copies of one vector never meet in one task. Each group returns
-    at most k rows a query, so what is shuffled afterwards is linear in the queries.
+    at most k ids a query, so what is shuffled afterwards is linear in the queries.
 
     Null, zero or non-finite vectors take no part, as queries or candidates; nor do rows without a vec_id. Vectors
     must have one length. A query that finds fewer than k in its buckets (tables of a few rows) is searched again
