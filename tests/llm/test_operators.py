@@ -401,6 +401,27 @@ def test_quality_rejects_what_reads_otherwise(spark):
     assert quality.classify(frame(spark, texts), labels.limit(0)).filter("keep").count() == len(texts)
 
 
+def test_quality_samples_every_language(spark):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, ["x"] * 1000, langs=["aa" if i % 25 == 3 else "bb" for i in range(1000)])
+    got = quality.trusted_ids(labels, 200, docs).collect()
+    small = [r for r in got if r.doc_id % 25 == 3]
+    assert len(got) == 200 and len(small) == 40 and sum(r.held_out for r in small) == 8
+    assert sum(r.held_out for r in got) == 40
+
+
+def test_quality_needs_held_out_documents_and_goes_by_row(spark):
+    texts, labels = corpus(spark)
+    few = [words(60, 9000 + i).upper() for i in range(12)]  # a language of few trusted documents: one or two are held out
+    ids = [*range(300), None, 260, 302, 303, *range(400, 412)]
+    labels = labels.select("doc_id", "quality", "toxic").union(spark.createDataFrame([(i, 1, 0) for i in range(400, 406)], "doc_id long, quality int, toxic int"))
+    docs = frame(spark, texts + few, ids=ids, langs=["en"] * len(texts) + ["yy"] * 12)
+    judged = quality.classify(docs, labels).filter("lang = 'yy'").collect()
+    assert len(judged) == 12 and all(r.keep and r.threshold is None for r in judged)
+    got = [(r.doc_id, r.text) for r in quality.kept(docs, labels).collect()]
+    assert (None, texts[300]) not in got and (260, texts[301]) not in got and (260, texts[260]) in got
+
+
 def test_quality_probabilities_are_kneser_ney(spark):
     texts, labels = corpus(spark)
     df = frame(spark, texts)
