@@ -138,6 +138,13 @@ def test_psi(spark):
     assert drift.unexpected_rates(moved, {"c": ["a"]}).first().unexpected_rate == 1.0
 
 
+def test_psi_sees_ties_at_the_ends(spark):
+    ref = spark.createDataFrame([(float(i % 2), float(i % 3)) for i in range(300)], "flag double, three double")
+    cur = spark.createDataFrame([(float(i % 10 == 0), float(i % 10 == 0) + 1) for i in range(300)], "flag double, three double")
+    assert {c: (e[0], e[-1]) for c, e in drift.psi_edges(ref, ["flag", "three"]).items()} == {"flag": (0.0, 1.0), "three": (0.0, 2.0)}
+    assert all(r.psi > 0.25 for r in drift.numeric_psi(ref, cur, ["flag", "three"]).collect())
+
+
 def test_severities():
     assert monitor.SEVERITIES == ("pass", "warning", "critical")
 

@@ -17,7 +17,7 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 
 
 def psi_edges(reference: DataFrame, columns: list[str], bins: int = 10, accuracy: int | None = None) -> dict[str, list[float]]:
-    """The inner bin edges of each column: its distinct reference quantiles k / bins, without the lowest and highest.
+    """The inner bin edges of each column: its distinct reference quantiles k / bins for k from 1 to bins - 1.
 
     One aggregate gives all columns' quantiles; with `accuracy` they are approximate, for very large references.
     A constant column gets one edge just above its value. A column that is missing throughout, or infinite, is an error.
@@ -31,7 +31,7 @@ def psi_edges(reference: DataFrame, columns: list[str], bins: int = 10, accuracy
         if row[c] is None or any(v is None or math.isinf(v) for v in row[c]):
             raise ValueError(f"{c}: the reference is missing throughout or holds infinities")
         distinct = sorted(set(row[c]))
-        edges[c] = [math.nextafter(distinct[0], math.inf)] if len(distinct) == 1 else [v for v in distinct[1:-1]]
+        edges[c] = [math.nextafter(distinct[0], math.inf)] if len(distinct) == 1 else sorted(set(row[c][1:-1]))
     return edges
 
 
