@@ -26,3 +26,18 @@ def test_plans_are_native(spark, name):
 @pytest.mark.parametrize("name", ["score_logistic", "explain_logistic", "monitoring_run", "run_id"])
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
+
+
+def test_boosted_trees_have_all_their_rounds(spark, monkeypatch):
+    from tidemark.operators import model
+    from tidemark.plans import run_queries
+
+    real, asked = model.fit_gbt, []
+
+    def fit(*args, **kwargs):
+        asked.append(kwargs.get("iterations", real.__defaults__[0]))
+        return None, {}
+
+    monkeypatch.setattr(model, "fit_gbt", fit)
+    run_queries._model(spark, SF, "gbt")
+    assert asked == [200]

@@ -91,7 +91,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
     rows = base.split_features(spark, sf_dir)
-    fit = model.fit_logistic if kind == "logistic" else lambda *a: model.fit_gbt(*a, iterations=20)
+    fit = model.fit_logistic if kind == "logistic" else model.fit_gbt
     return *fit(rows.filter("dataset_split = 'train'"), NUMERIC, ["latest_type"], "will_miss"), rows
 
 
