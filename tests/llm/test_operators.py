@@ -385,6 +385,73 @@ def test_secrets_without_digits_are_found(spark, secret):
     assert got.n_entities == 1 and secret not in got.text
 
 
+def test_real_names_are_never_handed_out(spark):
+    people = [f"Mr {g} {a}{b}" for g in pii.GIVEN["latin_m"] for a in pii.STEMS["latin"] for b in pii.ENDINGS["latin"][:1]]
+    got = [r.text for r in pii.replace(frame(spark, people)).collect()]
+    assert len(set(got)) == len(people) and not set(got) & set(people)
+
+
+def test_kinds_that_run_out_grow(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.io" for a in letters for b in letters]
+    got = [r.text for r in pii.replace(frame(spark, mails)).collect()]
+    assert len(set(got)) == len(mails) and not set(got) & set(mails) and all(t.endswith(".io") for t in got)
+    near = [f"192.168.{i // 250}.{i % 250 + 1}" for i in range(1500)]
+    got = [r.text for r in pii.replace(frame(spark, near)).collect()]
+    assert len(set(got)) == len(near) and not set(got) & set(near) and all(t.startswith(("192.168.", "10.")) for t in got)
+
+
+def test_spellings_of_one_entity_keep_together(spark):
+    texts = ["+1 212 555 0199", "212 555 0199", "(212) 555-0199", "+44 20 7946 0958", "020 7946 0958", "+44 (0)20 7946 0958", "+33 6 12 34 56 78", "06 12 34 56 78", "Mr John Smith", "Mr Smith", "Mrs. Smith", "Dr. van der Berg", "Mr Berg", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]
+    got = [r.text for r in pii.replace(frame(spark, texts)).orderBy("doc_id").collect()]
+    digits = [re.sub(r"\D", "", t) for t in got]
+    assert digits[0] == "1" + digits[1] == "1" + digits[2] and digits[3][2:] == digits[4][1:] == digits[5][3:] and digits[6] == "33" + digits[7][1:]
+    assert digits[3].startswith("44") and digits[4].startswith("0") and digits[5].startswith("440") and not set(got) & set(texts)
+    assert got[8].split()[-1] == got[9].split()[-1] == got[10].split()[-1] and got[11].startswith("Dr. van der ") and got[11].split()[-1] == got[12].split()[-1]
+    assert got[13].replace(" ", "") == got[14] and int("".join(str(int(c, 36)) for c in got[14][4:] + got[14][:4])) % 97 == 1
+
+
+PLANTED = {
+    "person": ["Mr Jean-Luc Picard", "Mr O'Brien", "Miss Ada Byron", "Господин Пётр Сидоров", "Frau Müller", "Mr. J. Smith"],
+    "phone": ["+44 20 7946 0958", "+49 30 123456", "06 12 34 56 78", "212-555-0187", "+442079460958"],
+    "email": ["почта@пример.рф", "j.doe+x@mail.example.org"],
+    "ip": ["8.8.4.4", "10.0.0.7"],
+    "ip6": ["fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"],
+    "iban": ["DE89 3702 0400 4400 5320 13"],
+    "card": ["4111-1111-1111-1111"],
+    "secret": ["AKIA" + "QWERTYUI" * 2, "ghp_" + "aB3" * 12, "0123456789ABCDEF" * 2],
+}
+
+
+def test_surrogates_equal_brute_force(spark):
+    """Known entities between known words: all else stays, and each takes the format, script and case of the original, alike in all texts."""
+    r, every = random.Random(8), [(k, v) for k, own in PLANTED.items() for v in own]
+    plans = [[every[i % len(every)] if i < 60 else r.choice(every) for _ in range(r.randrange(1, 6))] for i in range(120)]
+    filler = ["the sum of 12:34:56 was 1,234.50 on 2024-01-02;", "std::vector v4.0. (see 17);", "plain words and Mr, or Frau,"]
+    texts, shapes = [], []
+    for i, plan in enumerate(plans):
+        parts = [filler[(i + j) % 3] for j in range(len(plan) + 1)]
+        texts.append("".join(f"{p} {e[1]} " for p, e in zip(parts, plan, strict=False)) + parts[-1])
+        shapes.append(parts)
+    got, told = {x.doc_id: x for x in pii.replace(frame(spark, texts)).collect()}, {}
+    mask = lambda t: re.sub("[а-яё]", "я", re.sub("[А-ЯЁ]", "Я", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))))
+    for i, plan in enumerate(plans):
+        assert got[i].n_entities == len(plan), texts[i]
+        found = re.fullmatch(" (.+?) ".join(map(re.escape, shapes[i])), got[i].text)
+        assert found, got[i].text
+        for (kind, old), new in zip(plan, found.groups(), strict=True):
+            assert told.setdefault(old, new) == new and new != old
+            if kind in ("phone", "iban", "card", "email"):
+                assert mask(new) == mask(old)
+            elif kind == "secret":
+                assert len(new) == len(old) and new[:4] == old[:4] if old[0] in "Ag" else re.fullmatch("[0-9A-F]{32}", new)
+            elif kind == "person":
+                assert new.split()[0] == old.split()[0] and bool(re.search("[А-Я]", new.split()[-1])) == bool(re.search("[А-Я]", old.split()[-1])) and len(new.split()) == len(old.split())
+            elif kind == "ip":
+                assert re.fullmatch(r"(?:\d{1,3}\.){3}\d{1,3}", new) and new.startswith("10.") == old.startswith("10.")
+    assert len(set(told.values())) == len(every)
+
+
 def corpus(spark):
     texts = [words(60, i) for i in range(300)] + ["#@! " * 40, "ZZ$$ QQ%% " * 20, "", None]
     labels = spark.createDataFrame([(i, 1, 0, "x") for i in range(250)] + [(300, 0, 0, "x"), (None, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")

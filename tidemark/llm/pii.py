@@ -2,35 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: A capitalised name, its parts joined by hyphens or apostrophes, and particles before a surname.
+_PARTS = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
+_PARTICLES = "((?:(?:van|von|de|da|di|del|der|den|la|le|du|dos|ter) )*)"
+#: Titles before a name, by the gender they tell.
+TITLES = {
+    "f": ["Mrs", "Ms", "Miss", "Madame", "Mme", "Mlle", "Frau", "Señora", "Señorita", "Sra", "Signora", "Госпожа"],
+    "m": ["Mr", "Monsieur", "Herr", "Señor", "Sr", "Signor", "Господин"],
+    "n": ["Dr", "Prof", "Professor"],
+}
+_TITLE = f"(?:{'|'.join(t for own in TITLES.values() for t in own)})"
+_NAME = rf"(?!{_TITLE}(?!\p{{L}})){_PARTS}"
 #: What each kind looks like, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_][0-9A-Za-z_-]{20,})(?!\w)",
-    "person": r"\b(?:Mr|Mrs|Ms|Monsieur|Madame|Herr|Frau|Señor|Señora|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::(?:{_HEX}:){{0,5}}{_HEX})(?![\w:])",
+    "phone": r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?=(?:[ .()-]{0,3}\d){8})[1-9]\d{0,14}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{1,8}){0,5}"
+    r"|00[1-9]\d{0,2}(?=(?:[ .()-]{1,3}\d+){2})(?:[ .-]?\(\d{1,5}\))?(?:[ .-]\d{1,8}){1,4}|0\d(?:[ .]\d{2}){4}|\(?0\d{2,4}\)?[ -]\d{3,4} \d{3,4})(?![\w-])",
+    "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_][0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?!\w)",
+    "person": rf"(?<!\p{{L}}){_TITLE}\.? (?:(?:\p{{Lu}}\. ?)+|{_NAME} )?{_PARTICLES.replace('((', '(?:(')}{_NAME}",
+}
+#: What surrogate names are put together from, by script and gender. Cyrillic surnames take an ending by gender.
+GIVEN = {
+    "latin_f": ["Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Marta", "Nora", "Paula", "Rosa", "Sofia", "Teresa", "Vera"],
+    "latin_m": ["Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Lucas", "Martin", "Oscar", "Pablo", "Tomas"],
+    "latin_n": ["Alex", "Andrea", "Chris", "Dana", "Jean", "Kim", "Lou", "Noa", "Robin", "Sacha", "Sam", "Toni"],
+    "cyrillic_f": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Софья"],
+    "cyrillic_m": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Кирилл", "Олег", "Павел"],
+}
+STEMS = {
+    "latin": ["Abel", "Berg", "Cast", "Dur", "Ever", "Font", "Grau", "Holm", "Ivar", "Jans", "Kell", "Lor", "Mol", "Nov", "Ort", "Perr"],
+    "cyrillic": ["Бел", "Волк", "Гром", "Зим", "Ильин", "Кот", "Лос", "Орл", "Сокол", "Тихон"],
 }
-#: Given and family names that surrogates are put together from, by script and gender.
-NAMES = {
-    "latin_f": (["Anna", "Clara", "Elena", "Greta", "Irene", "Julia", "Laura", "Marta", "Nora", "Paula", "Rosa", "Sofia", "Teresa", "Vera"], ["Abel", "Berger", "Castel", "Duran", "Evers", "Fontan", "Grau", "Holm", "Iver", "Jansen", "Keller", "Lorenz", "Molina", "Noval", "Orten", "Perrin"]),
-    "latin_m": (["Adam", "Bruno", "Carlos", "David", "Emil", "Felix", "Hugo", "Ivan", "Jonas", "Lucas", "Martin", "Oscar", "Pablo", "Tomas"], ["Abel", "Berger", "Castel", "Duran", "Evers", "Fontan", "Grau", "Holm", "Iver", "Jansen", "Keller", "Lorenz", "Molina", "Noval", "Orten", "Perrin"]),
-    "cyrillic_f": (["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Софья"], ["Белова", "Волкова", "Громова", "Зимина", "Ильина", "Котова", "Лосева", "Орлова"]),
-    "cyrillic_m": (["Антон", "Борис", "Виктор", "Денис", "Иван", "Кирилл", "Олег", "Павел"], ["Белов", "Волков", "Громов", "Зимин", "Ильин", "Котов", "Лосев", "Орлов"]),
+ENDINGS = {"latin": ["ard", "ell", "en", "er", "ini", "mann", "sen", "ström"], "cyrillic_f": ["ова", "ина"], "cyrillic_m": ["ов", "ин"]}
+#: Letters of surrogates, by the script of the letter they stand for. Other scripts take Latin letters.
+LETTERS = {
+    r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя",
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてと",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテト",
+    r"\p{IsHan}": "山川木水火土日月人大小中上下田口目手足力",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하",
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
 }
-_FEMALE = r"^(?:Mrs|Ms|Madame|Frau|Señora|Госпожа)"
-#: What a text must contain for any pattern to match; most texts don't.
-HINT = r"[0-9@]|Mr|Ms|Monsieur|Madame|Herr|Frau|Señor|Господин|Госпожа|sk[-_]|AKIA|gh[pousr]_|[a-f]{32}|[A-F]{32}"
-CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
-#: Surrogates that a clash may ask for before the job gives up.
-ATTEMPTS = 12
+#: Country calling codes are one or two digits long where listed, three elsewhere.
+CALLING = r"^(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_PREFIX = r"^(AKIA|AIza|gh[pousr]_|sk[-_]|xox[abprs]-|eyJ|)"
 
 
 def any_pattern(kinds: list[str]) -> str:
@@ -45,39 +74,47 @@ def any_pattern(kinds: list[str]) -> str:
 
 def kind_of(value: Column, kinds: list[str]) -> Column:
     """The first kind whose whole pattern a found string is."""
-    bare = {k: PATTERNS[k] for k in kinds}
-    return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in bare.items()], F.lit("secret"))
+    return F.coalesce(*[F.when(value.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)) for k in kinds], F.lit(kinds[-1]))
 
 
 def identity(kind: Column, value: Column) -> Column:
     """What is the same for all spellings of an entity: digits of numbers, lower case of addresses, the name without title.
 
-    Persons are of kind "family" (title and surname) or "given" (full name); see family().
+    A phone number is its national digits, without country code and trunk zero. Persons are of kind "family" (title and surname)
+    or "given" (full name); see family().
     """
-    digits = F.regexp_replace(value, "[^0-9]", "")
+    dial = F.regexp_replace(F.regexp_replace(value, r"\(0\)", ""), "[^0-9+]", "")
     return (
-        F.when(kind.isin("card", "phone", "ssn"), digits)
-        .when(kind.isin("email"), F.lower(value))
-        .when(kind == "secret", F.lower(value))
+        F.when(kind.isin("card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(dial, CALLING, ""), r"^0|\+", ""))
+        .when(kind.isin("email", "ip6"), F.lower(value))
+        .when(kind == "secret", F.when(value.rlike("^[0-9A-F]+$"), F.lower(value)).otherwise(value))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "family", family(value))
-        .when(kind == "given", F.concat(_pool(value), F.lit(":"), _name(value)))
+        .when(kind == "given", F.concat(_pool(value), F.lit(":"), _first(value), F.lit(" "), _last(value)))
         .otherwise(value)
     )
 
 
 def family(value: Column) -> Column:
     """The identity of a person's surname, shared by full names and titles with a surname; Cyrillic ones have a gender."""
-    return F.concat(F.regexp_replace(_pool(value), "^latin_.", "latin"), F.lit(":"), F.element_at(F.split(value, " "), -1))
+    return F.concat(F.regexp_replace(_pool(value), "^latin_.", "latin"), F.lit(":"), _last(value))
+
+
+def _last(value: Column) -> Column:
+    return F.element_at(F.split(value, r"[ .]"), -1)
 
 
-def _name(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\S+ ", "")
+def _first(value: Column) -> Column:
+    """What stands between the title and the surname, without particles; empty where nothing does."""
+    return F.trim(F.regexp_extract(value, rf"^\S+ (.*?){_PARTICLES}[^ .]+$", 1))
 
 
 def _pool(value: Column) -> Column:
     script = F.when(value.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    return F.concat(script, F.when(value.rlike(_FEMALE), F.lit("_f")).otherwise(F.lit("_m")))
+    title = F.regexp_extract(value, r"^(\p{L}+)", 1)
+    gender = F.when(title.isin(*TITLES["f"]), F.lit("_f")).when((script == "latin") & title.isin(*TITLES["n"]), F.lit("_n")).otherwise(F.lit("_m"))
+    return F.concat(script, gender)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -87,27 +124,31 @@ def _byte(digest: Column, i: Column) -> Column:
 
 def _each(value: Column, pick) -> Column:
     """The string whose characters are pick(character, place)."""
-    places = F.sequence(F.lit(0), F.length(value) - 1)
+    places = F.when(F.length(value) > 0, F.sequence(F.lit(0), F.length(value) - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_join(F.transform(places, lambda i: pick(F.substring(value, i + 1, F.lit(1)), i)), "")
 
 
-def _choice(items: list[str], number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in items]), (number % len(items) + 1).cast("int"))
+def _at(items: str | list[str], number: Column) -> Column:
+    """The item, or letter of a string, that a number chooses."""
+    place = (number % len(items) + 1).cast("int")
+    return F.substring(F.lit(items), place, F.lit(1)) if isinstance(items, str) else F.element_at(F.array(*map(F.lit, items)), place)
 
 
-def _alike(value: Column, digest: Column, alphabet: str | None = None) -> Column:
-    """Digits for digits and letters for letters of the same case; other characters stay."""
+def _alike(value: Column, digest: Column) -> Column:
+    """Digits for digits and letters for letters of the same script and case; other characters stay."""
 
     def pick(c: Column, i: Column) -> Column:
         n = _byte(digest, i)
-        lower, upper = F.char(F.lit(97) + n % 26), F.char(F.lit(65) + n % 26)
-        if alphabet:
-            lower = F.substring(F.lit(alphabet), (n % len(alphabet) + 1).cast("int"), F.lit(1))
-        return F.when(c.rlike("[0-9]"), (n % 10).cast("string") if not alphabet else lower).when(c.rlike(r"\p{Lu}"), upper).when(c.rlike(r"\p{L}"), lower).otherwise(c)
+        letter = F.coalesce(*[F.when(c.rlike(script), _at(letters, n)) for script, letters in LETTERS.items()])
+        return F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(letter.isNotNull(), letter).otherwise(c)
 
     return _each(value, pick)
 
 
+def _hex(value: Column, digest: Column) -> Column:
+    return _each(value, lambda c, i: F.when(c.rlike("[0-9a-f]"), _at("0123456789abcdef", _byte(digest, i))).otherwise(c))
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit of a card number without its last digit."""
     doubled = lambda i: F.substring(digits, i + 1, F.lit(1)).cast("int") * F.when((F.length(digits) - i) % 2 == 1, F.lit(2)).otherwise(F.lit(1))
@@ -115,51 +156,99 @@ def _luhn(digits: Column) -> Column:
     return ((F.lit(10) - total % 10) % 10).cast("string")
 
 
+def _iban_check(country: Column, body: Column) -> Column:
+    """The two check digits that make country + digits + body an IBAN: 98 minus the rearranged number modulo 97, letters as 10 to 35."""
+    turned = F.concat(body, country, F.lit("00"))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(100)) + value(c)) % 97))
+    return F.lpad((F.lit(98) - rest).cast("string"), 2, "0")
+
+
+def _name_of(same: Column, digest: Column, attempt: Column) -> tuple[Column, Column]:
+    """Surrogates for a given name (with the real surname, which it must stay apart from) and for a surname.
+
+    Initials give initials. A name that clashed twice gets one more part of letters, longer with each attempt.
+    """
+    number = lambda a: _byte(digest, F.lit(a))
+    script = F.when(same.startswith("cyrillic"), F.lit("бгдежзиклмнопрст")).otherwise(F.lit("abcdefghijklmnop"))
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.substring(script, (_byte(digest, i + 20) % 16 + 1).cast("int"), F.lit(1))), "")
+    longer = lambda name: F.when(attempt < 2, name).otherwise(F.concat(name, F.lit("-"), F.initcap(letters)))
+    whole = F.coalesce(*[F.when(same.startswith(f"{p}:"), _at(names, number(0))) for p, names in GIVEN.items()])
+    initials = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 2).cast("int")), lambda i: F.concat(F.upper(F.substring(script, (_byte(digest, i + 20) % 16 + 1).cast("int"), F.lit(1))), F.lit("."))), " ")
+    first = F.regexp_extract(same, "^[a-z_]+:(.*) [^ ]+$", 1)
+    given = F.concat_ws(" ", F.when(first.rlike(r"^(?:\p{Lu}\. ?)+$"), initials).otherwise(longer(whole)), F.element_at(F.split(same, " "), -1))
+    pools = (("latin", "latin", "latin"), ("cyrillic_f", "cyrillic", "cyrillic_f"), ("cyrillic_m", "cyrillic", "cyrillic_m"))
+    surname = F.coalesce(*[F.when(same.startswith(f"{p}:"), longer(F.concat(_at(STEMS[s], number(8)), _at(ENDINGS[e], number(16))))) for p, s, e in pools])
+    return given, surname
+
+
 def surrogate(kind: Column, same: Column, key: str, attempt: Column) -> Column:
-    """The keyed surrogate of an identity: same kind, same length and make-up, another value with each attempt."""
+    """The keyed surrogate of an identity: same kind and make-up, another value with each attempt.
+
+    Values get longer where attempts fail, so that no kind runs out: addresses by a letter every second attempt, numbers and secrets
+    by a character from the eighth on. Addresses of private networks stay private; from the eighth attempt on they are
+    unique local IPv6 ones.
+    """
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, same, attempt.cast("string")), 512)
     number = lambda a: _byte(digest, F.lit(a))
-    body = _alike(F.substring(same, F.lit(2), F.length(same) - 2), digest)
-    card = F.concat(F.substring(same, 1, 1), body)
+    more = F.when(attempt < 8, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(8), attempt), lambda i: (_byte(digest, i) % 10).cast("string")), ""))
+    card = F.concat(F.substring(same, 1, 1), _alike(F.substring(same, F.lit(2), F.length(same) - 2), digest))
     valid = _luhn(F.substring(same, F.lit(1), F.length(same) - 1)) == F.substring(same, F.length(same), F.lit(1))
     card = F.concat(card, F.when(valid, _luhn(card)).otherwise((number(40) % 10).cast("string")))
-    code = F.substring(same, F.lit(1), F.length(same) - 10)  # a country code stays
-    phone = F.concat(code, (number(30) % 8 + 2).cast("string"), _alike(F.substring(same, F.length(same) - 8, F.lit(9)), digest))
+    phone = F.concat((number(30) % 8 + 2).cast("string"), _alike(F.substring(same, F.lit(2), F.length(same) - 1), digest))
     at = F.regexp_extract(same, r"^(.*)(\.[^.]+)$", 1)
-    email = F.concat(_alike(at, digest), F.regexp_extract(same, r"(\.[^.]+)$", 1))
-    ip = F.concat_ws(".", *[((number(8 * a) % 254) + 1).cast("string") for a in range(4)])
-    iban = F.concat(F.substring(same, 1, 2), _alike(F.substring(same, F.lit(3), F.length(same) - 2), digest))
-    secret = F.when(same.rlike("^[0-9a-f]+$"), _alike(same, digest, "0123456789abcdef")).otherwise(F.concat(F.substring(same, 1, 4), _alike(F.substring(same, F.lit(5), F.length(same) - 4), digest)))
-    small = lambda p, name: F.when(attempt < 4, name).otherwise(F.concat(name, F.lit("-"), F.initcap(_alike(F.lit("aaaaa"), digest, CYRILLIC if "cyrillic" in p else None))))  # noqa: E731  small pools run out
-    given = F.coalesce(*[F.when(same.startswith(f"{p}:"), F.concat_ws(" ", small(p, _choice(names, number(0))), F.element_at(F.split(same, " "), -1))) for p, (names, _) in NAMES.items()])
-    surname = F.coalesce(*[F.when(same.startswith(f"{p}:"), small(p, _choice(NAMES[q][1], number(16)))) for p, q in (("latin", "latin_m"), ("cyrillic_f", "cyrillic_f"), ("cyrillic_m", "cyrillic_m"))])
-    return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "given", given).when(kind == "family", surname).otherwise(_alike(same, digest))
-
-
-def spelled(kind: Column, value: Column, sur: Column, last: Column) -> Column:
-    """A surrogate in the spelling of one occurrence: its separators, its case, its title; last: a person's surname."""
-    before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
-    laid = _each(value, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(sur, before(i) + 1, F.lit(1))).otherwise(c))
-    spaced = _each(value, lambda c, i: F.when(c == " ", c).otherwise(F.substring(sur, F.length(F.regexp_replace(F.substring(value, F.lit(1), i), " ", "")) + 1, F.lit(1))))
+    grown = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((attempt + 1) / 2).cast("int")), lambda i: F.when(i > 0, _at(LETTERS[r"\p{L}"], _byte(digest, i + 40))).otherwise(F.lit(""))), "")
+    email = F.concat(grown, _alike(at, digest), F.regexp_extract(same, r"(\.[^.]+)$", 1))
+    byte = lambda a: (number(8 * a) % 254 + 1).cast("string")
+    private = F.when(same.startswith("10.") | (same.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\.") & (attempt > 3)), F.concat_ws(".", F.lit("10"), byte(1), byte(2), byte(3)))
+    private = F.coalesce(private, F.when(same.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), byte(2), byte(3))), F.when(same.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."), F.concat_ws(".", F.lit("172"), (number(8) % 16 + 16).cast("string"), byte(2), byte(3))))
+    public = F.concat_ws(".", (number(0) % 59 + 110).cast("string"), byte(1), byte(2), byte(3))  # 110 to 168: none is private, local or multicast
+    local = F.concat(F.lit("fd"), _hex(F.lit("00:0000:0000:0000:0000:0000:0000:0000"), digest))
+    ip = F.when(attempt < 8, F.coalesce(private, public)).otherwise(local)
+    ip6 = F.concat(F.substring(same, 1, 2), _hex(F.substring(same, F.lit(3), F.length(same) - 2), digest), more)
+    body = F.concat(_alike(F.substring(same, F.lit(5), F.length(same) - 4), digest), more)
+    iban = F.concat(F.substring(same, 1, 2), _iban_check(F.substring(same, 1, 2), body), body)
+    secret = F.when(same.rlike("^[0-9a-f]+$"), _hex(same, digest)).otherwise(F.concat(F.regexp_extract(same, _PREFIX, 1), _alike(F.regexp_replace(same, _PREFIX, ""), digest)))
+    given, surname = _name_of(same, digest, attempt)
+    return (
+        F.when(kind == "card", F.concat(card, more)).when(kind == "phone", F.concat(phone, more)).when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "iban", iban)
+        .when(kind == "secret", F.concat(secret, more)).when(kind == "given", given).when(kind == "family", surname).otherwise(F.concat(_alike(same, digest), more))
+    )
+
+
+def spelled(kind: Column, value: Column, same: Column, sur: Column, last: Column) -> Column:
+    """A surrogate in the spelling of one occurrence: its separators, its case, its title and country code; last: a person's surname."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    new = F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(same)), sur)
+    before = lambda i, odd: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), odd, ""))
+    laid = _each(value, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, before(i, "[^0-9]") + 1, F.lit(1))).otherwise(c))
+    laid = F.concat(laid, F.substring(new, F.length(digits) + 1, F.length(new)))
+    spaced = F.concat(_each(value, lambda c, i: F.when(c == " ", c).otherwise(F.substring(sur, before(i, " ") + 1, F.lit(1)))), F.substring(sur, F.length(same) + 1, F.length(sur)))
     cased = F.when(value == F.upper(value), F.upper(sur)).otherwise(sur)
-    name = F.when(kind == "given", F.concat_ws(" ", F.element_at(F.split(sur, " "), 1), last)).otherwise(last)
-    return F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("email", "secret"), cased).when(kind.isin("given", "family"), F.concat(F.regexp_extract(value, r"^(\S+ )", 1), name)).otherwise(sur)
+    title, particles = F.regexp_extract(value, r"^(\S+ )", 1), F.regexp_extract(value, rf"(?<= ){_PARTICLES}[^ .]+$", 1)
+    name = F.concat(F.when(kind == "given", F.concat(F.regexp_extract(sur, "^(.*) [^ ]+$", 1), F.lit(" "))).otherwise(F.lit("")), particles, last)
+    return (
+        F.when(kind.isin("card", "phone", "ssn"), laid).when(kind == "iban", spaced).when(kind.isin("email", "ip6") | ((kind == "secret") & value.rlike("^[0-9A-F]+$")), cased)
+        .when(kind.isin("given", "family"), F.concat(title, name)).otherwise(sur)
+    )
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, same, sur: a surrogate for every distinct identity (kind, same), no two alike and none a real one.
 
     All identities take their first surrogate; of those that clash the first by identity keeps it, and the others, and
-    any whose surrogate is some document's real entity, take the next. Rounds end when none clashes. What is compared is
-    what is printed: surnames by themselves; given names together with the real surname, so that they
-    differ between persons of one surname, and from their own.
+    any whose surrogate is some document's real entity, take the next. Rounds end when none clashes; surrogates grow, so they end.
+    What is compared is what is printed: surnames by themselves; given names together with the real surname, so that they
+    differ between persons of one surname, and from their own. Each round's work is dealt by a hash of the identity.
     """
+    spark = entities.sparkSession
+    deal = lambda df: df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "same")
     open_ = materialise(entities.select("kind", "same", F.lit(0).alias("attempt")).distinct(), "pii-open")
     bare = F.when(F.col("kind").isin("given", "family"), F.regexp_replace("same", "^[a-z_]+:", "")).otherwise(F.col("same"))
     real = open_.select("kind", bare.alias("sur")).distinct()
     done = None
-    for _ in range(ATTEMPTS):
-        tried = materialise(open_.withColumn("sur", surrogate(F.col("kind"), F.col("same"), key, F.col("attempt"))), "pii-round")
+    while True:
+        tried = materialise(deal(open_).withColumn("sur", surrogate(F.col("kind"), F.col("same"), key, F.col("attempt"))), "pii-round")
         fine = tried.groupBy("kind", "sur").agg(F.min("same").alias("same")).join(real, ["kind", "sur"], "left_anti")
         if done is not None:
             fine = fine.join(done, ["kind", "sur"], "left_anti")
@@ -168,38 +257,37 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         open_ = tried.join(settled, ["kind", "same"], "left_anti").select("kind", "same", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return done
-    raise RuntimeError("surrogates still clash; the pools are too small for these data")
 
 
 def replace(docs: DataFrame, key: str = "surrogate", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """docs with every found entity in `text` replaced by its surrogate, and n_entities; all columns and rows stay.
 
-    Built from native functions alone. A text without entities is passed through; one with entities is split at them. Only
+    Built from native functions alone. Every text is matched once; one without entities is passed through, one with entities is split at them. Only
     the distinct spellings of entities are joined with their surrogates, so a frequent one is aggregated
     before it is shuffled. Equal identities get equal surrogates in every document; different ones differ. A full name
-    takes its surname's surrogate, so it still goes with a later title and surname.
+    takes its surname's surrogate, so it still goes with a later title and surname. Persons are found after a title only.
 
     Null or empty text: unchanged, n_entities 0. Null ids and repeated rows: each row by itself. A column named
     n_entities in docs is replaced; other columns may have any name. Empty table: empty result.
     """
     names, pattern = [c for c in docs.columns if c != "n_entities"], any_pattern(list(kinds))
-    has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(pattern), F.lit(False))
+    found = F.coalesce(F.regexp_extract_all("text", F.lit(pattern), 0), F.array().cast("array<string>"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    hits = packed.filter(has).select("row", F.split("text", pattern, -1).alias("rest"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("found"))
-    hits = materialise(hits.withColumn("at", F.monotonically_increasing_id()), "pii-hits")
-    values = hits.select(F.explode("found").alias("value")).distinct()
-    values = values.withColumn("kind", kind_of(F.col("value"), list(kinds)))
-    person = F.when(F.col("value").rlike(r"^\S+ \S+ \S"), F.lit("given")).otherwise(F.lit("family"))
+    rows = materialise(packed.select("row", found.alias("found")).withColumns({"n": F.size("found"), "at": F.monotonically_increasing_id()}), "pii-rows")
+    hits = rows.filter("n > 0")
+    values = hits.select(F.explode("found").alias("value")).distinct().withColumn("kind", kind_of(F.col("value"), list(kinds)))
+    person = F.when(_first(F.col("value")) != "", F.lit("given")).otherwise(F.lit("family"))
     values = values.withColumn("family", F.when(F.col("kind") == "person", family(F.col("value")))).withColumn("kind", F.when(F.col("kind") == "person", person).otherwise(F.col("kind")))
     values = materialise(values.withColumn("same", identity(F.col("kind"), F.col("value"))), "pii-values")
     entities = values.select("kind", "same").union(values.filter("family IS NOT NULL").select(F.lit("family"), "family"))
-    found = surrogates(entities, key)
-    last = found.filter("kind = 'family'").select(F.col("same").alias("family"), F.col("sur").alias("last"))
-    told = values.join(found, ["kind", "same"]).join(last, "family", "left").select("value", spelled(F.col("kind"), F.col("value"), F.col("sur"), F.col("last")).alias("put"))
+    settled = surrogates(entities, key)
+    last = settled.filter("kind = 'family'").select(F.col("same").alias("family"), F.col("sur").alias("last"))
+    dealt = values.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "same")
+    told = dealt.join(settled, ["kind", "same"]).join(last, "family", "left").select("value", spelled(F.col("kind"), F.col("value"), F.col("same"), F.col("sur"), F.col("last")).alias("put"))
+    told = materialise(told, "pii-told")
     places = hits.select("at", F.posexplode("found").alias("place", "value")).join(told, "value")
     put = places.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "put"))), lambda p: p["put"]).alias("puts"))
-    joined = hits.join(put, "at")
-    text = F.array_join(F.zip_with("rest", "puts", lambda r, p: F.concat(r, F.coalesce(p, F.lit("")))), "")
+    text = F.array_join(F.zip_with(F.split("row.text", pattern, -1), "puts", lambda r, p: F.concat(r, F.coalesce(p, F.lit("")))), "")
     columns = lambda t: [t.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
-    plain = packed.filter(~has).select(*columns(F.col("text")), F.lit(0).alias("n_entities"))
-    return plain.union(joined.select(*columns(text), F.size("found").alias("n_entities")))
+    plain = rows.filter("n = 0").select(*columns(F.col("row.text")), F.lit(0).alias("n_entities"))
+    return plain.union(hits.join(put, "at").select(*columns(text), F.col("n").alias("n_entities")))
