@@ -341,6 +341,32 @@ def test_archives_repeat_and_roll(spark, monkeypatch):
     assert sums[0] == sums[1] and len(sums[0]) > 3
 
 
+@pytest.mark.parametrize("ids", ["distant", "random", "alike", "one id"])
+def test_shards_follow_bytes_not_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(warc, "SHARD", 100_000)
+    r = random.Random(4)
+    pages = {
+        "distant": [(i, "u", f"{i} " + "x" * 1500) for i in range(800)] + [(1 << 62, "u", "far")],
+        "random": [(r.randrange(-(1 << 63), 1 << 63), "u", f"{i} " + "x" * 1500) for i in range(800)],
+        "alike": [(None, "u", "y" * 1500)] * 800 + [(i, "u", "short") for i in range(9)],
+        "one id": [(7, f"http://é\n{i}", "z" * 1500) for i in range(800)] + [(6, "first", "z" * 1500)],
+    }[ids]
+    to = scratch(spark, "test-warc")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string"), to)
+    listed = spark.read.parquet(f"{to}/manifest").collect()
+    by_shard = Counter()
+    for m in listed:
+        by_shard[m.file.split("-")[0]] += m.records
+    assert max(by_shard.values()) * 2012 <= 2 * 100_000 and len(by_shard) >= 13
+    got = warc.read(spark, to).collect()
+    assert Counter((g.page_id, g.url, g.payload_digest) for g in got) == Counter((i, u, hashlib.sha256(h.encode()).hexdigest()) for i, u, h in pages)
+    assert [g.record_type for g in got].count("revisit") == (800 if ids == "one id" else 0) and {g.refers_to for g in got} - {None} == ({6} if ids == "one id" else set())
+    raw = [x.content for x in spark.read.format("binaryFile").load(f"{to}/files").collect()]
+    names = [h["WARC-Record-ID"] for x in raw for h, _, _ in warc.records(bytes(x))]
+    assert len(names) == len(set(names)) == len(pages)
+    assert {h["WARC-Refers-To"] for x in raw for h, _, _ in warc.records(bytes(x)) if "WARC-Refers-To" in h} <= set(names)
+
+
 def test_surrogates(spark):
     texts = [*ODD, "mail a.b@c.example.com or A.B@C.EXAMPLE.COM, call +1 (212) 555-0001 or 212-555-0002", "ip 10.1.2.3, card 4111111111111111, 4111 1111 1111 1111 and ssn 123-45-6789", 'token = "0123456789abcdef0123456789abcdef01234567" a.b@c.example.com', "Mr. John Smith, Mrs. Jane Smith; v4.0. in 2024 costs 1,234.50", "Господин Иванов 10.1.2.3"]
     df = frame(spark, texts)
