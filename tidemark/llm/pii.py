@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?=(?:[ .()-]{0,3}\d){8})[1-9]\d{0,14}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{1,8}){0,5}"
     r"|00[1-9]\d{0,2}(?=(?:[ .()-]{1,3}\d+){2})(?:[ .-]?\(\d{1,5}\))?(?:[ .-]\d{1,8}){1,4}|0\d(?:[ .]\d{2}){4}|\(?0\d{2,4}\)?[ -]\d{3,4} \d{3,4})(?![\w-])",
     "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_][0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?!\w)",
-    "person": rf"(?<!\p{{L}}){_TITLE}\.? (?:(?:\p{{Lu}}\. ?)+|{_NAME} )?{_PARTICLES.replace('((', '(?:(')}{_NAME}",
+    "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? (?:(?:\p{{Lu}}\. ?)+|{_NAME} )?{_PARTICLES.replace('((', '(?:(')}{_NAME}",
 }
 #: What surrogate names are put together from, by script and gender. Cyrillic surnames take an ending by gender.
 GIVEN = {
@@ -59,6 +59,8 @@ LETTERS = {
 }
 #: Country calling codes are one or two digits long where listed, three elsewhere.
 CALLING = r"^(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Where an entity of any kind may start: a cheap test before the patterns, each of which asks for no less.
+START = r"(?<![A-Za-z0-9])(?=[\p{L}\p{N}(+._%-])"
 _PREFIX = r"^(AKIA|AIza|gh[pousr]_|sk[-_]|xox[abprs]-|eyJ|)"
 
 
@@ -69,7 +71,7 @@ def any_pattern(kinds: list[str]) -> str:
         one = PATTERNS[k].replace("\\1", f"\\{groups + 1}")
         groups += one.count("([")
         out.append(f"(?:{one})")
-    return "|".join(out)
+    return f"{START}(?:{'|'.join(out)})"
 
 
 def kind_of(value: Column, kinds: list[str]) -> Column:
@@ -182,14 +184,13 @@ def _name_of(same: Column, digest: Column, attempt: Column) -> tuple[Column, Col
     return given, surname
 
 
-def surrogate(kind: Column, same: Column, key: str, attempt: Column) -> Column:
-    """The keyed surrogate of an identity: same kind and make-up, another value with each attempt.
+def surrogate(kind: Column, same: Column, digest: Column, attempt: Column) -> Column:
+    """The surrogate of an identity: same kind and make-up; digest: hex of 64 bytes, another one with each attempt.
 
     Values get longer where attempts fail, so that no kind runs out: addresses by a letter every second attempt, numbers and secrets
     by a character from the eighth on. Addresses of private networks stay private; from the eighth attempt on they are
     unique local IPv6 ones.
     """
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, same, attempt.cast("string")), 512)
     number = lambda a: _byte(digest, F.lit(a))
     more = F.when(attempt < 8, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(8), attempt), lambda i: (_byte(digest, i) % 10).cast("string")), ""))
     card = F.concat(F.substring(same, 1, 1), _alike(F.substring(same, F.lit(2), F.length(same) - 2), digest))
@@ -248,7 +249,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = open_.select("kind", bare.alias("sur")).distinct()
     done = None
     while True:
-        tried = materialise(deal(open_).withColumn("sur", surrogate(F.col("kind"), F.col("same"), key, F.col("attempt"))), "pii-round")
+        keyed = deal(open_).withColumn("digest", F.sha2(F.concat_ws("|", F.lit(key), "kind", "same", F.col("attempt").cast("string")), 512))
+        tried = materialise(keyed.select("kind", "same", "attempt", surrogate(F.col("kind"), F.col("same"), F.col("digest"), F.col("attempt")).alias("sur")), "pii-round")
         fine = tried.groupBy("kind", "sur").agg(F.min("same").alias("same")).join(real, ["kind", "sur"], "left_anti")
         if done is not None:
             fine = fine.join(done, ["kind", "sur"], "left_anti")
