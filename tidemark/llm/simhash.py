@@ -13,15 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, spread_join
 from tidemark.llm.components import components
 
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared chunk against chunk.
 CHUNK = 4096
 #: Oversized buckets that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
-#: Reference fingerprints whose distances are precomputed.
-PIVOTS = 16
+#: Bits by which each reference of a walk differs from the one before; and references beside the walk.
+STEP, BESIDE = 2, 31
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -56,24 +56,45 @@ def fingerprints(docs: DataFrame, width: int = 4, also: tuple[str, ...] = ()) ->
     return docs.select("doc_id", *also, "text").mapInArrow(run, f"{shape}, fingerprint long")
 
 
-def block_masks(distance: int, expected: int) -> list[int]:
-    """Bit masks such that two fingerprints within `distance` bits agree on all bits of one mask at least.
+def walk(seed: int = 17) -> np.ndarray:
+    """Reference fingerprints of 64 bits, each the one before with STEP other bits turned, until all are turned."""
+    rng = np.random.default_rng(seed)
+    steps = (np.uint64(1) << rng.permutation(64).astype(np.uint64)).reshape(-1, STEP).sum(axis=1, dtype=np.uint64)
+    turned = np.cumsum(np.concatenate((np.zeros(1, np.uint64), steps)), dtype=np.uint64)
+    return (rng.integers(0, 2**64, 1, np.uint64) ^ turned).reshape(-1, 1)
 
-    The 64 bits are cut into b blocks; `distance` differing bits touch at most that many, so b - distance blocks
-    agree. b grows with the number of fingerprints, so that a mask's agreeing bits tell four times as many apart: bits
-    of texts in one language lean one way, and buckets get much larger than those of even bits.
+
+def pivots(words: int = 1, seed: int = 17) -> np.ndarray:
+    """Reference fingerprints of `words` times 64 bits: of one word the walk, and BESIDE random ones."""
+    beside = np.random.default_rng(seed).integers(0, 2**64, (BESIDE, words), np.uint64)
+    return np.concatenate((beside, walk(seed))) if words == 1 else beside
+
+
+def distances(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """The pivot table: a row for each fingerprint, its Hamming distance to every reference."""
+    return np.stack([np.bitwise_count(prints ^ r).sum(axis=1, dtype=np.int16) for r in references], axis=1)
+
+
+def stretches(distance: int, expected: int) -> list[tuple[int, ...]]:
+    """Which steps of the walk make up each key: fingerprints within `distance` bits agree on one key at least.
+
+    The difference of two neighbouring columns of the pivot table tells how many of a step's bits agree with the
+    reference, and one differing bit changes one such difference only. So of b stretches of the walk, b - distance
+    have equal differences throughout. b grows with the number of fingerprints, so that a key tells four times as many apart:
+    bits of texts in one language lean one way, and buckets get much larger than those of even bits.
     """
-    blocks = distance + 1
-    while blocks < 2 * distance and 4 * expected > 2 ** (64 * (blocks - distance) // blocks):
-        blocks += 1
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
-    return [sum(chosen) for chosen in combinations(parts, blocks - distance)]
+    steps, b = 64 // STEP, distance + 1
+    told = sum(-math.comb(STEP, k) / 2**STEP * math.log2(math.comb(STEP, k) / 2**STEP) for k in range(STEP + 1))
+    while b < 2 * distance + 1 and 4 * expected > 2 ** (told * steps * (b - distance) / b):
+        b += 1
+    edges = [steps * i // b for i in range(b + 1)]
+    return [tuple(i for p in chosen for i in range(edges[p], edges[p + 1])) for chosen in combinations(range(b), b - distance)]
 
 
-def pivots(words: int = 1, seed: int = 17) -> np.ndarray:
-    """Reference fingerprints of `words` times 64 bits."""
-    return np.random.default_rng(seed).integers(0, 2**64, (PIVOTS, words), np.uint64)
+def pivot_keys(prints: np.ndarray, chosen: list[tuple[int, ...]]) -> np.ndarray:
+    """The keys of each fingerprint, a column for each of `chosen`: the differences along those steps as one number."""
+    moves = (np.diff(distances(prints.reshape(-1, 1), walk()), axis=1).astype(np.int64) + STEP) // 2
+    return np.stack([moves[:, list(c)] @ (STEP + 1) ** np.arange(len(c), dtype=np.int64) for c in chosen], axis=1)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -83,16 +104,16 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def roots_of(group: pa.Table, distance: int, references: np.ndarray, least: float | None = None) -> pa.Table:
-    """(u, v): each row that links inside its bucket, with the smallest node that its bucket connects it to.
+    """(u, v): each part that links inside its bucket, with the smallest part that its bucket connects it to.
 
-    Rows are sorted by bucket and by distance to the first pivot; a row meets those after it until that distance
+    Rows of one part count as connected from the start. Rows are sorted by bucket and by distance to the first pivot; a row meets those after it until that distance
     differs by more than `distance`. Pairs that any other pivot tells apart go; the rest are verified bit by bit. With
     `least`, a pair also needs that Jaccard similarity of its rows' shingles, counted exactly.
     """
-    wide, node = references.shape[1], group["node"].to_numpy()
+    wide, node = references.shape[1], group["part"].to_numpy()
     prints = group["fingerprint"].to_numpy().view(np.uint64).reshape(-1, 1) if wide == 1 else np.frombuffer(b"".join(group["fingerprint"].to_pylist()), np.uint64).reshape(-1, wide)
     columns = [group[c].to_numpy() for c in ("mask", "key", "left", "right")]
-    table = np.stack([np.bitwise_count(prints ^ r).sum(axis=1, dtype=np.int16) for r in references], axis=1)
+    table = distances(prints, references)
     order = np.lexsort([table[:, 0], *columns])
     prints, node, table, chunk = prints[order], node[order], table[order], group["chunk"].to_numpy()[order]
     if least is not None:
@@ -101,7 +122,8 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray, least: floa
         size = np.array([len(x) for x in sets], np.int64)
     same = np.any([np.diff(c[order]) != 0 for c in columns], axis=0) if len(order) else np.zeros(0, bool)
     bucket, across = np.cumsum(np.r_[0, same])[: len(order)], (columns[2] != columns[3])[order]
-    root, pairs, waiting = np.arange(len(order)), [], 0
+    first = np.unique(np.stack((bucket, node), axis=1), axis=0, return_index=True, return_inverse=True) if len(order) else None
+    root, pairs, waiting = first[1][first[2].ravel()] if len(order) else np.arange(0), [], 0
 
     def join() -> None:
         a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -146,7 +168,8 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray, least: floa
     np.minimum.at(low, root, node)
     low = low[root]
     on = low != node
-    return pa.table({"u": pa.array(node[on], pa.int64()), "v": pa.array(low[on], pa.int64())})
+    u, v = np.unique(np.stack((node[on], low[on])), axis=1)
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def links(prints: DataFrame, distance: int = 4) -> DataFrame:
@@ -154,27 +177,43 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
     The edges connect what the links connect; a bucket returns at most one edge for each of its rows.
     """
-    masks = block_masks(distance, n := prints.count())
-    keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)])
-    keyed = prints.select("node", "fingerprint", F.explode(keys).alias("k")).select("node", "fingerprint", "k.*")
-    return _bucket_links(keyed, n * len(masks), distance, pivots())
+    chosen = stretches(distance, n := prints.count())
+
+    def run(batches):
+        for b in batches:
+            keys = pivot_keys(b.column("fingerprint").to_numpy().view(np.uint64), chosen) if len(b) else np.zeros((0, len(chosen)), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(chosen)), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["part", "fingerprint", "keys"])
+
+    keyed = prints.select("node", "fingerprint").mapInArrow(run, "part long, fingerprint long, keys array<long>")
+    return _bucket_links(keyed.select("part", "fingerprint", F.posexplode("keys").alias("mask", "key")), n * len(chosen), distance, pivots())
 
 
 def _bucket_links(keyed: DataFrame, n: int, distance: int, references: np.ndarray, least: float | None = None, size: int | None = None) -> DataFrame:
-    """The edges of all buckets (mask, key) of keyed: node, fingerprint, mask, key; about n rows.
+    """The edges of all buckets (mask, key) of keyed: part, fingerprint, mask, key; about n rows.
 
-    With `least`, keyed has `shingles` too (see roots_of). `size` stands for CHUNK.
+    Rows of one part are connected already and need not meet. A bucket of more than CHUNK (or `size`) rows is cut into
+    chunks, equal parts together, which meet pairwise; its largest part, where that is more than a chunk, has chunks of its
+    own, which meet the others but not each other. With `least`, keyed has `shingles` too (see roots_of).
     """
-    size = size or CHUNK
-    large = materialise(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size).select("mask", "key", F.ceil(F.col("n") / size).cast("int").alias("chunks")), "simhash-large")
-    if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
-    rows = keyed.join(large, ["mask", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(F.col("chunk"), o).alias("left"), F.greatest(F.col("chunk"), o).alias("right")))
-    rows = rows.withColumn("pair", F.explode(pair)).select("*", "pair.left", "pair.right").drop("pair")
+    size, bucket = size or CHUNK, ["mask", "key"]
+    large = materialise(keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size), "simhash-large")
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    told = F.broadcast(large) if few else large
+    tops = keyed.join(told.select(*bucket), bucket, "left_semi").groupBy(*bucket, "part").agg(F.count(F.lit(1)).alias("own")).groupBy(*bucket).agg(F.max(F.struct("own", "part")).alias("top"))
+    tops = tops.select(*bucket, F.when(F.col("top.own") > size, F.col("top.part")).alias("top"), F.when(F.col("top.own") > size, F.col("top.own")).otherwise(F.lit(0)).alias("own"))
+    cut = large.join(tops, bucket).select(*bucket, "top", F.ceil(F.col("own") / size).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("own")) / size).cast("int").alias("chunks"))
+    cut = materialise(cut, "simhash-chunks")
+    rows = keyed.join(F.broadcast(cut) if few else cut, bucket, "left").withColumns({"tops": F.coalesce("tops", F.lit(0)), "chunks": F.coalesce("chunks", F.lit(1))})
+    rows = rows.filter("chunks > 0")  # of one part alone: nothing to link
+    is_top = F.coalesce(F.col("part") == F.col("top"), F.lit(False))
+    chunk = F.when(is_top, F.col("chunks") + F.pmod(F.xxhash64("fingerprint"), F.greatest("tops", F.lit(1)))).otherwise(F.pmod(F.xxhash64("part"), F.col("chunks"))).cast("int")
+    other = F.when(is_top, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.sequence(F.lit(0), F.col("chunks") + F.col("tops") - 1))
+    pair = F.transform(other, lambda o: F.struct(F.least(F.col("chunk"), o).alias("left"), F.greatest(F.col("chunk"), o).alias("right")))
+    rows = rows.withColumn("chunk", chunk).withColumn("pair", F.explode(pair)).select("*", "pair.left", "pair.right").drop("pair")
     groups = n // (4 * size) + 1
-    rows = rows.withColumn("group", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("mask", "key"), F.lit(groups))).otherwise(F.xxhash64("mask", "key", "left", "right"))).drop("chunks")
+    small = (F.col("chunks") == 1) & (F.col("tops") == 0)
+    rows = rows.withColumn("group", F.when(small, F.pmod(F.xxhash64("mask", "key"), F.lit(groups))).otherwise(F.xxhash64("mask", "key", "left", "right"))).drop("chunks", "tops", "top")
 
     def run(group: pa.Table) -> pa.Table:
         return roots_of(group, distance, references, least)
@@ -186,8 +225,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     """Group documents whose SimHash fingerprints are linked at `distance` or fewer differing bits.
 
     docs: doc_id long, text; other columns are ignored. Returns doc_id, fingerprint (16 hex digits), component_id, one
-    row per input row. Equal fingerprints become one node, so copies are never compared. Distinct ones meet in
-    the buckets of block_masks, which lose no link; inside a bucket the pivot distance tables discard pairs and the
+    row per input row. Equal fingerprints become one node, so copies are never compared. Candidates come from the table of
+    distances to a walk of references: distinct fingerprints meet in the buckets of `stretches`, which lose no link. Inside a
+    bucket the distances to all references discard pairs by their largest difference, and the
     survivors are verified. A bucket of more than CHUNK fingerprints is split, chunks meeting pairwise.
 
     Null or empty text, or one without words: fingerprint zero, linked like any other. Fewer than `width` words: one
@@ -195,10 +235,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     returned. Empty table: empty result.
     """
     prints = materialise(fingerprints(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width), "simhash-prints")
-    nodes = materialise(prints.filter("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    nodes = materialise(prints.filter("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     joined = nodes.join(components(links(nodes, distance)).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
-    joined = joined.select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(joined, "fingerprint", "left")
+    joined = materialise(joined.select("fingerprint", F.coalesce("component", "node").alias("component_id"), "n"), "simhash-joined")
+    out = spread_join(prints, joined, ["fingerprint"], "n", prints.count(), "left")
     part = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), part.alias("component_id"))
 
@@ -207,8 +247,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
 WIDE, MISSED = 8, 0.005
 #: Standard deviations above the mean of differing bits within which a pair is proposed.
 LOOSE = 4
-#: Shingle sets of one group of proposals that a task compares at once; larger groups are split.
-SETS = 512
+#: Tables whose buckets' first rows are compared with the others before all else.
+FIRST = 4
+#: Shingle sets of one group of proposals that a task compares at once, and their bytes; larger groups are split.
+SETS, SET_BYTES = 512, 16 << 20
 #: Sets up to this size are small: ties in their majorities make more bits differ than `differing` says.
 SMALL = 40
 
@@ -263,46 +305,106 @@ def _sets(docs: DataFrame, width: int, prints: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, digest binary, {name} binary")
 
 
+def _near_first(keyed: DataFrame, n: int, limit: int) -> DataFrame:
+    """(node, leader): of the buckets of the first FIRST tables, the nearest first row within `limit` bits; at most one for each node."""
+    near = keyed.filter(F.col("mask") < FIRST)
+    firsts = near.groupBy("mask", "key").agg(F.min(F.struct("node", "fingerprint")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = spread_join(near, firsts, ["mask", "key"], "n", FIRST * n).filter("node <> first.node").select("node", "fingerprint", F.col("first.node").alias("leader"), F.col("first.fingerprint").alias("other"))
+
+    def run(batches):
+        for b in batches:
+            a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint64).reshape(-1, WIDE) for x in ("fingerprint", "other"))
+            bits = np.bitwise_count(a ^ c).sum(axis=1, dtype=np.int32)
+            near = pa.array(bits <= limit)
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(near), b.column("leader").filter(near), pa.array(bits).filter(near)], ["node", "leader", "bits"])
+
+    near = met.mapInArrow(run, "node long, leader long, bits int")
+    return near.groupBy("node").agg(F.min(F.struct("bits", "leader"))["leader"].alias("leader"))
+
+
+def _verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): the edges (node, leader; one for each node) whose sets have a Jaccard similarity of `least` or more.
+
+    sets: node, shingles. A leader's set goes to as many groups as its members' bytes ask for.
+    """
+    members = materialise(edges.join(sets, "node").withColumn("bytes", F.octet_length("shingles").cast("long")), "simhash-members")
+    degrees = materialise(members.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / SET_BYTES + 0.5).cast("int").alias("subs")), "simhash-degrees")
+    n, size = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    rows = spread_join(members, degrees, ["leader"], "n", n).select("leader", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), "node", "shingles")
+    leaders = degrees.join(sets.withColumnRenamed("node", "leader"), "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(None).cast("long").alias("node"), "shingles")
+    every = rows.unionByName(leaders).withColumn("group", F.pmod(F.xxhash64("leader", "sub"), F.lit(size // SET_BYTES + 1)))
+
+    def run(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+        ids = list(zip(group["leader"].to_pylist(), group["sub"].to_pylist(), strict=True))
+        nodes = group["node"].to_pylist()
+        first = {i: s for i, n, s in zip(ids, nodes, sets, strict=True) if n is None}
+        on = [(n, i[0]) for i, n, s in zip(ids, nodes, sets, strict=True) if n is not None and jaccard(s, first[i]) >= least]
+        return pa.table({"u": pa.array([u for u, _ in on], pa.int64()), "v": pa.array([v for _, v in on], pa.int64())})
+
+    return every.groupBy("group").applyInArrow(run, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of documents whose sets of shingles have a Jaccard similarity of `least` or more.
 
     Fingerprints of WIDE * 64 bits only propose: two meet if they agree on all bits of one of several random bit sets,
     as many as it takes to miss at most MISSED of pairs at `least`, and closer pairs hardly ever; those within LOOSE
-    standard deviations of the bits that such pairs differ in go on. A set's size follows the number of fingerprints, so
-    that buckets stay small. Then the documents that the proposals connect are compared by their shingles themselves,
-    and only pairs of exact similarity `least` or more link. Buckets and groups are compared as in `links`, with pivot
-    tables of wide reference fingerprints. Equal sets are one node. The cases are those of near_duplicates.
+    standard deviations of the bits that such pairs differ in go on. A bit set's size follows the number of fingerprints, so
+    that buckets stay small. Links are of exact similarity `least` or more, counted from the shingles themselves.
+
+    First the buckets of a few tables compare their rows with one of them, the first, which joins large groups of near
+    copies into parts at a cost linear in their rows. Then all buckets propose links between different parts, by pivot
+    tables of wide reference fingerprints; and the parts that proposals connect are compared by their shingles, row against row of
+    other parts. Equal sets are one node. The cases are those of near_duplicates.
     """
     share = most_differing(least)
     limit = int(WIDE * 64 * share + LOOSE * math.sqrt(WIDE * 64 * share * (1 - share)))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = materialise(_sets(rows, width, True), "simhash-wide")
-    nodes = materialise(found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint")).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    nodes = found.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     n = nodes.count()
     bits = max(13, (n - 1).bit_length() - 6 if n else 0)
     tables = math.ceil(math.log(MISSED) / math.log(1 - (1 - share) ** bits))
     rng = np.random.default_rng(29)
     chosen = np.stack([rng.permutation(WIDE * 64)[:bits] for _ in range(tables)])
 
-    def keys(batches):
-        for b in batches:
-            own = b.column("fingerprint").to_pylist()
-            bit = np.unpackbits(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), WIDE * 8), axis=1)
-            key = np.stack([bit[:, c].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) for c in chosen], axis=1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, tables), pa.int32()), pa.array(key.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["node", "fingerprint", "keys"])
-
-    keyed = nodes.select("node", "fingerprint").mapInArrow(keys, "node long, fingerprint binary, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("mask", "key"))
-    proposed = components(_bucket_links(keyed, n * tables, limit, pivots(WIDE))).withColumnRenamed("component", "key")
-    proposed = materialise(nodes.join(proposed, "node"), "simhash-proposed")
-    sets = _sets(rows.join(proposed.select("doc_id").distinct(), "doc_id", "left_semi"), width, False)
-    sets = sets.join(proposed.withColumnRenamed("doc_id", "own"), "digest").filter("doc_id = own").dropDuplicates(["node"])
-    judged = materialise(sets.select("node", "fingerprint", F.lit(0).alias("mask"), "key", "shingles"), "simhash-sets")
-    parts = components(_bucket_links(judged, judged.count(), limit, pivots(WIDE), least, SETS)).withColumnRenamed("node", "linked")
-    joined = nodes.join(parts, F.col("node") == F.col("linked"), "left").select("digest", "doc_id", F.coalesce("component", "node").alias("part"))
-    firsts = joined.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    joined = joined.join(firsts, "part").select("digest", "component_id")
-    out = found.join(joined, "digest", "left")
+    def keyed(nodes: DataFrame, only: int) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                own = b.column("fingerprint").to_pylist()
+                bit = np.unpackbits(np.frombuffer(b"".join(own), np.uint8).reshape(len(own), WIDE * 8), axis=1)
+                key = np.stack([bit[:, c].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) for c in chosen[:only]], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, only), pa.int32()), pa.array(key.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["node", "fingerprint", "keys"])
+
+        return nodes.select("node", "fingerprint").mapInArrow(run, "node long, fingerprint binary, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("mask", "key"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        own = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "digest")
+        made = _sets(rows.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), width, False)
+        return materialise(made.join(own, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "shingles"), "simhash-sets")
+
+    # Few documents first: those near the first row of a bucket.
+    edges = materialise(_near_first(keyed(nodes, min(FIRST, tables)), n, limit), "simhash-first")
+    sure = _verified(edges, sets_of(edges.select("node").union(edges.select("leader")).distinct()), least)
+    parts = components(sure).withColumnRenamed("component", "part")
+    known = materialise(nodes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "simhash-parts")
+    # Then everything, between parts.
+    of = known.select("part", "fingerprint").withColumnRenamed("part", "node")
+    proposed = components(_bucket_links(keyed(of, tables).withColumnRenamed("node", "part"), n * tables, limit, pivots(WIDE))).select(F.col("node").alias("part"), F.col("component").alias("key"))
+    sizes = materialise(known.groupBy("part").agg(F.count(F.lit(1)).alias("own"), F.min("doc_id").alias("doc_id")), "simhash-sizes")
+    asked = materialise(spread_join(known.select("node", "part", "fingerprint"), sizes.join(proposed, "part").select("part", "key", "own"), ["part"], "own", n), "simhash-proposed")
+    judged = materialise(asked.join(sets_of(asked.select("node")), "node").select("part", "fingerprint", F.lit(0).alias("mask"), "key", "shingles"), "simhash-judged")
+    count, size = judged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("shingles").cast("long")), F.lit(0))).first()
+    at_once = max(16, min(SETS, SET_BYTES * count // max(1, size)))
+    links_ = components(_bucket_links(judged, count, limit, pivots(WIDE), least, at_once)).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    ends = materialise(sizes.join(links_, "part", "left").withColumn("whole", F.coalesce("whole", "part")), "simhash-ends")
+    firsts = materialise(ends.groupBy("whole").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-wholes")
+    ends = materialise(spread_join(ends.select("part", "whole", "own"), firsts, ["whole"], "n", n), "simhash-ends")
+    joined = materialise(spread_join(known.select("part", "digest", "n"), ends.select("part", "component_id", "own"), ["part"], "own", n).select("digest", "component_id", "n"), "simhash-joined")
+    out = spread_join(found.select("doc_id", "digest"), joined, ["digest"], "n", found.count(), "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
