@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.functions.prefix import with_running_sum
-from tidemark.llm.bpe import encoded
-from tidemark.llm.common import materialise
-from tidemark.llm.pieces import load
+from tidemark.llm.common import materialise, spread_join
 
 #: Tokens of a chunk: at least, on average about, and at most.
 LEAST, USUAL, MOST = 64, 256, 2048
 #: Bytes of a chunk's name: the start of the SHA-256 of its ids.
 NAME = 16
-#: Documents for each bucket of chunks; a bucket is what one call of the writer holds.
-DOCS_PER_BUCKET = 2000
+#: Characters, whole texts, that the library encodes at once.
+AT_ONCE = 1_000_000
+#: Words whose ids the library remembers.
+CACHE = 1 << 18
+#: Tokens of a part of the documents, which has one root; and roots below one of the next level.
+PART, FAN = 1 << 22, 4096
 
 
 def _gear(size: int) -> np.ndarray:
@@ -46,62 +50,65 @@ def boundaries(ids: np.ndarray, gear: np.ndarray) -> list[int]:
     return cuts
 
 
-def _chunks(docs: DataFrame, path: str, end_id: int, buckets: int) -> DataFrame:
-    """Rows of two kinds. Chunks, packed by bucket: bucket, blob. Recipes: bucket below 0, doc_id, n_tokens, recipe."""
-    vocab = load(path)
-    kind, width = dict(docs.dtypes)["doc_id"], "<u2" if vocab.size <= 1 << 16 else "<u4"
+def encoded(texts: list[str], tokenizer: Tokenizer):
+    """The library's ids of each text, AT_ONCE characters or one text at a time."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= AT_ONCE or i + 1 == len(texts):
+            for e in tokenizer.encode_batch_fast(texts[start : i + 1], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+            start, size = i + 1, 0
+
+
+def tokenizer_of(path: str) -> Tokenizer:
+    """The tokenizer in a file, its truncation and padding off, its memory of words large enough for a corpus."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.model._resize_cache(CACHE)
+    return tokenizer
+
+
+def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Rows of two kinds: chunk (key: its name; ids), each once for a batch, and recipe (key: its place in the input; doc_id, n_tokens, recipe)."""
+    size = tokenizer_of(path).get_vocab_size(with_added_tokens=True)
+    kind, width = dict(docs.dtypes)["doc_id"], "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches):
-        gear, packer = _gear(vocab.size), zstandard.ZstdCompressor(3)
+        gear, tokenizer, part, seen = _gear(size), tokenizer_of(path), TaskContext.get().partitionId(), 0
         for b in batches:
             held: dict[bytes, bytes] = {}
             sizes, recipes = [], []
-            for ids in encoded([t or "" for t in b.column("text").to_pylist()], vocab):
-                ids = np.append(ids, np.int32(end_id))
+            for ids in encoded([t or "" for t in b.column("text").to_pylist()], tokenizer):
+                ids = np.append(ids, np.uint32(end_id))
                 raw, start, names = ids.astype(width).tobytes(), 0, []
                 each = len(raw) // len(ids)
                 for end in boundaries(ids, gear):
-                    part = raw[start * each : end * each]
-                    name = hashlib.sha256(part).digest()[:NAME]
-                    held[name] = part
+                    one = raw[start * each : end * each]
+                    name = hashlib.sha256(one).digest()[:NAME]
+                    held[name] = one
                     names.append(name + start.to_bytes(4, "big"))
                     start = end
                 sizes.append(len(ids))
                 recipes.append(b"".join(names))
-            by: dict[int, list[bytes]] = {}
-            for name in sorted(held):
-                by.setdefault(int.from_bytes(name[:4], "big") % buckets, []).extend((name, len(held[name]).to_bytes(2, "little"), held[name]))
-            blobs = [packer.compress(b"".join(parts)) for parts in by.values()]
-            n, m = len(by), len(sizes)
-            ids = b.column("doc_id")
+            n, m, doc_ids = len(held), len(sizes), b.column("doc_id")
+            places = [part.to_bytes(8, "big") + (seen + i).to_bytes(9, "big") for i in range(m)]  # longer than a name
+            seen += m
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*by, *(-1 - i % buckets for i in range(m))], pa.int64()),
-                    pa.array(blobs + [None] * m, pa.binary()),
-                    pa.concat_arrays([pa.nulls(n, ids.type), ids]),
+                    pa.array([*held, *places], pa.binary()),
+                    pa.array(["chunk"] * n + ["recipe"] * m, pa.string()),
+                    pa.array([*held.values(), *([None] * m)], pa.binary()),
+                    pa.concat_arrays([pa.nulls(n, doc_ids.type), doc_ids]),
                     pa.array([None] * n + sizes, pa.int64()),
                     pa.array([None] * n + recipes, pa.binary()),
                 ],
-                ["bucket", "blob", "doc_id", "n_tokens", "recipe"],
+                ["key", "kind", "ids", "doc_id", "n_tokens", "recipe"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"bucket long, blob binary, doc_id {kind}, n_tokens long, recipe binary")
-
-
-def _unique(group: pa.Table) -> pa.Table:
-    """Unpack a bucket's chunks, each once; recipes pass."""
-    blobs = [b for b in group["blob"].to_pylist() if b is not None]
-    if not blobs:
-        return pa.table({"kind": pa.array(["recipe"] * len(group)), "name": pa.nulls(len(group), pa.binary()), "ids": pa.nulls(len(group), pa.binary()), **{c: group[c] for c in ("doc_id", "n_tokens", "recipe")}})
-    held: dict[bytes, bytes] = {}
-    for blob in blobs:
-        raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
-        while at < len(raw):
-            size = int.from_bytes(raw[at + NAME : at + NAME + 2], "little")
-            held[raw[at : at + NAME]] = raw[at + NAME + 2 : at + NAME + 2 + size]
-            at += NAME + 2 + size
-    names, n = sorted(held), len(held)
-    return pa.table({"kind": pa.array(["chunk"] * n), "name": pa.array(names, pa.binary()), "ids": pa.array([held[x] for x in names], pa.binary()), "doc_id": pa.nulls(n, group["doc_id"].type), "n_tokens": pa.nulls(n, pa.int64()), "recipe": pa.nulls(n, pa.binary())})
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"key binary, kind string, ids binary, doc_id {kind}, n_tokens long, recipe binary")
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -113,47 +120,65 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
-    """part, documents, root: the Merkle root over a part's recipes in document order."""
+    """level, part, documents, root: the tree over all recipes in document order; the last level is one root.
 
-    def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["start"].to_numpy(), kind="stable")
-        ids, starts, sizes, raw = (group[c].to_pylist() for c in ("doc_id", "start", "n_tokens", "recipe"))
-        leaves = [hashlib.sha256(f"{ids[i]}:{starts[i]}:{sizes[i]}:".encode() + raw[i]).digest() for i in order]
-        return pa.table({"part": group["part"][:1], "documents": pa.array([len(group)], pa.int64()), "root": pa.array([merkle(leaves).hex()])})
+    Part i of level 0 is the documents that start in PART tokens; of higher ones FAN parts of the level below. Only digests are grouped.
+    """
+    leaf = F.sha2(F.concat(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.lit("")).cast("binary"), F.col("recipe")), 256)
+    level = recipes.select(F.floor(F.col("start") / PART).alias("part"), F.col("start").alias("at"), F.lit(1).cast("long").alias("documents"), leaf.alias("root"))
 
-    return recipes.groupBy("part").applyInArrow(run, "part int, documents long, root string")
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["at"].to_numpy(), kind="stable")
+        digests = group["root"].to_pylist()
+        root = merkle([bytes.fromhex(digests[i]) for i in order]).hex()
+        return pa.table({"part": group["part"][:1], "documents": pa.array([int(group["documents"].to_numpy().sum())], pa.int64()), "root": pa.array([root])})
+
+    levels, number = [], 0
+    while True:
+        made = level.groupBy("part").applyInArrow(run, "part long, documents long, root string")
+        levels.append(materialise(made.withColumn("level", F.lit(number)), "store-roots"))
+        if levels[-1].limit(2).count() < 2:
+            break
+        number += 1
+        level = levels[-1].select(F.floor(F.col("part") / FAN).alias("part"), F.col("part").alias("at"), "documents", "root")
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.select("level", "part", "documents", "root")
 
 
 def write_store(docs: DataFrame, path: str, to: str, end_id: int = 0) -> None:
     """Encode docs (doc_id, text) with the tokenizer file at `path` and write the store to the folder `to`.
 
-    to/data/kind=chunk: name, ids (little-endian, 16 bits where the vocabulary allows), every distinct chunk once.
-    to/recipes: doc_id, start, n_tokens, recipe (names and lengths of the chunks), part; by ascending doc_id.
-    to/manifest: part, documents, root. The manifest is written last and marks the store as whole.
-    One shuffle carries the chunks, packed and compressed by bucket of their names and already unique by batch.
+    to/data/kind=chunk: key (its name), ids (little-endian, 16 bits where the vocabulary allows), every distinct chunk once.
+    to/recipes: doc_id, start, n_tokens, recipe (names and lengths of the chunks); by ascending doc_id.
+    to/manifest: level, part, documents, root: a Merkle tree over all recipes. It is written last and marks the store as whole.
+    One shuffle carries the chunks, already unique by task; a chunk that all documents share is one row of each.
 
     Null text: as empty, so its only id is the end id. Null doc_id: before all others. Repeated rows: each has its own recipe;
     their chunks are stored once. Empty table: an empty store.
     """
-    buckets = docs.count() // DOCS_PER_BUCKET + 1
-    rows = _chunks(docs, path, end_id, buckets).groupBy("bucket").applyInArrow(_unique, f"kind string, name binary, ids binary, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, recipe binary")
-    rows.write.partitionBy("kind").option("compression", "zstd").parquet(f"{to}/data")
+    rows = _chunks(docs, path, end_id)
+    rows.dropDuplicates(["key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{to}/data")
     spark = docs.sparkSession
     recipes = spark.read.schema(rows.schema).parquet(f"{to}/data").filter("kind = 'recipe'").select("doc_id", "n_tokens", "recipe")
     ordered = with_running_sum(recipes, [F.col("doc_id"), F.col("recipe")], "n_tokens", "start", materialise)
-    ordered.select("doc_id", "start", "n_tokens", "recipe", F.col("_part").alias("part")).write.parquet(f"{to}/recipes")
+    ordered.select("doc_id", "start", "n_tokens", "recipe").write.parquet(f"{to}/recipes")
     _roots(spark.read.parquet(f"{to}/recipes")).write.parquet(f"{to}/manifest")
 
 
 def _read(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
-    """Chunks (name, ids) whose bytes have been checked against their names, and recipes whose part's root holds."""
-    chunks = spark.read.schema("name binary, ids binary, kind string").parquet(f"{store}/data").filter("kind = 'chunk'").select("name", "ids")
+    """Chunks (name, ids) whose bytes have been checked against their names, and recipes whose tree of roots holds."""
+    chunks = spark.read.schema("key binary, ids binary, kind string").parquet(f"{store}/data").filter("kind = 'chunk'").select(F.col("key").alias("name"), "ids")
     sound = F.unhex(F.substring(F.sha2("ids", 256), 1, 2 * NAME)) == F.col("name")
     chunks = chunks.select("name", F.when(sound, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk differs from its name"))).alias("ids"))
     recipes = spark.read.parquet(f"{store}/recipes")
-    told = spark.read.parquet(f"{store}/manifest").select("part", F.col("root").alias("told"))
-    found = _roots(recipes).join(told, "part", "full").withColumn("ok", F.when(F.col("root") == F.col("told"), F.lit(True)).otherwise(F.raise_error(F.lit("a part differs from its manifest"))))
-    return chunks, recipes.join(F.broadcast(found.select("part", "ok")), "part").filter("ok")  # a row for each part
+    told = spark.read.parquet(f"{store}/manifest").withColumnsRenamed({"documents": "n", "root": "told"})
+    found = _roots(recipes).join(told, ["level", "part"], "full")
+    odd = found.filter(~(F.col("root").eqNullSafe(F.col("told")) & F.col("documents").eqNullSafe(F.col("n")))).limit(1).count()
+    if odd:
+        raise ValueError("the recipes differ from the manifest")
+    return chunks, recipes
 
 
 def _uses(recipes: DataFrame) -> DataFrame:
@@ -167,10 +192,17 @@ def _uses(recipes: DataFrame) -> DataFrame:
     return recipes.select("start", "doc_id", "n_tokens", F.inline(each))
 
 
+def _with_chunks(uses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """uses joined with their chunks by name; a chunk of very many uses meets them in no single task."""
+    counts = materialise(uses.groupBy("name").agg(F.count(F.lit(1)).alias("uses")), "store-uses")
+    total = counts.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    return spread_join(uses, counts.join(chunks, "name"), ["name"], "uses", total)
+
+
 def read_store(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     """doc_id, start, ids (binary, `width` bytes an id): every document's ids rebuilt from its chunks, after checks."""
     chunks, recipes = _read(spark, store)
-    rows = _uses(recipes).join(chunks, "name").groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    rows = _with_chunks(_uses(recipes), chunks).groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     return rows.select("doc_id", "start", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
@@ -214,7 +246,7 @@ def stored_digests(spark: SparkSession, store: str, width: int = 2) -> DataFrame
 
     kind = dict(recipes.dtypes)["doc_id"]
     uses = _uses(recipes)
-    joined = uses.join(chunks.mapInArrow(crcs, "name binary, crc long"), "name").select("start", "doc_id", "n_tokens", "size", "behind", "crc")
+    joined = _with_chunks(uses, chunks.mapInArrow(crcs, "name binary, crc long")).select("start", "doc_id", "n_tokens", "size", "behind", "crc")
     moved = joined.mapInArrow(shifted, f"start long, doc_id {kind}, n_tokens long, size long, crc long")
     out = moved.groupBy("start", "doc_id", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.sum("size").alias("size"))
     whole = F.when(F.col("size") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document is not whole")).cast("long"))
