@@ -75,7 +75,7 @@ def test_store_round_trip(spark, tokenizer):
     rebuilt = token_store.read_store(spark, store).orderBy("doc_id").collect()
     assert [np.frombuffer(r.ids, "<u2").tolist() for r in rebuilt] == ids
     stored = spark.read.parquet(f"{store}/data").filter("kind = 'chunk'")
-    assert stored.count() == stored.select("name").distinct().count()
+    assert stored.count() == stored.select("key").distinct().count()
 
 
 def test_store_notices_damage(spark):
@@ -174,16 +174,22 @@ def test_similar_documents_equal_exact_jaccard(spark, monkeypatch):
     assert all(got[i] == i for i in wrong) and len(wrong) <= 0.01 * len(texts)  # nothing is linked below 0.8; the tables may miss some
 
 
-def test_masks_lose_no_pair():
+def test_pivot_keys_lose_no_pair():
     r = random.Random(4)
     for expected_rows in (10, 10**6, 10**9):
-        masks = simhash.block_masks(4, expected_rows)
-        for _ in range(300):
-            a = r.getrandbits(64)
-            b = a
-            for k in r.sample(range(64), 4):
-                b ^= 1 << k
-            assert any(a & m == b & m for m in masks)
+        chosen = simhash.stretches(4, expected_rows)
+        a = np.array([r.getrandbits(64) for _ in range(300)], np.uint64)
+        b = a ^ np.array([sum(1 << k for k in r.sample(range(64), 4)) for _ in a], np.uint64)
+        assert (simhash.pivot_keys(a, chosen) == simhash.pivot_keys(b, chosen)).any(axis=1).all()
+        assert (np.abs(simhash.distances(a[:, None], simhash.pivots()) - simhash.distances(b[:, None], simhash.pivots())) <= 4).all()
+        c = np.array([r.getrandbits(64) for _ in a], np.uint64)
+        assert (simhash.pivot_keys(a, chosen) == simhash.pivot_keys(c, chosen)).any(axis=1).mean() < 0.3
+
+
+def test_walk_turns_every_bit_once():
+    refs = simhash.walk().ravel()
+    steps = refs[1:] ^ refs[:-1]
+    assert np.bitwise_or.reduce(steps) == np.uint64(2**64 - 1) and (np.bitwise_count(steps) == simhash.STEP).all() and len(refs) == 33
 
 
 def test_components(spark):
@@ -194,8 +200,8 @@ def test_components(spark):
     assert {g.node: g.component for g in got} == {n: want[n] for e in links if e[0] != e[1] for n in e}
 
 
-def vectors(spark, x, labels=None):
-    return spark.createDataFrame([(i, v, None if labels is None else labels[i], "k") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int, key string")
+def vectors(spark, x, labels=None, ids=None):
+    return spark.createDataFrame([(ids[i] if ids else i, v, None if labels is None else labels[i], "k") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int, key string")
 
 
 def cloud(n, seed):
@@ -260,6 +266,28 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, chunk):
     assert [r.component_id for r in got] == part and [r.kept for r in got] == [p == i for i, p in enumerate(part)]
 
 
+def test_copies_of_one_vector_are_never_compared(spark, monkeypatch):
+    x = np.concatenate([np.repeat(cloud(2, 3), 3000, axis=0), cloud(5, 3)])
+    df = vectors(spark, x.tolist(), [0] * len(x))
+    classes = df.select("embedding").distinct().count()
+    got = vector_dedup.near_duplicates(df).orderBy("vec_id").collect()
+    assert classes < 12 and got[0].n_links >= 2999 and got[0].component_id == 0 and got[2999].component_id == 0
+    again = vectors(spark, [x[0].tolist(), x[0].tolist(), x[1].tolist(), x[4000].tolist()], [0, 0, 0, 0], ids=[4, 4, 5, 4])
+    assert {(r.vec_id, r.n_links) for r in vector_dedup.near_duplicates(again).collect()} == {(4, 2), (5, 2)}  # either vector of 4 links with 5
+
+
+@pytest.mark.parametrize("chunk", [4096, 16])
+def test_nearest_splits_queries_too(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    x = np.repeat(cloud(8, 6), 25, axis=0) + np.random.default_rng(1).normal(0, 0.01, (200, cloud(8, 6).shape[1]))
+    df = vectors(spark, x.tolist(), [0] * len(x))
+    got = ann.nearest(df, df).collect()
+    s = cosines(x.astype(np.float32).astype(float))
+    np.fill_diagonal(s, -2)
+    best = {i: set(np.lexsort((np.arange(len(x)), -s[i]))[:5].tolist()) for i in range(len(x))}
+    assert len(got) == 1000 and np.mean([r.vec_id in best[r.query_id] for r in got]) >= 0.9
+
+
 def removed(texts):
     found = [WORD.findall(t or "") for t in texts]
     first = {}
@@ -274,7 +302,7 @@ def removed(texts):
 
 
 def test_passages_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(substring, "DOCS_PER_BLOCK", 7)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(substring, "BLOCKS_PER_BUCKET", 1)
     passage = words(30, 77)
     texts = [*near_texts(), "the " * 40, "the " * 13, "x " + "the " * 12 + "y", "a b " * 30, "q a b " + "a b " * 8, *(words(20, 100 + i) + " " + passage[i:] + " " + words(9, i) for i in range(25)), words(12, 5), words(13, 6), words(13, 6)]
@@ -284,19 +312,42 @@ def test_passages_equal_brute_force(spark, monkeypatch):
 
 def test_symbols_agree_inside_equal_passages():
     r = random.Random(2)
-    for trial in range(200):
+    for trial in range(300):
         shared = [r.choice("abcd") for _ in range(13)]
         found = []
         for side in range(2):
             text = " ".join([*(r.choice("abcd") for _ in range(r.randrange(9))), *shared, *(r.choice("abcd") for _ in range(r.randrange(9)))])
             at = len(text.split()) and next(i for i in range(len(text.split())) if text.split()[i : i + 13] == shared)
-            _, word, of = substring.word_hashes([text])
-            key, _, low, high = substring.keys_of(*substring.recompressed(word, of))
+            _, word, _, of = substring.word_hashes([text])
+            key, _, low, high = substring.inside(*substring.recompressed(word, of))
+            assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
             inside = (low >= at) & (high <= at + 13)
             found.append(sorted(zip((low[inside] - at).tolist(), key[inside].tolist(), strict=True)))
         assert found[0] == found[1], trial
 
 
+def test_symbols_decide_which_windows_go_on():
+    """Windows are named by what recompression made of them: equal ones alike, and those of unshared symbols never."""
+    import pyarrow as pa
+
+    passage, r = words(40, 3), random.Random(1)
+    texts = [f"{words(r.randrange(3, 30), 50 + i)} {passage} {words(r.randrange(3, 30), 90 + i)} the the the" for i in range(6)]
+    block = substring.Block(pa.table({"doc_id": list(range(6)), "text": texts}), 4)
+    block.learn(0, block.twice[0])
+    block.learn(1, block.twice[1])
+    at, name, check = block.windows()
+    by = {}
+    for p, n, c in zip(at.tolist(), name.tolist(), check.tolist(), strict=True):
+        own = tuple(w for f in block.words for w in f)[p : p + 13]
+        assert by.setdefault((n, c), own) == own
+    assert len(set(by.values())) == len(by)
+    every = Counter(tuple(f[k : k + 13]) for f in block.words for k in range(len(f) - 12))
+    repeated = {w for w, n in every.items() if n > 1}
+    assert repeated <= set(by.values()) and len(at) < 0.8 * sum(every.values())
+    block.levels[0] = (*block.levels[0][:4], np.zeros(len(block.levels[0][0]), bool))
+    assert len(block.windows()[0]) < 0.1 * len(at)
+
+
 def test_mixing_budgets(spark):
     texts = [words(n, n) for n in range(1, 60)] + ODD
     sources = [("a", "b", "c", None)[i % 4] if i > 20 else "a" for i in range(len(texts))]

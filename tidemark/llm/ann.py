@@ -107,29 +107,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 24
 
     vectors, queries: vec_id long, embedding array; other columns are ignored. Returns query_id, rank, vec_id, score.
     Every vector is stored under its nearest signed axis in each table; a query probes its `probes` nearest axes of
-    each. Buckets are the groups of a cogroup; a bucket of more than CHUNK rows is dealt by vec_id into chunks of
-    about that many, and its queries go to each, so copies of one vector never meet in one task. Each group returns
+    each. Buckets are the groups of a cogroup; one of more than CHUNK rows or queries is dealt into chunks of
+    about that many of either, each chunk of queries meeting each of rows. Each group returns
     at most k ids a query, so what is shuffled afterwards is linear in the queries.
 
     Null, zero or non-finite vectors take no part, as queries or candidates; nor do rows without a vec_id. Vectors
     must have one length. A query that finds fewer than k in its buckets (tables of a few rows) is searched again
-    against all rows in blocks. Ties: the smaller vec_id. Repeated rows of one id count once. Empty table: no rows.
+    against all rows in blocks. Ties: the smaller vec_id. Repeated rows of one id count once, by the nearest; a
+    query id with several vectors asks with the smallest of them. Empty table: no rows.
     """
     fit = lambda df: df.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long"), "embedding")
-    index, asked = fit(vectors), fit(queries).dropDuplicates(["vec_id"])
+    index, asked = fit(vectors).distinct(), fit(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     stored = _hashed(index, tables, 1, seed).withColumn("key", F.explode("keys")).drop("keys")
     probed = _hashed(asked, tables, probes, seed).withColumn("key", F.explode("keys")).drop("keys")
-    # At most tables x 2 x width rows, whatever the input.
-    chunks = F.broadcast(stored.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
-    stored = stored.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
-    probed = probed.join(chunks, "key").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    found = materialise(_search(stored, probed, ["key", "chunk"], k), "ann-found")
+    # At most tables x 2 x width rows each, whatever the input.
+    rows = F.broadcast(stored.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
+    asks = F.broadcast(probed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("asks")))
+    found = materialise(_search(*_dealt(stored.join(rows, "key").join(asks, "key"), probed.join(rows, "key").join(asks, "key")), ["key", "chunk", "ask"], k), "ann-found")
     counts = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
     short = materialise(asked.join(counts, asked["vec_id"] == counts["query_id"], "left").filter(F.coalesce("n", F.lit(0)) < k).select("vec_id", "embedding"), "ann-short")
-    if not short.isEmpty():
-        blocks = index.count() // CHUNK + 1
-        rows = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-        found = found.union(_search(rows, short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["block"], k))
+    few = short.count()
+    if few:
+        sizes = {"chunks": F.lit(index.count() // CHUNK + 1), "asks": F.lit(few // CHUNK + 1)}
+        found = found.union(_search(*_dealt(index.withColumns(sizes), short.withColumns(sizes)), ["chunk", "ask"], k))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _dealt(rows: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with chunk (of `chunks`, of rows) and ask (of `asks`, of queries): each has its own by hash, and all of the other's."""
+    own = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    rows = rows.withColumn("chunk", own("chunks", "vec_id", "embedding")).withColumn("ask", every("asks"))
+    queries = queries.withColumn("ask", own("asks", "vec_id")).withColumn("chunk", every("chunks"))
+    return rows.drop("chunks", "asks"), queries.drop("chunks", "asks")

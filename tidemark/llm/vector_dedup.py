@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ann import _matrix, usable
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, spread_join
 from tidemark.llm.components import components
 
 #: Rows of one bucket that a task compares at once; larger buckets are compared chunk against chunk.
@@ -39,16 +39,16 @@ def _hashed(vectors: DataFrame, tables: int, hashes: int, width: float, seed: in
             x = _matrix(b.column("embedding"))
             keys = buckets(x / np.linalg.norm(x, axis=1)[:, None], tables, hashes, width, seed) if len(x) else np.zeros((0, tables), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "label", "embedding")), lists], ["vec_id", "label", "embedding", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "n", "label", "embedding")), lists], ["vec_id", "n", "label", "embedding", "keys"])
 
-    return vectors.mapInArrow(run, f"vec_id long, label {kind['label']}, embedding {kind['embedding']}, keys array<int>")
+    return vectors.select("vec_id", "n", "label", "embedding").mapInArrow(run, f"vec_id long, n long, label {kind['label']}, embedding {kind['embedding']}, keys array<int>")
 
 
 def links_of(group: pa.Table, least: float) -> pa.Table:
     """(vec_id, links, root) of the rows that link, bucket by bucket; a bucket here is one pair of chunks.
 
-    links counts the pairs whose first common table this is, so that a pair counts once over all tables;
-    root is the smallest vec_id that the chunk pair connects a row to.
+    links counts the vectors that rows stand for (n), in pairs whose first common table this is, so that a pair counts once
+    over all tables; root is the smallest vec_id that the chunk pair connects a row to.
     """
     columns = [*(group[n].to_numpy() for n in ("table", "key", "left", "right")), group["label"].combine_chunks().dictionary_encode().indices.to_numpy()]
     order = np.lexsort(columns)
@@ -57,13 +57,13 @@ def links_of(group: pa.Table, least: float) -> pa.Table:
     ids, chunk, x, keys = group["vec_id"].to_numpy(), group["chunk"].to_numpy(), _matrix(group["embedding"]), group["keys"].combine_chunks().flatten().to_numpy().reshape(len(group), -1) if len(group) else None
     if len(ids):
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    table, left, right = (group[n].to_numpy() for n in ("table", "left", "right"))
-    found = [_links(ids[at], chunk[at], x[at], keys[at], table[at[0]], left[at[0]], right[at[0]], least) for s, n in zip(starts, sizes, strict=True) if n > 1 for at in [order[s : s + n]]]
+    table, left, right, weight = (group[n].to_numpy() for n in ("table", "left", "right", "n"))
+    found = [_links(ids[at], weight[at], chunk[at], x[at], keys[at], table[at[0]], left[at[0]], right[at[0]], least) for s, n in zip(starts, sizes, strict=True) if n > 1 for at in [order[s : s + n]]]
     parts = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("vec_id", "links", "root"), parts, strict=True)})
 
 
-def _links(ids: np.ndarray, chunk: np.ndarray, x: np.ndarray, keys: np.ndarray, table: int, left: int, right: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(ids: np.ndarray, weight: np.ndarray, chunk: np.ndarray, x: np.ndarray, keys: np.ndarray, table: int, left: int, right: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     a, b = (np.flatnonzero(chunk == c) for c in (left, right))
     linked = x[a] @ x[b].T >= least
     linked &= ids[a][:, None] != ids[b][None, :]
@@ -75,9 +75,9 @@ def _links(ids: np.ndarray, chunk: np.ndarray, x: np.ndarray, keys: np.ndarray,
     for t in range(table):
         first &= keys[a, t][:, None] != keys[b, t][None, :]
     links = np.zeros(len(ids), np.int64)
-    links[a] += first.sum(axis=1)
+    links[a] += first @ weight[b]
     if left != right:
-        links[b] += first.sum(axis=0)
+        links[b] += weight[a] @ first
     root, (rows, cols) = ids.copy(), np.nonzero(linked)
     while True:
         low = np.minimum(root[a[rows]], root[b[cols]])
@@ -96,7 +96,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 20, h
     """Link vectors of equal label whose cosine is at least `least`.
 
     vectors: vec_id long, embedding array, label; other columns are ignored. Returns one row per input row: vec_id,
-    n_links, component_id, kept. Two unit vectors at cosine c lie sqrt(2 - 2c) apart; at 0.98 a pair shares a table
+    n_links, component_id, kept. Equal vectors of one label are one row with a count, so that copies are never compared.
+    Two unit vectors at cosine c lie sqrt(2 - 2c) apart; at 0.98 a pair shares a table
     with probability 0.42, so that 20 tables miss fewer than 2 in 100,000. Buckets (table, label and
     key) are dealt to groups of a few thousand rows. A bucket of more than CHUNK rows is split, and chunks meet pairwise, each pair of chunks in a group of its
     own. A group returns a row for each linked vector (count and smallest id reached), never its pairs.
@@ -106,9 +107,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 20, h
     each returns the same values. Vectors must have one length. Empty table: empty result.
     """
     fit = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
-    fit = fit.select(F.col("vec_id").cast("long"), "label", "embedding").distinct()
-    hashed = materialise(_hashed(fit, tables, hashes, width, seed), "vectors-hashed")
-    keyed = hashed.select("vec_id", "label", "embedding", "keys", F.posexplode("keys").alias("table", "key"))
+    fit = materialise(fit.select(F.col("vec_id").cast("long"), "label", "embedding").distinct(), "vectors-fit")
+    # An id with several vectors stands alone with each, so that it is known not to link with itself.
+    several = fit.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("vec_id", F.col("vec_id").cast("string").alias("own"))
+    fit = fit.join(several, "vec_id", "left").withColumn("own", F.coalesce("own", F.lit("")))
+    alike = ["label", "embedding", "own"]
+    classes = materialise(fit.groupBy(*alike).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "vectors-classes")
+    hashed = materialise(_hashed(classes.withColumnRenamed("node", "vec_id"), tables, hashes, width, seed), "vectors-hashed")
+    keyed = hashed.select("vec_id", "n", "label", "embedding", "keys", F.posexplode("keys").alias("table", "key"))
     bucket = ["table", "label", "key"]
     large = materialise(keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CHUNK).select(*bucket, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "vectors-large")
     if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -126,8 +132,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, tables: int = 20, h
         return links_of(group, least)
 
     found = materialise(rows.groupBy("group").applyInArrow(run, "vec_id long, links long, root long"), "vectors-links")
-    linked = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    linked = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    out = vectors.select(F.col("vec_id").cast("long")).join(linked, "vec_id", "left").join(joined, F.col("vec_id") == F.col("node"), "left")
+    told = classes.join(linked, "node", "left").join(joined, "node", "left")
+    told = materialise(told.select(*alike, "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "vectors-told")
+    each = spread_join(fit, told, alike, "n", fit.count()).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
+    out = vectors.select(F.col("vec_id").cast("long")).join(each, "vec_id", "left")
     part = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), part.alias("component_id"), (F.col("vec_id") == part).alias("kept"))
