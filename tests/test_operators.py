@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import with_rank, with_running_sum
-from tidemark.operators import activate, aggregates, drift, evaluate, monitor, panel, quality
+from tidemark.functions.quantiles import exact_quantiles
+from tidemark.operators import activate, aggregates, drift, evaluate, model, monitor, panel, quality
 from tidemark.operators.panel import Metric
+from tidemark.sources import scratch as scratch_module
 from tidemark.sources import tables
 from tidemark.sources.scratch import materialise, scratch
 
@@ -179,6 +181,133 @@ def test_ladder(spark):
         activate.decide(preds.union(preds.limit(1)), contexts(spark, rows), activate.Policy(), AT)
 
 
+PREDS = "entity_id long, prediction_date date, probability double, is_high boolean, model_name string, threshold double"
+
+
+def test_decisions_fail_closed(spark):
+    nan, day_, at = float("nan"), dt.date(2024, 2, 5), dt.datetime(2024, 2, 6)
+    preds = [(1, day_, nan, True, "m", 0.5), (2, day_, None, True, "m", 0.5), (3, day_, 1.5, True, "m", 0.5), (4, day_, -0.5, False, "m", 0.5), *[(i, day_, 0.9, True, "m", 0.5) for i in range(5, 11)], (None, day_, 0.9, True, "m", 0.5), (11, None, 0.9, True, "m", 0.5), (12, day_, 0.9, True, "m", nan)]
+    rows = [*[(i, True, False, False, None, 0, at) for i in (1, 2, 3, 4, 9, 11, 12)], (5, None, False, False, None, 0, at), (6, True, None, False, None, 0, at), (7, True, False, None, None, 0, at), (8, True, False, False, None, None, at)]
+    frame, context = spark.createDataFrame(preds, PREDS), contexts(spark, rows)
+    got = {(r.entity_id): r.reason for r in activate.decide(frame, context, activate.Policy(), AT, strict=False).collect()}
+    below = "below_frozen_threshold"
+    assert got == {1: below, 2: below, 3: below, 4: below, 5: "contact_not_permitted", 6: "member_opted_out", 7: "active_case_open", 8: "prior_intervention_limit_reached", 9: "selected_for_human_review", 10: "missing_activation_context", 11: "prediction_too_old", 12: below, None: "missing_activation_context"}
+    errors = activate.input_errors(frame, context, AT).first().asDict()
+    assert errors["bad_probabilities"] == 4 and errors["null_keys"] == 2 and errors["bad_thresholds"] == 1 and errors["null_flags"] == 3 and errors["bad_counts"] == 1
+    for one in (preds[0], preds[1], preds[2], preds[-1], preds[-2], preds[-3], (1, day_, 0.9, False, "m", 0.5)):
+        with pytest.raises(ValueError):
+            activate.decide(spark.createDataFrame([one], PREDS), contexts(spark, rows[:4]), activate.Policy(), AT)
+    for odd in rows[-4:]:
+        with pytest.raises(ValueError):
+            activate.decide(spark.createDataFrame([preds[8]], PREDS), contexts(spark, [odd]), activate.Policy(), AT)
+
+
+def test_stored_predictions_hold_their_contract(spark):
+    day_ = dt.date(2024, 2, 5)
+    good = [(i, day_, i / 10, i >= 5, "m", 0.5) for i in range(10)]
+    kept = model.store_predictions(spark.createDataFrame(good, PREDS), scratch(spark, "test-sink"))
+    assert kept.count() == 10 and tuple(kept.columns) == model.PREDICTION_COLUMNS
+    told = model.prediction_summary(kept).first()
+    assert (told.row_count, told.entity_count, told.high_count, told.min_probability, told.max_probability) == (10, 10, 5, 0.0, 0.9)
+    for odd in ((11, day_, float("nan"), True, "m", 0.5), (11, day_, 0.6, False, "m", 0.5), (1, day_, 0.1, False, "m", 0.5), (11, None, 0.1, False, "m", 0.5), (11, day_, 0.1, False, "n", 0.5)):
+        with pytest.raises(ValueError):
+            model.store_predictions(spark.createDataFrame([*good, odd], PREDS), scratch(spark, "test-sink"))
+
+
+def test_scoring_refuses_other_features_and_ids(spark):
+    rows = [(i, DAY, float(i % 7), float(i % 3), "ab"[i % 2], i % 7 > 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "entity_id long, prediction_date date, x double, z double, c string, y boolean")
+    fitted, fills = model.fit_logistic(df, ["x", "z"], ["c"], "y")
+    got = model.score(fitted, fills, df, ["x", "z"], 0.5, "m").collect()
+    assert sum(r.is_high == (r.entity_id % 7 > 3) for r in got) == 60
+    for bad, numeric in ((df, ["z", "x"]), (df.union(df.limit(1)), ["x", "z"]), (df.withColumn("entity_id", F.lit(None).cast("long")), ["x", "z"])):
+        with pytest.raises(ValueError):
+            model.score(fitted, fills, bad, numeric, 0.5, "m")
+
+
+def test_boosted_trees_and_comparison(spark):
+    rows = [(i, DAY, float(i % 10), float(i * 7 % 13), "ab"[i % 2], (i % 10 > 4) != (i * 7 % 13 > 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity_id long, prediction_date date, x double, z double, c string, y boolean")
+    fitted, fills = model.fit_gbt(df, ["x", "z"], ["c"], "y", iterations=10)
+    scored = model.score(fitted, fills, df, ["x", "z"], 0.5, "gbt", ("entity_id", "prediction_date", "y"))
+    measured = evaluate.evaluate_binary(scored.select(F.col("entity_id").alias("key"), F.col("probability").alias("p"), "y"), 0.5)
+    told = evaluate.compare_models({"gbt": measured, "again": measured}).collect()
+    assert {r.model_name for r in told} == {"gbt", "again"} and all(r.roc_auc > 0.9 and r.tp + r.fp + r.tn + r.fn == 400 for r in told)
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    data = {"a": g.normal(size=500), "b": g.integers(0, 4, 500).astype(float), "c": np.full(500, 2.5)}
+    rows = [(*(float(v[i]) for v in data.values()), None) for i in range(500)] + [(float("nan"), None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    at = [k / 10 for k in range(11)]
+    got = exact_quantiles(df, ["a", "b", "c", "d"], at)
+    assert got.pop("d") is None and all(np.allclose(got[c], np.quantile(v, at), rtol=0, atol=1e-12) for c, v in data.items())
+
+
+def rule_psi(reference, current, bins=10, epsilon=1e-6):
+    """The stated rule: unique inner quantile positions as edges, half-open bins, epsilon added to counts."""
+    import numpy as np
+
+    q = np.quantile(reference, [k / bins for k in range(bins + 1)])
+    edges = np.array([np.nextafter(q[0], np.inf)]) if q[0] == q[-1] else np.unique(q[1:-1])
+    count = lambda x: np.append(np.bincount(np.searchsorted(edges, x, "right"), minlength=len(edges) + 1), 0) + epsilon
+    r, c = (count(x) / count(x).sum() for x in (reference, current))
+    return max(0.0, float(((c - r) * np.log(c / r)).sum()))
+
+
+def test_psi_equals_its_rule_where_mass_lies_at_the_ends(spark):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    normal = g.normal(10, 2, 1000)
+    cases = {
+        "flag": ((g.random(1000) < 0.35).astype(float), (g.random(1000) < 0.9).astype(float)),
+        "low": (np.where(g.random(1000) < 0.3, 0.0, normal), np.where(g.random(1000) < 0.3, -1.0, normal)),
+        "high": (np.where(g.random(1000) < 0.5, 20.0, normal), np.where(g.random(1000) < 0.1, 20.0, normal)),
+    }
+    frames = [spark.createDataFrame([tuple(float(c[side][i]) for c in cases.values()) for i in range(1000)], ", ".join(f"{c} double" for c in cases)) for side in (0, 1)]
+    got = {r.feature: r.psi for r in drift.numeric_psi(*frames, list(cases)).collect()}
+    assert all(abs(got[c] - rule_psi(*sides)) < 1e-6 for c, sides in cases.items()) and min(got.values()) > 0.5
+
+
+def test_a_monitoring_run_has_57_checks_of_16_columns(spark):
+    numeric, categorical = [f"n{i}" for i in range(44)], {f"c{i}": ["a", "b"] for i in range(3)}
+    shape = "entity_id long, prediction_date date, probability double, is_high boolean, model_name string, threshold double, " + ", ".join([f"{c} double" for c in numeric] + [f"{c} string" for c in categorical])
+    made = lambda n, shift: spark.createDataFrame([(i, day(i % 2), i / n, i / n >= 0.5, "m", 0.5, *[float((i + shift * k) % 9) for k in range(44)], *["abz"[(i + k) % (2 + (shift > 0 and k == 2))] for k in range(3)]) for i in range(n)], shape)
+    train, scoring = made(200, 0), made(90, 1)
+    policy, frozen = monitor.MonitoringPolicy(expected_rows=90, expected_entities=90, expected_days=3), monitor.FrozenModel("m", 0.5, (*numeric, *categorical))
+    got = monitor.monitoring_run(train, scoring, scoring, train, numeric, categorical, policy, frozen, "r", AT)
+    rows = {r.check_name: r for r in got.collect()}
+    assert len(rows) == 57 and len(got.columns) == 16 and {r.overall_severity for r in rows.values()} == {"critical"}
+    assert rows["scoring_day_count"].severity == "critical" and rows["scoring_row_count"].severity == rows["schema_identity"].severity == "pass" and rows["unexpected_rate__c2"].observed_value == pytest.approx(1 / 3)
+    assert rows["numeric_psi__n3"].reference_row_count == 200 and rows["numeric_psi__n3"].current_row_count == 90
+    other = monitor.monitoring_run(train, scoring, scoring, train, numeric, categorical, policy, monitor.FrozenModel("other", 0.5, ("x",)), "r", AT)
+    told = {r.check_name: r for r in other.collect()}
+    assert told["model_identity"].severity == told["schema_identity"].severity == "critical" and told["psi__probability"].observed_value == 0.25 and told["psi__probability"].severity == "critical"
+    with pytest.raises(ValueError):
+        monitor.monitoring_run(train, scoring, scoring.limit(80), train, numeric, categorical, policy, frozen, "r", AT)
+
+
+def test_governance_asks_for_every_asset(spark):
+    views = {"v": spark.createDataFrame([("no_activation_runs",)], "view_state string")}
+    status = lambda n, bad=0: spark.createDataFrame([(f"a{i}", "fail" if i < bad else "pass") for i in range(n)], "asset string, status string")
+    rows = lambda n, bad=0: spark.createDataFrame([(f"s{i}", None if i < bad else True) for i in range(n)], "source_name string, is_valid boolean")
+    found = lambda *a: [r.severity for r in monitor.governance_monitoring(views, *a).orderBy("check_order").collect()]
+    assert found(status(8), rows(7)) == ["pass"] * 3
+    assert found(status(7), rows(7)) == ["pass", "critical", "pass"] and found(status(8, 1), rows(7)) == ["pass", "critical", "pass"]
+    assert found(status(8), rows(6)) == ["pass", "pass", "critical"] and found(status(8), rows(7, 1)) == ["pass", "pass", "critical"]
+
+
+def test_scratch_is_local_only_in_local_mode(spark, monkeypatch):
+    kept = materialise(spark.range(3).toDF("id"), "dropped")
+    assert kept.count() == 3
+    monkeypatch.setattr(scratch_module, "_MADE", scratch_module._MADE[-1:])
+    assert scratch_module.drop_scratch(spark) == 1 and scratch_module.drop_scratch(spark) == 0
+
+
 def test_run_id_ignores_order(spark):
     df = spark.range(50).withColumn("x", F.col("id") * 2)
     one, two = (activate.run_id(d, activate.Policy(), AT).first().run_id for d in (df, df.orderBy(F.desc("id")).repartition(5)))

@@ -28,18 +28,21 @@ def with_rank(df: DataFrame, order: list[Column], name: str, keep: Callable[[Dat
     return kept.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
-def with_running_sum(df: DataFrame, order: list[Column], value: str, name: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def with_running_sum(df: DataFrame, order: list[Column], value: str | list[str], name: str | list[str], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """df with the sum of `value` over all rows before each row in the given total order; kept as with_rank keeps it.
 
-    The kept frame stays as it is in `_part`: equal for the rows of one range, ascending with the order.
+    Several values are summed over one sort, each into the name at its place. The kept frame stays as it is in `_part`: equal for
+    the rows of one range, ascending with the order.
     """
+    values, names = ([x] if isinstance(x, str) else list(x) for x in (value, name))
     keys = [f"_k{i}" for i in range(len(order))]
     placed = df.withColumns(dict(zip(keys, order, strict=True))).repartitionByRange(*keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
-    kept = keep(placed.drop(*keys).withColumns({"_part": F.shiftright(at, 33).cast("int"), "_place": at.bitwiseAND(F.lit(_PLACE))}), name)
-    starts = kept.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    kept = keep(placed.drop(*keys).withColumns({"_part": F.shiftright(at, 33).cast("int"), "_place": at.bitwiseAND(F.lit(_PLACE))}), names[0])
+    starts = kept.groupBy("_part").agg(*[F.sum(v).alias(f"_sum{i}") for i, v in enumerate(values)])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = starts.select("_part", *[F.coalesce(F.sum(f"_sum{i}").over(before), F.lit(0)).alias(f"_start{i}") for i in range(len(values))])
     inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    summed = kept.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return summed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_inside")).drop("_place", "_start", "_inside")
+    summed = kept.withColumns({f"_inside{i}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for i, v in enumerate(values)})
+    out = summed.join(F.broadcast(starts), "_part").withColumns({n: F.col(f"_start{i}") + F.col(f"_inside{i}") for i, n in enumerate(names)})
+    return out.drop("_place", *[f"_start{i}" for i in range(len(values))], *[f"_inside{i}" for i in range(len(values))])

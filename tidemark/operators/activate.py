@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import materialise
+
 #: Outcomes and final reasons, in their order, and the categories of a review.
 OUTCOMES = ("selected_for_review", "no_contact_superseded", "no_contact_below_threshold", "no_contact_excluded", "no_contact_suppressed", "no_contact_capacity")
 REASONS = {
@@ -59,13 +61,23 @@ def run_id(preds: DataFrame, policy: Policy, at: str) -> DataFrame:
 
 def input_errors(preds: DataFrame, context: DataFrame, at: str) -> DataFrame:
     """One row of counts that must all be 0, and `empty`, which must be false, before decisions are made."""
-    when = F.lit(at).cast("timestamp_ntz")
+    when, probability, threshold = F.lit(at).cast("timestamp_ntz"), F.col("probability"), F.col("threshold")
+    sound = lambda c: F.coalesce(~F.isnan(c) & c.between(0.0, 1.0), F.lit(False))
+    flag = [F.count_if(~F.col("is_high").eqNullSafe(probability >= threshold)).alias("flag_mismatches")] if "is_high" in preds.columns else []
     p = preds.agg(
         (F.count(F.lit(1)) == 0).alias("empty"), F.count_if(F.col("prediction_date").cast("timestamp_ntz") > when).alias("future_predictions"),
         F.greatest(F.count_distinct("model_name") - 1, F.lit(0)).alias("extra_models"), F.greatest(F.count_distinct("threshold") - 1, F.lit(0)).alias("extra_thresholds"),
+        F.count_if(F.col("entity_id").isNull() | F.col("prediction_date").isNull() | F.col("model_name").isNull()).alias("null_keys"),
+        F.count_if(~sound(probability)).alias("bad_probabilities"), F.count_if(~sound(threshold)).alias("bad_thresholds"), *flag,
     )
     twice = preds.groupBy("entity_id", "prediction_date").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_predictions"))
-    c = context.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.max("last_contacted_at").alias("last")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_contexts"), F.count_if(F.col("last") > when).alias("contacts_after_decision"))
+    odd = F.col("contact_allowed").isNull() | F.col("opted_out").isNull() | F.col("open_case").isNull()
+    limits = F.col("interventions_28d").isNull() | (F.col("interventions_28d") < 0)
+    own = context.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"), F.max("last_contacted_at").alias("last"), F.count_if(odd).alias("odd"), F.count_if(limits).alias("limits"))
+    c = own.agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_contexts"), F.count_if(F.col("last") > when).alias("contacts_after_decision"),
+        F.count_if(F.col("entity_id").isNull()).alias("null_context_ids"), F.coalesce(F.sum("odd"), F.lit(0)).alias("null_flags"), F.coalesce(F.sum("limits"), F.lit(0)).alias("bad_counts"),
+    )
     return p.crossJoin(twice).crossJoin(c)
 
 
@@ -74,6 +86,8 @@ def decide(preds: DataFrame, context: DataFrame, policy: Policy, at: str, strict
 
     The first rule that applies decides. Eligible rows are ranked by probability, then date, both descending, then entity; the first
     `capacity` are selected. Only those are ranked (a top-k of at most `capacity` rows), so no task sorts the table.
+    The rules fail closed: a probability that is null, NaN or outside [0, 1] is below the threshold, and a null permission, flag, count or
+    date is one that forbids. With `strict` such inputs are an error before any decision is made.
     """
     if strict:
         bad = {k: v for k, v in input_errors(preds, context, at).first().asDict().items() if v}
@@ -82,16 +96,18 @@ def decide(preds: DataFrame, context: DataFrame, policy: Policy, at: str, strict
     when = F.lit(at).cast("timestamp_ntz")
     rows = preds.withColumn("latest", F.max("prediction_date").over(Window.partitionBy("entity_id"))).join(context.withColumn("has_context", F.lit(True)), "entity_id", "left")
     age = F.datediff(when.cast("date"), F.col("prediction_date"))
+    p = F.col("probability")
+    unless = lambda fine: ~F.coalesce(fine, F.lit(False))
     ladder = [
         (F.col("prediction_date") < F.col("latest"), "superseded_by_latest_prediction"),
-        (F.col("probability") < F.col("threshold"), "below_frozen_threshold"),
+        (unless((p >= F.col("threshold")) & ~F.isnan(p) & p.between(0.0, 1.0) & F.col("threshold").between(0.0, 1.0)), "below_frozen_threshold"),
         (F.col("has_context").isNull(), "missing_activation_context"),
-        (~F.col("contact_allowed"), "contact_not_permitted"),
-        (F.col("opted_out"), "member_opted_out"),
-        (age > policy.max_age_days, "prediction_too_old"),
-        (F.col("open_case"), "active_case_open"),
+        (unless(F.col("contact_allowed")), "contact_not_permitted"),
+        (unless(~F.col("opted_out")), "member_opted_out"),
+        (unless(age.between(0, policy.max_age_days)), "prediction_too_old"),
+        (unless(~F.col("open_case")), "active_case_open"),
         (when < F.col("last_contacted_at") + F.make_dt_interval(days=F.lit(policy.cooldown_days)), "contact_cooldown_active"),
-        (F.col("interventions_28d") >= policy.max_interventions, "prior_intervention_limit_reached"),
+        (unless(F.col("interventions_28d") < policy.max_interventions), "prior_intervention_limit_reached"),
     ]
     judged = rows.withColumn("reason", F.coalesce(*[F.when(test, F.lit(reason)) for test, reason in ladder])).select("entity_id", "prediction_date", "probability", "threshold", "model_name", "reason")
     order = [F.desc("probability"), F.desc("prediction_date"), F.asc("entity_id")]
@@ -147,9 +163,10 @@ def ingest(tables: dict[str, tuple[DataFrame, DataFrame, list[str], str]]) -> di
         new[name] = unseen(target, staged, keys)
     counts = {}
     for name, rows in new.items():
-        counts[name] = rows.count()
+        kept = materialise(rows, f"ingest-{name}")  # computed once: what is counted is what is written
+        counts[name] = kept.count()
         if counts[name]:
-            rows.write.mode("append").parquet(tables[name][3])
+            kept.write.mode("append").parquet(tables[name][3])
     return counts
 
 

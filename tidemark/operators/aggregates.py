@@ -91,12 +91,13 @@ def run_summary(runs: DataFrame) -> DataFrame:
     """Per run: use of the capacity, the reconciled total, and the first of the reasons against it."""
     total = reduce(lambda a, b: a + b, [F.col(o) for o in OUTCOMES])
     rows = runs.withColumn("reconciled_rows", total).withColumn("capacity_use", F.try_divide(F.col("selected_for_review").cast("double"), F.col("capacity").cast("double")))
-    checks = [
+    needed = {"run_id": "run_id_missing", "policy_id": "policy_missing", "model_name": "model_missing", "decided_at": "decision_time_missing", "snapshot_at": "snapshot_missing", "ingested_at": "ingest_time_missing"}
+    checks = [(F.col(c).isNull(), reason) for c, reason in needed.items() if c in runs.columns] + [
         (~F.col("run_id").rlike("^act_[0-9a-f]{24}$"), "run_id_malformed"), (~F.col("threshold").between(0.0, 1.0), "threshold_out_of_range"), (F.col("snapshot_at") > F.col("decided_at"), "snapshot_after_decision"),
         (F.col("capacity") < 1, "capacity_not_positive"), (F.col("selected_for_review") > F.col("capacity"), "capacity_exceeded"), (F.col("eligible") != F.col("selected_for_review") + F.col("no_contact_capacity"), "eligible_mismatch"),
         (F.col("source_rows") - F.col("no_contact_superseded") != F.col("entities"), "entities_mismatch"), (F.col("reconciled_rows") != F.col("source_rows"), "total_mismatch"),
     ]
-    sound = reduce(lambda a, b: a & b, [~t for t, _ in checks])  # null where an input is null: unknown is not valid
+    sound = reduce(lambda a, b: a & b, [~t for t, _ in checks])  # null where a count is null and no other check fails: unknown is not valid
     return _or_empty(governed(rows.withColumn("invalid_reason", first_reason(checks)).withColumn("is_valid", sound)), runs)
 
 
@@ -146,9 +147,11 @@ def selection_summary(runs: DataFrame, decisions: DataFrame) -> DataFrame:
     return _or_empty(governed(rows.withColumn("invalid_reason", first_reason(checks)).withColumn("is_valid", F.col("invalid_reason").isNull())), runs)
 
 
-def lineage(sources: dict[str, tuple[DataFrame | None, str | None, str | None]], as_of: str, snapshot_days: int = 7) -> DataFrame:
+def lineage(sources: dict[str, tuple[DataFrame | None, str | None, str | None]], as_of: str, snapshot_days: int = 7, facts: DataFrame | None = None) -> DataFrame:
     """A row for each source {name: (frame or None, its business date, its ingest time)}: rows, latest dates, freshness, validity.
 
+    facts (table_name, file_count, total_bytes, last_modified) adds what is known of the sources' files.
+
     Freshness: missing (no table), missing_data (rows without dates), empty, historical_snapshot (older than `snapshot_days` at as_of), available.
     """
     parts = []
@@ -167,6 +170,9 @@ def lineage(sources: dict[str, tuple[DataFrame | None, str | None, str | None]],
     )
     out = rows.withColumn("latest_timestamp", latest).withColumn("freshness", fresh)
     checks = [(F.col("freshness") == "missing", "table_missing"), (F.col("freshness") == "missing_data", "dates_missing")]
+    if facts is not None:
+        stored = facts.select(F.col("table_name").alias("source_name"), "file_count", "total_bytes", "last_modified")
+        out = out.join(F.broadcast(stored), "source_name", "left")  # a row for each source
     return governed(out.withColumn("invalid_reason", first_reason(checks)).withColumn("is_valid", F.col("invalid_reason").isNull()).drop("has_date"))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles
+
 MISSING = "__missing__"
 
 
@@ -19,19 +21,21 @@ def _long(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 def psi_edges(reference: DataFrame, columns: list[str], bins: int = 10, accuracy: int | None = None) -> dict[str, list[float]]:
     """The inner bin edges of each column: its distinct reference quantiles k / bins for k from 1 to bins - 1.
 
-    One aggregate gives all columns' quantiles; with `accuracy` they are approximate, for very large references.
+    The quantiles are exact and found by distributed ranks; with `accuracy` one aggregate gives approximate ones.
+    The first and last positions are dropped before values are made unique, so that mass at a column's ends keeps its edge.
     A constant column gets one edge just above its value. A column that is missing throughout, or infinite, is an error.
     """
     at = [k / bins for k in range(bins + 1)]
-    num = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    how = (lambda c: F.percentile(num(c), F.array(*map(F.lit, at)))) if accuracy is None else (lambda c: F.percentile_approx(num(c), at, accuracy))
-    row = reference.agg(*[how(c).alias(c) for c in columns]).first()
+    if accuracy is None:
+        found = exact_quantiles(reference, columns, at)
+    else:
+        num = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        found = reference.agg(*[F.percentile_approx(num(c), at, accuracy).alias(c) for c in columns]).first().asDict()
     edges = {}
     for c in columns:
-        if row[c] is None or any(v is None or math.isinf(v) for v in row[c]):
+        if found[c] is None or any(math.isinf(v) for v in found[c]):
             raise ValueError(f"{c}: the reference is missing throughout or holds infinities")
-        distinct = sorted(set(row[c]))
-        edges[c] = [math.nextafter(distinct[0], math.inf)] if len(distinct) == 1 else sorted(set(row[c][1:-1]))
+        edges[c] = [math.nextafter(found[c][0], math.inf)] if found[c][0] == found[c][-1] else sorted(set(found[c][1:-1]))
     return edges
 
 

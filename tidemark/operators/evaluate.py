@@ -23,6 +23,9 @@ def safe_divide(a: Column, b: Column, zero_division: float | None = None) -> Col
 
 
 def usable(preds: DataFrame) -> DataFrame:
+    """The rows with a probability and a label; a label that is text is read as boolean, and other text is no label."""
+    if dict(preds.dtypes)["y"] == "string":
+        preds = preds.withColumn("y", F.col("y").try_cast("boolean"))
     return preds.filter(F.col("p").isNotNull() & ~F.isnan("p") & F.col("y").isNotNull())
 
 
@@ -116,9 +119,8 @@ def ranking_quality(preds: DataFrame) -> DataFrame:
     Rows are grouped by score; running sums over the sorted distinct scores are distributed.
     """
     scores = usable(preds).groupBy("p").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    below = with_running_sum(scores.withColumn("both", F.col("pos")), [F.col("p")], "both", "pos_below", materialise).drop("_part")
-    below = with_running_sum(below, [F.col("p")], "neg", "neg_below", materialise).drop("_part")
-    totals = scores.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    below = with_running_sum(scores, [F.col("p")], ["pos", "neg"], ["pos_below", "neg_below"], materialise).drop("_part")
+    totals = below.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     rows = below.crossJoin(F.broadcast(totals))
     tp, fp = F.col("all_pos") - F.col("pos_below"), F.col("all_neg") - F.col("neg_below")
     here, recall_step = safe_divide(tp, tp + fp), safe_divide(F.col("pos"), F.col("all_pos"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -9,6 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import quality
+from tidemark.operators.activate import content_digest
+from tidemark.sources.scratch import materialise
+
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """The most frequent non-null value of each column, ties to the smallest; one aggregate."""
@@ -54,12 +60,66 @@ def fit_gbt(train: DataFrame, numeric: list[str], categorical: list[str], label:
     return Pipeline(stages=[*_features(numeric, categorical, False, True), gbt]).fit(rows), fills
 
 
-def score(model: PipelineModel, fills: dict[str, str], batch: DataFrame, numeric: list[str], threshold: float, name: str, ids: tuple[str, ...] = ("entity_id", "prediction_date")) -> DataFrame:
-    """ids, probability of the positive class, is_high (inclusive), model_name and threshold of every row."""
+def score(model: PipelineModel, fills: dict[str, str], batch: DataFrame, numeric: list[str], threshold: float, name: str, ids: tuple[str, ...] = ("entity_id", "prediction_date"), strict: bool = True) -> DataFrame:
+    """ids, probability of the positive class, is_high (inclusive), model_name and threshold of every row.
+
+    strict: the batch must have the features that the model was fitted on, in their order, and unique ids without nulls. The ids are the
+    first two columns of `ids`; others are passed through.
+    """
+    if strict:
+        fitted = (list(model.stages[0].getInputCols()), list(model.stages[1].getInputCols()))
+        if fitted != (list(numeric), list(fills)):
+            raise ValueError(f"the model was fitted on {fitted}, not on {(list(numeric), list(fills))}")
+        keys = list(ids[:2])
+        missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        counts = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"), F.count_if(missing).alias("null_ids"))
+        bad = {k: v for k, v in counts.first().asDict().items() if v}
+        if bad:
+            raise ValueError(f"the batch's ids are unsound: {bad}")
     out = model.transform(prepared(batch, numeric, fills)).withColumn("probability", vector_to_array("probability")[1])
     return out.select(*ids, "probability", (F.col("probability") >= threshold).alias("is_high"), F.lit(name).alias("model_name"), F.lit(threshold).alias("threshold"))
 
 
+def prediction_summary(preds: DataFrame) -> DataFrame:
+    """One row on a batch: rows, entities, first and last date, high-risk count and rate, and the smallest, mean and largest probability."""
+    p, high = F.col("probability"), F.count_if("is_high")
+    return preds.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("entity_id").alias("entity_count"), F.min("prediction_date").alias("first_date"), F.max("prediction_date").alias("last_date"),
+        high.alias("high_count"), F.try_divide(high.cast("double"), F.count(F.lit(1)).cast("double")).alias("high_rate"), F.min(p).alias("min_probability"), F.avg(p).alias("mean_probability"), F.max(p).alias("max_probability"),
+    )
+
+
+#: The columns of stored predictions, in their order.
+PREDICTION_COLUMNS = ("entity_id", "prediction_date", "probability", "is_high", "model_name", "threshold")
+
+
+def prediction_errors(preds: DataFrame) -> DataFrame:
+    """One row of counts that must all be 0 in a batch of predictions."""
+    p, t = F.col("probability"), F.col("threshold")
+    whole = preds.agg(
+        F.count_if(F.col("entity_id").isNull() | F.col("prediction_date").isNull()).alias("null_ids"), F.count_if(~F.coalesce(~F.isnan(p) & p.between(0.0, 1.0), F.lit(False))).alias("bad_probabilities"),
+        F.count_if(~F.col("is_high").eqNullSafe(p >= t)).alias("flag_mismatches"), F.greatest(F.count_distinct("model_name") - 1, F.lit(0)).alias("extra_models"),
+        F.greatest(F.count_distinct("threshold") - 1, F.lit(0)).alias("extra_thresholds"), (F.count(F.lit(1)) == 0).cast("long").alias("empty"),
+    )
+    return whole.crossJoin(quality.duplicate_keys(preds, ["entity_id", "prediction_date"]))
+
+
+def store_predictions(preds: DataFrame, path: str) -> DataFrame:
+    """Write predictions as Parquet, read them back and return what was read, if it holds the contract and what was written.
+
+    The columns are PREDICTION_COLUMNS; the rows must pass prediction_errors; a digest of the rows, the same in any order, must agree.
+    """
+    kept = materialise(preds.select(*PREDICTION_COLUMNS), "predictions")
+    kept.write.mode("overwrite").parquet(path)
+    found = preds.sparkSession.read.parquet(path)
+    if tuple(found.columns) != PREDICTION_COLUMNS or found.dtypes != kept.dtypes:
+        raise ValueError(f"stored predictions have the columns {found.dtypes}")
+    bad = {k: v for k, v in prediction_errors(found).first().asDict().items() if v}
+    if bad or content_digest(found).first() != content_digest(kept).first():
+        raise ValueError(f"stored predictions are unsound: {bad or 'their rows differ from what was written'}")
+    return found
+
+
 def explain_logistic(model: PipelineModel, scored: DataFrame, numeric: list[str]) -> DataFrame:
     """feature, source_feature, coefficient, absolute, odds_ratio, direction, effect_rank; scored: one transformed frame, for names."""
     import math

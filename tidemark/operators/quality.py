@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators.activate import CATEGORIES, REASONS
 
 
@@ -144,11 +145,13 @@ def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n, mean, std, min, p1, p50, p99, max, one pass."""
-    at = F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))
-    one = lambda c: F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.percentile(c, at).alias("q"), F.max(F.col(c).cast("double")).alias("max")).alias(c)
+    """column_name, n, mean, std, min, p1, p50, p99, max: one pass, and exact quantiles from distributed ranks."""
+    told = exact_quantiles(df, columns, [0.01, 0.5, 0.99])
+    one = lambda c: F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max")).alias(c)
     wide = df.agg(*[one(c) for c in columns])
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}.n"), F.col(f"{c}.mean"), F.col(f"{c}.std"), F.col(f"{c}.min"), F.col(f"{c}.q")[0].alias("p1"), F.col(f"{c}.q")[1].alias("p50"), F.col(f"{c}.q")[2].alias("p99"), F.col(f"{c}.max")) for c in columns])))
+    quantiles = lambda c: [F.lit(v).cast("double").alias(n) for n, v in zip(("p1", "p50", "p99"), told[c] or [None] * 3, strict=True)]
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"{c}.{m}").alias(m) for m in ("n", "mean", "std", "min")], *quantiles(c), F.col(f"{c}.max").alias("max")) for c in columns]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def category_shares(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:

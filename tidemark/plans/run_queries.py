@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import activate, aggregates, drift, evaluate, model, monitor, quality
 from tidemark.operators.activate import Policy
+from tidemark.operators.monitor import FrozenModel, MonitoringPolicy
 from tidemark.plans import panel_queries as base
 from tidemark.plans.panel_queries import DAILY, FEATURES, LABELLED, PANEL, SPLIT, SWEEP, rounded
 from tidemark.sources import demo
-from tidemark.sources.scratch import scratch
+from tidemark.sources.scratch import materialise, scratch
 from tidemark.sources.tables import file_facts
 
 POLICY = Policy(capacity=10)
@@ -27,7 +30,8 @@ def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activate.decide(demo.predictions(spark, sf_dir), demo.contact_context(spark, sf_dir), POLICY, demo.DECISION_TIME)
+    """Decided once and kept, as each view refers to them several times."""
+    return materialise(activate.decide(demo.predictions(spark, sf_dir), demo.contact_context(spark, sf_dir), POLICY, demo.DECISION_TIME), "decisions")
 
 
 def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -52,30 +56,85 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(counts, "table_name")
 
 
-def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the governed views; only what it needs is computed."""
+    if name in ("daily_summary", "risk_distribution"):
+        preds = materialise(demo.predictions(spark, sf_dir), "predictions")
+        return aggregates.scoring_daily_summary(preds) if name == "daily_summary" else aggregates.risk_distribution(preds)
+    if name == "observed_outcomes":
+        return aggregates.observed_outcomes(base.features(spark, sf_dir))
+    return run_views(spark, sf_dir)[name]
+
+
+def run_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four views over the run and its decisions."""
     audit, made = runs(spark, sf_dir)
-    preds = demo.predictions(spark, sf_dir)
-    return {
-        "daily_summary": aggregates.scoring_daily_summary(preds), "risk_distribution": aggregates.risk_distribution(preds),
-        "observed_outcomes": aggregates.observed_outcomes(base.features(spark, sf_dir)), "run_summary": aggregates.run_summary(audit),
-        "outcome_summary": aggregates.outcome_summary(audit, made), "reason_summary": aggregates.reason_summary(audit, made), "selection_summary": aggregates.selection_summary(audit, made),
-    }
+    audit = materialise(audit, "audit")
+    over = {"outcome_summary": aggregates.outcome_summary, "reason_summary": aggregates.reason_summary, "selection_summary": aggregates.selection_summary}
+    return {"run_summary": aggregates.run_summary(audit)} | {n: make(audit, made) for n, make in over.items()}
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sources(spark: SparkSession, sf_dir: str, audit: DataFrame | None) -> DataFrame:
+    """The lineage of seven sources; without an audit the runs are a table that is not there."""
     t = lambda n: demo.table(spark, sf_dir, n)
-    return aggregates.lineage({"events": (t("events"), "ts", "ts"), "orders": (t("orders"), "o_orderdate", None), "customer": (t("customer"), None, None), "runs": (None, None, None)}, "2024-02-06")
+    names = {"events": ("ts", "ts"), "orders": ("o_orderdate", None), "lineitem": ("l_shipdate", None), "customer": (None, None), "part": (None, None), "supplier": (None, None)}
+    facts = reduce(DataFrame.unionByName, [file_facts(spark, n, f"{sf_dir}/{n}.parquet") for n in names])
+    return aggregates.lineage({n: (t(n), *dates) for n, dates in names.items()} | {"runs": (audit, "decided_at" if audit is not None else None, None)}, "2024-02-06", facts=facts)
+
+
+def lineage_of(spark: SparkSession, sf_dir: str, complete: bool) -> DataFrame:
+    """The lineage without what depends on the files' place and time."""
+    return no_time(sources(spark, sf_dir, runs(spark, sf_dir)[0] if complete else None).drop("total_bytes"))
+
+
+def status(spark: SparkSession, sf_dir: str, found: dict[str, DataFrame] | None = None) -> DataFrame:
+    found = found or all_views(spark, sf_dir)
+    return aggregates.quality_status(found, found["lineage"], {"daily_summary": "events", "risk_distribution": "events", "observed_outcomes": "events"})
+
+
+def all_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The eight governed views, the lineage among them, each kept, as status and governance refer to them several times."""
+    found = {n: view(spark, sf_dir, n) for n in ("daily_summary", "risk_distribution", "observed_outcomes")} | run_views(spark, sf_dir)
+    found["lineage"] = sources(spark, sf_dir, runs(spark, sf_dir)[0])
+    return {n: materialise(v, n) for n, v in found.items()}
 
 
-def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.quality_status(views(spark, sf_dir), sources(spark, sf_dir), {"daily_summary": "events", "risk_distribution": "events", "observed_outcomes": "events"})
+def governed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = all_views(spark, sf_dir)
+    return monitor.governance_monitoring({k: found[k] for k in ("run_summary", "outcome_summary", "reason_summary", "selection_summary")}, status(spark, sf_dir, found), found["lineage"])
+
+
+def broken_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with every fault: null and too large probabilities, flags that disagree, and a repeated key for some entities."""
+    e, p = F.col("entity_id"), F.col("probability")
+    rows = demo.predictions(spark, sf_dir).withColumns({"probability": F.when(e % 7 == 0, F.lit(None)).when(e % 11 == 0, F.lit(1.5)).otherwise(p), "is_high": F.when(e % 13 == 0, ~F.col("is_high")).otherwise(F.col("is_high"))})
+    return rows.unionByName(rows.filter(e % 17 == 0))
+
+
+def broken_runs(spark: SparkSession) -> DataFrame:
+    """Run audits with one fault each, and a sound one."""
+    good = {"run_id": "act_" + "0" * 24, "policy_id": "p", "model_name": "m", "snapshot_at": "2024-02-01", "decided_at": "2024-02-02", "threshold": 0.5, "capacity": 10, "source_rows": 100, "entities": 90, "eligible": 15}
+    counts = dict(zip(activate.OUTCOMES, (10, 10, 40, 20, 15, 5), strict=True))
+    faults = [{}, {"run_id": None}, {"run_id": "run-1"}, {"policy_id": None}, {"model_name": None}, {"decided_at": None}, {"snapshot_at": None}, {"threshold": 1.5}, {"snapshot_at": "2024-02-03"}, {"capacity": 0}, {"capacity": 9}, {"eligible": 14}, {"entities": 91}, {"no_contact_below_threshold": 41}, {"threshold": None}]
+    rows = [tuple((good | counts | f | {"fault": i}).values()) for i, f in enumerate(faults)]
+    kinds = {"threshold": "double", "run_id": "string", "policy_id": "string", "model_name": "string", "snapshot_at": "string", "decided_at": "string"}
+    made = spark.createDataFrame(rows, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in (good | counts | {"fault": 0})))
+    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("snapshot_at", "decided_at")})
+
+
+def broken_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A run and decisions of which some have an unknown reason, one that does not fit, or belong to no run."""
+    audit, made = runs(spark, sf_dir)
+    e = F.col("entity_id")
+    odd = made.withColumns({"reason": F.when(e % 5 == 0, F.lit("unknown")).when(e % 7 == 0, F.lit("active_case_open")).otherwise(F.col("reason")), "run_id": F.when(e % 11 == 0, F.lit("act_ffffffffffffffffffffffff")).otherwise(F.col("run_id"))})
+    return audit, materialise(odd, "broken-decisions")
 
 
 def batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Training rows, scoring rows, and predictions for the latter by a fixed rule."""
-    rows = base.split_features(spark, sf_dir)
+    """Training rows, scoring rows, and predictions for the latter by a fixed rule; features are computed once and kept."""
     p = F.col("late_days") / F.lit(14.0)
-    with_p = rows.withColumns({"probability": p, "is_high": p >= demo.THRESHOLD, "threshold": F.lit(demo.THRESHOLD), "model_name": F.lit("rule")})
+    rows = base.split_features(spark, sf_dir).filter("dataset_split IN ('train', 'scoring')")
+    with_p = materialise(rows.withColumns({"probability": p, "is_high": p >= demo.THRESHOLD, "threshold": F.lit(demo.THRESHOLD), "model_name": F.lit("rule")}), "batch")
     return with_p.filter("dataset_split = 'train'"), with_p.filter("dataset_split = 'scoring'"), with_p.filter("dataset_split = 'scoring'").select("entity_id", "prediction_date", "probability", "is_high", "threshold", "model_name")
 
 
@@ -86,7 +145,8 @@ def model_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, scoring, preds = batch(spark, sf_dir)
-    return rounded(monitor.monitoring_run(train, scoring, preds, train, NUMERIC, {"latest_type": TYPES}, {"rows": 1050, "entities": 150, "days": 7}))
+    policy, frozen = MonitoringPolicy(expected_rows=1050, expected_entities=150, expected_days=7), FrozenModel("rule", demo.THRESHOLD, (*NUMERIC, "latest_type"))
+    return rounded(monitor.monitoring_run(train, scoring, preds, train, NUMERIC, {"latest_type": TYPES}, policy, frozen, "run", demo.DECISION_TIME))
 
 
 def _model(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
@@ -132,20 +192,24 @@ QUERIES = {
     "ingest_audit": ingested,
     "ingest_conflicts": lambda s, d: activate.conflicts(decisions(s, d), decisions(s, d).withColumn("reason", F.when(F.col("entity_id") % 7 == 0, F.lit("changed")).otherwise(F.col("reason"))), ["entity_id", "prediction_date"]),
     "context_checks": lambda s, d: activate.context_errors(demo.contact_context(s, d), demo.DECISION_TIME),
-    "daily_summary": lambda s, d: rounded(views(s, d)["daily_summary"]),
-    "risk_distribution": lambda s, d: rounded(views(s, d)["risk_distribution"]),
-    "observed_outcomes": lambda s, d: rounded(views(s, d)["observed_outcomes"]),
-    "run_summary": lambda s, d: no_time(rounded(views(s, d)["run_summary"])),
-    "outcome_summary": lambda s, d: rounded(views(s, d)["outcome_summary"]),
-    "reason_summary": lambda s, d: rounded(views(s, d)["reason_summary"]),
-    "selection_summary": lambda s, d: rounded(views(s, d)["selection_summary"]),
+    "daily_summary": lambda s, d: rounded(view(s, d, "daily_summary")),
+    "risk_distribution": lambda s, d: rounded(view(s, d, "risk_distribution")),
+    "observed_outcomes": lambda s, d: rounded(view(s, d, "observed_outcomes")),
+    "run_summary": lambda s, d: no_time(rounded(view(s, d, "run_summary"))),
+    "outcome_summary": lambda s, d: rounded(view(s, d, "outcome_summary")),
+    "reason_summary": lambda s, d: rounded(view(s, d, "reason_summary")),
+    "selection_summary": lambda s, d: rounded(view(s, d, "selection_summary")),
     "empty_run_summary": lambda s, d: aggregates.run_summary(runs(s, d)[0].filter("source_rows < 0")).select("view_state", "run_id"),
-    "suppressed_cells": lambda s, d: aggregates.suppress_small_cells(rounded(views(s, d)["risk_distribution"]), "band_rows", ["share_of_day", "entities"], 20).select("prediction_date", "risk_band", "band_rows", "entities", "share_of_day", "is_suppressed", "suppression_label"),
-    "lineage": lambda s, d: no_time(sources(s, d)),
+    "suppressed_cells": lambda s, d: aggregates.suppress_small_cells(rounded(view(s, d, "risk_distribution")), "band_rows", ["share_of_day", "entities"], 20).select("prediction_date", "risk_band", "band_rows", "entities", "share_of_day", "is_suppressed", "suppression_label"),
+    "lineage": lambda s, d: lineage_of(s, d, True),
+    "lineage_gap": lambda s, d: lineage_of(s, d, False),
+    "daily_summary_faults": lambda s, d: rounded(aggregates.scoring_daily_summary(broken_predictions(s, d))),
+    "run_summary_faults": lambda s, d: no_time(rounded(aggregates.run_summary(broken_runs(s)))).select("fault", "run_id", "reconciled_rows", "capacity_use", "invalid_reason", "is_valid"),
+    "reason_summary_faults": lambda s, d: rounded(aggregates.reason_summary(*broken_decisions(s, d))),
     "source_files": lambda s, d: file_facts(s, "events", f"{d}/events.parquet").select("table_name", "row_count", "file_count"),
     "quality_status": status,
     "model_monitoring": model_checks,
-    "governance_monitoring": lambda s, d: monitor.governance_monitoring({k: v for k, v in views(s, d).items() if k in ("run_summary", "outcome_summary", "reason_summary", "selection_summary")}, status(s, d), sources(s, d)),
+    "governance_monitoring": governed,
     "monitoring_run": run_checks,
     "panel_checks": lambda s, d: rounded(quality.run_checks(base.staged(s, d), quality.panel_rules({"last_type": TYPES}))),
     "label_checks": lambda s, d: quality.run_checks(quality.with_rows_after(base.labelled(s, d)), quality.label_rules()),
@@ -154,7 +218,7 @@ QUERIES = {
     "prediction_checks": lambda s, d: quality.run_checks(demo.predictions(s, d), quality.prediction_rules(demo.THRESHOLD)).select("check_name", "passed"),
     "evaluation_checks": lambda s, d: quality.run_checks(evaluate.evaluate_binary(demo.scored_events(s, d), 0.467), quality.evaluation_rules()).select("check_name", "passed"),
     "decision_checks": lambda s, d: quality.run_checks(decisions(s, d), quality.decision_rules(POLICY.capacity)),
-    "view_checks": lambda s, d: rounded(quality.run_checks(views(s, d)["risk_distribution"], quality.view_rules("share_of_day", 30)), 9),
+    "view_checks": lambda s, d: rounded(quality.run_checks(view(s, d, "risk_distribution"), quality.view_rules("share_of_day", 30)), 9),
     "duplicate_keys": lambda s, d: quality.duplicate_keys(demo.table(s, d, "events").select("user_id", F.col("ts").cast("date").alias("day")), ["user_id", "day"]),
     "category_shares": lambda s, d: rounded(quality.category_shares(demo.table(s, d, "events"), "user_id", ["event_type"])),
     "numeric_summary": lambda s, d: rounded(quality.numeric_summary(base.staged(s, d), ["amount", "sessions", "purchase_amount"]), 4),
@@ -172,7 +236,7 @@ PREDS = DAILY + """,
 preds AS (SELECT user_id AS entity_id, activity_date AS prediction_date, k / 100.0::double AS probability, k / 100.0::double >= 0.467::double AS is_high, 'demo' AS model_name, 0.467::double AS threshold FROM daily)"""
 DECIDED = PREDS + """,
 context AS (SELECT c_custkey AS entity_id, c_custkey % 10 <> 0 AS allowed, c_custkey % 10 <> 0 AND c_custkey % 13 = 0 AS opted_out, c_custkey % 7 = 0 AS open_case,
-  CASE WHEN c_custkey % 3 <> 0 THEN timestamp '2024-02-06' - to_days((1 + c_custkey % 15)::int) END AS last_contact, c_custkey % 4 AS interventions FROM customer WHERE c_custkey < 150 AND c_custkey % 11 <> 0),
+  CASE WHEN c_custkey % 3 <> 0 THEN timestamp '2024-02-06' - to_days((1 + c_custkey % 15)::int) END AS last_contact, c_custkey % 4 AS interventions FROM customer WHERE c_mktsegment <> 'MACHINERY'),
 ladder AS (SELECT p.*, CASE WHEN prediction_date < max(prediction_date) OVER (PARTITION BY p.entity_id) THEN 'superseded_by_latest_prediction' WHEN probability < threshold THEN 'below_frozen_threshold'
   WHEN c.entity_id IS NULL THEN 'missing_activation_context' WHEN NOT allowed THEN 'contact_not_permitted' WHEN opted_out THEN 'member_opted_out' WHEN date '2024-02-06' - prediction_date > 7 THEN 'prediction_too_old'
   WHEN open_case THEN 'active_case_open' WHEN timestamp '2024-02-06' < last_contact + interval 7 day THEN 'contact_cooldown_active' WHEN interventions >= 2 THEN 'prior_intervention_limit_reached' END AS early
@@ -203,8 +267,8 @@ HALVES = """
 ev AS (SELECT ts::date < date '2024-01-16' AS is_ref, value, k::double AS k, CASE WHEN k % 10 <> 0 THEN k END::double AS sparse, 1.0::double AS constant, event_type FROM (SELECT *, json_extract_string(props, '$.k')::integer AS k FROM events))"""
 NUMERIC_BINS = HALVES + """,
 long AS (SELECT is_ref, unnest(['value', 'k', 'sparse', 'constant']) AS feature, unnest([value, k, sparse, constant]) AS v FROM ev),
-quantiles AS (SELECT feature, list_sort(list_distinct(quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS q FROM long WHERE is_ref AND v IS NOT NULL GROUP BY feature),
-edges AS (SELECT feature, CASE WHEN len(q) = 1 THEN [q[1] + 2.220446049250313e-16] ELSE q[2:-2] END AS edges FROM quantiles),
+quantiles AS (SELECT feature, quantile_cont(v, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS q FROM long WHERE is_ref AND v IS NOT NULL GROUP BY feature),
+edges AS (SELECT feature, CASE WHEN q[1] = q[11] THEN [q[1] + 2.220446049250313e-16] ELSE list_sort(list_distinct(q[2:10])) END AS edges FROM quantiles),
 placed AS (SELECT l.feature, is_ref, CASE WHEN v IS NULL THEN len(edges) + 1 ELSE len(list_filter(edges, lambda e: e <= v)) END AS bin FROM long l JOIN edges USING (feature)),
 grid AS (SELECT feature, unnest(range(0, len(edges) + 2)) AS bin FROM edges),
 binned AS (SELECT g.feature, g.bin::int AS bin, count(*) FILTER (is_ref) AS ref, count(*) FILTER (NOT is_ref) AS cur FROM grid g LEFT JOIN placed p ON p.feature = g.feature AND p.bin = g.bin GROUP BY g.feature, g.bin)"""
@@ -229,6 +293,54 @@ def _between(name: str, observed: str, low: str, high: str, table: str) -> str:
 
 _REASON_MAP = "CASE reason " + " ".join(f"WHEN '{r}' THEN '{o}'" for r, o in activate.REASONS.items()) + " END"
 _COMMON = "FROM run CROSS JOIN"
+LINEAGE = """
+SELECT s.*, CASE WHEN freshness = 'missing' THEN 'table_missing' END AS invalid_reason, freshness <> 'missing' AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM (
+SELECT 'events' AS source_name, count(*) AS row_count, max(ts)::date AS latest_business_date, true AS table_present, CASE WHEN date '2024-02-06' - max(ts)::date > 7 THEN 'historical_snapshot' ELSE 'available' END AS freshness, 1 AS file_count FROM events
+UNION ALL SELECT 'orders', count(*), max(o_orderdate)::date, true, CASE WHEN date '2024-02-06' - max(o_orderdate)::date > 7 THEN 'historical_snapshot' ELSE 'available' END, 1 FROM orders
+UNION ALL SELECT 'lineitem', count(*), max(l_shipdate)::date, true, CASE WHEN date '2024-02-06' - max(l_shipdate)::date > 7 THEN 'historical_snapshot' ELSE 'available' END, 1 FROM lineitem
+UNION ALL SELECT 'customer', count(*), NULL, true, 'available', 1 FROM customer UNION ALL SELECT 'part', count(*), NULL, true, 'available', 1 FROM part UNION ALL SELECT 'supplier', count(*), NULL, true, 'available', 1 FROM supplier
+UNION ALL {runs}) s"""
+#: Rows of each governed view as the tables and the rules of the views make them, and the faults that the run's counts show.
+ASSETS = f"WITH {FEATURES}" + RUN.removeprefix(DAILY) + """,
+labelled_days AS (SELECT count(DISTINCT prediction_date) AS n FROM features WHERE will_miss IS NOT NULL), scored_days AS (SELECT count(DISTINCT prediction_date) AS n FROM preds),
+faults AS (SELECT count_if(probability IS NULL OR probability NOT BETWEEN 0 AND 1 OR is_high IS DISTINCT FROM (probability >= threshold)) + count(*) - count(DISTINCT (entity_id, prediction_date)) AS odd FROM preds),
+audit AS (SELECT count_if(NOT (selected_for_review <= capacity AND source_rows - no_contact_superseded = entities)) AS odd FROM run),
+assets AS (SELECT 'daily_summary' AS asset, s.n AS row_count, CASE WHEN f.odd > 0 THEN s.n ELSE 0 END AS invalid_rows, 'events' AS source FROM scored_days s, faults f
+UNION ALL SELECT 'risk_distribution', 5 * s.n, CASE WHEN f.odd > 0 THEN 5 * s.n ELSE 0 END, 'events' FROM scored_days s, faults f UNION ALL SELECT 'observed_outcomes', n, 0, 'events' FROM labelled_days
+UNION ALL SELECT 'run_summary', 1, odd, NULL FROM audit UNION ALL SELECT 'outcome_summary', (SELECT 6 * count(*) FROM run), 0, NULL UNION ALL SELECT 'reason_summary', (SELECT 11 * count(*) FROM run), 0, NULL
+UNION ALL SELECT 'selection_summary', (SELECT 4 * count(*) FROM run), 0, NULL UNION ALL SELECT 'lineage', 7, 0, NULL)"""
+QUALITY = ASSETS + """
+SELECT asset, row_count, invalid_rows, invalid_rows AS reason_rows, 0 AS metadata_missing, 0 AS empty_state_rows, CASE WHEN source IS NOT NULL THEN true END AS lineage_valid, CASE WHEN source IS NULL THEN 'not_tracked' ELSE 'available' END AS freshness,
+CASE WHEN row_count = 0 THEN 'no_rows' WHEN invalid_rows > 0 THEN 'invalid_rows' END AS first_reason, CASE WHEN row_count = 0 OR invalid_rows > 0 THEN 'fail' ELSE 'pass' END AS status FROM assets"""
+GOVERNANCE = ASSETS + """,
+g AS (SELECT count(*) FILTER (row_count > 0 AND invalid_rows = 0) AS passing, count(*) AS n FROM assets),
+c AS (SELECT 1 AS check_order, 'empty_state_validity' AS check_name, count_if(row_count = 0)::double AS observed, 0.0 AS expected, CASE WHEN count_if(row_count = 0) = 0 THEN 'pass' ELSE 'critical' END AS severity FROM assets WHERE asset IN ('run_summary', 'outcome_summary', 'reason_summary', 'selection_summary')
+UNION ALL SELECT 2, 'assets_pass', passing::double, 8.0, CASE WHEN passing = 8 AND n = 8 THEN 'pass' ELSE 'critical' END FROM g UNION ALL SELECT 3, 'lineage_complete', 7.0, 7.0, 'pass')
+SELECT *, CASE WHEN bool_or(severity = 'critical') OVER () THEN 'critical' ELSE 'pass' END AS overall_severity FROM c"""
+FAULTS = f"WITH {PREDS}" + """,
+changed AS (SELECT entity_id, prediction_date, CASE WHEN entity_id % 7 = 0 THEN NULL WHEN entity_id % 11 = 0 THEN 1.5 ELSE probability END AS probability, CASE WHEN entity_id % 13 = 0 THEN NOT is_high ELSE is_high END AS is_high, threshold FROM preds),
+broken AS (SELECT * FROM changed UNION ALL SELECT * FROM changed WHERE entity_id % 17 = 0),
+told AS (SELECT count(*) AS source_rows, count_if(probability IS NULL)::bigint AS null_p, count_if(probability NOT BETWEEN 0 AND 1)::bigint AS out_of_range_p, count_if(is_high IS DISTINCT FROM (probability >= threshold))::bigint AS threshold_mismatch, (count(*) - count(DISTINCT (entity_id, prediction_date)))::bigint AS duplicate_keys FROM broken),
+days AS (SELECT prediction_date, count(*) AS scored_rows, count(DISTINCT entity_id) AS entities, round(avg(probability), 6) AS mean_probability, count(*) FILTER (is_high) AS high_rows, round(count(*) FILTER (is_high) / count(*)::double, 6) AS high_rate FROM broken GROUP BY 1),
+judged AS (SELECT *, CASE WHEN source_rows = 0 THEN 'empty_source' WHEN null_p > 0 THEN 'null_probability' WHEN out_of_range_p > 0 THEN 'probability_out_of_range' WHEN threshold_mismatch > 0 THEN 'threshold_mismatch' WHEN duplicate_keys > 0 THEN 'duplicate_keys' END AS invalid_reason FROM days, told)
+SELECT *, invalid_reason IS NULL AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM judged"""
+RUN_FAULTS = """
+WITH faults AS (SELECT unnest(range(15)) AS fault),
+r AS (SELECT fault, CASE fault WHEN 1 THEN NULL WHEN 2 THEN 'run-1' ELSE 'act_000000000000000000000000' END AS run_id, CASE WHEN fault = 3 THEN NULL ELSE 'p' END AS policy, CASE WHEN fault = 4 THEN NULL ELSE 'm' END AS model,
+  CASE WHEN fault = 5 THEN NULL ELSE date '2024-02-02' END AS decided, CASE fault WHEN 6 THEN NULL WHEN 8 THEN date '2024-02-03' ELSE date '2024-02-01' END AS snapshot, CASE fault WHEN 7 THEN 1.5 WHEN 14 THEN NULL ELSE 0.5 END AS threshold,
+  CASE fault WHEN 9 THEN 0 WHEN 10 THEN 9 ELSE 10 END AS capacity, CASE WHEN fault = 11 THEN 14 ELSE 15 END AS eligible, CASE WHEN fault = 12 THEN 91 ELSE 90 END AS entities, CASE WHEN fault = 13 THEN 41 ELSE 40 END AS below, 100 AS source FROM faults),
+j AS (SELECT *, 10 + 10 + below + 20 + 15 + 5 AS total, CASE WHEN run_id IS NULL THEN 'run_id_missing' WHEN policy IS NULL THEN 'policy_missing' WHEN model IS NULL THEN 'model_missing' WHEN decided IS NULL THEN 'decision_time_missing' WHEN snapshot IS NULL THEN 'snapshot_missing'
+  WHEN NOT regexp_full_match(run_id, 'act_[0-9a-f]{24}') THEN 'run_id_malformed' WHEN threshold NOT BETWEEN 0 AND 1 THEN 'threshold_out_of_range' WHEN snapshot > decided THEN 'snapshot_after_decision' WHEN capacity < 1 THEN 'capacity_not_positive' WHEN 10 > capacity THEN 'capacity_exceeded'
+  WHEN eligible <> 10 + 5 THEN 'eligible_mismatch' WHEN source - 10 <> entities THEN 'entities_mismatch' WHEN 10 + 10 + below + 20 + 15 + 5 <> source THEN 'total_mismatch' END AS invalid_reason FROM r)
+SELECT fault, run_id, total AS reconciled_rows, round(10 / nullif(capacity, 0)::double, 6) AS capacity_use, invalid_reason, CASE WHEN invalid_reason IS NOT NULL THEN false WHEN threshold IS NULL THEN NULL ELSE true END AS is_valid FROM j"""
+REASON_FAULTS = f"WITH {RUN}, dim AS (SELECT * FROM (VALUES {_REASONS}) d(reason, outcome, reason_order))" + """,
+broken AS (SELECT entity_id, outcome, CASE WHEN entity_id % 5 = 0 THEN 'unknown' WHEN entity_id % 7 = 0 THEN 'active_case_open' ELSE reason END AS reason, CASE WHEN entity_id % 11 = 0 THEN 'act_ffffffffffffffffffffffff' ELSE 'act_0123456789abcdef01234567' END AS run_id FROM decided),
+own AS (SELECT * FROM broken WHERE run_id = 'act_0123456789abcdef01234567'), n AS (SELECT outcome, reason, count(*) AS rows FROM own GROUP BY ALL), o AS (SELECT outcome, count(*) AS outcome_rows FROM own GROUP BY 1),
+t AS (SELECT count_if(d.reason IS NULL)::bigint AS unexpected_rows, count_if(d.outcome <> own.outcome)::bigint AS mismatched_rows, count(*) AS decision_rows FROM own LEFT JOIN dim d ON d.reason = own.reason),
+f AS (SELECT run.run_id, dim.outcome, dim.reason, source_rows, reason_order, coalesce(n.rows, 0) AS rows, coalesce(outcome_rows, 0) AS outcome_rows, unexpected_rows, mismatched_rows, decision_rows, (SELECT count(*) FROM broken) - decision_rows AS orphan_rows
+  FROM run CROSS JOIN dim CROSS JOIN t LEFT JOIN n ON n.outcome = dim.outcome AND n.reason = dim.reason LEFT JOIN o ON o.outcome = dim.outcome),
+j AS (SELECT *, round(rows / nullif(source_rows, 0)::double, 6) AS share_of_run, round(rows / nullif(outcome_rows, 0)::double, 6) AS share_of_outcome, CASE WHEN orphan_rows > 0 THEN 'orphan_decisions' WHEN unexpected_rows > 0 THEN 'unexpected_reason' WHEN mismatched_rows > 0 THEN 'reason_outcome_mismatch' WHEN decision_rows <> source_rows THEN 'total_mismatch' END AS invalid_reason FROM f)
+SELECT *, invalid_reason IS NULL AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers, 'available' AS view_state FROM j"""
 SQL: dict[str, str] = {
     "numeric_psi": f"WITH {NUMERIC_BINS}, {PSI} SELECT feature, round(psi, 6) AS psi FROM psi",
     "psi_bins": f"WITH {NUMERIC_BINS} SELECT * FROM binned WHERE feature IN ('value', 'sparse')",
@@ -250,7 +362,11 @@ SQL: dict[str, str] = {
     "selection_summary": f"WITH {RUN}, dim AS (SELECT * FROM (VALUES {_CATEGORIES}) d(category, category_order)), n AS (SELECT category, count(*) AS rows FROM decided WHERE category IS NOT NULL GROUP BY 1) SELECT run_id, category, selected_for_review AS audited_selected, category_order, coalesce(n.rows, 0) AS rows, selected_for_review AS selected_rows, 0 AS missing_category, 0 AS unexpected_category, 0 AS leaked_category, 0 AS orphan_rows, round(coalesce(n.rows, 0) / selected_for_review::double, 6) AS share_of_selected, 'pending' AS review_status, {GOV}, 'available' AS view_state {_COMMON} dim LEFT JOIN n USING (category)",
     "empty_run_summary": "SELECT 'no_activation_runs' AS view_state, NULL::varchar AS run_id",
     "suppressed_cells": f"WITH {RISK} SELECT prediction_date, risk_band, CASE WHEN band_rows >= 20 THEN band_rows END AS band_rows, CASE WHEN band_rows >= 20 THEN entities END AS entities, CASE WHEN band_rows >= 20 THEN share_of_day END AS share_of_day, band_rows < 20 AS is_suppressed, CASE WHEN band_rows < 20 THEN 'fewer than 20' END AS suppression_label FROM risk",
-    "lineage": "SELECT s.*, CASE WHEN freshness = 'missing' THEN 'table_missing' END AS invalid_reason, freshness <> 'missing' AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM (SELECT 'events' AS source_name, count(*) AS row_count, max(ts)::date AS latest_business_date, true AS table_present, CASE WHEN date '2024-02-06' - max(ts)::date > 7 THEN 'historical_snapshot' ELSE 'available' END AS freshness FROM events UNION ALL SELECT 'orders', count(*), max(o_orderdate)::date, true, CASE WHEN date '2024-02-06' - max(o_orderdate)::date > 7 THEN 'historical_snapshot' ELSE 'available' END FROM orders UNION ALL SELECT 'customer', count(*), NULL, true, 'available' FROM customer UNION ALL SELECT 'runs', 0, NULL, false, 'missing') s",
+    "lineage": LINEAGE.format(runs="SELECT 'runs', 1, date '2024-02-06', true, 'available', NULL"),
+    "lineage_gap": LINEAGE.format(runs="SELECT 'runs', 0, NULL, false, 'missing', NULL"),
+    "daily_summary_faults": FAULTS,
+    "run_summary_faults": RUN_FAULTS,
+    "reason_summary_faults": REASON_FAULTS,
     "source_files": "SELECT 'events' AS table_name, count(*) AS row_count, 1 AS file_count FROM events",
     "panel_checks": f"WITH {PANEL} " + _zero("panel", {"null_keys": "entity_id IS NULL OR activity_date IS NULL", "missing_flag_disagrees": "is_missing IS DISTINCT FROM (purchase_amount IS NULL)", "outlier_flag_disagrees": "is_outlier IS DISTINCT FROM (amount > 20000)", "late_flag_disagrees": "is_late IS DISTINCT FROM (delay_days > 0)", "delay_out_of_range": "delay_days NOT BETWEEN 0 AND 3", "arrival_differs": "available_date IS DISTINCT FROM activity_date + delay_days", "negative_amount": "amount < 0", "goal_missing": "goal IS NULL", "last_type_outside_domain": "last_type NOT IN ('click', 'error', 'purchase', 'signup', 'view')"}) + " UNION ALL " + _between("rows", "count(*)", "1", "'inf'::double", "panel") + " UNION ALL " + _between("late_rate", "round(avg(is_late::int), 6)", "0", "1", "panel"),
     "label_checks": f"WITH {LABELLED}, after AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY activity_date DESC) - 1 AS rows_after FROM labelled) " + _zero("after", {"label_in_last_days": "rows_after < 7 AND will_miss IS NOT NULL", "label_missing_earlier": "rows_after >= 7 AND will_miss IS NULL", "label_disagrees": "will_miss = goal_met", "goal_met_disagrees": "(future_amount >= goal) <> goal_met"}),
@@ -278,8 +394,8 @@ SQL: dict[str, str] = {
     "unnest([n, entities, days, 0, 0, 0, 0, n, strftime(last, '%Y%m%d')::bigint, over1, over2])::double AS observed, unnest([1050, 150, 7, 0, 0, 0, 0, n, 20240130, 0, 0])::double AS expected FROM b), "
     "s AS (SELECT *, CASE WHEN observed = expected THEN 'pass' WHEN check_order > 9 THEN 'warning' ELSE 'critical' END AS severity FROM c) "
     "SELECT *, CASE WHEN bool_or(severity = 'critical') OVER () THEN 'critical' WHEN bool_or(severity = 'warning') OVER () THEN 'warning' ELSE 'pass' END AS overall_severity, severity <> 'critical' AS is_valid, CASE WHEN severity = 'critical' THEN check_name END AS invalid_reason, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM s",
-    "quality_status": f"WITH {FEATURES} SELECT unnest(['daily_summary', 'risk_distribution', 'observed_outcomes', 'run_summary', 'outcome_summary', 'reason_summary', 'selection_summary']) AS asset, unnest([(SELECT count(DISTINCT activity_date) FROM daily), (SELECT 5 * count(DISTINCT activity_date) FROM daily), (SELECT count(DISTINCT prediction_date) FROM features WHERE will_miss IS NOT NULL), 1, 6, 11, 4]) AS row_count, 0 AS invalid_rows, 0 AS reason_rows, 0 AS metadata_missing, 0 AS empty_state_rows, unnest([true, true, true, NULL, NULL, NULL, NULL]) AS lineage_valid, unnest(['available', 'available', 'available', 'not_tracked', 'not_tracked', 'not_tracked', 'not_tracked']) AS freshness, NULL::varchar AS first_reason, 'pass' AS status",
-    "governance_monitoring": "SELECT 1 AS check_order, 'empty_state_validity' AS check_name, 0.0 AS observed, 0.0 AS expected, 'pass' AS severity, 'critical' AS overall_severity UNION ALL SELECT 2, 'assets_pass', 7.0, 7.0, 'pass', 'critical' UNION ALL SELECT 3, 'lineage_complete', 3.0, 4.0, 'critical', 'critical'",
+    "quality_status": QUALITY,
+    "governance_monitoring": GOVERNANCE,
     "evaluation_checks": f"WITH {SWEEP}, {base.RANKING}, {base.TOP}, {base.WIDTH}, {base.AT}, e AS (SELECT *, (SELECT count(*) FROM scored) AS n, (SELECT avg(y::int) FROM scored) AS base_rate, (SELECT avg(p) FROM scored) AS mean_p, (SELECT avg(pow(p - y::int, 2)) FROM scored) AS brier FROM ranking, top, ece, standard) " + _zero("e", {"confusion_total_differs": "tp + fp + tn + fn <> n", "pr_auc_below_base_rate": "pr_auc <= base_rate", "lift_not_above_one": "lift <= 1", "ece_above_limit": "ece > 0.10"} | {f"{c}_out_of_range": f"{c} NOT BETWEEN 0 AND 1" for c in ("base_rate", "mean_p", "brier", "roc_auc", "pr_auc", "average_precision", "ece", "macro_f1", "accuracy")}, True),
     "view_checks": f"WITH {RISK} " + _zero("risk", {"invalid_rows": "source_rows = 0", "metadata_missing": "prediction_date IS NULL"}) + " UNION ALL " + _between("rows", "count(*)", "1", "'inf'::double", "risk") + " UNION ALL SELECT 'share_total', round(sum(band_rows / day_rows::double) / 30, 9), 1 - 1e-9, 1 + 1e-9, abs(sum(band_rows / day_rows::double) / 30 - 1) <= 1e-9 FROM risk",
 }

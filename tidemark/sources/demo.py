@@ -54,11 +54,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contact_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each entity that may be contacted or not."""
+    """One row for each customer whose contact rules are known: those of one market segment have none."""
     c, at = F.col("c_custkey"), F.lit(DECISION_TIME).cast("timestamp_ntz")
     allowed = c % 10 != 0
     last = at - F.make_dt_interval(days=(1 + c % 15).cast("int"))
-    return table(spark, sf_dir, "customer").filter((c < 150) & (c % 11 != 0)).select(
+    return table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != "MACHINERY").select(
         c.alias("entity_id"), allowed.alias("contact_allowed"), (allowed & (c % 13 == 0)).alias("opted_out"), (c % 7 == 0).alias("open_case"),
         F.when(c % 3 != 0, last).alias("last_contacted_at"), (c % 4).alias("interventions_28d"), at.alias("context_as_of"),
     )

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (tests) a local folder of our own."""
+    """spark.checkpoint.dir; where that is unset, a folder of our own in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.shared.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("tidemark.shared.dir", base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder so far; call it when the results have been stored elsewhere."""
+    jvm, deleted = spark._jvm, 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        deleted += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return deleted
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

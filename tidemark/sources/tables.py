@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,6 @@ def export_ordered(df: DataFrame, columns: list[str], renamed: dict[str, str], o
 
 def ordered_violations(df: DataFrame, order: list[str]) -> DataFrame:
     """Pairs of neighbouring rows, file by file, that break the order: an empty frame for a sound export."""
-    from pyspark.sql import Window
-
     files = df.withColumn("file", F.col("_metadata.file_path")).withColumn("at", F.monotonically_increasing_id())
     here = F.struct(*order)
     before = F.lag(here).over(Window.partitionBy("file").orderBy("at"))
@@ -43,7 +41,7 @@ def write_both(df: DataFrame, path: str) -> None:
 
 
 def both_agree(spark: SparkSession, path: str) -> DataFrame:
-    """One row: whether the two formats have equal columns, row counts and rows."""
+    """One row: whether the two formats have equal columns, row counts and rows; with equal counts one difference of rows is enough."""
     kept = spark.read.parquet(f"{path}/parquet")
     text = spark.read.option("header", True).schema(kept.schema).csv(f"{path}/csv")
     header = spark.read.option("header", True).csv(f"{path}/csv").columns
@@ -54,8 +52,29 @@ def both_agree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, partition: str, cluster: list[str], mode: str = "append") -> None:
-    """A table in one folder for each value of `partition`, rows near each other by `cluster`."""
-    df.repartition(partition).sortWithinPartitions(partition, *cluster).write.mode(mode).partitionBy(partition).parquet(path)
+    """A table in one folder for each value of `partition`, rows near each other by `cluster`; a large value has several writers."""
+    df.repartitionByRange(partition, *cluster).sortWithinPartitions(partition, *cluster).write.mode(mode).partitionBy(partition).parquet(path)
+
+
+def staged_load(df: DataFrame, schema: str, path: str) -> DataFrame:
+    """Replace the table at `path` by df, cast to an explicit schema in its order; a value that can't be cast is an error."""
+    fields = T._parse_datatype_string(schema).fields
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def publish(views: dict[str, DataFrame]) -> None:
+    """Register frames as views of the session, so that SQL can name them."""
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)
+
+
+def edge_rows(df: DataFrame, entity: str, order: str, n: int) -> DataFrame:
+    """The first and last n rows of each entity, with `edge`: first or last; a row may be both."""
+    ahead, back = Window.partitionBy(entity).orderBy(order), Window.partitionBy(entity).orderBy(F.desc(order))
+    placed = df.withColumns({"_ahead": F.row_number().over(ahead), "_back": F.row_number().over(back)})
+    edges = F.array_compact(F.array(F.when(F.col("_ahead") <= n, F.lit("first")), F.when(F.col("_back") <= n, F.lit("last"))))
+    return placed.withColumn("edge", F.explode(edges)).drop("_ahead", "_back")
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
