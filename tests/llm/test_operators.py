@@ -368,6 +368,19 @@ def test_mixing_budgets(spark):
     assert all(taken[r.doc_id] == r.taken for r in got)
 
 
+def test_mixing_judges_rows_and_not_ids(spark):
+    texts = [words(n % 17 + 1, n) for n in range(90)]
+    ids = [n if n < 40 else (7 if n < 60 else None) for n in range(90)]
+    docs = frame(spark, texts, ids=ids, sources=["ab"[n % 2] for n in range(90)]).withColumns({c: F.lit("mine") for c in ("_taken", "_size", "_copy", "number", "copy", "taken", "row")})
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and {r._taken for r in mixed.collect()} == {"mine"}
+    targets = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = Counter()
+    for r in mixed.collect():
+        got[r.source] += len(WORD.findall(r.text))
+    assert got == {s: int(t) for s, t in targets.items()}
+
+
 def test_archives(spark):
     big = "<p>" + words(60, 1) + "</p>"
     data = [(3, "http://a", big), (1, "http://b", big), (2, None, "short"), (4, "u\r\nv", "short"), (5, "x", None), (6, "y", "é" * 60), (7, "z", big), (None, "n", big), (8, "q", "\r\n\r\nWARC/1.1\r\n" * 20)]
@@ -566,6 +579,16 @@ def test_quality_needs_held_out_documents_and_goes_by_row(spark):
     assert (None, texts[300]) not in got and (260, texts[301]) not in got and (260, texts[260]) in got
 
 
+def test_long_texts_are_taken_in_slices(spark, monkeypatch):
+    texts, labels = corpus(spark)
+    whole = {r.doc_id: r.cost for r in quality.perplexities(frame(spark, texts), quality.trusted_ids(labels)).collect()}
+    monkeypatch.setattr(quality, "AT_ONCE", 64)
+    monkeypatch.setattr(quality, "SHARD_BYTES", 3000)
+    sliced = {r.doc_id: r.cost for r in quality.perplexities(frame(spark, texts), quality.trusted_ids(labels)).collect()}
+    assert set(whole) == set(sliced) and all((whole[i] is None and sliced[i] is None) or abs(whole[i] - sliced[i]) < 1e-9 for i in whole)
+    assert quality.grams(b"abcdef" * 100).tolist() == np.concatenate(list(quality.slices("abcdef" * 100))).tolist()
+
+
 def test_quality_probabilities_are_kneser_ney(spark):
     texts, labels = corpus(spark)
     df = frame(spark, texts)

@@ -45,8 +45,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Null text: size 0, taken 0. Null source: a source of its own, last. Null doc_id: key of the empty id.
     Repeated rows: each counts. Ties in key: by doc_id, then size. Empty table: empty result.
     """
+    return _taken(docs.select("doc_id", "source", "text"), weights, share, cap, seed).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: str = "mix", also: tuple[str, ...] = ()) -> DataFrame:
+    """See mix; docs has the columns doc_id, source, text and those of `also`, which are kept."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = materialise(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")), "mix-sizes")
+    sized = materialise(docs.select("doc_id", "source", *also, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")), "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, cap), "mix-targets")
     ranges = F.ceil(F.sqrt("n"))
     at = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * ranges)
@@ -54,30 +59,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     starts = rows.groupBy("source_rank", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source_rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("source_rank", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("source_rank", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_rank", "range").orderBy("key", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_rank", "range"])
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size") - F.col("range_start") - F.col("start")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.withColumn("taken", taken.cast("long"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, with docs' own columns: each row as often as whole epochs take it, and once more, cut
     to the words the budget still reaches, where it is taken in part. Rows of which nothing is taken go, but rows
-    without words stay once, as they cost nothing. doc_id must identify a row; repeats of an id are each judged alike.
+    without words stay once, as they cost nothing.
+
+    The rows are numbered and kept, and each is judged by its number, so that repeated and null ids are rows like others and a source's budget
+    is met exactly; equal rows are taken in the order of their numbers. Other columns may have any name.
     """
-    taken = mix(docs, **how).groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.ceil(F.col("_taken") / F.col("_size")))
-    rows = joined.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    reach = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut = F.concat_ws(" ", F.slice(words(F.col("text")), F.lit(1), F.greatest(reach, F.lit(0)).cast("int")))
-    text = F.when((F.col("_size") > 0) & (reach < F.col("_size")), cut).otherwise(F.col("text"))
-    n_chars = F.when((F.col("_size") > 0) & (reach < F.col("_size")), F.length(cut).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    out = {"text": text} | ({"n_chars": n_chars} if n_chars is not None else {})
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    numbered = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "mix-rows")
+    taken = _taken(numbered.select("row.doc_id", "row.source", "row.text", "number"), also=("number",), **how).select("number", "taken", "size")
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size")))
+    rows = numbered.join(taken, "number").filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    reach, whole = F.col("taken") - (F.col("copy") - 1) * F.col("size"), F.col("row.text")
+    cut = F.concat_ws(" ", F.slice(words(whole), F.lit(1), F.greatest(reach, F.lit(0)).cast("int")))
+    partial = (F.col("size") > 0) & (reach < F.col("size"))
+    out = {"text": F.when(partial, cut).otherwise(whole)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(partial, F.length(cut).cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*[(out[c] if c in out else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = """
