@@ -170,3 +170,15 @@ def model_matrix(frame: DataFrame, predictors: list[str], label: str, ids: tuple
     if leaked or missing or len(set(predictors)) != len(predictors):
         raise ValueError(f"predictors leak {leaked}, miss {missing}, or repeat")
     return frame.select(*ids, label, *predictors)
+
+
+def calendar_parts(df: DataFrame, time: str) -> DataFrame:
+    """df with the UTC time of `time`, text with an offset or a timestamp, and its date, day of year, ISO weekday and whether that is a weekend.
+
+    Text that is no time gives nulls.
+    """
+    at = F.col(time).try_cast("timestamp") if dict(df.dtypes)[time] == "string" else F.col(time).cast("timestamp")
+    utc = F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz"))
+    out = df.withColumn("utc_time", utc).withColumn("utc_date", F.col("utc_time").cast("date"))
+    weekday = F.weekday("utc_date") + 1
+    return out.withColumns({"day_of_year": F.dayofyear("utc_date"), "iso_weekday": weekday, "is_weekend": weekday >= 6})

@@ -139,6 +139,23 @@ def view_rules(share: str | None = None, groups: int | None = None) -> list[Rule
     return rules + ([Rule("share_total", F.sum(share) / groups, 1 - 1e-9, 1 + 1e-9)] if share else [])
 
 
+def suite_rules(rows: int, total: tuple[Column, float] | None = None, share: tuple[str, int] | None = None, codes: tuple[str, list[str]] | None = None) -> list[Rule]:
+    """Rules of a governed view against its source: how many rows it has, a total that reconciles, shares that sum to 1 in each of so many
+    groups, codes that are all there and no others; and rows that are valid and carry their metadata."""
+    rules = [Rule("rows", F.count(F.lit(1)), rows, rows), none("invalid_rows", ~F.col("is_valid").eqNullSafe(True)), none("reasons", F.col("invalid_reason").isNotNull())]
+    rules += [none("metadata_missing", F.col("data_status").isNull() | F.col("intended_use").isNull() | F.col("contains_identifiers").isNull())]
+    rules += [Rule("total", F.coalesce(total[0], F.lit(0)), total[1], total[1])] if total else []
+    rules += [Rule("share_total", F.round(F.sum(share[0]) / share[1], 9), 1 - 1e-9, 1 + 1e-9)] if share else []
+    if codes:
+        rules += [none("unknown_code", ~F.col(codes[0]).isin(codes[1])), Rule("codes", F.count_distinct(codes[0]), len(codes[1]), len(codes[1]))]
+    return rules
+
+
+def empty_state_rules() -> list[Rule]:
+    """Rules of a view over no runs: one row, which says so and holds nothing else."""
+    return [Rule("rows", F.count(F.lit(1)), 1, 1), none("not_empty_state", ~F.col("view_state").eqNullSafe("no_activation_runs")), none("fabricated", F.col("run_id").isNotNull())]
+
+
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, missing_rate, one pass."""
     return df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns]).unpivot([], columns, "column_name", "missing_rate")

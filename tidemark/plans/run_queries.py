@@ -63,13 +63,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return aggregates.scoring_daily_summary(preds) if name == "daily_summary" else aggregates.risk_distribution(preds)
     if name == "observed_outcomes":
         return aggregates.observed_outcomes(base.features(spark, sf_dir))
-    return run_views(spark, sf_dir)[name]
+    audit, made = runs(spark, sf_dir)
+    return run_views(materialise(audit, "audit"), made)[name]
 
 
-def run_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four views over the run and its decisions."""
-    audit, made = runs(spark, sf_dir)
-    audit = materialise(audit, "audit")
+def run_views(audit: DataFrame, made: DataFrame) -> dict[str, DataFrame]:
+    """The four views over the runs and their decisions."""
     over = {"outcome_summary": aggregates.outcome_summary, "reason_summary": aggregates.reason_summary, "selection_summary": aggregates.selection_summary}
     return {"run_summary": aggregates.run_summary(audit)} | {n: make(audit, made) for n, make in over.items()}
 
@@ -88,22 +87,46 @@ def lineage_of(spark: SparkSession, sf_dir: str, complete: bool) -> DataFrame:
 
 
 def status(spark: SparkSession, sf_dir: str, found: dict[str, DataFrame] | None = None) -> DataFrame:
-    found = found or all_views(spark, sf_dir)
+    found = found or all_views(spark, sf_dir)[0]
     return aggregates.quality_status(found, found["lineage"], {"daily_summary": "events", "risk_distribution": "events", "observed_outcomes": "events"})
 
 
-def all_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The eight governed views, the lineage among them, each kept, as status and governance refer to them several times."""
-    found = {n: view(spark, sf_dir, n) for n in ("daily_summary", "risk_distribution", "observed_outcomes")} | run_views(spark, sf_dir)
-    found["lineage"] = sources(spark, sf_dir, runs(spark, sf_dir)[0])
-    return {n: materialise(v, n) for n, v in found.items()}
+def all_views(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The eight governed views, the lineage among them, each kept, as status and governance refer to them several times; and the audit."""
+    audit, made = runs(spark, sf_dir)
+    audit = materialise(audit, "audit")
+    found = {n: view(spark, sf_dir, n) for n in ("daily_summary", "risk_distribution", "observed_outcomes")} | run_views(audit, made)
+    found["lineage"] = sources(spark, sf_dir, audit)
+    return {n: materialise(v, n) for n, v in found.items()}, audit
 
 
 def governed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = all_views(spark, sf_dir)
+    found, _ = all_views(spark, sf_dir)
     return monitor.governance_monitoring({k: found[k] for k in ("run_summary", "outcome_summary", "reason_summary", "selection_summary")}, status(spark, sf_dir, found), found["lineage"])
 
 
+def view_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of all governed views against their sources, and of an empty one."""
+    found, audit = all_views(spark, sf_dir)
+    scored = demo.predictions(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prediction_date").alias("days")).first()
+    known = base.features(spark, sf_dir).filter("will_miss IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("prediction_date").alias("days")).first()
+    run = audit.agg(F.count(F.lit(1)).alias("n"), F.sum("source_rows").alias("rows"), F.sum("selected_for_review").alias("selected")).first()
+    total = lambda c: F.sum(c)
+    rules = {
+        "daily_summary": quality.suite_rules(scored.days, (total("scored_rows"), scored.n)),
+        "risk_distribution": quality.suite_rules(5 * scored.days, (total("band_rows"), scored.n), ("share_of_day", scored.days), ("risk_band", list(aggregates.BANDS))),
+        "observed_outcomes": quality.suite_rules(known.days, (F.sum(F.col("missed") + F.col("met")), known.n)),
+        "run_summary": quality.suite_rules(run.n, (total("reconciled_rows"), run.rows)),
+        "outcome_summary": quality.suite_rules(6 * run.n, (total("rows"), run.rows), ("share_of_run", run.n), ("outcome", list(activate.OUTCOMES))),
+        "reason_summary": quality.suite_rules(11 * run.n, (total("rows"), run.rows), ("share_of_run", run.n), ("reason", list(activate.REASONS))),
+        "selection_summary": quality.suite_rules(4 * run.n, (total("rows"), run.selected), None, ("category", list(activate.CATEGORIES))),
+        "lineage": quality.suite_rules(monitor.LINEAGE_ROWS),
+    }
+    checks = [quality.run_checks(found[n], r).withColumn("view_name", F.lit(n)) for n, r in rules.items()]
+    empty = quality.run_checks(aggregates.run_summary(audit.filter("source_rows < 0")), quality.empty_state_rules()).withColumn("view_name", F.lit("empty_run_summary"))
+    return reduce(DataFrame.unionByName, [*checks, empty])
+
+
 def broken_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions with every fault: null and too large probabilities, flags that disagree, and a repeated key for some entities."""
     e, p = F.col("entity_id"), F.col("probability")
@@ -203,6 +226,7 @@ QUERIES = {
     "suppressed_cells": lambda s, d: aggregates.suppress_small_cells(rounded(view(s, d, "risk_distribution")), "band_rows", ["share_of_day", "entities"], 20).select("prediction_date", "risk_band", "band_rows", "entities", "share_of_day", "is_suppressed", "suppression_label"),
     "lineage": lambda s, d: lineage_of(s, d, True),
     "lineage_gap": lambda s, d: lineage_of(s, d, False),
+    "view_suites": view_suites,
     "daily_summary_faults": lambda s, d: rounded(aggregates.scoring_daily_summary(broken_predictions(s, d))),
     "run_summary_faults": lambda s, d: no_time(rounded(aggregates.run_summary(broken_runs(s)))).select("fault", "run_id", "reconciled_rows", "capacity_use", "invalid_reason", "is_valid"),
     "reason_summary_faults": lambda s, d: rounded(aggregates.reason_summary(*broken_decisions(s, d))),
@@ -317,6 +341,16 @@ g AS (SELECT count(*) FILTER (row_count > 0 AND invalid_rows = 0) AS passing, co
 c AS (SELECT 1 AS check_order, 'empty_state_validity' AS check_name, count_if(row_count = 0)::double AS observed, 0.0 AS expected, CASE WHEN count_if(row_count = 0) = 0 THEN 'pass' ELSE 'critical' END AS severity FROM assets WHERE asset IN ('run_summary', 'outcome_summary', 'reason_summary', 'selection_summary')
 UNION ALL SELECT 2, 'assets_pass', passing::double, 8.0, CASE WHEN passing = 8 AND n = 8 THEN 'pass' ELSE 'critical' END FROM g UNION ALL SELECT 3, 'lineage_complete', 7.0, 7.0, 'pass')
 SELECT *, CASE WHEN bool_or(severity = 'critical') OVER () THEN 'critical' ELSE 'pass' END AS overall_severity FROM c"""
+SUITES = f"WITH {FEATURES}" + RUN.removeprefix(DAILY) + """,
+p AS (SELECT count(*) AS n, count(DISTINCT prediction_date) AS days, count_if(probability IS NULL OR probability NOT BETWEEN 0 AND 1) AS odd FROM preds),
+l AS (SELECT count(*) AS n, count(DISTINCT prediction_date) AS days FROM features WHERE will_miss IS NOT NULL), d AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'selected_for_review') AS selected FROM decided),
+v AS (SELECT 'daily_summary' AS view_name, days AS rows, n AS total, NULL AS codes, false AS shares FROM p UNION ALL SELECT 'risk_distribution', 5 * days, n, 5, true FROM p UNION ALL SELECT 'observed_outcomes', days, n, NULL, false FROM l
+UNION ALL SELECT 'run_summary', 1, n, NULL, false FROM d UNION ALL SELECT 'outcome_summary', 6, n, 6, true FROM d UNION ALL SELECT 'reason_summary', 11, n, 11, true FROM d UNION ALL SELECT 'selection_summary', 4, selected, 4, false FROM d UNION ALL SELECT 'lineage', 7, NULL, NULL, false),
+c AS (SELECT view_name, 'rows' AS check_name, rows::double AS observed, rows::double AS low, rows::double AS high FROM v UNION ALL SELECT view_name, unnest(['invalid_rows', 'reasons', 'metadata_missing']), 0.0, 0.0, 0.0 FROM v
+UNION ALL SELECT view_name, 'total', total, total, total FROM v WHERE total IS NOT NULL UNION ALL SELECT view_name, 'share_total', 1.0, 1 - 1e-9, 1 + 1e-9 FROM v WHERE shares
+UNION ALL SELECT view_name, 'unknown_code', 0, 0, 0 FROM v WHERE codes IS NOT NULL UNION ALL SELECT view_name, 'codes', codes, codes, codes FROM v WHERE codes IS NOT NULL
+UNION ALL SELECT 'empty_run_summary', 'rows', 1, 1, 1 UNION ALL SELECT 'empty_run_summary', unnest(['not_empty_state', 'fabricated']), 0, 0, 0)
+SELECT *, observed BETWEEN low AND high AS passed FROM c"""
 FAULTS = f"WITH {PREDS}" + """,
 changed AS (SELECT entity_id, prediction_date, CASE WHEN entity_id % 7 = 0 THEN NULL WHEN entity_id % 11 = 0 THEN 1.5 ELSE probability END AS probability, CASE WHEN entity_id % 13 = 0 THEN NOT is_high ELSE is_high END AS is_high, threshold FROM preds),
 broken AS (SELECT * FROM changed UNION ALL SELECT * FROM changed WHERE entity_id % 17 = 0),
@@ -365,6 +399,7 @@ SQL: dict[str, str] = {
     "lineage": LINEAGE.format(runs="SELECT 'runs', 1, date '2024-02-06', true, 'available', NULL"),
     "lineage_gap": LINEAGE.format(runs="SELECT 'runs', 0, NULL, false, 'missing', NULL"),
     "daily_summary_faults": FAULTS,
+    "view_suites": SUITES,
     "run_summary_faults": RUN_FAULTS,
     "reason_summary_faults": REASON_FAULTS,
     "source_files": "SELECT 'events' AS table_name, count(*) AS row_count, 1 AS file_count FROM events",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, evaluate, model
+from tidemark.operators import aggregates, evaluate, model, panel
 from tidemark.plans.panel_queries import rounded
 from tidemark.sources import demo, tables
 from tidemark.sources.scratch import scratch
@@ -64,6 +64,13 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.usable(rows).groupBy("y").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the UTC day of a local time two hours ahead, given as text; some of the texts are no times."""
+    local = F.when(F.col("event_id") % 50 == 0, F.lit("unknown")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00")))
+    parts = panel.calendar_parts(demo.table(spark, sf_dir, "events").select(local.alias("local_time")), "local_time")
+    return parts.groupBy("utc_date", "day_of_year", "iso_weekday", "is_weekend").agg(F.count(F.lit(1)).alias("events"))
+
+
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL reads from a published view."""
     tables.publish({"tidemark_daily": aggregates.scoring_daily_summary(demo.predictions(spark, sf_dir))})
@@ -79,6 +86,7 @@ QUERIES = {
     "prediction_sink": sink,
     "prediction_summary": lambda s, d: rounded(model.prediction_summary(demo.predictions(s, d))),
     "text_labels": text_labels,
+    "calendar_parts": calendar,
     "published_view": published,
     "edge_rows": lambda s, d: tables.edge_rows(demo.raw_panel(s, d).select("entity_id", "date", "amount"), "entity_id", "date", 3),
 }
@@ -98,6 +106,9 @@ SQL = {
     + """SELECT count(*) AS row_count, count(DISTINCT entity_id) AS entity_count, min(prediction_date) AS first_date, max(prediction_date) AS last_date, count_if(is_high)::bigint AS high_count,
   round(count_if(is_high) / count(*)::double, 6) AS high_rate, round(min(probability), 6) AS min_probability, round(avg(probability), 6) AS mean_probability, round(max(probability), 6) AS max_probability FROM preds""",
     "text_labels": "SELECT value > 50 AS y, count(*) AS rows FROM events WHERE value > 10 AND (props->>'k') IS NOT NULL GROUP BY ALL",
+    "calendar_parts": """
+WITH e AS (SELECT CASE WHEN event_id % 50 <> 0 THEN (date_trunc('second', ts) - interval 2 hour)::date END AS utc_date FROM events)
+SELECT utc_date, dayofyear(utc_date)::int AS day_of_year, isodow(utc_date)::int AS iso_weekday, isodow(utc_date) >= 6 AS is_weekend, count(*) AS events FROM e GROUP BY ALL""",
     "published_view": _PREDS + "SELECT prediction_date, count(*) AS scored_rows, count_if(is_high)::bigint AS high_rows FROM preds GROUP BY prediction_date",
     "edge_rows": """
 WITH days AS (SELECT date '2024-01-01' + i::int AS date FROM range(30) r(i)), users AS (SELECT DISTINCT user_id AS entity_id FROM events),
