@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.pieces import Vocabulary, load, pieces_of, spelled
 
 #: Characters, whole texts, whose pieces are merged together: bounds what a task holds.
-AT_ONCE = 16_000_000
+AT_ONCE = 4_000_000
 
 
 def _rank(keys: np.ndarray, vocab: Vocabulary) -> np.ndarray:
