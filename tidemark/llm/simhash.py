@@ -122,8 +122,12 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray, least: floa
         size = np.array([len(x) for x in sets], np.int64)
     same = np.any([np.diff(c[order]) != 0 for c in columns], axis=0) if len(order) else np.zeros(0, bool)
     bucket, across = np.cumsum(np.r_[0, same])[: len(order)], (columns[2] != columns[3])[order]
-    first = np.unique(np.stack((bucket, node), axis=1), axis=0, return_index=True, return_inverse=True) if len(order) else None
-    root, pairs, waiting = first[1][first[2].ravel()] if len(order) else np.arange(0), [], 0
+    root, pairs, waiting = np.arange(len(order)), [], 0
+    alike = np.lexsort((node, bucket))  # rows of one part in a bucket start with one root
+    again = np.flatnonzero((np.diff(bucket[alike]) == 0) & (np.diff(node[alike]) == 0)) + 1
+    if len(again):
+        starts = np.setdiff1d(np.arange(len(order)), again, assume_unique=True)
+        root[alike] = np.repeat(np.minimum.reduceat(alike, starts), np.diff(np.r_[starts, len(order)]))
 
     def join() -> None:
         a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -138,6 +142,10 @@ def roots_of(group: pa.Table, distance: int, references: np.ndarray, least: floa
                 return
 
     active, step = np.arange(max(0, len(order) - 1)), 0
+    if len(again):  # a bucket of one part has nothing to link
+        begins = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
+        several = np.maximum.reduceat(root, begins) != np.minimum.reduceat(root, begins)
+        active = active[several[bucket[active]]]
     while len(active):
         step += 1
         active = active[active + step < len(order)]
