@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -318,7 +319,7 @@ def test_symbols_agree_inside_equal_passages():
         for side in range(2):
             text = " ".join([*(r.choice("abcd") for _ in range(r.randrange(9))), *shared, *(r.choice("abcd") for _ in range(r.randrange(9)))])
             at = len(text.split()) and next(i for i in range(len(text.split())) if text.split()[i : i + 13] == shared)
-            _, word, _, of = substring.word_hashes([text])
+            _, _, word, _, of = substring.word_hashes(pa.array([text], pa.large_string()))
             key, _, low, high = substring.inside(*substring.recompressed(word, of))
             assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
             inside = (low >= at) & (high <= at + 13)
@@ -328,22 +329,20 @@ def test_symbols_agree_inside_equal_passages():
 
 def test_symbols_decide_which_windows_go_on():
     """Windows are named by what recompression made of them: equal ones alike, and those of unshared symbols never."""
-    import pyarrow as pa
-
     passage, r = words(40, 3), random.Random(1)
     texts = [f"{words(r.randrange(3, 30), 50 + i)} {passage} {words(r.randrange(3, 30), 90 + i)} the the the" for i in range(6)]
     block = substring.Block(pa.table({"doc_id": list(range(6)), "text": texts}), 4)
     block.learn(0, block.twice[0])
     block.learn(1, block.twice[1])
     at, name, check = block.windows()
-    by = {}
+    by, every = {}, block.words.to_pylist()
     for p, n, c in zip(at.tolist(), name.tolist(), check.tolist(), strict=True):
-        own = tuple(w for f in block.words for w in f)[p : p + 13]
+        own = tuple(every[p : p + 13])
         assert by.setdefault((n, c), own) == own
     assert len(set(by.values())) == len(by)
-    every = Counter(tuple(f[k : k + 13]) for f in block.words for k in range(len(f) - 12))
-    repeated = {w for w, n in every.items() if n > 1}
-    assert repeated <= set(by.values()) and len(at) < 0.8 * sum(every.values())
+    windows = Counter(tuple(f[k : k + 13]) for f in map(str.split, texts) for k in range(len(f) - 12))
+    repeated = {w for w, n in windows.items() if n > 1}
+    assert repeated <= set(by.values()) and len(at) < 0.8 * sum(windows.values())
     block.levels[0] = (*block.levels[0][:4], np.zeros(len(block.levels[0][0]), bool))
     assert len(block.windows()[0]) < 0.1 * len(at)
 

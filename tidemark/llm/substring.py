@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -30,13 +31,18 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each text, two independent hashes of every word in a row, and the number of its text."""
-    found = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]  # bytes: only ASCII white space
-    coded = pa.array([w for f in found for w in f], pa.binary()).dictionary_encode()
-    distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
-    one, two = (np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))[at] for seed in (7, 8))
-    return found, one, two, np.repeat(np.arange(len(found)), [len(f) for f in found])
+def word_hashes(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts in a row, each text's number of them, two independent hashes of every word, and the number of its text."""
+    lists = pc.ascii_split_whitespace(texts)  # may give empty strings at a text's ends
+    parts = lists.flatten()
+    full = pc.greater(pc.binary_length(parts), 0)
+    before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    sizes = np.diff(before[np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]])
+    found = parts.filter(full)
+    coded = found.dictionary_encode()
+    raw = b"".join(xxhash.xxh3_128_digest(w, 7) for w in coded.dictionary.cast(pa.large_binary()).to_pylist())
+    hashes = np.frombuffer(raw, np.uint64).reshape(-1, 2)[coded.indices.to_numpy()] if len(coded) else np.zeros((0, 2), np.uint64)
+    return found, sizes, hashes[:, 0].copy(), hashes[:, 1].copy(), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def runs_of(word: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +119,8 @@ class Block:
         order = np.lexsort((np.arange(len(docs)), docs["doc_id"].fill_null(_NO_ID).to_numpy()))
         self.docs = docs.take(pa.array(order))
         self.ids = self.docs["doc_id"].fill_null(_NO_ID).to_numpy()
-        self.words, self.word, self.other, self.text = word_hashes(self.docs["text"].to_pylist())
+        texts = self.docs["text"].combine_chunks().cast(pa.large_string()).fill_null("")
+        self.words, self.sizes, self.word, self.other, self.text = word_hashes(texts)
         self.bucket_of = lambda names: (names % np.uint64(buckets)).astype(np.int64)
         self.levels = [inside(*recompressed(self.word, self.text))]
         self.names, self.twice = [None, None], [None, None]
@@ -284,14 +291,11 @@ def duplicate_words(docs: DataFrame) -> DataFrame:
         covered = np.zeros(len(block.word) + 1, np.int64)
         np.add.at(covered, at[gone], 1)
         np.add.at(covered, at[gone] + WINDOW, -1)
-        lost, start, out = np.cumsum(covered)[:-1] > 0, 0, ([], [], [])
-        for found in block.words:
-            off = lost[start : start + len(found)]
-            start += len(found)
-            out[0].append(len(found))
-            out[1].append(int(off.sum()))
-            out[2].append(b" ".join([w for w, o in zip(found, off.tolist(), strict=True) if not o] if off.any() else found))
-        return pa.table({"doc_id": block.docs["doc_id"], "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept": pa.array(out[2], pa.binary()).cast(pa.string(), safe=False)})
+        lost = np.cumsum(covered)[:-1] > 0
+        removed = np.bincount(block.text[lost], minlength=len(block.sizes)).astype(np.int64)
+        ends = pa.array(np.r_[0, np.cumsum(block.sizes - removed)], pa.int64())
+        kept = pc.binary_join(pa.LargeListArray.from_arrays(ends, block.words.filter(pa.array(~lost))), pa.scalar(" ", pa.large_string()))
+        return pa.table({"doc_id": block.docs["doc_id"], "n_words": pa.array(block.sizes, pa.int64()), "n_removed": pa.array(removed), "kept": kept.cast(pa.string())})
 
     shared = placed.applyInArrow(send_symbols, _SENT).groupBy("bucket").applyInArrow(judge(0), _BITS)
     shared = shared.union(placed.cogroup(shared.groupBy("block")).applyInArrow(send_pairs, _SENT).groupBy("bucket").applyInArrow(judge(1), _BITS))
