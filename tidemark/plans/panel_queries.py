@@ -107,7 +107,9 @@ hits AS (SELECT i / 1000.0::double AS threshold, count(*) FILTER (p >= i / 1000.
   FROM (SELECT p, y FROM scored), (SELECT unnest(range(0, 1001)) AS i) GROUP BY i),
 sweep AS (SELECT *, tp + fp AS predicted_positive, tp / nullif(tp + fp, 0)::double AS precision, tp / nullif(tp + fn, 0)::double AS recall, tn / nullif(tn + fp, 0)::double AS specificity,
   (tp + tn) / nullif(tp + fp + tn + fn, 0)::double AS accuracy, 2 * tp / nullif(2 * tp + fp + fn, 0)::double AS f1 FROM hits)"""
-BINS = "count(*) AS n, min(p) AS min_p, max(p) AS max_p, round(avg(p), 6) AS mean_p, round(avg(y::int), 6) AS observed_rate, round(avg(p) - avg(y::int), 6) AS gap, round(abs(avg(p) - avg(y::int)), 6) AS abs_gap"
+BINS = """
+count(*) AS n, min(p) AS min_p, max(p) AS max_p, round(avg(p), 6) AS mean_p, round(avg(y::int), 6) AS observed_rate, round(avg(p) - avg(y::int), 6) AS gap,
+  round(abs(avg(p) - avg(y::int)), 6) AS abs_gap"""
 _DOUBLES = ("amount_mean", "amount_std", "amount_recent_mean", "amount_prior_mean", "sessions_recent_mean", "sessions_prior_mean", "amount_trend", "sessions_trend", "purchase_rate", "purchase_share")
 _FEATURES = f"WITH {FEATURES} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}) FROM features"
 RANKING = """
@@ -148,7 +150,9 @@ SQL = {
         SELECT entity_id, activity_date, n - coalesce(max(CASE WHEN sessions > 0 THEN n END) OVER (PARTITION BY entity_id ORDER BY activity_date), 0) AS days_since FROM n""",
     "asof_features": _FEATURES,
     "asof_features_explode": _FEATURES,
-    "chrono_split": f"WITH {SPLIT} SELECT dataset_split, count(*) AS n, count(DISTINCT entity_id) AS entities, min(prediction_date) AS first_day, max(prediction_date) AS last_day, count(will_miss) AS labelled, count(*) FILTER (will_miss) AS positives FROM split GROUP BY 1",
+    "chrono_split": f"""
+WITH {SPLIT} SELECT dataset_split, count(*) AS n, count(DISTINCT entity_id) AS entities, min(prediction_date) AS first_day, max(prediction_date) AS last_day,
+  count(will_miss) AS labelled, count(*) FILTER (will_miss) AS positives FROM split GROUP BY 1""",
     "model_matrix": f"WITH {SPLIT} SELECT entity_id, prediction_date, will_miss, latest_type, amount_sum, active_days, sessions_sum, purchase_days, late_days FROM split WHERE dataset_split = 'train'",
     "threshold_sweep": f"WITH {SWEEP} SELECT * FROM sweep",
     "threshold_sweep_zero": f"WITH {SWEEP} SELECT threshold, coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall, coalesce(f1, 0) AS f1 FROM sweep",

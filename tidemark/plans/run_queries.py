@@ -379,23 +379,49 @@ SQL: dict[str, str] = {
     "numeric_psi": f"WITH {NUMERIC_BINS}, {PSI} SELECT feature, round(psi, 6) AS psi FROM psi",
     "psi_bins": f"WITH {NUMERIC_BINS} SELECT * FROM binned WHERE feature IN ('value', 'sparse')",
     "categorical_psi": f"WITH {CATEGORY_BINS}, {PSI} SELECT feature, round(psi, 6) AS psi, round(unseen_rate, 6) AS unseen_rate FROM psi JOIN unseen USING (feature)",
-    "unexpected_rates": f"WITH {HALVES} SELECT 'event_type' AS feature, round(avg((event_type NOT IN ('view', 'click'))::int), 6) AS unexpected_rate FROM ev WHERE NOT is_ref UNION ALL SELECT 'k', round(avg((k >= 50)::int), 6) FROM ev WHERE NOT is_ref",
+    "unexpected_rates": f"""
+WITH {HALVES} SELECT 'event_type' AS feature, round(avg((event_type NOT IN ('view', 'click'))::int), 6) AS unexpected_rate FROM ev WHERE NOT is_ref UNION ALL SELECT
+  'k', round(avg((k >= 50)::int), 6) FROM ev WHERE NOT is_ref""",
     "support_breaches": f"WITH {SPLIT} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER (dataset_split = 'scoring' AND {c} > (SELECT max({c}) FROM split WHERE dataset_split = 'train')) AS breaches, max({c}) FILTER (dataset_split = 'train')::double AS train_max, max({c}) FILTER (dataset_split = 'scoring')::double AS scoring_max FROM split" for c in ("amount_sum", "active_days", "outlier_days", "late_days")),
     "decide": f"WITH {DECIDED} SELECT * FROM decided",
     "run_audit": f"WITH {RUN} SELECT * FROM run",
     "review_queue": f"WITH {DECIDED} SELECT priority_rank, entity_id, prediction_date, probability, category, 'pending' AS review_status FROM decided WHERE priority_rank IS NOT NULL",
     "ingest_audit": f"WITH {DECIDED} SELECT 'decisions' AS table_name, count(*) AS appended_first, 0 AS appended_again, count(*) AS stored FROM decided UNION ALL SELECT 'runs', 1, 0, 1",
     "ingest_conflicts": f"WITH {DECIDED} SELECT 0 AS target_duplicates, 0 AS staged_duplicates, count(*) FILTER (entity_id % 7 = 0) AS conflicting_rows FROM decided",
-    "context_checks": f"WITH {DECIDED} SELECT count(*) FILTER (entity_id IS NULL) AS blank_ids, count(entity_id) - count(DISTINCT entity_id) AS duplicate_ids, count(*) FILTER (allowed IS NULL) AS null_flags, count(*) FILTER (interventions < 0) AS bad_counts, count(*) FILTER (NOT allowed AND opted_out) AS opted_out_but_never_allowed, 0 AS extra_snapshots, count(*) FILTER (last_contact > timestamp '2024-02-06') AS contacts_after_snapshot, 0 AS snapshots_after_decision FROM context",
-    "daily_summary": f"WITH {PREDS} SELECT prediction_date, count(*) AS scored_rows, count(DISTINCT entity_id) AS entities, round(avg(probability), 6) AS mean_probability, count(*) FILTER (is_high) AS high_rows, round(count(*) FILTER (is_high) / count(*)::double, 6) AS high_rate, (SELECT count(*) FROM preds) AS source_rows, 0 AS null_p, 0 AS out_of_range_p, 0 AS threshold_mismatch, 0 AS duplicate_keys, {GOV} FROM preds GROUP BY prediction_date",
+    "context_checks": f"""
+WITH {DECIDED} SELECT count(*) FILTER (entity_id IS NULL) AS blank_ids, count(entity_id) - count(DISTINCT entity_id) AS duplicate_ids, count(*) FILTER (allowed IS
+  NULL) AS null_flags, count(*) FILTER (interventions < 0) AS bad_counts, count(*) FILTER (NOT allowed AND opted_out) AS opted_out_but_never_allowed, 0 AS
+  extra_snapshots, count(*) FILTER (last_contact > timestamp '2024-02-06') AS contacts_after_snapshot, 0 AS snapshots_after_decision FROM context""",
+    "daily_summary": f"""
+WITH {PREDS} SELECT prediction_date, count(*) AS scored_rows, count(DISTINCT entity_id) AS entities, round(avg(probability), 6) AS mean_probability, count(*) FILTER
+  (is_high) AS high_rows, round(count(*) FILTER (is_high) / count(*)::double, 6) AS high_rate, (SELECT count(*) FROM preds) AS source_rows, 0 AS null_p, 0 AS
+  out_of_range_p, 0 AS threshold_mismatch, 0 AS duplicate_keys, {GOV} FROM preds GROUP BY prediction_date""",
     "risk_distribution": f"WITH {RISK} SELECT prediction_date, risk_band, day_rows, band_order, band_rows, entities, share_of_day, {CHECKED}, {GOV} FROM risk",
-    "observed_outcomes": f"WITH {FEATURES} SELECT prediction_date, count(*) AS labelled_rows, count(*) FILTER (will_miss) AS missed, count(*) FILTER (NOT will_miss) AS met, round(count(*) FILTER (will_miss) / count(*)::double, 6) AS missed_rate, prediction_date + 7 AS outcome_window_end, 0 AS duplicate_keys, {GOV} FROM features WHERE will_miss IS NOT NULL GROUP BY prediction_date",
+    "observed_outcomes": f"""
+WITH {FEATURES} SELECT prediction_date, count(*) AS labelled_rows, count(*) FILTER (will_miss) AS missed, count(*) FILTER (NOT will_miss) AS met, round(count(*)
+  FILTER (will_miss) / count(*)::double, 6) AS missed_rate, prediction_date + 7 AS outcome_window_end, 0 AS duplicate_keys, {GOV} FROM features WHERE will_miss IS
+  NOT NULL GROUP BY prediction_date""",
     "run_summary": f"WITH {RUN} SELECT *, source_rows AS reconciled_rows, round(selected_for_review / capacity::double, 6) AS capacity_use, {GOV}, 'available' AS view_state FROM run",
-    "outcome_summary": f"WITH {RUN}, dim AS (SELECT * FROM (VALUES {_OUTCOMES}) d(outcome, outcome_order)), n AS (SELECT outcome, count(*) AS rows FROM decided GROUP BY 1) SELECT run_id, outcome, source_rows, outcome_order, coalesce(n.rows, 0) AS rows, 0 AS unexpected_rows, source_rows AS recognised_rows, 0 AS orphan_rows, coalesce(n.rows, 0) AS audited_rows, round(coalesce(n.rows, 0) / source_rows::double, 6) AS share_of_run, {GOV}, 'available' AS view_state {_COMMON} dim LEFT JOIN n USING (outcome)",
-    "reason_summary": f"WITH {RUN}, dim AS (SELECT * FROM (VALUES {_REASONS}) d(reason, outcome, reason_order)), n AS (SELECT reason, count(*) AS rows FROM decided GROUP BY 1), o AS (SELECT outcome, count(*) AS outcome_rows FROM decided GROUP BY 1) SELECT run_id, outcome, reason, source_rows, reason_order, coalesce(n.rows, 0) AS rows, coalesce(outcome_rows, 0) AS outcome_rows, 0 AS unexpected_rows, 0 AS mismatched_rows, source_rows AS decision_rows, 0 AS orphan_rows, round(coalesce(n.rows, 0) / source_rows::double, 6) AS share_of_run, round(coalesce(n.rows, 0) / nullif(coalesce(outcome_rows, 0), 0)::double, 6) AS share_of_outcome, {GOV}, 'available' AS view_state {_COMMON} dim LEFT JOIN n USING (reason) LEFT JOIN o USING (outcome)",
-    "selection_summary": f"WITH {RUN}, dim AS (SELECT * FROM (VALUES {_CATEGORIES}) d(category, category_order)), n AS (SELECT category, count(*) AS rows FROM decided WHERE category IS NOT NULL GROUP BY 1) SELECT run_id, category, selected_for_review AS audited_selected, category_order, coalesce(n.rows, 0) AS rows, selected_for_review AS selected_rows, 0 AS missing_category, 0 AS unexpected_category, 0 AS leaked_category, 0 AS orphan_rows, round(coalesce(n.rows, 0) / selected_for_review::double, 6) AS share_of_selected, 'pending' AS review_status, {GOV}, 'available' AS view_state {_COMMON} dim LEFT JOIN n USING (category)",
+    "outcome_summary": f"""
+WITH {RUN}, dim AS (SELECT * FROM (VALUES {_OUTCOMES}) d(outcome, outcome_order)), n AS (SELECT outcome, count(*) AS rows FROM decided GROUP BY 1) SELECT run_id,
+  outcome, source_rows, outcome_order, coalesce(n.rows, 0) AS rows, 0 AS unexpected_rows, source_rows AS recognised_rows, 0 AS orphan_rows, coalesce(n.rows, 0) AS
+  audited_rows, round(coalesce(n.rows, 0) / source_rows::double, 6) AS share_of_run, {GOV}, 'available' AS view_state {_COMMON} dim LEFT JOIN n USING (outcome)""",
+    "reason_summary": f"""
+WITH {RUN}, dim AS (SELECT * FROM (VALUES {_REASONS}) d(reason, outcome, reason_order)), n AS (SELECT reason, count(*) AS rows FROM decided GROUP BY 1), o AS (SELECT
+  outcome, count(*) AS outcome_rows FROM decided GROUP BY 1) SELECT run_id, outcome, reason, source_rows, reason_order, coalesce(n.rows, 0) AS rows,
+  coalesce(outcome_rows, 0) AS outcome_rows, 0 AS unexpected_rows, 0 AS mismatched_rows, source_rows AS decision_rows, 0 AS orphan_rows, round(coalesce(n.rows, 0) /
+  source_rows::double, 6) AS share_of_run, round(coalesce(n.rows, 0) / nullif(coalesce(outcome_rows, 0), 0)::double, 6) AS share_of_outcome, {GOV}, 'available' AS
+  view_state {_COMMON} dim LEFT JOIN n USING (reason) LEFT JOIN o USING (outcome)""",
+    "selection_summary": f"""
+WITH {RUN}, dim AS (SELECT * FROM (VALUES {_CATEGORIES}) d(category, category_order)), n AS (SELECT category, count(*) AS rows FROM decided WHERE category IS NOT
+  NULL GROUP BY 1) SELECT run_id, category, selected_for_review AS audited_selected, category_order, coalesce(n.rows, 0) AS rows, selected_for_review AS
+  selected_rows, 0 AS missing_category, 0 AS unexpected_category, 0 AS leaked_category, 0 AS orphan_rows, round(coalesce(n.rows, 0) / selected_for_review::double, 6)
+  AS share_of_selected, 'pending' AS review_status, {GOV}, 'available' AS view_state {_COMMON} dim LEFT JOIN n USING (category)""",
     "empty_run_summary": "SELECT 'no_activation_runs' AS view_state, NULL::varchar AS run_id",
-    "suppressed_cells": f"WITH {RISK} SELECT prediction_date, risk_band, CASE WHEN band_rows >= 20 THEN band_rows END AS band_rows, CASE WHEN band_rows >= 20 THEN entities END AS entities, CASE WHEN band_rows >= 20 THEN share_of_day END AS share_of_day, band_rows < 20 AS is_suppressed, CASE WHEN band_rows < 20 THEN 'fewer than 20' END AS suppression_label FROM risk",
+    "suppressed_cells": f"""
+WITH {RISK} SELECT prediction_date, risk_band, CASE WHEN band_rows >= 20 THEN band_rows END AS band_rows, CASE WHEN band_rows >= 20 THEN entities END AS entities,
+  CASE WHEN band_rows >= 20 THEN share_of_day END AS share_of_day, band_rows < 20 AS is_suppressed, CASE WHEN band_rows < 20 THEN 'fewer than 20' END AS
+  suppression_label FROM risk""",
     "lineage": LINEAGE.format(runs="SELECT 'runs', 1, date '2024-02-06', true, 'available', NULL"),
     "lineage_gap": LINEAGE.format(runs="SELECT 'runs', 0, NULL, false, 'missing', NULL"),
     "daily_summary_faults": FAULTS,
@@ -410,9 +436,13 @@ SQL: dict[str, str] = {
     "prediction_checks": f"WITH {PREDS} " + _zero("preds", {"null_probability": "probability IS NULL", "probability_out_of_range": "probability NOT BETWEEN 0 AND 1", "flag_disagrees": "is_high IS DISTINCT FROM (probability >= 0.467::double)", "threshold_differs": "threshold <> 0.467::double"}, True) + " UNION ALL SELECT 'distinct_probabilities', count(DISTINCT probability) >= 2 FROM preds UNION ALL SELECT 'models', count(DISTINCT model_name) = 1 FROM preds",
     "decision_checks": f"WITH {DECIDED} " + _zero("decided", {"unknown_reason": f"{_REASON_MAP} IS NULL", "reason_outcome_mismatch": f"{_REASON_MAP} <> outcome", "rank_misplaced": "(outcome = 'selected_for_review') <> (priority_rank IS NOT NULL)", "category_misplaced": "(outcome = 'selected_for_review') <> (category IS NOT NULL)", "unknown_category": "category NOT IN ('supportive_check_in', 'goal_planning', 'activity_reminder', 'rewards_education')"}) + " UNION ALL " + " UNION ALL ".join(_between(*x, "decided") for x in (("selected", "count(*) FILTER (outcome = 'selected_for_review')", "0", "10"), ("rank_gap", "coalesce(max(priority_rank), 0) - count(DISTINCT priority_rank)", "0", "0"), ("first_rank", "coalesce(min(priority_rank), 1)", "1", "1"), ("policy_id_values", "count(DISTINCT policy_id)", "1", "1"), ("model_name_values", "count(DISTINCT model_name)", "1", "1"), ("threshold_values", "count(DISTINCT threshold)", "1", "1"), ("decided_at_values", "max(1)", "1", "1"))),
     "duplicate_keys": "SELECT (count(*) - count(DISTINCT (user_id, ts::date)))::bigint AS duplicates FROM events",
-    "category_shares": "SELECT 'event_type' AS column_name, event_type AS value, count(DISTINCT user_id) AS entities, round(count(DISTINCT user_id) / (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events))::double, 6) AS share FROM events GROUP BY event_type",
+    "category_shares": """
+SELECT 'event_type' AS column_name, event_type AS value, count(DISTINCT user_id) AS entities, round(count(DISTINCT user_id) / (SELECT count(*) FROM (SELECT DISTINCT
+  user_id, event_type FROM events))::double, 6) AS share FROM events GROUP BY event_type""",
     "numeric_summary": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::double AS min, round(quantile_cont({c}, 0.01), 4) AS p1, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.99), 4) AS p99, max({c})::double AS max FROM panel" for c in ("amount", "sessions", "purchase_amount")),
-    "label_rates": f"WITH {LABELLED} SELECT 'last_type' AS group_name, last_type AS value, count(*) AS labelled, round(avg(will_miss::int), 6) AS rate FROM labelled WHERE will_miss IS NOT NULL GROUP BY ALL UNION ALL SELECT 'is_late', is_late::varchar, count(*), round(avg(will_miss::int), 6) FROM labelled WHERE will_miss IS NOT NULL GROUP BY ALL",
+    "label_rates": f"""
+WITH {LABELLED} SELECT 'last_type' AS group_name, last_type AS value, count(*) AS labelled, round(avg(will_miss::int), 6) AS rate FROM labelled WHERE will_miss IS
+  NOT NULL GROUP BY ALL UNION ALL SELECT 'is_late', is_late::varchar, count(*), round(avg(will_miss::int), 6) FROM labelled WHERE will_miss IS NOT NULL GROUP BY ALL""",
     "missing_rates": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NULL)::int), 6) AS missing_rate FROM panel" for c in ("amount", "purchase_amount", "last_type")),
     "flag_rates": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg({c}::int), 6) AS rate FROM panel" for c in ("is_missing", "is_outlier", "is_late")),
     "profile_panel": f"""WITH {LABELLED}, per AS (SELECT entity_id, count(*) AS n FROM labelled GROUP BY 1),
@@ -424,7 +454,10 @@ SQL: dict[str, str] = {
         groups AS (SELECT 'subgroup' AS section, 'last_type=' || coalesce(last_type, 'null') AS item, ['labelled', 'rate'] AS m, [count(*)::double, avg(will_miss::int)] AS v FROM labelled WHERE will_miss IS NOT NULL GROUP BY last_type),
         every AS (SELECT * FROM volume UNION ALL SELECT * FROM balance UNION ALL SELECT * FROM flags UNION ALL SELECT * FROM lost UNION ALL SELECT * FROM stats UNION ALL SELECT * FROM groups)
         SELECT section, item, measure, round(value, 4) AS value FROM (SELECT section, item, unnest(m) AS measure, unnest(v) AS value FROM every)""",
-    "model_monitoring": f"WITH {SPLIT}, b AS (SELECT count(*) AS n, count(DISTINCT entity_id) AS entities, count(DISTINCT prediction_date) AS days, max(prediction_date) AS last, count(*) FILTER (active_days > (SELECT max(active_days) FROM split WHERE dataset_split = 'train')) AS over1, count(*) FILTER (outlier_days > (SELECT max(outlier_days) FROM split WHERE dataset_split = 'train')) AS over2 FROM split WHERE dataset_split = 'scoring'), "
+    "model_monitoring": f"""
+WITH {SPLIT}, b AS (SELECT count(*) AS n, count(DISTINCT entity_id) AS entities, count(DISTINCT prediction_date) AS days, max(prediction_date) AS last, count(*)
+  FILTER (active_days > (SELECT max(active_days) FROM split WHERE dataset_split = 'train')) AS over1, count(*) FILTER (outlier_days > (SELECT max(outlier_days) FROM
+  split WHERE dataset_split = 'train')) AS over2 FROM split WHERE dataset_split = 'scoring'), """
     "c AS (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11])::int AS check_order, unnest(['row_count', 'entity_count', 'day_count', 'duplicate_keys', 'null_probability', 'probability_out_of_range', 'threshold_mismatch', 'source_reconciliation', 'latest_date', 'support_active_days', 'support_outlier_days']) AS check_name, "
     "unnest([n, entities, days, 0, 0, 0, 0, n, strftime(last, '%Y%m%d')::bigint, over1, over2])::double AS observed, unnest([1050, 150, 7, 0, 0, 0, 0, n, 20240130, 0, 0])::double AS expected FROM b), "
     "s AS (SELECT *, CASE WHEN observed = expected THEN 'pass' WHEN check_order > 9 THEN 'warning' ELSE 'critical' END AS severity FROM c) "
