@@ -219,7 +219,7 @@ def _bucket_links(keyed: DataFrame, n: int, distance: int, references: np.ndarra
     other = F.when(is_top, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.sequence(F.lit(0), F.col("chunks") + F.col("tops") - 1))
     pair = F.transform(other, lambda o: F.struct(F.least(F.col("chunk"), o).alias("left"), F.greatest(F.col("chunk"), o).alias("right")))
     rows = rows.withColumn("chunk", chunk).withColumn("pair", F.explode(pair)).select("*", "pair.left", "pair.right").drop("pair")
-    groups = n // (4 * size) + 1
+    groups = n // (2 * size) + 1
     small = (F.col("chunks") == 1) & (F.col("tops") == 0)
     rows = rows.withColumn("group", F.when(small, F.pmod(F.xxhash64("mask", "key"), F.lit(groups))).otherwise(F.xxhash64("mask", "key", "left", "right"))).drop("chunks", "tops", "top")
 
