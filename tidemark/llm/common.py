@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import materialise, scratch, shared_dir
 
-__all__ = ["WORD", "materialise", "scratch", "shared_dir", "spread_join", "words"]
+__all__ = ["WORD", "materialise", "released", "scratch", "shared_dir", "spread_join", "words"]
 
 #: A key with more than one in so many of all rows is frequent; at most so many keys are, whatever the input.
 SHARES = 20_000
@@ -30,3 +31,9 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, t
     often = F.col(weight) > total // SHARES + 100
     hot, rest = F.broadcast(table.filter(often).drop(weight)), table.filter(~often).drop(weight)
     return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on, how))
+
+
+def released(table: pa.Table) -> pa.Table:
+    """A group's result, after memory that Arrow has freed went back to the system: an idle worker keeps what it holds."""
+    pa.default_memory_pool().release_unused()
+    return table

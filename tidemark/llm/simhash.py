@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, spread_join
+from tidemark.llm.common import materialise, released, spread_join
 from tidemark.llm.components import components
 
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared chunk against chunk.
@@ -224,7 +224,7 @@ def _bucket_links(keyed: DataFrame, n: int, distance: int, references: np.ndarra
     rows = rows.withColumn("group", F.when(small, F.pmod(F.xxhash64("mask", "key"), F.lit(groups))).otherwise(F.xxhash64("mask", "key", "left", "right"))).drop("chunks", "tops", "top")
 
     def run(group: pa.Table) -> pa.Table:
-        return roots_of(group, distance, references, least)
+        return released(roots_of(group, distance, references, least))
 
     return rows.groupBy("group").applyInArrow(run, "u long, v long")
 
@@ -348,7 +348,7 @@ def _verified(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         nodes = group["node"].to_pylist()
         first = {i: s for i, n, s in zip(ids, nodes, sets, strict=True) if n is None}
         on = [(n, i[0]) for i, n, s in zip(ids, nodes, sets, strict=True) if n is not None and jaccard(s, first[i]) >= least]
-        return pa.table({"u": pa.array([u for u, _ in on], pa.int64()), "v": pa.array([v for _, v in on], pa.int64())})
+        return released(pa.table({"u": pa.array([u for u, _ in on], pa.int64()), "v": pa.array([v for _, v in on], pa.int64())}))
 
     return every.groupBy("group").applyInArrow(run, "u long, v long")
 
