@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, mixing, pii, quality, simhash, substring, token_store, vector_dedup, warc
+from tidemark.llm import ann, bpe, lexical, mixing, pii, quality, rules, simhash, substring, token_store, vector_codes, vector_dedup, warc
 from tidemark.llm.common import scratch
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch(spark, "lexical"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -71,9 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_pii": op10_pii,
+    "op11_lexical": op11_lexical,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_rules": op13_rules,
 }
 SQL: dict[str, str] = {
     "op7_substring": substring.SQL,
     "op8_mixing": mixing.SQL,
     "op9_warc": warc.SQL,
+    "op11_lexical": lexical.SQL,
+    "op12_vector_codes": vector_codes.SQL,
+    "op13_rules": rules.SQL,
 }
