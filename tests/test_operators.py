@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import with_rank, with_running_sum
+from tidemark.functions import quantiles
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import activate, aggregates, drift, evaluate, model, monitor, panel, quality
 from tidemark.operators.panel import Metric
@@ -45,7 +46,7 @@ def brute(rows, history, recent):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["range", "explode", "auto"])
+@pytest.mark.parametrize("strategy", ["range", "explode", "arrival", "auto"])
 def test_asof_sees_only_what_had_arrived(small, strategy):
     metrics = (Metric("total", "sum", "amount"), Metric("new", "avg", "amount", "recent"), Metric("old", "avg", "amount", "prior"), Metric("last", "latest", "extra"))
     got = panel.asof_features(small, metrics, 28, 7, "label", {}, {}, strategy).collect()
@@ -354,3 +355,80 @@ def test_exports(spark):
     assert tables.file_facts(spark, "x", f"{path}-parts").first().row_count == 200
     with pytest.raises(ValueError):
         tables.assert_columns(df, ["id", "d"])
+
+
+@pytest.mark.parametrize("taken", [200_000, 10])
+def test_bracketed_quantiles(spark, monkeypatch, taken):
+    import numpy as np
+
+    monkeypatch.setattr(quantiles, "TAKEN", taken)
+    g = np.random.default_rng(7)
+    data = {"a": g.normal(0, 1, 30_000), "b": np.round(g.exponential(2, 30_000)), "c": np.where(g.random(30_000) < 0.9, 0.0, g.random(30_000)), "d": np.full(30_000, np.nan)}
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*data.values(), strict=True)], ", ".join(f"{c} double" for c in data)).repartition(6)
+    at = [0.0, 0.01, 0.25, 0.5, 0.5, 0.999, 1.0]
+    got = exact_quantiles(df, list(data), at)
+    assert got.pop("d") is None and all(np.allclose(got[c], np.quantile(data[c], at), rtol=0, atol=1e-12) for c in got)
+    ranges = {"a": quantiles.brackets(*quantiles._sketches(df, ["a"])["a"], [0.25, 0.75])}
+    inside = quantiles._kept(df, ranges).filter("value IS NOT NULL").count()
+    assert len(ranges["a"]) == 2 and 2 < inside < 400  # of 30,000 values
+
+
+def test_quantiles_survive_wrong_brackets(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "brackets", lambda n, grid, at: [(7.0, 8.0)])
+    df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
+    assert exact_quantiles(df, ["x"], [0.5, 0.25]) == {"x": [50.0, 25.0]}
+    assert exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": None}
+
+
+ASOF = tuple(
+    Metric(f"{c}_{h}_{w}", h, None if h == "count" else c, w)
+    for w in ("all", "recent", "prior") for c, kinds in {"amount": ("latest", "sum", "avg", "std", "min", "max", "observed", "positive", "count"), "score": ("sum", "avg", "std", "latest"), "flag": ("true",)}.items() for h in kinds
+)
+
+
+def arrivals_panel(spark, entities=4, days=120):
+    import random
+
+    r, rows = random.Random(9), []
+    for e in range(entities):
+        for i in range(days if e else 2 * days):
+            if r.random() < 0.93:
+                delay = r.choice([0, 0, 0, 1, 1, 2, 3, 9, 40, None])
+                rows.append((e, day(i), None if delay is None else day(i + delay), r.choice([None, 0, r.randrange(1000)]), r.choice([None, 0.1, r.random()]), r.choice([None, True, False]), r.random() < 0.5))
+    rows += [(None, day(3), day(3), 1, 1.0, True, True), (1, None, day(3), 1, 1.0, True, True)]
+    return spark.createDataFrame(rows, "entity_id long, activity_date date, available_date date, amount int, score double, flag boolean, label boolean")
+
+
+def test_asof_strategies_agree_on_late_and_lost_rows(spark):
+    df = arrivals_panel(spark)
+    found = {s: {(r.entity_id, r.prediction_date): r.asDict() for r in panel.asof_features(df, ASOF, 14, 4, "label", {}, {}, s).collect()} for s in ("range", "explode", "arrival")}
+    want = found.pop("range")
+    assert len(want) > 400
+    for name, got in found.items():
+        assert got.keys() == want.keys() and [*next(iter(got.values()))] == [*next(iter(want.values()))], name
+        for key, row in want.items():
+            for c, v in row.items():
+                same = got[key][c] == v or (isinstance(v, float) and got[key][c] is not None and math.isclose(got[key][c], v, rel_tol=1e-9, abs_tol=1e-12))
+                assert same, (name, key, c, got[key][c], v)
+    types = {s: panel.asof_features(df, ASOF, 14, 4, "label", {}, {}, s).dtypes for s in ("range", "arrival")}
+    assert types["range"] == types["arrival"]
+
+
+def test_asof_never_sees_a_row_that_has_not_arrived(spark):
+    """Forty days, every fifth arrival unknown: 23 of 28 days are seen, whatever the strategy."""
+    rows = [(1, day(i), None if i % 5 == 0 else day(i), 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "entity_id long, activity_date date, available_date date, amount long")
+    for s in ("range", "explode", "arrival", "auto"):
+        got = panel.asof_features(df, (Metric("total", "sum", "amount"),), 28, 7, None, {}, {}, s).orderBy("prediction_date").collect()
+        assert len(got) == 12 and {r.available_days for r in got} <= {22, 23} and all(r.total == r.available_days for r in got), s
+
+
+def test_arrival_sends_each_row_once_and_late_ones_twice(spark):
+    from tidemark.operators import arrivals
+
+    df = arrivals_panel(spark).filter("entity_id IS NOT NULL AND activity_date IS NOT NULL")
+    n, late = df.count(), df.filter("available_date > activity_date + 1 AND available_date <= activity_date + 14").count()
+    sent = arrivals.placed_rows(df, ["amount"], 14)
+    assert sent.filter("_kind <> 'first'").count() <= n * (1 + 1 / arrivals.SPAN) * 1.1 + 1.5 * late < n * 14 / 3
+    plan = panel.asof_features(df, ASOF, 14, 4, "label", {}, {}, "arrival")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -14,7 +14,7 @@ def test_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["asof_features", "asof_features_explode", "weekly_progress", "decide", "threshold_sweep", "calibration_width", "numeric_psi", "panel_checks"])
+@pytest.mark.parametrize("name", ["asof_features", "asof_features_explode", "asof_features_arrival", "weekly_progress", "decide", "threshold_sweep", "calibration_width", "numeric_psi", "panel_checks"])
 def test_plans_are_native(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan

@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.spread import spread_join
+from tidemark.operators import arrivals
+
 
 def stage_panel(raw: DataFrame, dates: tuple[str, ...] = ("date", "available_date", "week_start"), key_date: str = "date") -> DataFrame:
     """Cast the date-like columns, name the key date activity_date, and leave every other column and null as it is."""
@@ -120,22 +123,27 @@ def asof_features(
     """What was known at the start of each day about the `history` days before it.
 
     An anchor is a day at least `history` days after its entity's first; it sees a row only if its day lies in
-    [t - history, t - 1] and it had arrived by t. Anchors without any such row stay, with nulls and zero counts.
+    [t - history, t - 1] and it had arrived by t. A row without an arrival date is never seen. Anchors without any row to see stay, with nulls and
+    zero counts; a row without an entity or a day is neither anchor nor seen. The panel has one row for an entity and day.
 
-    strategy "range" joins on the entity and filters the days: one shuffle by entity, work of days x days each. "explode"
+    All strategies give equal results. "range" joins on the entity and filters the days: one shuffle by entity, work of days x days each. "explode"
     sends each row to the at most `history` anchors that see it and joins on (entity, t): linear in the rows, partial
-    sums apply, and a long or hot entity spreads over many keys. "auto" takes "explode" where some
-    entity has more than `dense_days` rows.
+    sums apply, and a long or hot entity spreads over many keys. "arrival" frames blocks of days by window and sends only late rows once more, to the day of their
+    arrival (see arrivals.py): a hot entity spreads over its blocks. "auto" takes "arrival" where some entity has more than `dense_days` rows.
     """
-    if strategy == "auto":
-        longest = panel.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        strategy = "explode" if (longest or 0) > dense_days else "range"
-    first = F.min("activity_date").over(Window.partitionBy("entity_id"))
     kept = ["entity_id", "activity_date", *([label] if label else [])]
-    anchors = panel.select(*kept).withColumn("_first", first).filter(F.col("activity_date") >= F.date_add("_first", history)).drop("_first")
-    anchors = anchors.withColumnRenamed("activity_date", "prediction_date").alias("a")
     used = sorted({m.column for m in metrics if m.column})
-    rows = panel.select(*dict.fromkeys(["entity_id", "activity_date", "available_date", *used]))
+    entities = panel.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(F.min("activity_date").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    if strategy != "arrival":
+        total, longest = entities.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+        strategy = strategy if strategy != "auto" else "arrival" if longest > dense_days else "range"
+    if strategy == "arrival":
+        empty = panel.alias("h").groupBy("h.entity_id").agg(*[_aggregate(m, F.col("h.activity_date"), F.col("h.activity_date"), recent) for m in metrics])  # never run: for its types
+        out = arrivals.features_by_arrival(panel, metrics, kept[2:], history, recent, dict(empty.dtypes))
+        return _derived(out, history, trends, rates)
+    anchors = spread_join(panel.select(*kept), entities, ["entity_id"], "_n", total).filter(F.col("activity_date") >= F.date_add("_first", history)).drop("_first")
+    anchors = anchors.withColumnRenamed("activity_date", "prediction_date").alias("a")
+    rows = panel.select(*dict.fromkeys(["entity_id", "activity_date", "available_date", *used])).filter("available_date IS NOT NULL")
     t, date = F.col("a.prediction_date"), F.col("h.activity_date")
     if strategy == "range":
         on = (F.col("a.entity_id") == F.col("h.entity_id")) & date.between(F.date_sub(t, history), F.date_sub(t, 1)) & (F.col("h.available_date") <= t)
@@ -148,6 +156,11 @@ def asof_features(
     keys = [F.col("a.entity_id"), t, *([F.col(f"a.{label}")] if label else [])]
     coverage = [F.count(date).alias("available_days"), F.max(date).alias("max_activity_date"), F.max("h.available_date").alias("max_available_date")]
     out = joined.groupBy(*keys).agg(*[_aggregate(m, date, t, recent) for m in metrics], *coverage)
+    return _derived(out, history, trends, rates)
+
+
+def _derived(out: DataFrame, history: int, trends: dict[str, tuple[str, str]], rates: dict[str, tuple[str, str]]) -> DataFrame:
+    """out with the window's ends, the days that were not available, differences and rates of its columns."""
     out = out.withColumns({"window_start": F.date_sub("prediction_date", history), "window_end": F.date_sub("prediction_date", 1), "unavailable_days": F.lit(history) - F.col("available_days")})
     out = out.withColumns({n: F.col(a) - F.col(b) for n, (a, b) in trends.items()}) if trends else out
     return out.withColumns({n: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")) for n, (a, b) in rates.items()}) if rates else out

@@ -34,6 +34,13 @@ def features(spark: SparkSession, sf_dir: str, strategy: str = "range") -> DataF
     return panel.asof_features(labelled(spark, sf_dir), METRICS, 14, 7, "will_miss", TRENDS, RATES, strategy)
 
 
+def features_of_lost_rows(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
+    """Features where the latest rows of days with an odd number of sessions never arrive."""
+    lost = F.col("delay_days") + F.col("sessions") % 2 * 4 >= 6
+    rows = labelled(spark, sf_dir).withColumn("available_date", F.when(~lost, F.col("available_date")))
+    return panel.asof_features(rows, METRICS, 14, 7, "will_miss", TRENDS, RATES, strategy)
+
+
 def split_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.chronological_split(features(spark, sf_dir), SPLITS)
 
@@ -56,6 +63,10 @@ QUERIES = {
     "recency": lambda s, d: panel.recency(staged(s, d)).select("entity_id", "activity_date", "days_since"),
     "asof_features": lambda s, d: rounded(features(s, d)),
     "asof_features_explode": lambda s, d: rounded(features(s, d, "explode")),
+    "asof_features_arrival": lambda s, d: rounded(features(s, d, "arrival")),
+    "asof_lost_range": lambda s, d: rounded(features_of_lost_rows(s, d, "range")),
+    "asof_lost_explode": lambda s, d: rounded(features_of_lost_rows(s, d, "explode")),
+    "asof_lost_arrival": lambda s, d: rounded(features_of_lost_rows(s, d, "arrival")),
     "chrono_split": lambda s, d: split_features(s, d).groupBy("dataset_split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_id").alias("entities"), F.min("prediction_date").alias("first_day"), F.max("prediction_date").alias("last_day"), F.count("will_miss").alias("labelled"), F.count_if("will_miss").alias("positives")),
     "model_matrix": lambda s, d: panel.model_matrix(panel.split_of(split_features(s, d), "train"), ["latest_type", "amount_sum", "active_days", "sessions_sum", "purchase_days", "late_days"], "will_miss", forbidden=("future_amount", "goal_met")),
     "threshold_sweep": lambda s, d: evaluate.threshold_sweep(demo.scored_events(s, d)),
@@ -112,6 +123,7 @@ count(*) AS n, min(p) AS min_p, max(p) AS max_p, round(avg(p), 6) AS mean_p, rou
   round(abs(avg(p) - avg(y::int)), 6) AS abs_gap"""
 _DOUBLES = ("amount_mean", "amount_std", "amount_recent_mean", "amount_prior_mean", "sessions_recent_mean", "sessions_prior_mean", "amount_trend", "sessions_trend", "purchase_rate", "purchase_share")
 _FEATURES = f"WITH {FEATURES} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}) FROM features"
+_LOST = _FEATURES.replace("FROM ahead)", "FROM (SELECT * REPLACE (CASE WHEN delay_days + sessions % 2 * 4 < 6 THEN available_date END AS available_date) FROM ahead))", 1)
 RANKING = """
 groups AS (SELECT p, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg FROM scored GROUP BY p),
 curve AS (SELECT *, coalesce(sum(pos) OVER w, 0)::double AS pos_below, coalesce(sum(neg) OVER w, 0)::double AS neg_below, sum(pos) OVER ()::double AS P_, sum(neg) OVER ()::double AS N_ FROM groups
@@ -150,6 +162,10 @@ SQL = {
         SELECT entity_id, activity_date, n - coalesce(max(CASE WHEN sessions > 0 THEN n END) OVER (PARTITION BY entity_id ORDER BY activity_date), 0) AS days_since FROM n""",
     "asof_features": _FEATURES,
     "asof_features_explode": _FEATURES,
+    "asof_features_arrival": _FEATURES,
+    "asof_lost_range": _LOST,
+    "asof_lost_explode": _LOST,
+    "asof_lost_arrival": _LOST,
     "chrono_split": f"""
 WITH {SPLIT} SELECT dataset_split, count(*) AS n, count(DISTINCT entity_id) AS entities, min(prediction_date) AS first_day, max(prediction_date) AS last_day,
   count(will_miss) AS labelled, count(*) FILTER (will_miss) AS positives FROM split GROUP BY 1""",
