@@ -19,13 +19,15 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a block; a place in one takes a byte.
 BLOCK = 256
 #: Bytes of text that a task takes at once, and of a shard.
-PIECE, SHARD = 4 << 20, 16 << 20
+PIECE, SHARD = 2 << 20, 8 << 20
 #: Query terms that are sent to every task at once; more are searched in rounds.
 TERMS = 200_000
 #: A count from here on is kept beside its byte.
 WIDE = 255
 
-INDEX = "shard long, term string, n long, terms long, blocks array<int>, sizes array<int>, tops array<int>, top_tf array<long>, top_n array<long>, places binary, counts binary, wide_at array<int>, wide array<long>, ids array<long>, lengths array<long>"
+#: A row for each shard and term. blocks: of each block its number, how many documents it has, and how many pairs of `tops` (count and length); wide: places
+#: in the list, and counts from WIDE on. ids, lengths: on the row of a shard's documents alone, which has no term.
+INDEX = "shard long, term string, n long, terms long, blocks array<int>, tops array<int>, places binary, counts binary, wide array<int>, ids array<long>, lengths array<int>"
 
 
 def terms_of(text: Column) -> Column:
@@ -33,8 +35,8 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(TERM), F.lit(0)))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, kind))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.int32()))
 
 
 def _bytes(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -47,7 +49,7 @@ def frontier(group: np.ndarray, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
     A posting's score grows with tf and falls with n, so a group's largest score is that of one of them, whatever the corpus' mean length.
     """
     order = np.lexsort((n, -tf, group))
-    lowered = n[order] - group[order] * (int(n.max(initial=0)) + 1)  # each group lies below the one before: the running minimum starts anew
+    lowered = n[order].astype(np.int64) - group[order] * (int(n.max(initial=0)) + 1)  # each group lies below the one before: the running minimum starts anew
     before = np.r_[np.iinfo(np.int64).max, np.minimum.accumulate(lowered)[:-1]][: len(order)]
     return order[lowered < before]
 
@@ -71,10 +73,10 @@ class Shard:
         many = len(ids)
         pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * many + of, return_counts=True)
         self.terms.append(pa.DictionaryArray.from_arrays(pa.array(pairs // many, pa.int32()), coded.dictionary))
-        self.documents.append(pairs % many + self.n)
-        self.tfs.append(tf)
+        self.documents.append((pairs % many + self.n).astype(np.int32))
+        self.tfs.append(tf.astype(np.int32))
         self.ids.append(ids)
-        self.lengths.append(np.bincount(of, minlength=many))
+        self.lengths.append(np.bincount(of, minlength=many).astype(np.int32))
         self.bytes += len(texts.raw)
         self.n += many
 
@@ -83,38 +85,31 @@ class Shard:
         schema = _arrow()
         lengths = np.concatenate(self.lengths)
         ids = pa.chunked_array(self.ids).combine_chunks().cast(pa.int64())
-        first = {"shard": pa.array([shard], pa.int64()), "n": pa.array([int((lengths > 0).sum())], pa.int64()), "terms": pa.array([int(lengths.sum())], pa.int64())}
-        first |= {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lengths": _lists(lengths, np.array([len(lengths)]), pa.int64())}
+        first = {"shard": pa.array([shard], pa.int64()), "n": pa.array([int((lengths > 0).sum())], pa.int64()), "terms": pa.array([int(lengths.sum(dtype=np.int64))], pa.int64())}
+        first |= {"ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "lengths": _lists(lengths, np.array([len(lengths)]))}
         yield pa.RecordBatch.from_arrays([first.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
         joined = pa.chunked_array(self.terms).unify_dictionaries()
         names = joined.chunk(0).dictionary
-        term, document, tf = np.concatenate([c.indices.to_numpy() for c in joined.chunks]).astype(np.int64), np.concatenate(self.documents), np.concatenate(self.tfs)
-        order = np.lexsort((document, term))
-        term, document, tf = term[order], document[order], tf[order]
-        blocks = len(lengths) // BLOCK + 1
-        cell = term * blocks + document // BLOCK
-        new = np.flatnonzero(np.r_[np.ones(min(1, len(cell)), bool), cell[1:] != cell[:-1]])
-        group = np.zeros(len(cell), np.int64)
-        group[new[1:]] = 1
-        group = np.cumsum(group)
-        top = frontier(group, tf, lengths[document])
-        per_term = np.bincount(term, minlength=len(names))
-        block_term = term[new]
-        wide = np.flatnonzero(tf >= WIDE)
-        starts = np.r_[0, np.cumsum(per_term)]
+        term, document = np.concatenate([c.indices.to_numpy() for c in joined.chunks]), np.concatenate(self.documents)
+        order = np.argsort(term.astype(np.int64) * len(lengths) + document, kind="stable")
+        term, document, tf = term[order], document[order], np.concatenate(self.tfs)[order]
+        self.terms, self.documents, self.tfs = [], [], []
+        new = np.flatnonzero(np.r_[np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (document[1:] // BLOCK != document[:-1] // BLOCK)])
+        sizes = np.diff(np.r_[new, len(term)])
+        top = frontier(np.repeat(np.arange(len(new)), sizes), tf, lengths[document])
+        tops = np.bincount(np.searchsorted(new, top, "right") - 1, minlength=len(new))
+        per_term, per_block, wide = np.bincount(term, minlength=len(names)), np.bincount(term[new], minlength=len(names)), np.flatnonzero(tf >= WIDE)
         columns = {
             "shard": pa.array(np.full(len(names), shard), pa.int64()), "term": names.cast(pa.string()), "n": pa.array(per_term, pa.int64()),
-            "blocks": _lists(document[new] // BLOCK, np.bincount(block_term, minlength=len(names)), pa.int32()),
-            "sizes": _lists(np.diff(np.r_[new, len(cell)]), np.bincount(block_term, minlength=len(names)), pa.int32()),
-            "tops": _lists(np.bincount(group[top], minlength=len(new)), np.bincount(block_term, minlength=len(names)), pa.int32()),
-            "top_tf": _lists(tf[top], np.bincount(term[top], minlength=len(names)), pa.int64()), "top_n": _lists(lengths[document[top]], np.bincount(term[top], minlength=len(names)), pa.int64()),
+            "blocks": _lists(np.stack((document[new] // BLOCK, sizes, tops), axis=1).ravel(), 3 * per_block),
+            "tops": _lists(np.stack((tf[top], lengths[document[top]]), axis=1).ravel(), 2 * np.bincount(term[top], minlength=len(names))),
             "places": _bytes(document % BLOCK, per_term), "counts": _bytes(np.minimum(tf, WIDE), per_term),
-            "wide_at": _lists(wide - starts[term[wide]], np.bincount(term[wide], minlength=len(names)), pa.int32()), "wide": _lists(tf[wide], np.bincount(term[wide], minlength=len(names)), pa.int64()),
+            "wide": _lists(np.stack((wide - np.r_[0, np.cumsum(per_term)][term[wide]], tf[wide]), axis=1).ravel(), 2 * np.bincount(term[wide], minlength=len(names))),
         }
         if len(names):
             whole = pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(names), f.type)) for f in schema], schema=schema)
-            for at in range(0, len(whole), 20_000):
-                yield whole.slice(at, 20_000)
+            for at in range(0, len(whole), 10_000):
+                yield whole.slice(at, 10_000)
 
 
 def _arrow() -> pa.Schema:
@@ -158,11 +153,11 @@ class Postings:
 
     @classmethod
     def of(cls, row: dict, norm: np.ndarray, norm_of: dict[int, int]) -> Postings:
-        tops = np.asarray(row["tops"], np.int64)
-        each = scores(np.asarray(row["top_tf"], np.int64), np.array([norm_of[n] for n in row["top_n"]], np.int64))
+        blocks, sizes, tops = np.array(row["blocks"], np.int64).reshape(-1, 3).T
+        each = scores(np.array(row["tops"][::2], np.int64), np.array([norm_of[n] for n in row["tops"][1::2]], np.int64))
         best = np.maximum.reduceat(each, np.r_[0, np.cumsum(tops)[:-1]])
         places, counts = (np.frombuffer(row[c], np.uint8) for c in ("places", "counts"))
-        return cls(np.asarray(row["blocks"]), best, np.cumsum(row["sizes"]), places, counts, dict(zip(row["wide_at"], row["wide"], strict=True)), norm)
+        return cls(blocks, best, np.cumsum(sizes), places, counts, dict(zip(row["wide"][::2], row["wide"][1::2], strict=True)), norm)
 
     def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """The places of the i-th block's documents, and their scores before the term's weight."""
