@@ -433,7 +433,7 @@ def test_shards_follow_bytes_not_ids(spark, monkeypatch, ids):
 def test_surrogates(spark):
     texts = [*ODD, "mail a.b@c.example.com or A.B@C.EXAMPLE.COM, call +1 (212) 555-0001 or 212-555-0002", "ip 10.1.2.3, card 4111111111111111, 4111 1111 1111 1111 and ssn 123-45-6789", 'token = "0123456789abcdef0123456789abcdef01234567" a.b@c.example.com', "Mr. John Smith, Mrs. Jane Smith; v4.0. in 2024 costs 1,234.50", "Господин Иванов 10.1.2.3"]
     df = frame(spark, texts)
-    got = {r.doc_id: r for r in pii.replace(df).collect()}
+    got = {r.doc_id: r for r in pii.replace(df, "k").collect()}
     pattern = re.compile(r"a\.b@c|A\.B@C|555-000|10\.1\.2\.3|411111|4111 1111|123-45-6789|0123456789abcdef|John|Jane|Иванов")
     n = len(ODD)
     assert [got[i].n_entities for i in range(len(texts))] == [0] * n + [4, 4, 2, 2, 2]
@@ -446,12 +446,12 @@ def test_surrogates(spark):
     digits = [int(c) for c in card[1]]
     assert card[1] == card[2].replace(" ", "") and sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(digits)) % 10 == 0
     assert re.search(r"ip (\S+),", second)[1] == last.split()[-1] and re.search("^Господин [А-Я]", last)
-    assert set(got[n].asDict()) == set(df.columns) and "Python" not in pii.replace(df)._jdf.queryExecution().toString()
+    assert set(got[n].asDict()) == set(df.columns) and "Python" not in pii.replace(df, "k")._jdf.queryExecution().toString()
 
 
 def test_surrogates_stay_distinct(spark):
     people = [f"Mr. {chr(65 + i)}{c}a{c} {chr(65 + i)}{c}o" for i in range(26) for c in "bcdfghjklm"]
-    got = pii.replace(frame(spark, people)).orderBy("doc_id").collect()
+    got = pii.replace(frame(spark, people), "k").orderBy("doc_id").collect()
     assert len({r.text for r in got}) == len(people) and not set(people) & {r.text for r in got}
 
 
@@ -459,7 +459,7 @@ def test_printed_names_stay_distinct_and_consistent(spark):
     surnames = [f"{a}{b}son" for a in "BCDFGHJKLM" for b in ("a", "e", "i", "o")] + ["Berger", "Abel"]
     russian = [f"{a}{b}нов" for a in "БВГДЗК" for b in "аеиоу"]
     texts = [f"Mr. {n}" for n in surnames] + [f"Mr. Adam {n}" for n in surnames] + [f"Mrs. Clara {n}" for n in surnames] + [f"Господин {n}" for n in russian]
-    got = [r.text for r in pii.replace(frame(spark, texts)).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.replace(frame(spark, texts), "k").orderBy("doc_id").collect()]
     n = len(surnames)
     alone = [t.split()[-1] for t in got[:n]]
     assert len(set(alone)) == n and not set(alone) & set(surnames)
@@ -470,29 +470,29 @@ def test_printed_names_stay_distinct_and_consistent(spark):
 
 @pytest.mark.parametrize("secret", ["abcdefab" * 4, "AKIA" + "QWERTYUI" * 2, "ghp_" + "abcdefghi" * 4])
 def test_secrets_without_digits_are_found(spark, secret):
-    got = pii.replace(frame(spark, [f"the key is {secret} here"])).first()
+    got = pii.replace(frame(spark, [f"the key is {secret} here"]), "k").first()
     assert got.n_entities == 1 and secret not in got.text
 
 
 def test_real_names_are_never_handed_out(spark):
     people = [f"Mr {g} {a}{b}" for g in pii.GIVEN["latin_m"] for a in pii.STEMS["latin"] for b in pii.ENDINGS["latin"][:1]]
-    got = [r.text for r in pii.replace(frame(spark, people)).collect()]
+    got = [r.text for r in pii.replace(frame(spark, people), "k").collect()]
     assert len(set(got)) == len(people) and not set(got) & set(people)
 
 
 def test_kinds_that_run_out_grow(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     mails = [f"{a}@{b}.io" for a in letters for b in letters]
-    got = [r.text for r in pii.replace(frame(spark, mails)).collect()]
+    got = [r.text for r in pii.replace(frame(spark, mails), "k").collect()]
     assert len(set(got)) == len(mails) and not set(got) & set(mails) and all(t.endswith(".io") for t in got)
     near = [f"192.168.{i // 250}.{i % 250 + 1}" for i in range(1500)]
-    got = [r.text for r in pii.replace(frame(spark, near)).collect()]
+    got = [r.text for r in pii.replace(frame(spark, near), "k").collect()]
     assert len(set(got)) == len(near) and not set(got) & set(near) and all(t.startswith(("192.168.", "10.")) for t in got)
 
 
 def test_spellings_of_one_entity_keep_together(spark):
     texts = ["+1 212 555 0199", "212 555 0199", "(212) 555-0199", "+44 20 7946 0958", "020 7946 0958", "+44 (0)20 7946 0958", "+33 6 12 34 56 78", "06 12 34 56 78", "Mr John Smith", "Mr Smith", "Mrs. Smith", "Dr. van der Berg", "Mr Berg", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"]
-    got = [r.text for r in pii.replace(frame(spark, texts)).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.replace(frame(spark, texts), "k").orderBy("doc_id").collect()]
     digits = [re.sub(r"\D", "", t) for t in got]
     assert digits[0] == "1" + digits[1] == "1" + digits[2] and digits[3][2:] == digits[4][1:] == digits[5][3:] and digits[6] == "33" + digits[7][1:]
     assert digits[3].startswith("44") and digits[4].startswith("0") and digits[5].startswith("440") and not set(got) & set(texts)
@@ -522,7 +522,7 @@ def test_surrogates_equal_brute_force(spark):
         parts = [filler[(i + j) % 3] for j in range(len(plan) + 1)]
         texts.append("".join(f"{p} {e[1]} " for p, e in zip(parts, plan, strict=False)) + parts[-1])
         shapes.append(parts)
-    got, told = {x.doc_id: x for x in pii.replace(frame(spark, texts)).collect()}, {}
+    got, told = {x.doc_id: x for x in pii.replace(frame(spark, texts), "k").collect()}, {}
     mask = lambda t: re.sub("[а-яё]", "я", re.sub("[А-ЯЁ]", "Я", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", t)))))
     for i, plan in enumerate(plans):
         assert got[i].n_entities == len(plan), texts[i]
@@ -626,7 +626,7 @@ def test_quality_probabilities_are_kneser_ney(spark):
         assert abs(got[i] - np.mean([cost(int(g)) for g in quality.grams(texts[i])])) < 1e-9
 
 
-@pytest.mark.parametrize("run", [lambda d, s: simhash.near_duplicates(d), lambda d, s: bpe.encoded_digests(d, TOKENIZER), lambda d, s: substring.kept_digests(d), lambda d, s: mixing.mix(d), lambda d, s: mixing.mixed_documents(d), lambda d, s: pii.replace(d), lambda d, s: simhash.one_of_each(d)])
+@pytest.mark.parametrize("run", [lambda d, s: simhash.near_duplicates(d), lambda d, s: bpe.encoded_digests(d, TOKENIZER), lambda d, s: substring.kept_digests(d), lambda d, s: mixing.mix(d), lambda d, s: mixing.mixed_documents(d), lambda d, s: pii.replace(d, "k"), lambda d, s: simhash.one_of_each(d)])
 def test_null_and_repeated_ids_and_empty_tables(spark, run):
     texts = [words(30, 1), words(30, 1), words(30, 2), None, ""]
     df = frame(spark, texts, ids=[None, 5, 5, None, 7])
@@ -641,3 +641,30 @@ def test_store_archive_and_model_of_nothing(spark):
     assert warc.round_trip(spark.read.parquet(f"{SF}/pages.parquet").limit(0), scratch(spark, "test-warc")).count() == 0
     assert quality.classify(none, corpus(spark)[1]).count() == 0
     assert vector_dedup.near_duplicates(vectors(spark, cloud(4, 1).tolist(), [1] * 4).limit(0)).count() == 0
+
+
+def test_surrogates_of_very_long_texts(spark):
+    """A megabyte of what a pattern repeats: no text exhausts the matcher's stack."""
+    long = ["x@a" + ".a" * 500_000 + ".com", "Mr A" + "-a" * 500_000, "Mr " + "de " * 300_000 + "Silva", "Mr " + "J. " * 300_000 + "Smith", "1 " * 500_000, "AB12 " + "ABCD " * 200_000, "+49 " + "1 " * 500_000, "fe80:" * 200_000, "A. " * 300_000, "sk-" + "a" * 1_000_000]
+    got = pii.replace(frame(spark, [*long, "mail jo@b.c.org to Mr J. R. de la Cruz"]), "k").orderBy("doc_id").collect()
+    assert len(got) == len(long) + 1 and [r.n_entities for r in got[:4]] == [0, 1, 0, 1] and max(len(r.text) for r in got) < 1.2e6
+    assert got[4].text == long[4] and got[len(long)].n_entities == 2 and not re.search("jo@b|Cruz", got[len(long)].text)
+
+
+def test_surrogates_need_a_key_and_differ_by_it(spark):
+    import hmac
+
+    df = frame(spark, ["Mr John Smith wrote", "call 555-123-4567 or 555-123-4568"])
+    one, two, again = ([r.text for r in pii.replace(df, k).orderBy("doc_id").collect()] for k in ("one", "two" * 70, "one"))
+    assert one == again and one != two
+    with pytest.raises(ValueError, match="key"):
+        pii.replace(df, "")
+    for key in ("k", "long" * 60):
+        told = spark.range(1).select(pii.keyed_digest(key, F.lit("a|0|é")).alias("d")).first().d
+        assert told == hmac.new(key.encode(), "a|0|é".encode(), "sha512").hexdigest()
+
+
+def test_a_frequent_entity_is_joined_without_gathering_it(spark):
+    texts = ["write to help@corp.example now"] * 3000 + [f"write to u{i}@corp.example now" for i in range(50)]
+    got = pii.replace(frame(spark, texts), "k").collect()
+    assert len({r.text for r in got}) == 51 and all(r.n_entities == 1 and "@" in r.text for r in got)

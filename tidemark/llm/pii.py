@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, spread_join
 
 _HEX = "[0-9A-Fa-f]{1,4}"
+# A repeated group costs the matcher's stack a frame for each turn, and a surrogate is made letter by letter: repetitions have bounds, far above what
+# such entities have.
 #: A capitalised name, its parts joined by hyphens or apostrophes, and particles before a surname.
-_PARTS = r"\p{Lu}\p{L}*(?:['’-]\p{L}+)*"
-_PARTICLES = "((?:(?:van|von|de|da|di|del|der|den|la|le|du|dos|ter) )*)"
+_PARTS = r"\p{Lu}\p{L}{0,63}+(?:['’-]\p{L}{1,63}+){0,8}+"
+_PARTICLES = "((?:(?:van|von|de|da|di|del|der|den|la|le|du|dos|ter) ){0,8}+)"
 #: Titles before a name, by the gender they tell.
 TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madame", "Mme", "Mlle", "Frau", "Señora", "Señorita", "Sra", "Signora", "Госпожа"],
@@ -21,7 +25,7 @@ _TITLE = f"(?:{'|'.join(t for own in TITLES.values() for t in own)})"
 _NAME = rf"(?!{_TITLE}(?!\p{{L}})){_PARTS}"
 #: What each kind looks like, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,126}\.\p{L}{2,63}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -29,8 +33,8 @@ PATTERNS = {
     "ip6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{3,4}}(?::{_HEX}){{0,5}}::(?:{_HEX}:){{0,5}}{_HEX})(?![\w:])",
     "phone": r"(?<![\w.+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?=(?:[ .()-]{0,3}\d){8})[1-9]\d{0,14}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{1,8}){0,5}"
     r"|00[1-9]\d{0,2}(?=(?:[ .()-]{1,3}\d+){2})(?:[ .-]?\(\d{1,5}\))?(?:[ .-]\d{1,8}){1,4}|0\d(?:[ .]\d{2}){4}|\(?0\d{2,4}\)?[ -]\d{3,4} \d{3,4})(?![\w-])",
-    "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_][0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})(?!\w)",
-    "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? (?:(?:\p{{Lu}}\. ?)+|{_NAME} )?{_PARTICLES.replace('((', '(?:(')}{_NAME}",
+    "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk[-_][0-9A-Za-z_-]{20,512}|xox[abprs]-[0-9A-Za-z-]{10,512}|AIza[0-9A-Za-z_-]{35}|eyJ[\w-]{8,2048}\.eyJ[\w-]{8,2048}\.[\w-]{8,2048})(?!\w)",
+    "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? (?:(?:\p{{Lu}}\. ?){{1,16}}|{_NAME} )?{_PARTICLES.replace('((', '(?:(')}{_NAME}",
 }
 #: What surrogate names are put together from, by script and gender. Cyrillic surnames take an ending by gender.
 GIVEN = {
@@ -178,7 +182,7 @@ def _name_of(same: Column, digest: Column, attempt: Column) -> tuple[Column, Col
     whole = F.coalesce(*[F.when(same.startswith(f"{p}:"), _at(names, number(0))) for p, names in GIVEN.items()])
     initials = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 2).cast("int")), lambda i: F.concat(F.upper(F.substring(script, (_byte(digest, i + 20) % 16 + 1).cast("int"), F.lit(1))), F.lit("."))), " ")
     first = F.regexp_extract(same, "^[a-z_]+:(.*) [^ ]+$", 1)
-    given = F.concat_ws(" ", F.when(first.rlike(r"^(?:\p{Lu}\. ?)+$"), initials).otherwise(longer(whole)), F.element_at(F.split(same, " "), -1))
+    given = F.concat_ws(" ", F.when(first.rlike(r"^(?:\p{Lu}\. ?)++$"), initials).otherwise(longer(whole)), F.element_at(F.split(same, " "), -1))
     pools = (("latin", "latin", "latin"), ("cyrillic_f", "cyrillic", "cyrillic_f"), ("cyrillic_m", "cyrillic", "cyrillic_m"))
     surname = F.coalesce(*[F.when(same.startswith(f"{p}:"), longer(F.concat(_at(STEMS[s], number(8)), _at(ENDINGS[e], number(16))))) for p, s, e in pools])
     return given, surname
@@ -234,6 +238,14 @@ def spelled(kind: Column, value: Column, same: Column, sur: Column, last: Column
     )
 
 
+def keyed_digest(key: str, message: Column) -> Column:
+    """HMAC-SHA512 of a message in hex: without the key, nobody can work out which surrogate a value has."""
+    block = key.encode()
+    block = (hashlib.sha512(block).digest() if len(block) > 128 else block).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "utf-8")), 512))), 512)
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, same, sur: a surrogate for every distinct identity (kind, same), no two alike and none a real one.
 
@@ -249,7 +261,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = open_.select("kind", bare.alias("sur")).distinct()
     done = None
     while True:
-        keyed = deal(open_).withColumn("digest", F.sha2(F.concat_ws("|", F.lit(key), "kind", "same", F.col("attempt").cast("string")), 512))
+        keyed = deal(open_).withColumn("digest", keyed_digest(key, F.concat_ws("|", "kind", F.col("attempt").cast("string"), "same")))
         tried = materialise(keyed.select("kind", "same", "attempt", surrogate(F.col("kind"), F.col("same"), F.col("digest"), F.col("attempt")).alias("sur")), "pii-round")
         fine = tried.groupBy("kind", "sur").agg(F.min("same").alias("same")).join(real, ["kind", "sur"], "left_anti")
         if done is not None:
@@ -261,23 +273,28 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return done
 
 
-def replace(docs: DataFrame, key: str = "surrogate", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
+def replace(docs: DataFrame, key: str, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """docs with every found entity in `text` replaced by its surrogate, and n_entities; all columns and rows stay.
 
+    key: the secret that surrogates follow from; it must not be empty. Who has it can tell which surrogate a value gets.
     Built from native functions alone. Every text is matched once; one without entities is passed through, one with entities is split at them. Only
     the distinct spellings of entities are joined with their surrogates, so a frequent one is aggregated
     before it is shuffled. Equal identities get equal surrogates in every document; different ones differ. A full name
     takes its surname's surrogate, so it still goes with a later title and surname. Persons are found after a title only.
 
+    Very long texts: matched whole; what is longer than any real entity (a name of nine parts or 16 initials, a mail address of 128 labels, a key of 512 letters) is no entity, or one up
+    to there.
     Null or empty text: unchanged, n_entities 0. Null ids and repeated rows: each row by itself. A column named
     n_entities in docs is replaced; other columns may have any name. Empty table: empty result.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     names, pattern = [c for c in docs.columns if c != "n_entities"], any_pattern(list(kinds))
     found = F.coalesce(F.regexp_extract_all("text", F.lit(pattern), 0), F.array().cast("array<string>"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
     rows = materialise(packed.select("row", found.alias("found")).withColumns({"n": F.size("found"), "at": F.monotonically_increasing_id()}), "pii-rows")
     hits = rows.filter("n > 0")
-    values = hits.select(F.explode("found").alias("value")).distinct().withColumn("kind", kind_of(F.col("value"), list(kinds)))
+    values = hits.select(F.explode("found").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("uses")).withColumn("kind", kind_of(F.col("value"), list(kinds)))
     person = F.when(_first(F.col("value")) != "", F.lit("given")).otherwise(F.lit("family"))
     values = values.withColumn("family", F.when(F.col("kind") == "person", family(F.col("value")))).withColumn("kind", F.when(F.col("kind") == "person", person).otherwise(F.col("kind")))
     values = materialise(values.withColumn("same", identity(F.col("kind"), F.col("value"))), "pii-values")
@@ -285,9 +302,10 @@ def replace(docs: DataFrame, key: str = "surrogate", kinds: tuple[str, ...] = tu
     settled = surrogates(entities, key)
     last = settled.filter("kind = 'family'").select(F.col("same").alias("family"), F.col("sur").alias("last"))
     dealt = values.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "same")
-    told = dealt.join(settled, ["kind", "same"]).join(last, "family", "left").select("value", spelled(F.col("kind"), F.col("value"), F.col("same"), F.col("sur"), F.col("last")).alias("put"))
+    told = dealt.join(settled, ["kind", "same"]).join(last, "family", "left").select("value", "uses", spelled(F.col("kind"), F.col("value"), F.col("same"), F.col("sur"), F.col("last")).alias("put"))
     told = materialise(told, "pii-told")
-    places = hits.select("at", F.posexplode("found").alias("place", "value")).join(told, "value")
+    total = values.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    places = spread_join(hits.select("at", F.posexplode("found").alias("place", "value")), told, ["value"], "uses", total)
     put = places.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "put"))), lambda p: p["put"]).alias("puts"))
     text = F.array_join(F.zip_with(F.split("row.text", pattern, -1), "puts", lambda r, p: F.concat(r, F.coalesce(p, F.lit("")))), "")
     columns = lambda t: [t.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names]
