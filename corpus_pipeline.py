@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, pii, quality, simhash
 from tidemark.llm.common import materialise
-from tidemark.llm.entries import TOKENIZER, table
+from tidemark.llm.entries import SURROGATE_KEY, TOKENIZER, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by surrogates."""
-    return pii.replace(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return pii.replace(docs, SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
