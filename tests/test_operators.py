@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,8 +360,6 @@ def test_exports(spark):
 
 @pytest.mark.parametrize("taken", [200_000, 10])
 def test_bracketed_quantiles(spark, monkeypatch, taken):
-    import numpy as np
-
     monkeypatch.setattr(quantiles, "TAKEN", taken)
     g = np.random.default_rng(7)
     data = {"a": g.normal(0, 1, 30_000), "b": np.round(g.exponential(2, 30_000)), "c": np.where(g.random(30_000) < 0.9, 0.0, g.random(30_000)), "d": np.full(30_000, np.nan)}
@@ -432,3 +431,76 @@ def test_arrival_sends_each_row_once_and_late_ones_twice(spark):
     assert sent.filter("_kind <> 'first'").count() <= n * (1 + 1 / arrivals.SPAN) * 1.1 + 1.5 * late < n * 14 / 3
     plan = panel.asof_features(df, ASOF, 14, 4, "label", {}, {}, "arrival")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def grown(bins, y, raw, growth):
+    """One best-first tree by going over all rows for every leaf: leaf of each row, its value, and the splits in order."""
+    p = 1 / (1 + np.exp(-raw))
+    g, h = p - y, p * (1 - p)
+    leaves, splits = [np.arange(len(y))], []
+    while len(leaves) < growth.leaves:
+        best = None
+        for at, rows in enumerate(leaves):
+            whole = g[rows].sum() ** 2 / (h[rows].sum() + growth.l2)
+            for f in range(bins.shape[1]):
+                for b in np.unique(bins[rows, f])[:-1]:
+                    low = bins[rows, f] <= b
+                    if growth.least <= low.sum() <= len(rows) - growth.least:
+                        gain = g[rows][low].sum() ** 2 / (h[rows][low].sum() + growth.l2) + g[rows][~low].sum() ** 2 / (h[rows][~low].sum() + growth.l2) - whole
+                        if gain > 1e-12 and (best is None or gain > best[0] + 1e-9):
+                            best = gain, at, f, int(b), low
+        if best is None:
+            break
+        _, at, f, b, low = best
+        rows = leaves.pop(at)
+        leaves += [rows[low], rows[~low]]
+        splits.append((f, b))
+    value = np.zeros(len(y))
+    for rows in leaves:
+        value[rows] = -growth.rate * g[rows].sum() / (h[rows].sum() + growth.l2)
+    return value, splits, len(leaves)
+
+
+def boosting_rows(spark, n=1500):
+    g = np.random.default_rng(12)
+    x, z, c = g.normal(size=n), np.round(g.normal(size=n) * 3), g.choice(["a", "b", "d"], n)
+    y = g.random(n) < 1 / (1 + np.exp(-(1.5 * np.sin(2 * x) + 0.4 * z * (c == "a") - 0.5)))
+    rows = [(i, day(i % 9), None if i % 17 == 0 else float(x[i]), float("nan") if i % 23 == 0 else float(z[i]), None if i % 31 == 0 else str(c[i]), None if i % 40 == 39 else bool(y[i])) for i in range(n)]
+    return spark.createDataFrame(rows, "entity_id long, prediction_date date, x double, z double, c string, y boolean")
+
+
+def test_boosting_equals_brute_force(spark):
+    from tidemark.operators import boosting
+
+    growth = boosting.Growth(rounds=4, rate=0.3, leaves=9, least=40, l2=1.0)
+    df = boosting_rows(spark)
+    fitted, fills = model.fit_gbt(df.repartition(5), ["x", "z"], ["c"], "y", 4, growth)
+    rows = fitted.features(model.prepared(df.filter("y IS NOT NULL"), ["x", "z"], fills)).orderBy("entity_id").toArrow()
+    bins, y = fitted.bins(rows["features"].combine_chunks()), np.array(rows["y"].to_pylist(), float)
+    assert bins[:, 0].max() > 200 and bins.shape[1] == 5 and fitted.medians["z"] == np.median([v for v in rows["z"].to_pylist() if v is not None])
+    raw = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+    for tree in fitted.trees:
+        value, splits, leaves = grown(bins, y, raw, growth)
+        own = np.array(tree.value)[tree.place(bins)]
+        assert np.allclose(own, value, atol=1e-9) and sorted(splits) == sorted((f, b) for f, b in zip(tree.feature, tree.bin, strict=True) if f >= 0)
+        assert tree.feature.count(-1) == leaves <= 9
+        raw = raw + value
+    told = {r.entity_id: r.probability for r in model.score(fitted, fills, df, ["x", "z"], 0.5, "gbt").collect()}
+    assert np.allclose([told[i] for i in rows["entity_id"].to_pylist()], 1 / (1 + np.exp(-raw)), atol=1e-9) and len(told) == df.count()
+
+
+def test_boosting_beats_the_base_rate_on_held_out_rows(spark, monkeypatch):
+    from tidemark.operators import boosting
+
+    monkeypatch.setattr(boosting, "KEPT", 7)
+    df = boosting_rows(spark)
+    train, held = df.filter("entity_id % 3 > 0"), df.filter("entity_id % 3 = 0 AND y IS NOT NULL")
+    fitted, fills = model.fit_gbt(train, ["x", "z"], ["c"], "y", 20, boosting.Growth(rate=0.2, least=20))
+    rows = model.score(fitted, fills, held, ["x", "z"], 0.5, "gbt", ("entity_id", "prediction_date", "y")).collect()
+    loss = lambda p: -np.mean([math.log(q if r.y else 1 - q) for r, q in zip(rows, p, strict=True)])
+    rate = np.mean([r.y for r in rows])
+    assert loss([r.probability for r in rows]) < 0.9 * loss([rate] * len(rows))
+    new = held.withColumn("c", F.lit("unheard of"))
+    assert all(0 < r.probability < 1 for r in model.score(fitted, fills, new, ["x", "z"], 0.5, "gbt").collect())
+    with pytest.raises(ValueError, match="positive"):
+        model.fit_gbt(df.filter("y"), ["x"], ["c"], "y", 1)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import boosting, quality
 from tidemark.operators.activate import content_digest
+from tidemark.operators.boosting import Boosted, Growth
 from tidemark.sources.scratch import materialise
 
 
@@ -52,22 +54,22 @@ def fit_logistic(train: DataFrame, numeric: list[str], categorical: list[str], l
     return Pipeline(stages=[*_features(numeric, categorical, True, True), lr]).fit(rows), fills
 
 
-def fit_gbt(train: DataFrame, numeric: list[str], categorical: list[str], label: str, iterations: int = 200, seed: int = 42) -> tuple[PipelineModel, dict[str, str]]:
-    """A boosted-tree challenger. Spark grows trees by level: depth 4 stands for 15 leaves, and there is no L2 term."""
+def fit_gbt(train: DataFrame, numeric: list[str], categorical: list[str], label: str, iterations: int = 200, growth: Growth = Growth()) -> tuple[Boosted, dict[str, str]]:  # noqa: B008
+    """The boosted-tree challenger: best-first trees of 15 leaves with at least 50 rows and an L2 term of 1, see boosting.py. Returns the model and the modes."""
     fills = modes(train, categorical)
-    rows = prepared(train, numeric, fills).withColumn("label", F.col(label).cast("double")).filter("label IS NOT NULL")
-    gbt = GBTClassifier(stepSize=0.05, maxIter=iterations, maxDepth=4, minInstancesPerNode=50, seed=seed)
-    return Pipeline(stages=[*_features(numeric, categorical, False, True), gbt]).fit(rows), fills
+    rows = prepared(train, numeric, fills).filter(F.col(label).isNotNull())
+    levels = {c: sorted(r[0] for r in rows.select(c).distinct().collect()) for c in categorical}  # a row for each level
+    return boosting.fit(rows, numeric, levels, label, replace(growth, rounds=iterations)), fills
 
 
-def score(model: PipelineModel, fills: dict[str, str], batch: DataFrame, numeric: list[str], threshold: float, name: str, ids: tuple[str, ...] = ("entity_id", "prediction_date"), strict: bool = True) -> DataFrame:
+def score(model: PipelineModel | Boosted, fills: dict[str, str], batch: DataFrame, numeric: list[str], threshold: float, name: str, ids: tuple[str, ...] = ("entity_id", "prediction_date"), strict: bool = True) -> DataFrame:
     """ids, probability of the positive class, is_high (inclusive), model_name and threshold of every row.
 
     strict: the batch must have the features that the model was fitted on, in their order, and unique ids without nulls. The ids are the
     first two columns of `ids`; others are passed through.
     """
     if strict:
-        fitted = (list(model.stages[0].getInputCols()), list(model.stages[1].getInputCols()))
+        fitted = (model.numeric, list(model.levels)) if isinstance(model, Boosted) else (list(model.stages[0].getInputCols()), list(model.stages[1].getInputCols()))
         if fitted != (list(numeric), list(fills)):
             raise ValueError(f"the model was fitted on {fitted}, not on {(list(numeric), list(fills))}")
         keys = list(ids[:2])
@@ -76,7 +78,11 @@ def score(model: PipelineModel, fills: dict[str, str], batch: DataFrame, numeric
         bad = {k: v for k, v in counts.first().asDict().items() if v}
         if bad:
             raise ValueError(f"the batch's ids are unsound: {bad}")
-    out = model.transform(prepared(batch, numeric, fills)).withColumn("probability", vector_to_array("probability")[1])
+    rows = prepared(batch, numeric, fills)
+    if isinstance(model, Boosted):
+        out = model.transform(rows.select(*dict.fromkeys([*ids, *numeric, *fills])))
+    else:
+        out = model.transform(rows).withColumn("probability", vector_to_array("probability")[1])
     return out.select(*ids, "probability", (F.col("probability") >= threshold).alias("is_high"), F.lit(name).alias("model_name"), F.lit(threshold).alias("threshold"))
 
 
