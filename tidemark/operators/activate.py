@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.spread import spread_join
+from tidemark.sources.commits import Snapshot, TableSet
 from tidemark.sources.scratch import materialise
 
 #: Outcomes and final reasons, in their order, and the categories of a review.
@@ -81,6 +83,12 @@ def input_errors(preds: DataFrame, context: DataFrame, at: str) -> DataFrame:
     return p.crossJoin(twice).crossJoin(c)
 
 
+def with_latest(preds: DataFrame) -> DataFrame:
+    """preds with each entity's latest prediction date as `latest`, found by partial aggregates: no task gathers an entity."""
+    own = preds.filter("entity_id IS NOT NULL").groupBy("entity_id").agg(F.max("prediction_date").alias("latest"), F.count(F.lit(1)).alias("_n"))
+    return spread_join(preds, own, ["entity_id"], "_n", preds.count(), "left")
+
+
 def decide(preds: DataFrame, context: DataFrame, policy: Policy, at: str, strict: bool = True) -> DataFrame:
     """One audit row for each prediction: outcome, reason, rank and category.
 
@@ -94,7 +102,7 @@ def decide(preds: DataFrame, context: DataFrame, policy: Policy, at: str, strict
         if bad:
             raise ValueError(f"predictions or contexts are unsound: {bad}")
     when = F.lit(at).cast("timestamp_ntz")
-    rows = preds.withColumn("latest", F.max("prediction_date").over(Window.partitionBy("entity_id"))).join(context.withColumn("has_context", F.lit(True)), "entity_id", "left")
+    rows = with_latest(preds).join(context.withColumn("has_context", F.lit(True)), "entity_id", "left")
     age = F.datediff(when.cast("date"), F.col("prediction_date"))
     p = F.col("probability")
     unless = lambda fine: ~F.coalesce(fine, F.lit(False))
@@ -170,6 +178,44 @@ def ingest(tables: dict[str, tuple[DataFrame, DataFrame, list[str], str]]) -> di
     return counts
 
 
+def ingest_atomic(store: TableSet, staged: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, int]:
+    """Append the unseen rows of several tables ({name: (staged, keys)}) in one commit; how many each got.
+
+    Rows are insert-only: a staged row that differs from the stored one of its key, or a repeated key, is an error and nothing is written. A crash before the
+    commit leaves nothing to be read; callers that race with the same keys append them once, as the later one finds them stored.
+    """
+
+    def make(snapshot: Snapshot) -> dict[str, DataFrame]:
+        new = {}
+        for name, (rows, keys) in staged.items():
+            target = store.read(name, snapshot)
+            bad = {k: v for k, v in conflicts(target, rows, keys).first().asDict().items() if v}
+            if bad:
+                raise ValueError(f"{name}: {bad}")
+            new[name] = unseen(target, rows, keys)
+        return new
+
+    return store.commit(make)[1]
+
+
+def stored_conflicts(spark: SparkSession, table: str, staged: DataFrame, keys: list[str], partition: str | None = None) -> DataFrame:
+    """conflicts() against a table stored in buckets of its keys (see tables.write_bucketed), which is not shuffled.
+
+    The staged rows go to the table's buckets, and only the partitions whose values they have are read. Keys must not be null: where one is, that is counted
+    as null_keys.
+    """
+    target, others = spark.table(table), [c for c in staged.columns if c not in keys]
+    if partition:
+        values = [r[0] for r in staged.select(partition).distinct().collect()]  # a batch's partitions
+        target = target.filter(F.col(partition).isin(values))
+    rows = staged.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    twice = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias(n))
+    both = rows.hint("merge").select(*keys, F.struct(*others).alias("staged")).join(target.select(*keys, F.struct(*others).alias("stored")), keys)
+    differ = both.agg(F.count_if(~F.col("staged").eqNullSafe(F.col("stored"))).alias("conflicting_rows"), F.count(F.lit(1)).alias("known_rows"))
+    nulls = staged.agg(F.count_if(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).alias("null_keys"))
+    return twice(target, "target_duplicates").crossJoin(twice(rows, "staged_duplicates")).crossJoin(differ).crossJoin(nulls)
+
+
 def context_errors(context: DataFrame, at: str) -> DataFrame:
     """One row of counts of unsound contexts, by rule."""
     when = F.lit(at).cast("timestamp_ntz")
@@ -179,7 +225,7 @@ def context_errors(context: DataFrame, at: str) -> DataFrame:
         F.count_if(F.col("contact_allowed").isNull() | F.col("opted_out").isNull() | F.col("open_case").isNull()).alias("null_flags"),
         F.count_if(F.col("interventions_28d").isNull() | (F.col("interventions_28d") < 0)).alias("bad_counts"),
         F.count_if(~F.col("contact_allowed") & F.col("opted_out")).alias("opted_out_but_never_allowed"),
-        F.greatest(F.count_distinct("context_as_of") - 1, F.lit(0)).alias("extra_snapshots"),
+        F.greatest(F.count_distinct("context_as_of") - 1, F.lit(0)).alias("extra_snapshots"), F.count_if(F.col("context_as_of").isNull()).alias("null_snapshots"),
         F.count_if(F.col("last_contacted_at") > F.col("context_as_of")).alias("contacts_after_snapshot"),
         F.count_if(F.col("context_as_of") > when).alias("snapshots_after_decision"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from tidemark.operators.activate import Policy
 from tidemark.operators.monitor import FrozenModel, MonitoringPolicy
 from tidemark.plans import panel_queries as base
 from tidemark.plans.panel_queries import DAILY, FEATURES, LABELLED, PANEL, SPLIT, SWEEP, rounded
-from tidemark.sources import demo
+from tidemark.sources import demo, tables
+from tidemark.sources.commits import TableSet
 from tidemark.sources.scratch import materialise, scratch
 from tidemark.sources.tables import file_facts
 
@@ -56,6 +58,33 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(counts, "table_name")
 
 
+def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest the run into a set of tables in one commit, again, and with a second run of which a part is known; counts by table."""
+    audit, made = runs(spark, sf_dir)
+    audit = materialise(audit, "audit")
+    schema = lambda df: ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    store = TableSet(spark, scratch(spark, "ingest-set"), {"decisions": schema(made), "runs": schema(audit)})
+    keys = {"decisions": ["run_id", "entity_id", "prediction_date"], "runs": ["run_id"]}
+    staged = lambda rows, run: {"decisions": (rows, keys["decisions"]), "runs": (run, keys["runs"])}
+    other = lambda df: df.withColumn("run_id", F.lit("act_0123456789abcdef01234568"))
+    told = [activate.ingest_atomic(store, staged(made, audit)), activate.ingest_atomic(store, staged(made, audit)), activate.ingest_atomic(store, staged(made.unionByName(other(made)), audit.unionByName(other(audit))))]
+    rows = spark.createDataFrame([(t, *[x[t] for x in told], store.snapshot().version) for t in keys], "table_name string, appended_first long, appended_again long, appended_second_run long, version int")
+    stored = reduce(DataFrame.unionByName, [store.read(t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("stored"), F.count_distinct("run_id").alias("stored_runs")) for t in keys])
+    return rows.join(stored, "table_name")
+
+
+def stored_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed batch of one month's decisions against all of them, stored by day in buckets of their keys."""
+    keys, table = ["entity_id", "prediction_date"], f"tidemark_decisions_{uuid.uuid4().hex}"
+    made = decisions(spark, sf_dir).withColumn("day", F.col("prediction_date"))
+    tables.write_bucketed(made, table, keys, 8, "day")
+    batch = made.filter(F.col("prediction_date") >= F.lit("2024-01-20").cast("date"))
+    changed = batch.withColumn("reason", F.when(F.col("entity_id") % 7 == 0, F.lit("changed")).otherwise(F.col("reason")))
+    told = materialise(activate.stored_conflicts(spark, table, changed, keys, "day"), "stored-conflicts")
+    spark.sql(f"DROP TABLE {table}")
+    return told
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the governed views; only what it needs is computed."""
     if name in ("daily_summary", "risk_distribution"):
@@ -213,6 +242,8 @@ QUERIES = {
     "run_id": lambda s, d: activate.run_id(demo.predictions(s, d), POLICY, demo.DECISION_TIME),
     "review_queue": lambda s, d: activate.review_queue(decisions(s, d)),
     "ingest_audit": ingested,
+    "ingest_commits": committed,
+    "stored_conflicts": stored_conflicts,
     "ingest_conflicts": lambda s, d: activate.conflicts(decisions(s, d), decisions(s, d).withColumn("reason", F.when(F.col("entity_id") % 7 == 0, F.lit("changed")).otherwise(F.col("reason"))), ["entity_id", "prediction_date"]),
     "context_checks": lambda s, d: activate.context_errors(demo.contact_context(s, d), demo.DECISION_TIME),
     "daily_summary": lambda s, d: rounded(view(s, d, "daily_summary")),
@@ -387,11 +418,15 @@ WITH {HALVES} SELECT 'event_type' AS feature, round(avg((event_type NOT IN ('vie
     "run_audit": f"WITH {RUN} SELECT * FROM run",
     "review_queue": f"WITH {DECIDED} SELECT priority_rank, entity_id, prediction_date, probability, category, 'pending' AS review_status FROM decided WHERE priority_rank IS NOT NULL",
     "ingest_audit": f"WITH {DECIDED} SELECT 'decisions' AS table_name, count(*) AS appended_first, 0 AS appended_again, count(*) AS stored FROM decided UNION ALL SELECT 'runs', 1, 0, 1",
+    "ingest_commits": f"""WITH {DECIDED} SELECT 'decisions' AS table_name, count(*) AS appended_first, 0 AS appended_again, count(*) AS appended_second_run, 2 AS version, 2 * count(*) AS stored, 2 AS stored_runs
+  FROM decided UNION ALL SELECT 'runs', 1, 0, 1, 2, 2, 2""",
+    "stored_conflicts": f"""WITH {DECIDED} SELECT 0 AS target_duplicates, 0 AS staged_duplicates, count(*) FILTER (entity_id % 7 = 0) AS conflicting_rows, count(*) AS known_rows, 0 AS null_keys
+  FROM decided WHERE prediction_date >= date '2024-01-20'""",
     "ingest_conflicts": f"WITH {DECIDED} SELECT 0 AS target_duplicates, 0 AS staged_duplicates, count(*) FILTER (entity_id % 7 = 0) AS conflicting_rows FROM decided",
     "context_checks": f"""
 WITH {DECIDED} SELECT count(*) FILTER (entity_id IS NULL) AS blank_ids, count(entity_id) - count(DISTINCT entity_id) AS duplicate_ids, count(*) FILTER (allowed IS
   NULL) AS null_flags, count(*) FILTER (interventions < 0) AS bad_counts, count(*) FILTER (NOT allowed AND opted_out) AS opted_out_but_never_allowed, 0 AS
-  extra_snapshots, count(*) FILTER (last_contact > timestamp '2024-02-06') AS contacts_after_snapshot, 0 AS snapshots_after_decision FROM context""",
+  extra_snapshots, count(*) FILTER (last_contact > timestamp '2024-02-06') AS contacts_after_snapshot, 0 AS snapshots_after_decision, 0 AS null_snapshots FROM context""",
     "daily_summary": f"""
 WITH {PREDS} SELECT prediction_date, count(*) AS scored_rows, count(DISTINCT entity_id) AS entities, round(avg(probability), 6) AS mean_probability, count(*) FILTER
   (is_high) AS high_rows, round(count(*) FILTER (is_high) / count(*)::double, 6) AS high_rate, (SELECT count(*) FROM preds) AS source_rows, 0 AS null_p, 0 AS

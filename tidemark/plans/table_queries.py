@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "export")
     tables.export_ordered(_events(spark, sf_dir), ["event_id", "user_id", "day"], {"user_id": "entity_id"}, ["entity_id", "day", "event_id"], path)
     kept = spark.read.parquet(path)
-    broken = tables.ordered_violations(kept, ["entity_id", "day", "event_id"]).agg(F.count(F.lit(1)).alias("out_of_order"))
+    broken = tables.ordered_violations(kept, ["entity_id", "day", "event_id"], spark.read.parquet(f"{path}.zones")).agg(F.count(F.lit(1)).alias("out_of_order"))
     return kept.crossJoin(F.broadcast(broken))
 
 
@@ -77,6 +79,32 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT prediction_date, scored_rows, high_rows FROM tidemark_daily WHERE is_valid")
 
 
+def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What another session reads from a view that this one has put into the catalog."""
+    text = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS events, count_if(event_type = 'purchase') AS purchases FROM events GROUP BY user_id, CAST(ts AS DATE)"
+    tables.publish_persistent(spark, "tidemark_published", {"events": f"{sf_dir}/events.parquet"}, {"user_days": text})
+    return spark.newSession().sql("SELECT day, count(*) AS users, sum(events) AS events, sum(purchases) AS purchases FROM tidemark_published.user_days GROUP BY day")
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by day, built without the purchases of the month's second half, after these have arrived late."""
+    path, rows = scratch(spark, "refreshed-by-day"), _events(spark, sf_dir)
+    late = rows.filter((F.col("event_type") == "purchase") & (F.col("day") >= F.lit("2024-01-16").cast("date")))
+    daily = lambda df: df.groupBy("day", "user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
+    tables.write_partitioned(daily(rows.join(late.select("event_id"), "event_id", "left_anti")), path, "day", ["user_id"])
+    tables.refresh_partitions(path, "day", late, lambda touched: daily(rows.join(F.broadcast(touched), "day", "left_semi")), ["user_id"])
+    return spark.read.parquet(path)
+
+
+KEYS = {"customer": "c_custkey", "events": "event_id", "lineitem": "l_orderkey", "orders": "o_orderkey", "part": "p_partkey"}
+
+
+def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and the range of a key of five tables, from their files' footers."""
+    one = lambda t, k: tables.footer_facts(spark, t, f"{sf_dir}/{t}.parquet", [k]).select("table_name", "row_count", F.col(f"min_{k}").cast("long").alias("first_key"), F.col(f"max_{k}").cast("long").alias("last_key"))
+    return reduce(DataFrame.unionByName, [one(t, k) for t, k in KEYS.items()])
+
+
 QUERIES = {
     "pruned_scan": pruned,
     "ordered_export": exported,
@@ -88,6 +116,9 @@ QUERIES = {
     "text_labels": text_labels,
     "calendar_parts": calendar,
     "published_view": published,
+    "persisted_view": persisted,
+    "refreshed_table": refreshed,
+    "footer_facts": footers,
     "edge_rows": lambda s, d: tables.edge_rows(demo.raw_panel(s, d).select("entity_id", "date", "amount"), "entity_id", "date", 3),
 }
 _EVENTS = "SELECT event_id, user_id, event_type, ts::date AS day FROM events"
@@ -110,6 +141,10 @@ SQL = {
 WITH e AS (SELECT CASE WHEN event_id % 50 <> 0 THEN (date_trunc('second', ts) - interval 2 hour)::date END AS utc_date FROM events)
 SELECT utc_date, dayofyear(utc_date)::int AS day_of_year, isodow(utc_date)::int AS iso_weekday, isodow(utc_date) >= 6 AS is_weekend, count(*) AS events FROM e GROUP BY ALL""",
     "published_view": _PREDS + "SELECT prediction_date, count(*) AS scored_rows, count_if(is_high)::bigint AS high_rows FROM preds GROUP BY prediction_date",
+    "persisted_view": """
+SELECT day, count(*) AS users, sum(n)::bigint AS events, sum(p)::bigint AS purchases FROM (SELECT user_id, ts::date AS day, count(*) AS n, count_if(event_type = 'purchase') AS p FROM events GROUP BY ALL) GROUP BY day""",
+    "refreshed_table": f"SELECT day, user_id, count(*) AS events, count_if(event_type = 'purchase')::bigint AS purchases FROM ({_EVENTS}) GROUP BY ALL",
+    "footer_facts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, min({k})::bigint AS first_key, max({k})::bigint AS last_key FROM {t}" for t, k in KEYS.items()),
     "edge_rows": """
 WITH days AS (SELECT date '2024-01-01' + i::int AS date FROM range(30) r(i)), users AS (SELECT DISTINCT user_id AS entity_id FROM events),
 daily AS (SELECT user_id AS entity_id, ts::date AS date, sum(round(value * 100)::bigint)::bigint AS amount FROM events GROUP BY ALL),
