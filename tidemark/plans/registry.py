@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import panel_queries, run_queries, table_queries
+from tidemark.plans import panel_queries, reconcile_queries, run_queries, table_queries
 
-QUERIES = {**panel_queries.QUERIES, **run_queries.QUERIES, **table_queries.QUERIES}
-SQL = {**panel_queries.SQL, **run_queries.SQL, **table_queries.SQL}
+QUERIES = {**panel_queries.QUERIES, **reconcile_queries.QUERIES, **run_queries.QUERIES, **table_queries.QUERIES}
+SQL = {**panel_queries.SQL, **reconcile_queries.SQL, **run_queries.SQL, **table_queries.SQL}
