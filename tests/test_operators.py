@@ -504,3 +504,45 @@ def test_boosting_beats_the_base_rate_on_held_out_rows(spark, monkeypatch):
     assert all(0 < r.probability < 1 for r in model.score(fitted, fills, new, ["x", "z"], 0.5, "gbt").collect())
     with pytest.raises(ValueError, match="positive"):
         model.fit_gbt(df.filter("y"), ["x"], ["c"], "y", 1)
+
+
+def newton(x, y, penalty=0.0):
+    """Logistic regression with an intercept, by Newton's method; the penalty leaves the intercept alone."""
+    x = np.c_[x, np.ones(len(x))]
+    w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+    return w
+
+
+def known_design(df, reference):
+    """The numerics standardised after their gaps are filled, and flags of the categories."""
+    rows = [r for r in df.orderBy("entity_id").collect() if r.y is not None]
+    out, y = [], np.array([r.y for r in rows], float)
+    for c in ("x", "z"):
+        v = np.array([np.nan if r[c] is None else r[c] for r in rows], float)
+        v = np.where(np.isnan(v), np.nanmean(v) if reference else np.nanmedian(v), v)
+        out.append((v - v.mean()) / v.std(ddof=1))
+    mode = "__missing__" if reference else max("abd", key=lambda k: (sum(r.c == k for r in rows if True), -ord(k)))
+    cats = [mode if r.c is None else r.c for r in rows]
+    return np.stack([*out, *[np.array([c == k for c in cats], float) for k in sorted(set(cats))[1 if reference else 0 :]]], axis=1), y
+
+
+def test_logistic_models_equal_newton(spark):
+    df, seen = boosting_rows(spark, 600), []
+    fitted, fills = model.fit_reference_coded(df, ["x", "z"], ["c"], "y", 200, 1e-14, seen)
+    w = newton(*known_design(df, True))
+    assert np.allclose(fitted.stages[-1].coefficients.toArray(), w[:-1], atol=1e-4) and abs(fitted.stages[-1].intercept - w[-1]) < 1e-4
+    assert all(a >= b - 1e-12 for a, b in zip(seen, seen[1:], strict=False))
+    early = []
+    short, _ = model.fit_reference_coded(df, ["x", "z"], ["c"], "y", seen=early)
+    assert 2 <= len(early) <= 31 and early == pytest.approx(seen[: len(early)], rel=1e-6) and early[-2] - early[-1] < 0.01 * early[-2] and all(a - b >= 0.01 * a for a, b in zip(early[:-2], early[1:-1], strict=True))
+    told = model.score(short, fills, df.withColumn("c", F.lit("it's new")), ["x", "z"], 0.5, "warehouse")
+    assert told.count() == 600 and told.filter("probability BETWEEN 0 AND 1").count() == 600
+    with pytest.raises(ValueError, match="fitted on"):
+        model.score(short, fills, df, ["z", "x"], 0.5, "warehouse")
+    labelled = df.filter("y IS NOT NULL")
+    ridge, _ = model.fit_logistic(labelled, ["x", "z"], ["c"], "y")
+    w = newton(*known_design(labelled, False), penalty=1.0)
+    assert np.allclose(ridge.stages[-1].coefficients.toArray(), w[:-1], atol=1e-3) and abs(ridge.stages[-1].intercept - w[-1]) < 1e-3

@@ -7,11 +7,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import boosting, quality
 from tidemark.operators.activate import content_digest
 from tidemark.operators.boosting import Boosted, Growth
@@ -32,26 +33,62 @@ def prepared(df: DataFrame, numeric: list[str], fills: dict[str, str]) -> DataFr
     return df.withColumns(num | {c: F.coalesce(F.col(c).cast("string"), F.lit(v)) for c, v in fills.items()})
 
 
-def _features(numeric: list[str], categorical: list[str], scale: bool, dummy: bool) -> list:
+def _filled(columns: dict[str, str]) -> SQLTransformer:
+    """A stage that adds columns {name: SQL expression}."""
+    return SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} AS `{n}`' for n, e in columns.items())} FROM __THIS__")
+
+
+def _features(numeric: list[str], categorical: list[str], medians: dict[str, list[float] | None]) -> list:
     filled = [f"{c}__filled" for c in numeric]
-    stages = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled),
+    return [
+        _filled({f"{c}__filled": f"coalesce(`{c}`, {float((medians[c] or [0.0])[0])!r}D)" for c in numeric}),
         StringIndexer(inputCols=categorical, outputCols=[f"{c}__index" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc"),
         # With the extra level for unknown values dropped, an unknown value is all zero and every known one has a column.
-        OneHotEncoder(inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__hot" for c in categorical], dropLast=True, handleInvalid="error" if dummy else "keep"),
+        OneHotEncoder(inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__hot" for c in categorical], dropLast=True, handleInvalid="error"),
         VectorAssembler(inputCols=filled, outputCol="numeric_vector"),
+        StandardScaler(inputCol="numeric_vector", outputCol="scaled_vector", withMean=True, withStd=True),
+        VectorAssembler(inputCols=["scaled_vector", *(f"{c}__hot" for c in categorical)], outputCol="features"),
     ]
-    if scale:
-        stages.append(StandardScaler(inputCol="numeric_vector", outputCol="scaled_vector", withMean=True, withStd=True))
-    return [*stages, VectorAssembler(inputCols=["scaled_vector" if scale else "numeric_vector", *(f"{c}__hot" for c in categorical)], outputCol="features")]
 
 
 def fit_logistic(train: DataFrame, numeric: list[str], categorical: list[str], label: str, c: float = 1.0, max_iter: int = 1000) -> tuple[PipelineModel, dict[str, str]]:
-    """An L2 logistic model; Spark averages the loss, so the penalty C becomes 1 / (C n). Returns the model and the modes."""
+    """An L2 logistic model; Spark averages the loss, so the penalty C becomes 1 / (C n). Returns the model and the modes.
+
+    Gaps in numerics are filled by exact medians, 0 where a column has no value.
+    """
     fills = modes(train, categorical)
     rows = prepared(train, numeric, fills).withColumn("label", F.col(label).cast("double")).filter("label IS NOT NULL")
     lr = LogisticRegression(regParam=1.0 / (c * max(1, rows.count())), maxIter=max_iter, standardization=False)
-    return Pipeline(stages=[*_features(numeric, categorical, True, True), lr]).fit(rows), fills
+    return Pipeline(stages=[*_features(numeric, categorical, exact_quantiles(rows, numeric, [0.5])), lr]).fit(rows), fills
+
+
+def fit_reference_coded(train: DataFrame, numeric: list[str], categorical: list[str], label: str, max_iter: int = 30, progress: float = 0.01, seen: list[float] | None = None) -> tuple[PipelineModel, dict[str, str]]:
+    """The warehouse's logistic model: no penalty, no split of its own, categories coded against a reference level, early stopping on the loss.
+
+    Every category but the first in order has a flag; a missing one is a category of its own, and an unknown one counts as the reference. Numerics are
+    standardised, gaps filled by the mean. Training ends after `max_iter` steps, or with the first one that lowers the loss by less than `progress` of
+    it; `seen` gets the losses step by step.
+    """
+    fills = dict.fromkeys(categorical, "__missing__")
+    rows = prepared(train, numeric, fills).withColumn("label", F.col(label).cast("double")).filter("label IS NOT NULL")
+    levels = {c: sorted(r[0] for r in rows.select(c).distinct().collect())[1:] for c in categorical}  # a row for each level
+    means = rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in numeric]).first() if numeric else {}
+    flags = {f"{c}__{v}": f"CASE WHEN `{c}` = '{v.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}' THEN 1D ELSE 0D END" for c, vs in levels.items() for v in vs}
+    stages = [
+        _filled({f"{c}__filled": f"coalesce(`{c}`, {float(means[c])!r}D)" for c in numeric} | flags),
+        VectorAssembler(inputCols=[f"{c}__filled" for c in numeric], outputCol="numeric_vector"),
+        StandardScaler(inputCol="numeric_vector", outputCol="scaled_vector", withMean=True, withStd=True),
+        VectorAssembler(inputCols=["scaled_vector", *flags], outputCol="features"),
+    ]
+    design = Pipeline(stages=stages).fit(rows)
+    placed = materialise(design.transform(rows).select("features", "label"), "reference-coded")
+    whole = LogisticRegression(regParam=0.0, maxIter=max_iter, tol=0.0, standardization=False).fit(placed)
+    losses = [float(x) for x in whole.summary.objectiveHistory]
+    steps = next((i for i in range(1, len(losses)) if losses[i - 1] - losses[i] < progress * abs(losses[i - 1])), len(losses) - 1)
+    if seen is not None:
+        seen.extend(losses[: steps + 1])
+    last = whole if steps >= len(losses) - 1 else LogisticRegression(regParam=0.0, maxIter=steps, tol=0.0, standardization=False).fit(placed)
+    return PipelineModel([*design.stages, last]), fills
 
 
 def fit_gbt(train: DataFrame, numeric: list[str], categorical: list[str], label: str, iterations: int = 200, growth: Growth = Growth()) -> tuple[Boosted, dict[str, str]]:  # noqa: B008
@@ -62,6 +99,15 @@ def fit_gbt(train: DataFrame, numeric: list[str], categorical: list[str], label:
     return boosting.fit(rows, numeric, levels, label, replace(growth, rounds=iterations)), fills
 
 
+def _contract(model: PipelineModel | Boosted, categorical: list[str]) -> tuple[list[str], list[str]]:
+    """The numerics and categories that a model was fitted on, in their order; a reference-coded one tells the numerics alone."""
+    if isinstance(model, Boosted):
+        return model.numeric, list(model.levels)
+    numeric = next(s for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "numeric_vector")
+    indexed = [list(s.getInputCols()) for s in model.stages if isinstance(s, StringIndexerModel)]
+    return [c.removesuffix("__filled") for c in numeric.getInputCols()], *(indexed or [categorical])
+
+
 def score(model: PipelineModel | Boosted, fills: dict[str, str], batch: DataFrame, numeric: list[str], threshold: float, name: str, ids: tuple[str, ...] = ("entity_id", "prediction_date"), strict: bool = True) -> DataFrame:
     """ids, probability of the positive class, is_high (inclusive), model_name and threshold of every row.
 
@@ -69,7 +115,7 @@ def score(model: PipelineModel | Boosted, fills: dict[str, str], batch: DataFram
     first two columns of `ids`; others are passed through.
     """
     if strict:
-        fitted = (model.numeric, list(model.levels)) if isinstance(model, Boosted) else (list(model.stages[0].getInputCols()), list(model.stages[1].getInputCols()))
+        fitted = _contract(model, list(fills))
         if fitted != (list(numeric), list(fills)):
             raise ValueError(f"the model was fitted on {fitted}, not on {(list(numeric), list(fills))}")
         keys = list(ids[:2])

@@ -203,7 +203,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
     rows = base.split_features(spark, sf_dir)
-    fit = model.fit_logistic if kind == "logistic" else model.fit_gbt
+    fit = {"logistic": model.fit_logistic, "warehouse": model.fit_reference_coded, "gbt": model.fit_gbt}[kind]
     return *fit(rows.filter("dataset_split = 'train'"), NUMERIC, ["latest_type"], "will_miss"), rows
 
 
@@ -282,6 +282,7 @@ QUERIES = {
     "flag_rates": lambda s, d: rounded(quality.flag_rates(base.staged(s, d), ["is_missing", "is_outlier", "is_late"])),
     "profile_panel": lambda s, d: rounded(quality.profile_panel(base.labelled(s, d), "entity_id", "will_miss", ["amount", "sessions"], ["is_missing", "is_late"], ["last_type"]), 4),
     "score_logistic": lambda s, d: scored_by(s, d, "logistic"),
+    "score_warehouse": lambda s, d: scored_by(s, d, "warehouse"),
     "score_gbt": lambda s, d: scored_by(s, d, "gbt"),
     "explain_logistic": explained,
     "compare_models": compared,
