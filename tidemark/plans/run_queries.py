@@ -163,15 +163,19 @@ def broken_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(rows.filter(e % 17 == 0))
 
 
-def broken_runs(spark: SparkSession) -> DataFrame:
-    """Run audits with one fault each, and a sound one."""
-    good = {"run_id": "act_" + "0" * 24, "policy_id": "p", "model_name": "m", "snapshot_at": "2024-02-01", "decided_at": "2024-02-02", "threshold": 0.5, "capacity": 10, "source_rows": 100, "entities": 90, "eligible": 15}
-    counts = dict(zip(activate.OUTCOMES, (10, 10, 40, 20, 15, 5), strict=True))
-    faults = [{}, {"run_id": None}, {"run_id": "run-1"}, {"policy_id": None}, {"model_name": None}, {"decided_at": None}, {"snapshot_at": None}, {"threshold": 1.5}, {"snapshot_at": "2024-02-03"}, {"capacity": 0}, {"capacity": 9}, {"eligible": 14}, {"entities": 91}, {"no_contact_below_threshold": 41}, {"threshold": None}]
-    rows = [tuple((good | counts | f | {"fault": i}).values()) for i, f in enumerate(faults)]
-    kinds = {"threshold": "double", "run_id": "string", "policy_id": "string", "model_name": "string", "snapshot_at": "string", "decided_at": "string"}
-    made = spark.createDataFrame(rows, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in (good | counts | {"fault": 0})))
-    return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("snapshot_at", "decided_at")})
+def broken_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's decisions as a run; the day of the month says which fault its audit row has, if any."""
+    made, day = decisions(spark, sf_dir), F.col("prediction_date")
+    counts = made.groupBy("prediction_date").agg(F.count(F.lit(1)).alias("source_rows"), *[F.count_if(F.col("outcome") == o).alias(o) for o in activate.OUTCOMES])
+    fault, n = F.dayofmonth("prediction_date") % 15, F.col
+    only = lambda *pairs, rest: reduce(lambda a, p: F.when(n("fault") == p[0], p[1]).otherwise(a), pairs, rest)
+    none, at = F.lit(None), lambda days: F.date_add(day, days).cast("timestamp_ntz")
+    return counts.withColumn("fault", fault).withColumns({
+        "run_id": only((1, none), (2, F.lit("run-1")), rest=F.concat(F.lit("act_"), F.date_format(day, "yyyyMMdd"))), "policy_id": only((3, none), rest=F.lit("p")), "model_name": only((4, none), rest=F.lit("m")),
+        "decided_at": only((5, none), rest=at(2)), "snapshot_at": only((6, none), (8, at(3)), rest=at(1)), "threshold": only((7, F.lit(1.5)), (14, none), rest=F.lit(0.5)),
+        "capacity": only((9, F.lit(0)), (10, F.greatest(n("selected_for_review") - 1, F.lit(1))), rest=F.lit(10)), "eligible": n("selected_for_review") + n("no_contact_capacity") - only((11, F.lit(1)), rest=F.lit(0)),
+        "entities": n("source_rows") - n("no_contact_superseded") + only((12, F.lit(1)), rest=F.lit(0)), "no_contact_below_threshold": n("no_contact_below_threshold") + only((13, F.lit(1)), rest=F.lit(0)),
+    })
 
 
 def broken_decisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +263,7 @@ QUERIES = {
     "lineage_gap": lambda s, d: lineage_of(s, d, False),
     "view_suites": view_suites,
     "daily_summary_faults": lambda s, d: rounded(aggregates.scoring_daily_summary(broken_predictions(s, d))),
-    "run_summary_faults": lambda s, d: no_time(rounded(aggregates.run_summary(broken_runs(s)))).select("fault", "run_id", "reconciled_rows", "capacity_use", "invalid_reason", "is_valid"),
+    "run_summary_faults": lambda s, d: no_time(rounded(aggregates.run_summary(broken_runs(s, d)))).select("prediction_date", "fault", "run_id", "reconciled_rows", "capacity_use", "invalid_reason", "is_valid"),
     "reason_summary_faults": lambda s, d: rounded(aggregates.reason_summary(*broken_decisions(s, d))),
     "source_files": lambda s, d: file_facts(s, "events", f"{d}/events.parquet").select("table_name", "row_count", "file_count"),
     "quality_status": status,
@@ -390,15 +394,13 @@ told AS (SELECT count(*) AS source_rows, count_if(probability IS NULL)::bigint A
 days AS (SELECT prediction_date, count(*) AS scored_rows, count(DISTINCT entity_id) AS entities, round(avg(probability), 6) AS mean_probability, count(*) FILTER (is_high) AS high_rows, round(count(*) FILTER (is_high) / count(*)::double, 6) AS high_rate FROM broken GROUP BY 1),
 judged AS (SELECT *, CASE WHEN source_rows = 0 THEN 'empty_source' WHEN null_p > 0 THEN 'null_probability' WHEN out_of_range_p > 0 THEN 'probability_out_of_range' WHEN threshold_mismatch > 0 THEN 'threshold_mismatch' WHEN duplicate_keys > 0 THEN 'duplicate_keys' END AS invalid_reason FROM days, told)
 SELECT *, invalid_reason IS NULL AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers FROM judged"""
-RUN_FAULTS = """
-WITH faults AS (SELECT unnest(range(15)) AS fault),
-r AS (SELECT fault, CASE fault WHEN 1 THEN NULL WHEN 2 THEN 'run-1' ELSE 'act_000000000000000000000000' END AS run_id, CASE WHEN fault = 3 THEN NULL ELSE 'p' END AS policy, CASE WHEN fault = 4 THEN NULL ELSE 'm' END AS model,
-  CASE WHEN fault = 5 THEN NULL ELSE date '2024-02-02' END AS decided, CASE fault WHEN 6 THEN NULL WHEN 8 THEN date '2024-02-03' ELSE date '2024-02-01' END AS snapshot, CASE fault WHEN 7 THEN 1.5 WHEN 14 THEN NULL ELSE 0.5 END AS threshold,
-  CASE fault WHEN 9 THEN 0 WHEN 10 THEN 9 ELSE 10 END AS capacity, CASE WHEN fault = 11 THEN 14 ELSE 15 END AS eligible, CASE WHEN fault = 12 THEN 91 ELSE 90 END AS entities, CASE WHEN fault = 13 THEN 41 ELSE 40 END AS below, 100 AS source FROM faults),
-j AS (SELECT *, 10 + 10 + below + 20 + 15 + 5 AS total, CASE WHEN run_id IS NULL THEN 'run_id_missing' WHEN policy IS NULL THEN 'policy_missing' WHEN model IS NULL THEN 'model_missing' WHEN decided IS NULL THEN 'decision_time_missing' WHEN snapshot IS NULL THEN 'snapshot_missing'
-  WHEN NOT regexp_full_match(run_id, 'act_[0-9a-f]{24}') THEN 'run_id_malformed' WHEN threshold NOT BETWEEN 0 AND 1 THEN 'threshold_out_of_range' WHEN snapshot > decided THEN 'snapshot_after_decision' WHEN capacity < 1 THEN 'capacity_not_positive' WHEN 10 > capacity THEN 'capacity_exceeded'
-  WHEN eligible <> 10 + 5 THEN 'eligible_mismatch' WHEN source - 10 <> entities THEN 'entities_mismatch' WHEN 10 + 10 + below + 20 + 15 + 5 <> source THEN 'total_mismatch' END AS invalid_reason FROM r)
-SELECT fault, run_id, total AS reconciled_rows, round(10 / nullif(capacity, 0)::double, 6) AS capacity_use, invalid_reason, CASE WHEN invalid_reason IS NOT NULL THEN false WHEN threshold IS NULL THEN NULL ELSE true END AS is_valid FROM j"""
+RUN_FAULTS = f"WITH {DECIDED}" + """,
+c AS (SELECT prediction_date, day(prediction_date)::int % 15 AS fault, count(*) AS source, count(*) FILTER (outcome = 'selected_for_review') AS selected, count(*) FILTER (outcome = 'no_contact_capacity') AS over, count(*) FILTER (outcome = 'no_contact_superseded') AS gone FROM decided GROUP BY ALL),
+r AS (SELECT *, CASE fault WHEN 1 THEN NULL WHEN 2 THEN 'run-1' ELSE 'act_' || strftime(prediction_date, '%Y%m%d') END AS run_id, fault IN (3, 4, 5, 6) AS lacks, CASE fault WHEN 7 THEN 1.5 WHEN 14 THEN NULL ELSE 0.5 END AS threshold,
+  CASE fault WHEN 9 THEN 0 WHEN 10 THEN greatest(selected - 1, 1) ELSE 10 END AS capacity, source + (fault = 13)::int AS total FROM c),
+j AS (SELECT *, CASE WHEN run_id IS NULL THEN 'run_id_missing' WHEN threshold NOT BETWEEN 0 AND 1 THEN 'threshold_out_of_range' WHEN fault = 8 THEN 'snapshot_after_decision' WHEN capacity < 1 THEN 'capacity_not_positive' WHEN selected > capacity THEN 'capacity_exceeded'
+  WHEN fault = 11 THEN 'eligible_mismatch' WHEN fault = 12 THEN 'entities_mismatch' WHEN total <> source THEN 'total_mismatch' END AS invalid_reason FROM r)
+SELECT prediction_date, fault, run_id, total AS reconciled_rows, round(selected / nullif(capacity, 0)::double, 6) AS capacity_use, invalid_reason, CASE WHEN invalid_reason IS NOT NULL OR lacks THEN false WHEN threshold IS NULL THEN NULL ELSE true END AS is_valid FROM j"""
 REASON_FAULTS = f"WITH {RUN}, dim AS (SELECT * FROM (VALUES {_REASONS}) d(reason, outcome, reason_order))" + """,
 broken AS (SELECT entity_id, outcome, CASE WHEN entity_id % 5 = 0 THEN 'unknown' WHEN entity_id % 7 = 0 THEN 'active_case_open' ELSE reason END AS reason, CASE WHEN entity_id % 11 = 0 THEN 'act_ffffffffffffffffffffffff' ELSE 'act_0123456789abcdef01234567' END AS run_id FROM decided),
 own AS (SELECT * FROM broken WHERE run_id = 'act_0123456789abcdef01234567'), n AS (SELECT outcome, reason, count(*) AS rows FROM own GROUP BY ALL), o AS (SELECT outcome, count(*) AS outcome_rows FROM own GROUP BY 1),
