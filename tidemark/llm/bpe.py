@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidy
 from tidemark.llm.pieces import Vocabulary, load, pieces_of, spelled
 
 #: Characters, whole texts, whose pieces are merged together: bounds what a task holds.
@@ -132,7 +133,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -144,7 +145,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if i is None else decoded(np.asarray(i, np.int64), vocab) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -171,4 +172,4 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     shape = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, shape)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), shape)

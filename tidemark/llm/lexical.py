@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import with_running_sum
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, tidy
 from tidemark.llm.tokens import LOWER, TERM_BYTES, Texts, by_bytes
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -135,7 +135,7 @@ def build_index(docs: DataFrame, path: str) -> None:
         if shard.n:
             yield from shard.rows((part << 32) + number)
 
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, INDEX).write.parquet(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), INDEX).write.parquet(path)
 
 
 @dataclass

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, released, spread_join
+from tidemark.llm.common import materialise, released, spread_join, tidy
 from tidemark.llm.components import components
 
 #: Fingerprints of one bucket that a task compares at once; larger buckets are compared chunk against chunk.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 4, also: tuple[str, ...] = ()) ->
             yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(prints, np.uint64).view(np.int64))], ["doc_id", *also, "fingerprint"])
 
     shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *also))
-    return docs.select("doc_id", *also, "text").mapInArrow(run, f"{shape}, fingerprint long")
+    return docs.select("doc_id", *also, "text").mapInArrow(tidy(run), f"{shape}, fingerprint long")
 
 
 def walk(seed: int = 17) -> np.ndarray:
@@ -193,7 +193,7 @@ def links(prints: DataFrame, distance: int = 4) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(chosen)), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["part", "fingerprint", "keys"])
 
-    keyed = prints.select("node", "fingerprint").mapInArrow(run, "part long, fingerprint long, keys array<long>")
+    keyed = prints.select("node", "fingerprint").mapInArrow(tidy(run), "part long, fingerprint long, keys array<long>")
     return _bucket_links(keyed.select("part", "fingerprint", F.posexplode("keys").alias("mask", "key")), n * len(chosen), distance, pivots())
 
 
@@ -310,7 +310,7 @@ def _sets(docs: DataFrame, width: int, prints: bool) -> DataFrame:
             digests = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in every], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), digests, pa.array([wide_fingerprint(x) if prints else x.tobytes() for x in every], pa.binary())], ["doc_id", "digest", name])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, digest binary, {name} binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id long, digest binary, {name} binary")
 
 
 def _near_first(keyed: DataFrame, n: int, limit: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _near_first(keyed: DataFrame, n: int, limit: int) -> DataFrame:
             near = pa.array(bits <= limit)
             yield pa.RecordBatch.from_arrays([b.column("node").filter(near), b.column("leader").filter(near), pa.array(bits).filter(near)], ["node", "leader", "bits"])
 
-    near = met.mapInArrow(run, "node long, leader long, bits int")
+    near = met.mapInArrow(tidy(run), "node long, leader long, bits int")
     return near.groupBy("node").agg(F.min(F.struct("bits", "leader"))["leader"].alias("leader"))
 
 
@@ -387,7 +387,7 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, only), pa.int32()), pa.array(key.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fingerprint"), lists], ["node", "fingerprint", "keys"])
 
-        return nodes.select("node", "fingerprint").mapInArrow(run, "node long, fingerprint binary, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("mask", "key"))
+        return nodes.select("node", "fingerprint").mapInArrow(tidy(run), "node long, fingerprint binary, keys array<long>").select("node", "fingerprint", F.posexplode("keys").alias("mask", "key"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         own = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "digest")
