@@ -150,10 +150,11 @@ def selection_summary(runs: DataFrame, decisions: DataFrame) -> DataFrame:
     return _or_empty(governed(rows.withColumn("invalid_reason", first_reason(checks)).withColumn("is_valid", F.col("invalid_reason").isNull())), runs)
 
 
-def lineage(sources: dict[str, tuple[DataFrame | None, str | None, str | None]], as_of: str, snapshot_days: int = 7, facts: DataFrame | None = None) -> DataFrame:
+def lineage(sources: dict[str, tuple[DataFrame | None, str | None, str | None]], as_of: str, snapshot_days: int = 7, facts: DataFrame | None = None, counted: dict[str, DataFrame] | None = None) -> DataFrame:
     """A row for each source {name: (frame or None, its business date, its ingest time)}: rows, latest dates, freshness, validity.
 
-    facts (table_name, file_count, total_bytes, last_modified) adds what is known of the sources' files.
+    facts (table_name, file_count, total_bytes, last_modified) adds what is known of the sources' files; counted ({name: one row of row_count,
+    latest_business_date, latest_ingest}), from footers for one, spares reading those sources.
 
     Freshness: missing (no table), missing_data (rows without dates), empty, historical_snapshot (older than `snapshot_days` at as_of), available.
     """
@@ -162,6 +163,8 @@ def lineage(sources: dict[str, tuple[DataFrame | None, str | None, str | None]],
     for name, (df, date, ingest) in sources.items():
         if df is None:
             row = spark.range(1).select(F.lit(0).cast("long").alias("row_count"), F.lit(None).cast("date").alias("latest_business_date"), F.lit(None).cast("timestamp_ntz").alias("latest_ingest"))
+        elif name in (counted or {}):
+            row = counted[name].select("row_count", F.col("latest_business_date").cast("date"), F.col("latest_ingest").cast("timestamp_ntz"))
         else:
             row = df.agg(F.count(F.lit(1)).alias("row_count"), (F.max(F.col(date).cast("date")) if date else F.lit(None).cast("date")).alias("latest_business_date"), (F.max(F.col(ingest).cast("timestamp_ntz")) if ingest else F.lit(None).cast("timestamp_ntz")).alias("latest_ingest"))
         parts.append(row.withColumns({"source_name": F.lit(name), "table_present": F.lit(df is not None), "has_date": F.lit(date is not None)}))

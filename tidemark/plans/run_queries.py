@@ -107,7 +107,10 @@ def sources(spark: SparkSession, sf_dir: str, audit: DataFrame | None) -> DataFr
     t = lambda n: demo.table(spark, sf_dir, n)
     names = {"events": ("ts", "ts"), "orders": ("o_orderdate", None), "lineitem": ("l_shipdate", None), "customer": (None, None), "part": (None, None), "supplier": (None, None)}
     facts = reduce(DataFrame.unionByName, [file_facts(spark, n, f"{sf_dir}/{n}.parquet") for n in names])
-    return aggregates.lineage({n: (t(n), *dates) for n, dates in names.items()} | {"runs": (audit, "decided_at" if audit is not None else None, None)}, "2024-02-06", facts=facts)
+    latest = lambda c: F.col(f"max_{c}") if c else F.lit(None)
+    footers = {n: tables.footer_facts(spark, n, f"{sf_dir}/{n}.parquet", list({c for c in own if c})) for n, own in names.items()}
+    counted = {n: f.select("row_count", latest(names[n][0]).alias("latest_business_date"), latest(names[n][1]).alias("latest_ingest")) for n, f in footers.items()}
+    return aggregates.lineage({n: (t(n), *dates) for n, dates in names.items()} | {"runs": (audit, "decided_at" if audit is not None else None, None)}, "2024-02-06", facts=facts, counted=counted)
 
 
 def lineage_of(spark: SparkSession, sf_dir: str, complete: bool) -> DataFrame:
