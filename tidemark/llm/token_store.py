@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.functions.prefix import with_running_sum
-from tidemark.llm.common import materialise, spread_join
+from tidemark.llm.common import materialise, spread_join, tidy
+from tidemark.llm.pieces import load, pieces_of, spelled
+from tidemark.llm.tokens import by_bytes
 
 #: Tokens of a chunk: at least, on average about, and at most.
 LEAST, USUAL, MOST = 64, 256, 2048
 #: Bytes of a chunk's name: the start of the SHA-256 of its ids.
 NAME = 16
-#: Characters, whole texts, that the library encodes at once.
-AT_ONCE = 1_000_000
-#: Words whose ids the library remembers.
-CACHE = 1 << 18
+#: Bytes of whole texts that are encoded at once.
+AT_ONCE = 2 << 20
+#: Pieces whose ids a task remembers, and that the library gets in a call.
+CACHE, CALL = 1 << 18, 4096
 #: Tokens of a part of the documents, which has one root; and roots below one of the next level.
 PART, FAN = 1 << 22, 4096
 
@@ -50,24 +53,37 @@ def boundaries(ids: np.ndarray, gear: np.ndarray) -> list[int]:
     return cuts
 
 
-def encoded(texts: list[str], tokenizer: Tokenizer):
-    """The library's ids of each text, AT_ONCE characters or one text at a time."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= AT_ONCE or i + 1 == len(texts):
-            for e in tokenizer.encode_batch_fast(texts[start : i + 1], add_special_tokens=False):
-                yield np.array(e.ids, np.uint32)
-            start, size = i + 1, 0
+class Encoder:
+    """The library's ids of whole texts. Pieces, which it encodes apart from each other, are told to it once: it remembers CACHE of them."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.special = tokenizer_of(path), load(path).special
+        self.known: dict[bytes, list[int]] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text: those of its pieces one after another, and of the strings of special tokens."""
+        distinct, numbers, ends = pieces_of(texts, self.special)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = [p for p in distinct if p not in self.known]
+        plain = [p for p in new if p[:1] != b"\xff"]
+        self.known.update((p, [self.special[p[1:].decode()]]) for p in new if p[:1] == b"\xff")
+        for at in range(0, len(plain), CALL):
+            some = plain[at : at + CALL]
+            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)), strict=True))
+        ids = list(map(self.known.__getitem__, distinct))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        tokens = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        starts = np.cumsum(lengths) - lengths
+        return [spelled(numbers[a:b], starts, lengths, tokens) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def tokenizer_of(path: str) -> Tokenizer:
-    """The tokenizer in a file, its truncation and padding off, its memory of words large enough for a corpus."""
+    """The tokenizer in a file, its truncation and padding off."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.model._resize_cache(CACHE)
     return tokenizer
 
 
@@ -77,11 +93,11 @@ def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kind, width = dict(docs.dtypes)["doc_id"], "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches):
-        gear, tokenizer, part, seen = _gear(size), tokenizer_of(path), TaskContext.get().partitionId(), 0
-        for b in batches:
+        gear, encoder, part, seen = _gear(size), Encoder(path), TaskContext.get().partitionId(), 0
+        for b in by_bytes(batches, "text", AT_ONCE):
             held: dict[bytes, bytes] = {}
             sizes, recipes = [], []
-            for ids in encoded([t or "" for t in b.column("text").to_pylist()], tokenizer):
+            for ids in encoder.encode([t or "" for t in b.column("text").to_pylist()]):
                 ids = np.append(ids, np.uint32(end_id))
                 raw, start, names = ids.astype(width).tobytes(), 0, []
                 each = len(raw) // len(ids)
@@ -108,7 +124,7 @@ def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 ["key", "kind", "ids", "doc_id", "n_tokens", "recipe"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"key binary, kind string, ids binary, doc_id {kind}, n_tokens long, recipe binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"key binary, kind string, ids binary, doc_id {kind}, n_tokens long, recipe binary")
 
 
 def merkle(leaves: list[bytes]) -> bytes:
