@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from tidemark.functions.quantiles import exact_quantiles, stacked
 from tidemark.sources.scratch import materialise
 
-#: Bins of a feature; tasks that make histograms, each a row for a node and feature; trees after which the rows' sums are written.
-BINS, TASKS, KEPT = 255, 2000, 25
+#: Bins of a feature; tasks whose histograms the driver may add up itself; trees after which the rows' sums are written.
+BINS, FEW, KEPT = 255, 8, 25
 
 
 @dataclass(frozen=True)
@@ -177,14 +177,17 @@ def _sums(raw: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
     return raw
 
 
-def _histograms(state: DataFrame, pending: list[Tree], tree: Tree, nodes: list[int], width: int, growth: Growth) -> dict[int, Split]:
-    """The best split of each of `nodes`: tasks sum histograms, Spark joins those of a node and feature, and one row for each reaches the driver."""
+def _histograms(state: DataFrame, few: bool, pending: list[Tree], tree: Tree, nodes: list[int], width: int, growth: Growth) -> dict[int, Split]:
+    """The best split of each of `nodes`. Tasks sum the cells of histograms (node, feature, bin) that have rows, and Spark adds them up.
+
+    At most nodes x features x bins cells reach the driver, whatever the rows; of few tasks they come as they are.
+    """
     rank = np.full(len(tree.feature), -1)
     rank[nodes] = np.arange(len(nodes))
-    size = BINS + 1
+    size, count = BINS + 1, (BINS + 1) * width * len(nodes)
 
     def sums(batches):
-        total = np.zeros((3, len(nodes) * width * size))
+        total = np.zeros((3, count))
         for b in batches:
             bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, width)
             p = 1 / (1 + np.exp(-_sums(b.column("raw").to_numpy(), bins, pending)))
@@ -192,22 +195,22 @@ def _histograms(state: DataFrame, pending: list[Tree], tree: Tree, nodes: list[i
             here = at >= 0
             cells = (((at[here, None] * width) + np.arange(width)) * size + bins[here]).ravel()
             for i, v in enumerate(((p - b.column("y").to_numpy())[here], (p * (1 - p))[here], np.ones(int(here.sum())))):
-                total[i] += np.bincount(cells, np.repeat(v, width), total.shape[1])
-        g, h, n = (x.reshape(-1, size) for x in total)
-        full = np.flatnonzero(n.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full // width), pa.array(full % width), *(pa.array(list(x[full]), pa.list_(pa.float64())) for x in (g, h, n))], ["node", "feature", "g", "h", "n"])
-
-    def best(group: pa.Table) -> pa.Table:
-        f = group["feature"][0].as_py()
-        g, h, n = (group[c].combine_chunks().flatten().to_numpy().reshape(-1, size).sum(axis=0) for c in ("g", "h", "n"))
-        s = best_split(f, g, h, n, growth)
-        return pa.table({"node": [group["node"][0].as_py()], "feature": [f], "gain": [s.gain], "bin": [s.bin], "sums": [[*s.left, *s.whole]]}, schema=pa.schema([("node", pa.int64()), ("feature", pa.int64()), ("gain", pa.float64()), ("bin", pa.int64()), ("sums", pa.list_(pa.float64()))]))
-
-    made = state.coalesce(TASKS).mapInArrow(sums, "node long, feature long, g array<double>, h array<double>, n array<double>")
-    told = made.groupBy("node", "feature").applyInArrow(best, "node long, feature long, gain double, bin long, sums array<double>").collect()  # nodes x features rows
-    found: dict[int, Split] = {}
-    for r in sorted(told, key=lambda r: (-r.gain, r.feature)):
-        found.setdefault(nodes[r.node], Split(r.gain, r.feature, r.bin, (r.sums[0], r.sums[1]), (r.sums[2], r.sums[3])))
+                total[i] += np.bincount(cells, np.repeat(v, width), count)
+        full = np.flatnonzero(total[2])
+        yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(x[full]) for x in total)], ["cell", "g", "h", "n"])
+
+    made = state.mapInArrow(sums, "cell long, g double, h double, n double")
+    if not few:
+        made = made.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    told = made.toArrow()
+    cells, total = told["cell"].to_numpy(), np.zeros((3, count))
+    for x, c in zip(total, ("g", "h", "n"), strict=True):
+        np.add.at(x, cells, told[c].to_numpy())
+    found = {}
+    for i, node in enumerate(nodes):
+        g, h, n = total.reshape(3, len(nodes), width, size)[:, i]
+        splits = [best_split(f, g[f], h[f], n[f], growth) for f in range(width)]
+        found[node] = max(splits, key=lambda s: (s.gain, -s.feature))
     return found
 
 
@@ -232,13 +235,13 @@ def fit(train: DataFrame, numeric: list[str], levels: dict[str, list[str]], labe
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("y"), pa.array(np.full(len(bins), model.base))], ["bins", "y", "raw"])
 
     state = materialise(model.features(rows).select("features", y.alias("y")).mapInArrow(binned, "bins binary, y double, raw double"), "boosting-rows").persist()
-    written = 0
+    few, written = state.rdd.getNumPartitions() <= FEW, 0
     for r in range(growth.rounds):
         if r - written == KEPT:
             state, written, old = _advanced(state, model.trees[written:], width), r, state
             old.unpersist()
         pending = model.trees[written:]
-        model.trees.append(grow(lambda tree, nodes: _histograms(state, pending, tree, nodes, width, growth), growth))  # noqa: B023
+        model.trees.append(grow(lambda tree, nodes: _histograms(state, few, pending, tree, nodes, width, growth), growth))  # noqa: B023
     state.unpersist()
     return model
 
