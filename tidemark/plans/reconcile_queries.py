@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, reconcile
-from tidemark.operators.activate import OUTCOMES
+from tidemark.operators.activate import CATEGORIES, OUTCOMES
 from tidemark.plans import run_queries as runs_
-from tidemark.plans.run_queries import DECIDED, PREDS
+from tidemark.plans.panel_queries import FEATURES, features, rounded
+from tidemark.plans.run_queries import DECIDED, FAULTS, PREDS, RUN
 from tidemark.sources import demo
 from tidemark.sources.scratch import materialise
 
@@ -75,7 +76,38 @@ def empty_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def broken_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of predictions with every fault; the source's counters say which."""
+    return rounded(aggregates.risk_distribution(materialise(runs_.broken_predictions(spark, sf_dir), "broken-predictions")))
+
+
+def broken_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed outcomes of features in which some entities' rows are repeated."""
+    rows = materialise(features(spark, sf_dir), "features")
+    return rounded(aggregates.observed_outcomes(rows.unionByName(rows.filter(F.col("entity_id") % 17 == 0))))
+
+
+def moved_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a run in which some decisions have another known outcome than the audit counted."""
+    audit, made = runs_.runs(spark, sf_dir)
+    moved = made.withColumn("outcome", F.when((F.col("entity_id") % 5 == 0) & (F.col("outcome") == "no_contact_excluded"), F.lit("no_contact_capacity")).otherwise(F.col("outcome")))
+    return rounded(aggregates.outcome_summary(audit, moved))
+
+
+def broken_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections of a run of which some lack a category or have an unknown one, and decisions that have one but were not selected."""
+    audit, made = runs_.runs(spark, sf_dir)
+    rank, category = F.col("priority_rank"), F.col("category")
+    leaked = F.when(F.col("entity_id") % 5 == 0, F.lit("goal_planning"))
+    odd = made.withColumn("category", F.when(rank.isNull(), leaked).when(rank % 3 == 0, F.lit(None)).when(rank % 3 == 1, F.lit("unknown")).otherwise(category))
+    return rounded(aggregates.selection_summary(audit, odd))
+
+
 QUERIES = {
+    "risk_distribution_faults": broken_risk,
+    "observed_outcomes_faults": broken_outcomes,
+    "outcome_summary_faults": moved_outcomes,
+    "selection_summary_faults": broken_selections,
     "view_reconciliation": all_views,
     "view_reconciliation_faults": changed_view,
     "decision_sources": lambda s, d: decision_sources(s, d, False),
@@ -108,7 +140,36 @@ _CELLS = """,
 cells AS (SELECT d.prediction_date, day(d.prediction_date) AS day, b.i AS band FROM (SELECT DISTINCT prediction_date FROM preds) d, (SELECT unnest([1, 2, 3, 4, 5]) AS i) b),
 kept AS (SELECT * FROM cells WHERE day % 7 <> 0)"""
 _LOST = "decided WHERE entity_id % 11 <> 0"
+_META = "invalid_reason IS NULL AS is_valid, 'synthetic' AS data_status, 'aggregate_monitoring' AS intended_use, false AS contains_identifiers"
+_TOLD = """CASE WHEN null_p > 0 THEN 'null_probability' WHEN out_of_range_p > 0 THEN 'probability_out_of_range' WHEN threshold_mismatch > 0 THEN 'threshold_mismatch' WHEN duplicate_keys > 0 THEN 'duplicate_keys' END AS invalid_reason"""
+_COUNTER = " ".join(f"WHEN '{o}' THEN {o}" for o in OUTCOMES)
 SQL = {
+    "risk_distribution_faults": FAULTS.split("days AS (")[0] + f"""
+bands AS (SELECT * FROM (VALUES ('0.0-0.2', 1), ('0.2-0.4', 2), ('0.4-0.6', 3), ('0.6-0.8', 4), ('0.8-1.0', 5)) b(risk_band, band_order)),
+placed AS (SELECT *, CASE WHEN probability < 0.2 THEN 1 WHEN probability < 0.4 THEN 2 WHEN probability < 0.6 THEN 3 WHEN probability < 0.8 THEN 4 ELSE 5 END AS band_order FROM broken),
+own AS (SELECT prediction_date, count(*) AS day_rows FROM broken GROUP BY 1), cells AS (SELECT prediction_date, band_order, count(*) AS n, count(DISTINCT entity_id) AS m FROM placed GROUP BY ALL),
+grid AS (SELECT o.prediction_date, risk_band, day_rows, b.band_order, coalesce(n, 0) AS band_rows, coalesce(m, 0) AS entities, round(coalesce(n, 0) / day_rows::double, 6) AS share_of_day, told.*
+  FROM own o CROSS JOIN bands b CROSS JOIN told LEFT JOIN cells c ON c.prediction_date = o.prediction_date AND c.band_order = b.band_order),
+judged AS (SELECT *, {_TOLD} FROM grid)
+SELECT *, {_META} FROM judged""",
+    "observed_outcomes_faults": f"""WITH {FEATURES}, twice AS (SELECT * FROM features UNION ALL SELECT * FROM features WHERE entity_id % 17 = 0),
+d AS (SELECT (count(*) - count(DISTINCT (entity_id, prediction_date)))::bigint AS duplicate_keys FROM twice),
+o AS (SELECT prediction_date, count(*) AS labelled_rows, count(*) FILTER (will_miss) AS missed, count(*) FILTER (NOT will_miss) AS met, round(count(*) FILTER (will_miss) / count(*)::double, 6) AS missed_rate, prediction_date + 7 AS outcome_window_end
+  FROM twice WHERE will_miss IS NOT NULL GROUP BY prediction_date), j AS (SELECT *, CASE WHEN duplicate_keys > 0 THEN 'duplicate_keys' END AS invalid_reason FROM o, d)
+SELECT *, {_META} FROM j""",
+    "outcome_summary_faults": f"""WITH {RUN}, dim AS (SELECT * FROM (VALUES {', '.join(f"('{o}', {i})" for i, o in enumerate(OUTCOMES, 1))}) d(outcome, outcome_order)),
+odd AS (SELECT CASE WHEN entity_id % 5 = 0 AND outcome = 'no_contact_excluded' THEN 'no_contact_capacity' ELSE outcome END AS outcome FROM decided), n AS (SELECT outcome, count(*) AS rows FROM odd GROUP BY 1),
+f AS (SELECT run_id, dim.outcome, source_rows, outcome_order, coalesce(n.rows, 0) AS rows, 0 AS unexpected_rows, (SELECT count(*) FROM odd) AS recognised_rows, 0 AS orphan_rows, CASE dim.outcome {_COUNTER} END AS audited_rows FROM run CROSS JOIN dim LEFT JOIN n ON n.outcome = dim.outcome),
+j AS (SELECT *, round(rows / source_rows::double, 6) AS share_of_run, CASE WHEN rows <> audited_rows THEN 'outcome_mismatch' END AS invalid_reason, 'available' AS view_state FROM f)
+SELECT *, {_META} FROM j""",
+    "selection_summary_faults": f"""WITH {RUN}, dim AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {i})" for i, c in enumerate(CATEGORIES, 1))}) d(category, category_order)),
+odd AS (SELECT priority_rank IS NOT NULL AS chosen, CASE WHEN priority_rank IS NULL THEN CASE WHEN entity_id % 5 = 0 THEN 'goal_planning' END WHEN priority_rank % 3 = 0 THEN NULL WHEN priority_rank % 3 = 1 THEN 'unknown' ELSE category END AS category FROM decided),
+n AS (SELECT category, count(*) AS rows FROM odd WHERE chosen GROUP BY 1),
+t AS (SELECT count_if(chosen)::bigint AS selected_rows, count_if(chosen AND category IS NULL)::bigint AS missing_category, count_if(chosen AND category = 'unknown')::bigint AS unexpected_category, count_if(NOT chosen AND category IS NOT NULL)::bigint AS leaked_category FROM odd),
+f AS (SELECT run_id, dim.category, selected_for_review AS audited_selected, category_order, coalesce(n.rows, 0) AS rows, t.*, 0 AS orphan_rows, round(coalesce(n.rows, 0) / selected_rows::double, 6) AS share_of_selected, 'pending' AS review_status
+  FROM run CROSS JOIN dim CROSS JOIN t LEFT JOIN n ON n.category = dim.category),
+j AS (SELECT *, CASE WHEN missing_category > 0 THEN 'missing_category' WHEN unexpected_category > 0 THEN 'unexpected_category' WHEN leaked_category > 0 THEN 'leaked_category' WHEN selected_rows <> audited_selected THEN 'selected_mismatch' END AS invalid_reason, 'available' AS view_state FROM f)
+SELECT *, {_META} FROM j""",
     "view_reconciliation": _view_sql(),
     "view_reconciliation_faults": f"WITH {PREDS}{_CELLS} SELECT 'rows' AS check_name, (SELECT count(*) + count(*) FILTER (day = 3 AND band = 1) FROM cells)::bigint AS observed, true AS passed UNION ALL "
     + _zero(
