@@ -160,8 +160,9 @@ class Boosted:
 
 def bin_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> list[list[float]]:
     """Edges halfway between neighbouring values of each column: of all its values where they are few, else of evenly spaced approximate quantiles."""
-    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    told = df.agg(*[F.struct(F.approx_count_distinct(v, 0.02).alias("kinds"), F.percentile_approx(v, [i / bins for i in range(bins + 1)], 10_000).alias("at")).alias(f"c{i}") for i, v in enumerate(number.values())]).first()
+    rows = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    at = f"array({', '.join(f'{i / bins!r}D' for i in range(bins + 1))})"
+    told = rows.agg(*[F.expr(f"struct(approx_count_distinct(c{i}, 0.02) AS kinds, percentile_approx(c{i}, {at}, 10000) AS at)").alias(f"c{i}") for i in range(len(columns))]).first()
     few = [c for i, c in enumerate(columns) if told[i]["kinds"] <= bins]
     own: dict[str, list[float]] = {c: told[i]["at"] or [] for i, c in enumerate(columns)}
     if few:
