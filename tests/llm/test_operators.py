@@ -566,6 +566,21 @@ def test_quality_samples_every_language(spark):
     assert sum(r.held_out for r in got) == 40
 
 
+def test_quality_fits_on_all_trusted_documents(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    told = quality.trusted_ids(labels, docs=spark.range(25_000).selectExpr("id AS doc_id", "if(id % 5 = 0, 'aa', 'bb') AS lang")).groupBy("held_out").count().collect()
+    assert {r.held_out: r["count"] for r in told} == {True: 5000, False: 20_000}
+
+
+def test_quality_limits_are_exact_quantiles_of_all_costs(spark):
+    g = np.random.default_rng(8)
+    costs = {"aa": np.round(g.normal(size=1234), 2), "bb": g.normal(size=quality.HELD), "cc": g.normal(size=quality.HELD - 1)}
+    held = spark.createDataFrame([(lang, i, float(x)) for lang, own in costs.items() for i, x in enumerate(own)], "lang string, doc_id long, cost double")
+    got = {r.lang: r.limit for r in quality._limits(held).collect()}
+    told = {k: np.quantile(v, 0.5) + quality.REACH * (np.quantile(v, quality.UPPER) - np.quantile(v, 0.5)) for k, v in costs.items() if k != "cc"}
+    assert got == pytest.approx(told, abs=1e-12)
+
+
 def test_quality_needs_held_out_documents_and_goes_by_row(spark):
     texts, labels = corpus(spark)
     few = [words(60, 9000 + i).upper() for i in range(12)]  # a language of few trusted documents: one or two are held out

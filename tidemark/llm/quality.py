@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import with_rank
@@ -17,9 +17,8 @@ from tidemark.llm.common import materialise, released, tidy
 
 #: Bytes of an n-gram.
 ORDER = 5
-#: Trusted documents that the model is fitted on, at most: those of the lowest hashes of their ids, as many of each language
-#: as there are, or an equal share. One in FOLDS of them is held out, to set the thresholds.
-TRUSTED, FOLDS = 20_000, 5
+#: One in FOLDS trusted documents of a language, by the hashes of their ids, is held out to set its threshold; the model is fitted on all others.
+FOLDS = 5
 #: Held-out documents that a language's threshold needs.
 HELD = 5
 #: A language's threshold: its held-out median, plus so many times the way from there to the upper quantile.
@@ -123,7 +122,7 @@ def _model(tables: list[DataFrame], needed: DataFrame) -> DataFrame:
     Each order's counts, and its contexts' totals, are joined by language and n-gram; an unseen context passes the
     probability of the next lower order on. The lowest order is mixed with the uniform distribution over bytes.
     """
-    languages = F.broadcast(tables[0].select("lang").distinct())  # at most one for each trusted document
+    languages = F.broadcast(tables[0].select("lang").distinct())  # a row for each language
     rows, p = needed.join(languages, "lang"), F.lit(1 / 256)
     for order, table in enumerate(tables, 1):
         mask = F.lit((1 << 8 * order) - 1)
@@ -141,11 +140,11 @@ def _model(tables: list[DataFrame], needed: DataFrame) -> DataFrame:
     return rows.select("lang", "gram", (-F.log("p")).alias("cost"))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED, docs: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out of at most `most` documents labelled as good and not toxic.
+def trusted_ids(labels: DataFrame, most: int | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out of all documents labelled as good and not toxic; in each language every FOLDS-th is held out.
 
-    With docs (doc_id, lang), only those in docs, and the languages take turns until `most` are found: one of few
-    documents keeps them all. Without, all are of one language. In each language every FOLDS-th is held out.
+    With docs (doc_id, lang), only those in docs; without, all are of one language. With `most`, which no query gives, at most so many: the
+    languages take turns until they are found, so one of few documents keeps them all.
     """
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
     if docs is None:
@@ -154,19 +153,17 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED, docs: DataFrame | None =
         langs = docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("lang"))
         good = good.join(langs, "doc_id")
     good = materialise(good.withColumn("h", F.xxhash64("doc_id")), "lm-good")
-    counts = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # Of a large language only the low hashes are ranked: more than `most`, but a bounded number.
-    low = good.join(F.broadcast(counts), "lang").filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(2.0 * most + 1000) / F.col("n"))
-    ranked = with_rank(low, [F.col("lang"), F.col("h"), F.col("doc_id")], "rank", materialise)
+    ranked = with_rank(good, [F.col("lang"), F.col("h"), F.col("doc_id")], "rank", materialise)
     starts = ranked.groupBy("lang").agg(F.min("rank").alias("start"))
     ranked = ranked.join(F.broadcast(starts), "lang").withColumn("place", F.col("rank") - F.col("start") + 1)
-    return ranked.orderBy("place", "h", "doc_id").limit(most).select("doc_id", (F.col("place") % FOLDS == 0).alias("held_out"))
+    chosen = ranked if most is None else ranked.orderBy("place", "h", "doc_id").limit(most)
+    return chosen.select("doc_id", (F.col("place") % FOLDS == 0).alias("held_out"))
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, digest (the text's MD5), n_bytes, cost (mean negative log probability of a byte; null where there is none), per input row."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    fitted = rows.join(F.broadcast(trusted.filter("NOT held_out").select("doc_id")), "doc_id", "left_semi")
+    fitted = rows.join(trusted.filter("NOT held_out").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # grows with the labels, so never broadcast
     needed = _counted(rows, False).groupBy("lang", "gram").agg(F.lit(1).alias("one")).select("lang", "gram")
     costs = materialise(_model(_tables(fitted), materialise(needed, "lm-needed")), "lm-costs")
     shards = (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SHARD_BYTES + 1
@@ -220,23 +217,36 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return placed.cogroup(asked.groupBy("shard")).applyInArrow(score, "doc_id long, lang string, digest binary, n_bytes long, cost double")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def _limits(held: DataFrame) -> DataFrame:
+    """lang, limit of the languages with HELD held-out documents or more: quantiles of all costs, read off distributed ranks."""
+    ranked = with_rank(held.select("lang", "cost", "doc_id"), [F.col("lang"), F.col("cost"), F.col("doc_id")], "rank", materialise)
+    own = ranked.groupBy("lang").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= HELD)
+    ranked = ranked.join(F.broadcast(own.drop("n")), "lang")  # a row for each language
+
+    def at(q: float) -> Column:
+        place, value = (F.col("rows") - 1) * F.lit(q), lambda i: F.max(F.when(F.col("rank") - F.col("start") == i, F.col("cost")))
+        low, high, part = value(F.floor(place)), value(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
+    middle, upper = at(0.5), at(UPPER)
+    return ranked.groupBy("lang").agg((middle + REACH * (upper - middle)).alias("limit"))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
     """doc_id, lang, digest, cost, limit, keep of every row of docs."""
     trusted = materialise(trusted_ids(labels, most, docs), "lm-trusted")
     scored = materialise(perplexities(docs, trusted), "lm-scores")
-    held = scored.join(F.broadcast(trusted.filter("held_out").select("doc_id")), "doc_id", "left_semi").filter("cost IS NOT NULL")
-    middle, upper = F.percentile("cost", F.lit(0.5)), F.percentile("cost", F.lit(UPPER))
-    limits = held.groupBy("lang").agg((middle + REACH * (upper - middle)).alias("limit"), F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= HELD).drop("n")  # at most one row for each held-out document
-    out = scored.join(F.broadcast(limits), "lang", "left")
+    held = scored.join(trusted.filter("held_out").select("doc_id"), "doc_id", "left_semi").filter("cost IS NOT NULL")
+    out = scored.join(F.broadcast(_limits(held)), "lang", "left")  # a row for each language
     return out.withColumn("keep", F.coalesce(F.col("cost") <= F.col("limit"), F.lit(True)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
     """Which documents read like trusted text of their language.
 
     docs: doc_id, lang, text; labels: doc_id, quality, toxic; other columns are ignored. Returns doc_id, lang,
-    perplexity (per byte), threshold, keep: one row per input row. The model is fitted on at most `most` trusted
-    documents (a parameter, not a share, so the n-gram tables have a bound), dealt evenly to the languages; everything else covers all rows: the distinct
+    perplexity (per byte), threshold, keep: one row per input row. The model is fitted on all trusted documents but those held out, and
+    thresholds are set on all held-out ones; `most` bounds both for trials and no query gives it. The distinct
     n-grams of the whole corpus are joined with the sharded counts, each shard of documents gets the costs of its own
     n-grams, and texts move once, packed. A document is kept if its perplexity is at most its language's threshold,
     which stands REACH times as far above the median of held-out trusted documents as their UPPER quantile does.
