@@ -489,6 +489,21 @@ def test_boosting_equals_brute_force(spark):
     assert np.allclose([told[i] for i in rows["entity_id"].to_pylist()], 1 / (1 + np.exp(-raw)), atol=1e-9) and len(told) == df.count()
 
 
+def test_boosting_takes_rows_of_equal_bins_as_one(spark, monkeypatch):
+    from tidemark.operators import boosting
+
+    df, states, histograms = boosting_rows(spark, 300), [], boosting._histograms
+    monkeypatch.setattr(boosting, "_histograms", lambda state, *rest: states.append(state) or histograms(state, *rest))
+    once, _ = model.fit_gbt(df, ["x", "z"], ["c"], "y", 2, boosting.Growth(rate=0.3, leaves=4, least=20, l2=1.0))
+    rows = len(np.frombuffer(b"".join(r.n for r in states[0].collect())))
+    states.clear()
+    thrice, _ = model.fit_gbt(df.union(df).union(df), ["x", "z"], ["c"], "y", 2, boosting.Growth(rate=0.3, leaves=4, least=60, l2=3.0))
+    held = states[0].collect()
+    n = np.frombuffer(b"".join(r.n for r in held))
+    assert len(n) == rows and n.sum() == 3 * df.filter("y IS NOT NULL").count() and len(held) <= spark.sparkContext.defaultParallelism
+    assert [(t.feature, t.bin) for t in once.trees] == [(t.feature, t.bin) for t in thrice.trees] and np.allclose(once.trees[1].value, thrice.trees[1].value, atol=1e-12)
+
+
 def test_boosting_beats_the_base_rate_on_held_out_rows(spark, monkeypatch):
     from tidemark.operators import boosting
 

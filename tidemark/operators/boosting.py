@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from tidemark.functions.quantiles import exact_quantiles, stacked
 from tidemark.sources.scratch import materialise
 
-#: Bins of a feature; tasks whose histograms the driver may add up itself; trees after which the rows' sums are written.
-BINS, FEW, KEPT = 255, 8, 25
+#: Bins of a feature; tasks whose histograms the driver may add up itself; trees after which the rows' sums are written; rows of a block.
+BINS, FEW, KEPT, BLOCK = 255, 16, 25, 1 << 16
+#: Rows of equal bins as one, packed: their bins, numbers, sums of labels and sums of leaves, one after the other.
+STATE = "bins binary, n binary, y binary, raw binary"
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,14 @@ class Tree:
 
     def place(self, bins: np.ndarray) -> np.ndarray:
         """The leaf of each row of bins."""
-        node = np.zeros(len(bins), np.int64)
-        for i, f in enumerate(self.feature):
+        node, rows = np.zeros(len(bins), np.int64), {0: np.arange(len(bins))}
+        for i, f in enumerate(self.feature):  # parents come first, so each looks at its own rows alone
+            here = rows.pop(i)
             if f >= 0:
-                here = np.flatnonzero(node == i)
-                node[here] = np.where(bins[here, f] <= self.bin[i], self.left[i], self.right[i])
+                low = bins[here, f] <= self.bin[i]
+                rows[self.left[i]], rows[self.right[i]] = here[low], here[~low]
+            else:
+                node[here] = i
         return node
 
 
@@ -172,13 +177,35 @@ def bin_edges(df: DataFrame, columns: list[str], bins: int = BINS) -> list[list[
     return [[(a + b) / 2 for a, b in zip(v, v[1:], strict=False)][: bins - 1] for v in (sorted(set(own[c])) for c in columns)]
 
 
-def _sums(raw: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
-    for t in trees:
-        raw = raw + np.array(t.value)[t.place(bins)]
-    return raw
+def _packed(grouped: DataFrame, base: float) -> DataFrame:
+    """Rows (bins, n, y) as blocks of about BLOCK rows."""
 
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        n, y = (t[c].to_numpy().astype(float) for c in ("n", "y"))
+        own = [b"".join(t["bins"].to_pylist()), n.tobytes(), y.tobytes(), np.full(len(n), base).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in own], ["bins", "n", "y", "raw"])
 
-def _histograms(state: DataFrame, few: bool, pending: list[Tree], tree: Tree, nodes: list[int], width: int, growth: Growth) -> dict[int, Split]:
+    def run(batches):
+        waiting, rows = [], 0
+        for b in batches:
+            waiting, rows = [*waiting, b], rows + b.num_rows
+            if rows >= BLOCK:
+                yield block(waiting)
+                waiting, rows = [], 0
+        if rows:
+            yield block(waiting)
+
+    return grouped.mapInArrow(run, STATE)
+
+
+def _blocks(b: pa.RecordBatch, width: int):
+    """bins, n, y and raw of each block of a batch."""
+    for bins, *numbers in zip(*(b.column(c) for c in ("bins", "n", "y", "raw")), strict=True):
+        yield np.frombuffer(bins.as_buffer(), np.uint8).reshape(-1, width), *(np.frombuffer(x.as_buffer(), float) for x in numbers)
+
+
+def _histograms(state: DataFrame, few: bool, tree: Tree, nodes: list[int], width: int, growth: Growth) -> dict[int, Split]:
     """The best split of each of `nodes`. Tasks sum the cells of histograms (node, feature, bin) that have rows, and Spark adds them up.
 
     At most nodes x features x bins cells reach the driver, whatever the rows; of few tasks they come as they are.
@@ -190,13 +217,15 @@ def _histograms(state: DataFrame, few: bool, pending: list[Tree], tree: Tree, no
     def sums(batches):
         total = np.zeros((3, count))
         for b in batches:
-            bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, width)
-            p = 1 / (1 + np.exp(-_sums(b.column("raw").to_numpy(), bins, pending)))
-            at = rank[tree.place(bins)]
-            here = at >= 0
-            cells = (((at[here, None] * width) + np.arange(width)) * size + bins[here]).ravel()
-            for i, v in enumerate(((p - b.column("y").to_numpy())[here], (p * (1 - p))[here], np.ones(int(here.sum())))):
-                total[i] += np.bincount(cells, np.repeat(v, width), count)
+            for bins, n, y, raw in _blocks(b, width):
+                at = rank[tree.place(bins)]
+                here = np.flatnonzero(at >= 0)
+                bins, n, p = bins[here], n[here], 1 / (1 + np.exp(-raw[here]))
+                first, values = at[here] * (width * size), (n * p - y[here], n * p * (1 - p), n)
+                for f in range(width):
+                    cells = first + bins[:, f] + f * size
+                    for own, v in zip(total, values, strict=True):
+                        own += np.bincount(cells, v, count)
         full = np.flatnonzero(total[2])
         yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(x[full]) for x in total)], ["cell", "g", "h", "n"])
 
@@ -218,8 +247,9 @@ def _histograms(state: DataFrame, few: bool, pending: list[Tree], tree: Tree, no
 def fit(train: DataFrame, numeric: list[str], levels: dict[str, list[str]], label: str, growth: Growth = Growth()) -> Boosted:  # noqa: B008
     """Boost `growth.rounds` trees on the rows of train with a label; levels: the known values of each category, whose flags are features.
 
-    Rows are binned once and written; each pass over them makes histograms of some nodes at a time. Every KEPT trees the rows are written
-    again with the sum of their leaves. Gaps are filled by exact medians; a column without values counts as 0. No row reaches the driver.
+    Rows are binned once, those of equal bins made one with their number and sum of labels, and written in blocks; each pass over them makes
+    histograms of some nodes at a time. A tree's leaves are added to the rows' sums once, in the first pass of the next tree, and every KEPT
+    trees the sums are written. Gaps are filled by exact medians; a column without values counts as 0. No row reaches the driver.
     """
     rows = train.filter(F.col(label).isNotNull())
     medians = {c: 0.0 if v is None else v[0] for c, v in exact_quantiles(rows, numeric, [0.5]).items()} if numeric else {}
@@ -233,26 +263,29 @@ def fit(train: DataFrame, numeric: list[str], levels: dict[str, list[str]], labe
     def binned(batches):
         for b in batches:
             bins = model.bins(b.column("features"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("y"), pa.array(np.full(len(bins), model.base))], ["bins", "y", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), b.column("y")], ["bins", "y"])
 
-    state = materialise(model.features(rows).select("features", y.alias("y")).mapInArrow(binned, "bins binary, y double, raw double"), "boosting-rows").persist()
-    few, written = state.rdd.getNumPartitions() <= FEW, 0
+    grouped = model.features(rows).select("features", y.alias("y")).mapInArrow(binned, "bins binary, y double").groupBy("bins").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    state, old = materialise(_packed(grouped, model.base), "boosting-rows").persist(), None
+    few = state.rdd.getNumPartitions() <= FEW
     for r in range(growth.rounds):
-        if r - written == KEPT:
-            state, written, old = _advanced(state, model.trees[written:], width), r, state
+        model.trees.append(grow(lambda tree, nodes: _histograms(state, few, tree, nodes, width, growth), growth))  # noqa: B023
+        if old is not None:
             old.unpersist()
-        pending = model.trees[written:]
-        model.trees.append(grow(lambda tree, nodes: _histograms(state, few, pending, tree, nodes, width, growth), growth))  # noqa: B023
-    state.unpersist()
+        old, state = state, _advanced(state, model.trees[-1], width, (r + 1) % KEPT == 0)
+    for df in (old, state):
+        if df is not None:
+            df.unpersist()
     return model
 
 
-def _advanced(state: DataFrame, trees: list[Tree], width: int) -> DataFrame:
-    """The rows with the trees' values added, written and kept."""
+def _advanced(state: DataFrame, tree: Tree, width: int, write: bool) -> DataFrame:
+    """The rows with the tree's values added, kept when they are first read; written before if asked, so that no long lineage is kept."""
 
     def run(batches):
         for b in batches:
-            bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, width)
-            yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("y"), pa.array(_sums(b.column("raw").to_numpy(), bins, trees))], ["bins", "y", "raw"])
+            raw = [(raw + np.array(tree.value)[tree.place(bins)]).tobytes() for bins, _, _, raw in _blocks(b, width)]
+            yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("n"), b.column("y"), pa.array(raw, pa.binary())], ["bins", "n", "y", "raw"])
 
-    return materialise(state.mapInArrow(run, "bins binary, y double, raw double"), "boosting-rows").persist()
+    after = state.mapInArrow(run, STATE)
+    return (materialise(after, "boosting-rows") if write else after).persist()
