@@ -38,3 +38,8 @@ def test_boosted_trees_have_all_their_rounds(spark, monkeypatch):
     monkeypatch.setattr(model, "fit_gbt", fit)
     run_queries._model(spark, SF, "gbt")
     assert asked == [200]
+
+
+def test_models_read_features_that_are_kept(spark):
+    files = registry.QUERIES["score_logistic"](spark, SF).inputFiles()
+    assert files and all("model-rows" in f for f in files)

@@ -208,29 +208,35 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(monitor.monitoring_run(train, scoring, preds, train, NUMERIC, {"latest_type": TYPES}, policy, frozen, "run", demo.DECISION_TIME))
 
 
-def _model(spark: SparkSession, sf_dir: str, kind: str) -> tuple:
-    rows = base.split_features(spark, sf_dir)
+def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that models use, computed once and kept: fitting passes over them many times."""
+    return materialise(base.split_features(spark, sf_dir).select("entity_id", "prediction_date", "dataset_split", "will_miss", "latest_type", *NUMERIC), "model-rows")
+
+
+def _model(rows: DataFrame, kind: str) -> tuple:
     fit = {"logistic": model.fit_logistic, "warehouse": model.fit_reference_coded, "gbt": model.fit_gbt}[kind]
-    return *fit(rows.filter("dataset_split = 'train'"), NUMERIC, ["latest_type"], "will_miss"), rows
+    return fit(rows.filter("dataset_split = 'train'"), NUMERIC, ["latest_type"], "will_miss")
 
 
 def scored_by(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    fitted, fills, rows = _model(spark, sf_dir, kind)
+    rows = model_rows(spark, sf_dir)
+    fitted, fills = _model(rows, kind)
     return model.score(fitted, fills, rows.filter("dataset_split IN ('validation', 'test', 'scoring')"), NUMERIC, demo.THRESHOLD, kind)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both models' measures on the validation rows."""
-    found = {}
+    found, rows = {}, model_rows(spark, sf_dir)
     for kind in ("logistic", "gbt"):
-        fitted, fills, rows = _model(spark, sf_dir, kind)
+        fitted, fills = _model(rows, kind)
         scored = model.score(fitted, fills, rows.filter("dataset_split = 'validation'"), NUMERIC, demo.THRESHOLD, kind, ("entity_id", "prediction_date", "will_miss"))
         found[kind] = evaluate.evaluate_binary(scored.select(F.struct("entity_id", "prediction_date").alias("key"), F.col("probability").alias("p"), F.col("will_miss").alias("y")), demo.THRESHOLD)
     return evaluate.compare_models(found)
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted, fills, rows = _model(spark, sf_dir, "logistic")
+    rows = model_rows(spark, sf_dir)
+    fitted, fills = _model(rows, "logistic")
     return model.explain_logistic(fitted, fitted.transform(model.prepared(rows, NUMERIC, fills)), NUMERIC)
 
 
