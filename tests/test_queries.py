@@ -43,3 +43,14 @@ def test_boosted_trees_have_all_their_rounds(spark, monkeypatch):
 def test_models_read_features_that_are_kept(spark):
     files = registry.QUERIES["score_logistic"](spark, SF).inputFiles()
     assert files and all("model-rows" in f for f in files)
+
+
+def test_compared_models_are_scored_once(spark, monkeypatch):
+    from tidemark.operators import evaluate, model
+    from tidemark.plans import run_queries
+
+    seen, fit = [], model.fit_gbt
+    monkeypatch.setattr(model, "fit_gbt", lambda *a: fit(*a, iterations=1))
+    monkeypatch.setattr(evaluate, "evaluate_binary", lambda preds, threshold: seen.append(preds.inputFiles()) or preds.limit(1))
+    assert run_queries.compared(spark, SF).count() == 2
+    assert len(seen) == 2 and all(files and all("/scored-" in f for f in files) for files in seen)

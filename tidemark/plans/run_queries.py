@@ -230,6 +230,7 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind in ("logistic", "gbt"):
         fitted, fills = _model(rows, kind)
         scored = model.score(fitted, fills, rows.filter("dataset_split = 'validation'"), NUMERIC, demo.THRESHOLD, kind, ("entity_id", "prediction_date", "will_miss"))
+        scored = materialise(scored, "scored")  # each measure reads it
         found[kind] = evaluate.evaluate_binary(scored.select(F.struct("entity_id", "prediction_date").alias("key"), F.col("probability").alias("p"), F.col("will_miss").alias("y")), demo.THRESHOLD)
     return evaluate.compare_models(found)
 
