@@ -79,6 +79,22 @@ def test_store_round_trip(spark, tokenizer):
     assert stored.count() == stored.select("key").distinct().count()
 
 
+def test_encoder_tells_the_library_a_piece_once_in_all_tasks(tokenizer, monkeypatch):
+    """A worker keeps its encoder; one call of the library takes many pieces, and ids equal those of whole texts before and after it forgets."""
+    encoder = token_store.Encoder(TOKENIZER)
+    assert token_store.encoder_of(TOKENIZER) is token_store.encoder_of(TOKENIZER)
+    told, call = [], encoder.told
+    monkeypatch.setattr(encoder, "told", lambda pieces: told.append(pieces) or call(pieces))
+    texts = [t or "" for t in ODD] + [words(400, 8), "a\x00 \x00\x00 abcdefg abcdefgh \x00abcdef <|endoftext|>x", "it's we'll" + "\u00e9\u4e2d\U0001f600 " * 3]
+    told_ids = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in encoder.encode(texts)] == told_ids
+    assert [i.tolist() for i in encoder.encode(texts[::-1])] == told_ids[::-1]
+    assert len(told) == 1 and len(set(told[0])) == len(told[0])
+    monkeypatch.setattr(token_store, "CACHE", 3)
+    monkeypatch.setattr(token_store, "CALL", 7)
+    assert [i.tolist() for t in texts for i in encoder.encode([t])] == told_ids
+
+
 def test_store_notices_damage(spark):
     store = scratch(spark, "test-store")
     token_store.write_store(frame(spark, [words(300, 5)]), TOKENIZER, store)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 
@@ -15,6 +16,10 @@ import regex
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
 
+#: Bytes of a piece that is told apart as one number.
+SHORT = 7
+
+
 @dataclass
 class Vocabulary:
     """What encoding and decoding need of a tokenizer file, as plain arrays: bounded by the vocabulary."""
@@ -97,11 +102,30 @@ def _starts(points: np.ndarray) -> np.ndarray:
     return start
 
 
+def _coded(raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each of the strings that start at these places of raw, each reaching to the next, and the distinct strings.
+
+    Those of SHORT bytes or fewer are told apart as whole numbers, with their length in the top byte.
+    """
+    bounds = np.append(begins, len(raw))
+    size = np.diff(bounds)
+    short = size <= SHORT
+    at, n = begins[short], size[short]
+    eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))
+    keys = eight[at] & ((np.uint64(1) << (8 * n).astype(np.uint64)) - np.uint64(1)) | n.astype(np.uint64) << np.uint64(8 * SHORT)
+    numbers = np.empty(len(begins), np.int64)
+    numbers[short], found = pd.factorize(keys)
+    distinct = [k.to_bytes(8, "little")[: k >> 8 * SHORT] for k in found.tolist()]
+    rest = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw)]).filter(pa.array(~short)).dictionary_encode()
+    numbers[~short] = rest.indices.to_numpy().astype(np.int64) + len(distinct)
+    return numbers, distinct + rest.dictionary.to_pylist()
+
+
 def pieces_of(texts: list[str], special: dict[str, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct pieces of all texts; the numbers of the pieces, text by text; and where each text's numbers end."""
     odd = [i for i, t in enumerate(texts) if any(s in t for s in special)]
     plain = texts if not odd else [t if i not in set(odd) else "" for i, t in enumerate(texts)]
-    counts, arrays = np.zeros(len(texts), np.int64), []
+    counts, arrays, raws, sizes = np.zeros(len(texts), np.int64), [], [], 0
     at = 0
     while at < len(plain):  # a few million characters at a time
         upto, size = at, 0
@@ -118,15 +142,14 @@ def pieces_of(texts: list[str], special: dict[str, int]) -> tuple[list[bytes], n
         begins = np.flatnonzero(start & ~end)
         text_of = np.cumsum(end) - end
         counts[at:upto] = np.bincount(text_of[begins], minlength=len(part))
-        raw = "".join(part).encode("utf-8", "surrogatepass")
-        bounds = np.append(offset[begins], len(raw)).astype(np.int32)
-        arrays.append(pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(raw)]))
+        arrays.append(offset[begins] + sizes)
+        raws.append("".join(part).encode("utf-8", "surrogatepass"))
+        sizes += len(raws[-1])
         at = upto
     cuts = [cut(texts[i], special) for i in odd]
-    arrays.append(pa.array([p for c in cuts for p in c], pa.binary()))
-    coded = pa.chunked_array(arrays).combine_chunks().dictionary_encode()
-    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-    numbers, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    own = [p for c in cuts for p in c]
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    numbers, distinct = _coded(b"".join([*raws, *own]), np.concatenate([np.zeros(0, np.int64), *arrays, sizes + np.cumsum(lengths) - lengths]))
     if odd:
         ends = np.cumsum(counts)
         spot = np.repeat(ends[odd], [len(c) for c in cuts])

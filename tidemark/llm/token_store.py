@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidemark.functions.prefix import with_running_sum
 from tidemark.llm.common import materialise, spread_join, tidy
@@ -25,8 +27,8 @@ LEAST, USUAL, MOST = 64, 256, 2048
 NAME = 16
 #: Bytes of whole texts that are encoded at once.
 AT_ONCE = 2 << 20
-#: Pieces whose ids a task remembers, and that the library gets in a call.
-CACHE, CALL = 1 << 18, 4096
+#: Pieces whose ids a worker remembers, and that the library gets in a call.
+CACHE, CALL = 1 << 19, 4096
 #: Tokens of a part of the documents, which has one root; and roots below one of the next level.
 PART, FAN = 1 << 22, 4096
 
@@ -54,28 +56,58 @@ def boundaries(ids: np.ndarray, gear: np.ndarray) -> list[int]:
 
 
 class Encoder:
-    """The library's ids of whole texts. Pieces, which it encodes apart from each other, are told to it once: it remembers CACHE of them."""
+    """The library's ids of whole texts. Pieces, which it encodes apart from each other, are told to it once: it remembers about CACHE of them."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.special = tokenizer_of(path), load(path).special
-        self.known: dict[bytes, list[int]] = {}
+        self.tokenizer, vocab = tokenizer_of(path), load(path)
+        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are cut already
+        self.special, self.sizes = vocab.special, np.fromiter(map(len, vocab.as_bytes), np.int64, vocab.size)
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def told(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, as one call of the library gives them, and each piece's number of them, told by the bytes that ids stand for."""
+        words = [p.decode() for p in pieces]
+        ids = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        spelt, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(spelt, ends)
+        if last[-1] + 1 != len(ids) or not np.array_equal(spelt[last], ends):
+            raise ValueError("the ids do not spell the pieces")
+        return ids, np.diff(last, prepend=-1)
+
+    def learn(self, distinct: list[bytes]) -> None:
+        """Remember those of these pieces that are new."""
+        new = [p for p in distinct if p not in self.places]
+        plain, special = [p for p in new if p[:1] != b"\xff"], [p for p in new if p[:1] == b"\xff"]
+        self.places.update(zip(chain(plain, special), range(len(self.places), len(self.places) + len(new))))
+        parts = [self.told(plain[at : at + CALL]) for at in range(0, len(plain), CALL)]
+        parts.append((np.array([self.special[p[1:].decode()] for p in special], np.uint32), np.ones(len(special), np.int64)))
+        self.tokens = np.concatenate([self.tokens, *(ids for ids, _ in parts)])
+        self.lengths = np.concatenate([self.lengths, *(n for _, n in parts)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text: those of its pieces one after another, and of the strings of special tokens."""
         distinct, numbers, ends = pieces_of(texts, self.special)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [p for p in distinct if p not in self.known]
-        plain = [p for p in new if p[:1] != b"\xff"]
-        self.known.update((p, [self.special[p[1:].decode()]]) for p in new if p[:1] == b"\xff")
-        for at in range(0, len(plain), CALL):
-            some = plain[at : at + CALL]
-            self.known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)), strict=True))
-        ids = list(map(self.known.__getitem__, distinct))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        tokens = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        starts = np.cumsum(lengths) - lengths
-        return [spelled(numbers[a:b], starts, lengths, tokens) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        if len(self.places) > CACHE:
+            self.forget()
+        self.learn(distinct)
+        codes = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[numbers]
+        ids = spelled(codes, np.cumsum(self.lengths) - self.lengths, self.lengths, self.tokens)
+        upto = np.r_[0, np.cumsum(self.lengths[codes])][ends].tolist()
+        return [ids[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+
+@lru_cache(1)
+def _encoder(path: str, changed: int) -> Encoder:
+    return Encoder(path)
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task with what it remembers, until the file changes."""
+    return _encoder(path, os.stat(path).st_mtime_ns)
 
 
 def tokenizer_of(path: str) -> Tokenizer:
@@ -93,7 +125,7 @@ def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     kind, width = dict(docs.dtypes)["doc_id"], "<u2" if size <= 1 << 16 else "<u4"
 
     def run(batches):
-        gear, encoder, part, seen = _gear(size), Encoder(path), TaskContext.get().partitionId(), 0
+        gear, encoder, part, seen = _gear(size), encoder_of(path), TaskContext.get().partitionId(), 0
         for b in by_bytes(batches, "text", AT_ONCE):
             held: dict[bytes, bytes] = {}
             sizes, recipes = [], []
