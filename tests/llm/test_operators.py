@@ -18,6 +18,7 @@ from tests.oracle import expected, rows
 from tidemark.llm import ann, bpe, components, entries, mixing, pii, pieces, quality, simhash, substring, token_store, vector_dedup, warc
 from tidemark.llm.common import scratch
 from tidemark.llm.entries import TOKENIZER
+from tidemark.sources.scratch import _MADE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_entities string, size string, component_id string, block string, kind string"
@@ -327,6 +328,15 @@ def test_passages_equal_brute_force(spark, monkeypatch):
     assert [(r.n_words, r.n_removed, r.kept_sha256) for r in got] == removed(texts)
 
 
+def test_passages_shuffle_texts_once(spark):
+    """All rounds are one query: no table is written between them, and the texts' one exchange is read by each."""
+    made, df = len(_MADE), substring.kept_digests(frame(spark, near_texts()))
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in df.orderBy("doc_id").collect()] == removed(near_texts())
+    assert len(df.collect()) == len(near_texts()) and len(_MADE) == made
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"ReusedExchange \[[^\]]*text#", plan)) == 3
+
+
 def test_symbols_agree_inside_equal_passages():
     r = random.Random(2)
     for trial in range(300):
