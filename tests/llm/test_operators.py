@@ -598,6 +598,16 @@ def test_quality_fits_on_all_trusted_documents(spark):
     assert {r.held_out: r["count"] for r in told} == {True: 5000, False: 20_000}
 
 
+def test_quality_keeps_no_counts_beside_the_costs(spark):
+    """The tables that the costs were made of are deleted before texts and costs meet; what is still read stays."""
+    texts, labels = corpus(spark)
+    made = set(_MADE)
+    scored = quality.perplexities(frame(spark, texts), quality.trusted_ids(labels))
+    left = [p.split("/")[-1].rsplit("-", 1)[0] for p in _MADE if p not in made]
+    assert "lm-costs" in left and "lm-needed" not in left and "lm-counts" not in left
+    assert scored.count() == len(texts)
+
+
 def test_quality_limits_are_exact_quantiles_of_all_costs(spark):
     g = np.random.default_rng(8)
     costs = {"aa": np.round(g.normal(size=1234), 2), "bb": g.normal(size=quality.HELD), "cc": g.normal(size=quality.HELD - 1)}

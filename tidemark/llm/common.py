@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import materialise, scratch, shared_dir
+from tidemark.sources.scratch import drop, materialise, scratch, shared_dir
 
-__all__ = ["WORD", "give_back", "materialise", "released", "scratch", "shared_dir", "spread_join", "tidy", "words"]
+__all__ = ["WORD", "drop", "give_back", "materialise", "released", "scratch", "shared_dir", "spread_join", "tidy", "words"]
 
 #: A key with more than one in so many of all rows is frequent; at most so many keys are, whatever the input.
 SHARES = 20_000

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import with_rank
-from tidemark.llm.common import materialise, released, tidy
+from tidemark.llm.common import drop, materialise, released, tidy
 
 #: Bytes of an n-gram.
 ORDER = 5
@@ -165,7 +165,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
     fitted = rows.join(trusted.filter("NOT held_out").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")  # grows with the labels, so never broadcast
     needed = _counted(rows, False).groupBy("lang", "gram").agg(F.lit(1).alias("one")).select("lang", "gram")
-    costs = materialise(_model(_tables(fitted), materialise(needed, "lm-needed")), "lm-costs")
+    tables, needed = _tables(fitted), materialise(needed, "lm-needed")
+    costs = materialise(_model(tables, needed), "lm-costs")
+    drop(needed, *tables)  # the costs are all that is read from here on
     shards = (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SHARD_BYTES + 1
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
 

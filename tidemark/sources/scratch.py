@@ -41,6 +41,16 @@ def drop_scratch(spark: SparkSession) -> int:
     return deleted
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote, whose readers have all been stored; other files are left alone."""
+    for df in tables:
+        for folder in {f.split("/")[-2] for f in df.inputFiles()}:
+            for path in [p for p in _MADE if p.split("/")[-1] == folder]:
+                _MADE.remove(path)
+                found = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
