@@ -608,6 +608,11 @@ def test_quality_keeps_no_counts_beside_the_costs(spark):
     assert scored.count() == len(texts)
 
 
+def test_quality_shards_repeat_few_ngrams(spark):
+    """An n-gram is shuffled, and its cost once more, for each shard that has it; the number of shards grows with the text."""
+    assert [quality._shards(n) for n in (None, 0, 40 << 20, 816 << 20, 8160 << 20)] == [1, 1, 1, 18, 171]
+
+
 def test_quality_limits_are_exact_quantiles_of_all_costs(spark):
     g = np.random.default_rng(8)
     costs = {"aa": np.round(g.normal(size=1234), 2), "bb": g.normal(size=quality.HELD), "cc": g.normal(size=quality.HELD - 1)}

@@ -23,8 +23,9 @@ FOLDS = 5
 HELD = 5
 #: A language's threshold: its held-out median, plus so many times the way from there to the upper quantile.
 UPPER, REACH = 0.95, 3.0
-#: Bytes of text of a shard, about; and bytes of one text whose n-grams are held at once.
-SHARD_BYTES, AT_ONCE = 24 << 20, 1 << 20
+#: Bytes of text of a shard, about: an n-gram and its cost are shuffled once for each shard that has it, so larger shards move fewer. Bytes of one
+#: text whose n-grams are held at once.
+SHARD_BYTES, AT_ONCE = 48 << 20, 1 << 20
 
 
 def _raw(text: str | None) -> bytes:
@@ -160,6 +161,11 @@ def trusted_ids(labels: DataFrame, most: int | None = None, docs: DataFrame | No
     return chosen.select("doc_id", (F.col("place") % FOLDS == 0).alias("held_out"))
 
 
+def _shards(n_bytes: int | None) -> int:
+    """The number of shards for so many bytes of text."""
+    return (n_bytes or 0) // SHARD_BYTES + 1
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, digest (the text's MD5), n_bytes, cost (mean negative log probability of a byte; null where there is none), per input row."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
@@ -168,7 +174,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     tables, needed = _tables(fitted), materialise(needed, "lm-needed")
     costs = materialise(_model(tables, needed), "lm-costs")
     drop(needed, *tables)  # the costs are all that is read from here on
-    shards = (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // SHARD_BYTES + 1
+    shards = _shards(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0])
     shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
 
     names = ["shard", "ids", "langs", "sizes", "blob"]
