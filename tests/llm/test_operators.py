@@ -96,6 +96,46 @@ def test_encoder_tells_the_library_a_piece_once_in_all_tasks(tokenizer, monkeypa
     assert [i.tolist() for t in texts for i in encoder.encode([t])] == told_ids
 
 
+def test_encoder_gives_the_library_one_string_a_call(tokenizer, monkeypatch):
+    """Pieces go to the library as one string, parted by a mark that none of them holds, and as a list only where they hold every mark."""
+
+    class Spy:
+        def __init__(self, own):
+            self.__dict__ |= {"own": own, "given": []}
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.own, name, value)
+
+        def encode_batch_fast(self, texts, **how):
+            self.given.append(type(texts[0]))
+            return self.own.encode_batch_fast(texts, **how)
+
+    encoder = token_store.Encoder(TOKENIZER)
+    encoder.tokenizer = Spy(encoder.tokenizer)
+    marks = [chr(0xE000 + i) for i in range(6400)]
+    texts = [words(100, 4), f"x{marks[0]}y and {marks[0]}", "".join(marks), words(100, 5), f"{marks[0]} {marks[100]}{marks[0]} z"]
+    told = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for t in texts for i in encoder.encode([t])] == told
+    assert encoder.tokenizer.given == [str, str, list, str, str]
+
+
+def test_chunks_end_alike_wherever_a_document_stands():
+    """A document's chunks follow from its ids alone, though the places of a whole batch are found at once."""
+    g = np.random.default_rng(6)
+    gear, docs = token_store._gear(1000), [g.integers(0, 1000, n) for n in (1, 5, 64, 65, 700, 0, 9000, 15)]
+    docs.append(np.zeros(5000, np.int64))
+    found, first = token_store.places(np.concatenate(docs), gear).tolist(), 0
+    for ids in docs:
+        own = token_store.boundaries(token_store.places(ids, gear).tolist(), 0, len(ids))
+        inside = [x for x in found if first < x <= first + len(ids)]
+        assert [x - first for x in token_store.boundaries(inside, first, first + len(ids))] == own
+        assert (own or [0])[-1] == len(ids) and all(b - a <= token_store.MOST for a, b in zip([0, *own], own, strict=False))
+        first += len(ids)
+
+
 def test_store_notices_damage(spark):
     store = scratch(spark, "test-store")
     token_store.write_store(frame(spark, [words(300, 5)]), TOKENIZER, store)

@@ -137,12 +137,11 @@ def pieces_of(texts: list[str], special: dict[str, int]) -> tuple[list[bytes], n
         points = np.insert(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32), ends, 0x110000)
         start = _starts(points)
         end = points == 0x110000
-        wide = np.where(end, 0, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
-        offset = np.cumsum(wide) - wide
+        wide = (~end).view(np.uint8) + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        wide[end] = 0
         begins = np.flatnonzero(start & ~end)
-        text_of = np.cumsum(end) - end
-        counts[at:upto] = np.bincount(text_of[begins], minlength=len(part))
-        arrays.append(offset[begins] + sizes)
+        counts[at:upto] = np.diff(np.searchsorted(begins, np.flatnonzero(end)), prepend=0)
+        arrays.append(np.cumsum(wide, dtype=np.int64)[begins] - wide[begins] + sizes)
         raws.append("".join(part).encode("utf-8", "surrogatepass"))
         sizes += len(raws[-1])
         at = upto

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
+from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
 from tidemark.functions.prefix import with_running_sum
 from tidemark.llm.common import materialise, spread_join, tidy
@@ -29,6 +29,8 @@ NAME = 16
 AT_ONCE = 2 << 20
 #: Pieces whose ids a worker remembers, and that the library gets in a call.
 CACHE, CALL = 1 << 19, 4096
+#: What may part the pieces that the library gets in a call, private code points: the first that none of them holds.
+MARKS = [chr(0xE000 + i) for i in range(0, 6400, 100)]
 #: Tokens of a part of the documents, which has one root; and roots below one of the next level.
 PART, FAN = 1 << 22, 4096
 
@@ -37,19 +39,25 @@ def _gear(size: int) -> np.ndarray:
     return np.random.default_rng(23).integers(0, 2**64, size, np.uint64)
 
 
-def boundaries(ids: np.ndarray, gear: np.ndarray) -> list[int]:
-    """Where the chunks of a stream end: where the rolling hash of the last 16 ids says so, within LEAST and MOST."""
-    if len(ids) <= LEAST:
-        return [len(ids)]
+def places(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
+    """After which ids the rolling hash of the last 16 says that a chunk may end.
+
+    Several documents may follow each other: only a document's first 15 places see the one before, and LEAST allows no end there.
+    """
     rolled = gear[ids]
     for step in (1, 2, 4, 8):
-        rolled = rolled + np.concatenate((np.zeros(step, np.uint64), rolled[:-step] << np.uint64(step)))
-    cuts, start = [], 0
-    for at in [*(np.flatnonzero(rolled >> np.uint64(24) & np.uint64(USUAL - 1) == 0) + 1).tolist(), len(ids)]:
+        rolled[step:] = rolled[step:] + (rolled[:-step] << np.uint64(step))
+    return np.flatnonzero(rolled >> np.uint64(24) & np.uint64(USUAL - 1) == 0) + 1
+
+
+def boundaries(found: list[int], first: int, last: int) -> list[int]:
+    """Where the chunks of the document between first and last end: at the places found in it, within LEAST and MOST."""
+    cuts, start = [], first
+    for at in [*found, last]:
         while at - start > MOST:
             start += MOST
             cuts.append(start)
-        if at - start >= LEAST or (at == len(ids) and at > start):
+        if at - start >= LEAST or (at == last and at > start):
             cuts.append(at)
             start = at
     return cuts
@@ -60,7 +68,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, vocab = tokenizer_of(path), load(path)
-        self.tokenizer.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)  # pieces are cut already
+        self.part_by(MARKS[0])
         self.special, self.sizes = vocab.special, np.fromiter(map(len, vocab.as_bytes), np.int64, vocab.size)
         self.forget()
 
@@ -68,10 +76,21 @@ class Encoder:
         self.places: dict[bytes, int] = {}
         self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def part_by(self, mark: str) -> None:
+        """Let the library cut at a mark, which it drops, and nowhere else; an empty one: nowhere."""
+        self.mark, whole = mark.encode(), ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenizer.pre_tokenizer = Sequence([Split(mark, "removed"), whole]) if mark else whole
+
     def told(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in a row, as one call of the library gives them, and each piece's number of them, told by the bytes that ids stand for."""
-        words = [p.decode() for p in pieces]
-        ids = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        """The ids of all pieces in a row, as one call of the library gives them, and each piece's number of them, told by the bytes that ids stand for.
+
+        The library gets them as one string, parted by a mark that no piece holds; as a list, which takes longer, only where they hold every mark.
+        """
+        every = b" ".join(pieces)
+        if self.mark in every:
+            self.part_by(next((m for m in MARKS if m.encode() not in every), ""))
+        given = self.mark.join(pieces).decode() if self.mark else [p.decode() for p in pieces]
+        ids = np.array(self.tokenizer.encode_batch_fast([given], is_pretokenized=not self.mark, add_special_tokens=False)[0].ids, np.uint32)
         spelt, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         last = np.searchsorted(spelt, ends)
         if last[-1] + 1 != len(ids) or not np.array_equal(spelt[last], ends):
@@ -81,7 +100,7 @@ class Encoder:
     def learn(self, distinct: list[bytes]) -> None:
         """Remember those of these pieces that are new."""
         new = [p for p in distinct if p not in self.places]
-        plain, special = [p for p in new if p[:1] != b"\xff"], [p for p in new if p[:1] == b"\xff"]
+        plain, special = [p for p in new if p < b"\xff"], [p for p in new if p >= b"\xff"]
         self.places.update(zip(chain(plain, special), range(len(self.places), len(self.places) + len(new))))
         parts = [self.told(plain[at : at + CALL]) for at in range(0, len(plain), CALL)]
         parts.append((np.array([self.special[p[1:].decode()] for p in special], np.uint32), np.ones(len(special), np.int64)))
@@ -128,25 +147,27 @@ def _chunks(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         gear, encoder, part, seen = _gear(size), encoder_of(path), TaskContext.get().partitionId(), 0
         for b in by_bytes(batches, "text", AT_ONCE):
             held: dict[bytes, bytes] = {}
-            sizes, recipes = [], []
-            for ids in encoder.encode([t or "" for t in b.column("text").to_pylist()]):
-                ids = np.append(ids, np.uint32(end_id))
-                raw, start, names = ids.astype(width).tobytes(), 0, []
-                each = len(raw) // len(ids)
-                for end in boundaries(ids, gear):
+            own, last = encoder.encode([t or "" for t in b.column("text").to_pylist()]), np.array([end_id], np.uint32)
+            sizes, recipes, first = [len(ids) + 1 for ids in own], [], 0
+            ids = np.concatenate([last[:0], *(x for ids in own for x in (ids, last))])
+            raw, found, each = ids.astype(width).tobytes(), places(ids, gear), np.dtype(width).itemsize
+            upto, found = np.searchsorted(found, np.cumsum(sizes), "right").tolist(), found.tolist()
+            for n, before, after in zip(sizes, [0, *upto], upto, strict=False):
+                start, names = first, []
+                for end in boundaries(found[before:after], first, first + n):
                     one = raw[start * each : end * each]
                     name = hashlib.sha256(one).digest()[:NAME]
                     held[name] = one
-                    names.append(name + start.to_bytes(4, "big"))
+                    names.append(name + (start - first).to_bytes(4, "big"))
                     start = end
-                sizes.append(len(ids))
                 recipes.append(b"".join(names))
+                first += n
             n, m, doc_ids = len(held), len(sizes), b.column("doc_id")
-            places = [part.to_bytes(8, "big") + (seen + i).to_bytes(9, "big") for i in range(m)]  # longer than a name
+            keys = [part.to_bytes(8, "big") + (seen + i).to_bytes(9, "big") for i in range(m)]  # longer than a name
             seen += m
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*held, *places], pa.binary()),
+                    pa.array([*held, *keys], pa.binary()),
                     pa.array(["chunk"] * n + ["recipe"] * m, pa.string()),
                     pa.array([*held.values(), *([None] * m)], pa.binary()),
                     pa.concat_arrays([pa.nulls(n, doc_ids.type), doc_ids]),
