@@ -136,6 +136,41 @@ def test_chunks_end_alike_wherever_a_document_stands():
         first += len(ids)
 
 
+def test_encoder_looks_each_distinct_piece_up_once(tokenizer):
+    """Known or new, a piece costs one search of what the encoder remembers, and ids equal the library's."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return dict.get(self, *key)
+
+        def __contains__(self, key):
+            Counted.looked += 1
+            return dict.__contains__(self, key)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return dict.__getitem__(self, key)
+
+    encoder = token_store.Encoder(TOKENIZER)
+    encoder.places = Counted()
+    texts = [t or "" for t in ODD] + [words(400, 9), "a <|endoftext|>x"]
+    told = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [i.tolist() for i in encoder.encode(texts)] == told
+    assert Counted.looked == 2 * len(pieces.pieces_of(texts, encoder.special)[0])
+
+
+def test_store_checks_each_chunk_once(spark):
+    """The chunks' table is read once for all checksums, not for the frequent and for the other chunks again."""
+    store = scratch(spark, "test-store")
+    token_store.write_store(frame(spark, [words(300, 5), words(300, 6)]), TOKENIZER, store)
+    plan = token_store.stored_digests(spark, store)._jdf.queryExecution().optimizedPlan().toString()
+    assert "crcs(" not in plan and "shifted(" in plan
+
+
 def test_store_notices_damage(spark):
     store = scratch(spark, "test-store")
     token_store.write_store(frame(spark, [words(300, 5)]), TOKENIZER, store)

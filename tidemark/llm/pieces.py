@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import unicodedata
 from dataclasses import dataclass
@@ -118,7 +119,9 @@ def _coded(raw: bytes, begins: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     distinct = [k.to_bytes(8, "little")[: k >> 8 * SHORT] for k in found.tolist()]
     rest = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw)]).filter(pa.array(~short)).dictionary_encode()
     numbers[~short] = rest.indices.to_numpy().astype(np.int64) + len(distinct)
-    return numbers, distinct + rest.dictionary.to_pylist()
+    offsets, data = np.frombuffer(rest.dictionary.buffers()[1], np.int32)[: len(rest.dictionary) + 1].tolist(), rest.dictionary.buffers()[2]
+    held = data.to_pybytes() if data else b""
+    return numbers, distinct + [held[a:b] for a, b in itertools.pairwise(offsets)]
 
 
 def pieces_of(texts: list[str], special: dict[str, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -6,15 +6,15 @@ import hashlib
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+from tokenizers import Tokenizer, normalizers
+from tokenizers.pre_tokenizers import Split
 
 from tidemark.functions.prefix import with_running_sum
 from tidemark.llm.common import materialise, spread_join, tidy
@@ -26,9 +26,9 @@ LEAST, USUAL, MOST = 64, 256, 2048
 #: Bytes of a chunk's name: the start of the SHA-256 of its ids.
 NAME = 16
 #: Bytes of whole texts that are encoded at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 4 << 20
 #: Pieces whose ids a worker remembers, and that the library gets in a call.
-CACHE, CALL = 1 << 19, 4096
+CACHE, CALL = 1 << 20, 4096
 #: What may part the pieces that the library gets in a call, private code points: the first that none of them holds.
 MARKS = [chr(0xE000 + i) for i in range(0, 6400, 100)]
 #: Tokens of a part of the documents, which has one root; and roots below one of the next level.
@@ -68,6 +68,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, vocab = tokenizer_of(path), load(path)
+        self.own = [n for n in [self.tokenizer.normalizer] if n]
         self.part_by(MARKS[0])
         self.special, self.sizes = vocab.special, np.fromiter(map(len, vocab.as_bytes), np.int64, vocab.size)
         self.forget()
@@ -77,9 +78,10 @@ class Encoder:
         self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def part_by(self, mark: str) -> None:
-        """Let the library cut at a mark, which it drops, and nowhere else; an empty one: nowhere."""
-        self.mark, whole = mark.encode(), ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tokenizer.pre_tokenizer = Sequence([Split(mark, "removed"), whole]) if mark else whole
+        """Let the library cut at a mark, which it drops, and nowhere else; an empty one: nowhere. It spells the bytes of a whole call at once, before it cuts."""
+        self.mark, spell = mark.encode(), normalizers.ByteLevel()
+        self.tokenizer.normalizer = normalizers.Sequence([*self.own, spell])
+        self.tokenizer.pre_tokenizer = Split(spell.normalize_str(mark), "removed") if mark else None
 
     def told(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces in a row, as one call of the library gives them, and each piece's number of them, told by the bytes that ids stand for.
@@ -97,23 +99,29 @@ class Encoder:
             raise ValueError("the ids do not spell the pieces")
         return ids, np.diff(last, prepend=-1)
 
-    def learn(self, distinct: list[bytes]) -> None:
-        """Remember those of these pieces that are new."""
-        new = [p for p in distinct if p not in self.places]
-        plain, special = [p for p in new if p < b"\xff"], [p for p in new if p >= b"\xff"]
-        self.places.update(zip(chain(plain, special), range(len(self.places), len(self.places) + len(new))))
-        parts = [self.told(plain[at : at + CALL]) for at in range(0, len(plain), CALL)]
-        parts.append((np.array([self.special[p[1:].decode()] for p in special], np.uint32), np.ones(len(special), np.int64)))
+    def learn(self, distinct: list[bytes]) -> np.ndarray:
+        """The places of these pieces; those that are new are remembered first."""
+        at = np.fromiter(map(self.places.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = sorted(np.flatnonzero(at < 0).tolist(), key=lambda i: distinct[i] >= b"\xff")  # special tokens last
+        if not missing:
+            return at
+        new, first = [distinct[i] for i in missing], len(self.places)
+        at[missing] = np.arange(first, first + len(new))
+        self.places.update(zip(new, range(first, first + len(new)), strict=True))
+        special = [self.special[p[1:].decode()] for p in new if p >= b"\xff"]
+        plain = new[: len(new) - len(special)]
+        parts = [self.told(plain[i : i + CALL]) for i in range(0, len(plain), CALL)]
+        parts.append((np.array(special, np.uint32), np.ones(len(special), np.int64)))
         self.tokens = np.concatenate([self.tokens, *(ids for ids, _ in parts)])
         self.lengths = np.concatenate([self.lengths, *(n for _, n in parts)])
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text: those of its pieces one after another, and of the strings of special tokens."""
         distinct, numbers, ends = pieces_of(texts, self.special)
         if len(self.places) > CACHE:
             self.forget()
-        self.learn(distinct)
-        codes = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[numbers]
+        codes = self.learn(distinct)[numbers]
         ids = spelled(codes, np.cumsum(self.lengths) - self.lengths, self.lengths, self.tokens)
         upto = np.r_[0, np.cumsum(self.lengths[codes])][ends].tolist()
         return [ids[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
@@ -261,17 +269,25 @@ def _uses(recipes: DataFrame) -> DataFrame:
     return recipes.select("start", "doc_id", "n_tokens", F.inline(each))
 
 
-def _with_chunks(uses: DataFrame, chunks: DataFrame) -> DataFrame:
-    """uses joined with their chunks by name; a chunk of very many uses meets them in no single task."""
-    counts = materialise(uses.groupBy("name").agg(F.count(F.lit(1)).alias("uses")), "store-uses")
-    total = counts.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
-    return spread_join(uses, counts.join(chunks, "name"), ["name"], "uses", total)
+def _counts(recipes: DataFrame) -> DataFrame:
+    """name, uses: how often documents use each chunk."""
+    step = NAME + 4
+    at = F.sequence(F.lit(0), (F.length("recipe") / step).cast("int") - 1)
+    names = recipes.select(F.explode(F.transform(at, lambda i: F.substring(F.col("recipe"), i * step + 1, F.lit(NAME)))).alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def _spread(recipes: DataFrame, counted: DataFrame, told: DataFrame) -> DataFrame:
+    """The uses of recipes joined with told, the chunks with their counts, by name; a chunk of very many uses meets them in no single task."""
+    total = counted.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    return spread_join(_uses(recipes), told, ["name"], "uses", total)
 
 
 def read_store(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     """doc_id, start, ids (binary, `width` bytes an id): every document's ids rebuilt from its chunks, after checks."""
     chunks, recipes = _read(spark, store)
-    rows = _with_chunks(_uses(recipes), chunks).groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    counts = materialise(_counts(recipes), "store-uses")
+    rows = _spread(recipes, counts, counts.join(chunks, "name")).groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     return rows.select("doc_id", "start", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
@@ -298,8 +314,8 @@ def _crc_shift(crc: np.ndarray, count: np.ndarray) -> np.ndarray:
 def stored_digests(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
-    Each stored chunk is read and checked once and gives its CRC-32 as 32-bit ids; a document's is combined from its
-    chunks' by their places, so that no bytes are shuffled again.
+    Each stored chunk is read and checked once and gives its CRC-32 as 32-bit ids, which is kept with its number of uses; a
+    document's is combined from its chunks' by their places, so that no bytes are shuffled again.
     """
     chunks, recipes = _read(spark, store)
 
@@ -314,8 +330,8 @@ def stored_digests(spark: SparkSession, store: str, width: int = 2) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("start", "doc_id", "n_tokens", "size")), pa.array(moved.astype(np.int64))], ["start", "doc_id", "n_tokens", "size", "crc"])
 
     kind = dict(recipes.dtypes)["doc_id"]
-    uses = _uses(recipes)
-    joined = _with_chunks(uses, chunks.mapInArrow(crcs, "name binary, crc long")).select("start", "doc_id", "n_tokens", "size", "behind", "crc")
+    told = materialise(_counts(recipes).join(chunks.mapInArrow(crcs, "name binary, crc long"), "name"), "store-crcs")
+    joined = _spread(recipes, told, told).select("start", "doc_id", "n_tokens", "size", "behind", "crc")
     moved = joined.mapInArrow(shifted, f"start long, doc_id {kind}, n_tokens long, size long, crc long")
     out = moved.groupBy("start", "doc_id", "n_tokens").agg(F.expr("bit_xor(crc)").alias("ids_crc32"), F.sum("size").alias("size"))
     whole = F.when(F.col("size") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document is not whole")).cast("long"))
